@@ -93,7 +93,7 @@ def history_ratio(df: DataFrame, keys: Sequence[str] = SERIES_KEY, split_s: int
     d = running_sums(df, keys, "ts", {"prev_sum": F.col("value"),
                                      "prev_n": F.when(F.col("value").isNotNull(), F.lit(1)).otherwise(F.lit(0))},
                      include_current=False, split_s=split_s)
-    return d.withColumn("prev_mean", F.try_divide(F.col("prev_sum"), F.col("prev_n"))) \
+    return d.withColumn("prev_mean", F.try_divide(F.col("prev_sum").cast("double"), F.col("prev_n"))) \
             .withColumn("ratio", F.try_divide(F.col("value"), F.col("prev_mean")))
 
 

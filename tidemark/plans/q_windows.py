@@ -1 +1,167 @@
 """Queries: ordered per-series operators (windows)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.timecols import bucket_start
+from ..operators import select as S
+from ..operators import windows as Wn
+from ..operators.seqwindow import running_sums
+from ..sources import testdata as T
+from .registry import query
+from .sqlviews import with_views as V
+
+_KINDED_SQL = """k AS (
+  SELECT s.entity, s.tbl, s.metric, s.ts, s.value, s.seq, c.kind, c.heartbeat_s, c.min_v, c.max_v
+  FROM (SELECT entity, tbl, metric, ts, value, seq FROM counter_long
+        UNION ALL SELECT entity, tbl, metric, ts, value, seq FROM gauge_long) s
+  LEFT JOIN catalog c ON c.plugin = split_part(s.tbl, '_', 1) AND c.metric = s.metric)"""
+
+
+def _kinded(spark, d):
+    s = T.counter_long(spark, d).unionByName(T.gauge_long(spark, d))
+    return Wn.with_kind(s, T.metric_catalog(spark))
+
+
+# ---------------------------------------------------------------- W1, J7 --
+@query("delta", V("counter_long", "gauge_long", "catalog", body=f"""
+WITH {_KINDED_SQL}
+SELECT entity, tbl, metric, ts,
+       CASE WHEN kind = 'GAUGE' THEN value
+            ELSE COALESCE(value - lag(value) OVER (PARTITION BY entity, tbl, metric ORDER BY ts, seq), 0) END AS delta
+FROM k"""), "W1 J7 S5")
+def delta(spark, d):
+    return Wn.raw_delta(_kinded(spark, d), tiebreak="seq").select("entity", "tbl", "metric", "ts", "delta")
+
+
+# ---------------------------------------------------------------- W2 ------
+@query("fixed_rate", V("counter_long", "gauge_long", "catalog", body=f"""
+WITH {_KINDED_SQL}
+SELECT entity, tbl, metric, ts,
+       CASE WHEN kind = 'GAUGE' THEN value
+            ELSE COALESCE((value - lag(value) OVER (PARTITION BY entity, tbl, metric ORDER BY ts, seq)) / 5.0, 0)
+       END AS rate
+FROM k"""), "W2")
+def fixed_rate(spark, d):
+    return Wn.fixed_rate(_kinded(spark, d), 5, tiebreak="seq").select("entity", "tbl", "metric", "ts", "rate")
+
+
+# ---------------------------------------------------------------- W3 ------
+@query("counter_rate", V("counter_long", "gauge_long", "catalog", body=f"""
+WITH {_KINDED_SQL},
+p AS (SELECT *, lag(value) OVER w AS pv, lag(ts) OVER w AS pts FROM k
+      WINDOW w AS (PARTITION BY entity, tbl, metric ORDER BY ts, seq)),
+r AS (SELECT *, CASE WHEN kind = 'GAUGE' THEN value
+                     WHEN (epoch_us(ts) - epoch_us(pts)) / 1000000.0 > 0
+                      AND (epoch_us(ts) - epoch_us(pts)) / 1000000.0 <= heartbeat_s
+                     THEN (value - pv) / ((epoch_us(ts) - epoch_us(pts)) / 1000000.0) END AS raw FROM p)
+SELECT entity, tbl, metric, ts,
+       CASE WHEN (min_v IS NULL OR raw >= min_v) AND (max_v IS NULL OR raw <= max_v) THEN raw END AS rate
+FROM r"""), "W3 A7")
+def counter_rate(spark, d):
+    return Wn.counter_rate(_kinded(spark, d), tiebreak="seq").select("entity", "tbl", "metric", "ts", "rate")
+
+
+# ------------------------------------------------------------- W4, J6 -----
+@query("change_per_sec", V("counter_long", "gauge_long", body="""
+WITH s AS (SELECT entity, tbl, metric, ts, value FROM counter_long
+           UNION ALL SELECT entity, tbl, metric, ts, value FROM gauge_long),
+smp AS (SELECT entity, ts, lag(ts) OVER (PARTITION BY entity ORDER BY ts) AS prev_ts
+        FROM (SELECT DISTINCT entity, ts FROM s) x),
+j AS (SELECT c.entity, c.tbl, c.metric, c.ts, smp.prev_ts, c.value, p.value AS prev_value,
+             (epoch_us(c.ts) - epoch_us(smp.prev_ts)) // 1000000 AS diff_sec
+      FROM s c JOIN smp ON c.entity = smp.entity AND c.ts = smp.ts
+      JOIN s p ON p.entity = c.entity AND p.tbl = c.tbl AND p.metric = c.metric AND p.ts = smp.prev_ts)
+SELECT entity, tbl, metric, ts, prev_ts, diff_sec, (value - prev_value) / diff_sec AS change_per_sec
+FROM j WHERE diff_sec <> 0"""), "W4 J6 T3")
+def change_per_sec(spark, d):
+    s = T.counter_long(spark, d).unionByName(T.gauge_long(spark, d)).drop("seq")
+    return Wn.change_per_second(s)
+
+
+# ---------------------------------------------------------------- W5 ------
+@query("history_expr", V("net_long", body="""
+WITH h AS (
+  SELECT entity, tbl, metric, ts, value,
+         CAST(SUM(CAST(value AS DECIMAL(18,2))) OVER w AS DOUBLE) AS s,
+         COUNT(value) OVER w AS n
+  FROM net_long WHERE metric = 'bytes_sent'
+  WINDOW w AS (PARTITION BY entity, tbl, metric ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT entity, tbl, metric, ts, value, CASE WHEN n = 0 THEN NULL ELSE s / n END AS prev_mean,
+       CASE WHEN n = 0 THEN NULL ELSE value / (s / n) END AS ratio
+FROM h"""), "W5 P5")
+def history_expr(spark, d):
+    s = T.net_long(spark, d).where(F.col("metric") == "bytes_sent") \
+        .withColumn("value_c", F.col("value").cast("decimal(18,2)"))
+    r = running_sums(s, ["entity", "tbl", "metric"], "ts",
+                     {"prev_sum": F.col("value_c"),
+                      "prev_n": F.when(F.col("value").isNotNull(), F.lit(1)).otherwise(F.lit(0))},
+                     include_current=False)
+    mean = F.try_divide(F.col("prev_sum").cast("double"), F.col("prev_n"))
+    return r.select("entity", "tbl", "metric", "ts", "value", mean.alias("prev_mean"),
+                    F.try_divide(F.col("value"), mean).alias("ratio"))
+
+
+# ---------------------------------------------------------------- W6 ------
+STACK_LAYOUT = [["#stack", "bytes_recv", "cmd_get"]]
+
+
+@query("stack_adjacent", V("net_long", body="""
+WITH l AS (SELECT * FROM (VALUES (0, 'bytes_recv, cmd_get', 0, 'bytes_recv', 'bytes_recv'),
+                                 (0, 'bytes_recv, cmd_get', 1, 'cmd_get', 'cmd_get'))
+           AS l(chart_ord, chart_title, item_ord, item_title, metric)),
+s AS (SELECT l.chart_ord, l.chart_title, l.item_ord, l.item_title, n.entity, n.tbl, n.ts, n.value
+      FROM net_long n JOIN l ON n.metric = l.metric),
+t AS (SELECT *, value + lag(value) OVER (PARTITION BY chart_ord, entity, tbl, ts ORDER BY item_ord) AS sv FROM s)
+SELECT chart_ord, 'stack, ' || chart_title AS chart_title, -1 AS item_ord, 'stack' AS item_title,
+       entity, tbl, ts, sv AS value FROM t WHERE item_ord = 1
+UNION ALL
+SELECT chart_ord, 'stack, ' || chart_title, item_ord, item_title, entity, tbl, ts, value FROM s"""), "W6")
+def stack_adjacent(spark, d):
+    lay = S.layout_frame(spark, STACK_LAYOUT)
+    ser = S.apply_layout(T.net_long(spark, d), lay).select(*S.SERIES_COLS)
+    return Wn.stack_adjacent(ser)
+
+
+# ------------------------------------------------------------ W7, T13 -----
+@query("dedup_ts", V("gauge_long", body="""
+SELECT entity, tbl, metric, ts, arg_min(value, seq) AS value, min(seq) AS seq
+FROM (SELECT entity, tbl, metric,
+             make_timestamp(CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) * 3600000000) AS ts, value, seq
+      FROM gauge_long) x
+GROUP BY entity, tbl, metric, ts"""), "W7 T13")
+def dedup_ts(spark, d):
+    g = T.gauge_long(spark, d).withColumn("ts", bucket_start("ts", 3600))
+    return Wn.dedup_first(g)
+
+
+# ------------------------------------------------------------ P12, W8 -----
+# The tables declared by the 'app' plugin (every sample carries all of them).
+APP_TABLES = ("app_click", "app_error", "app_purchase", "app_signup", "app_view")
+
+
+@query("locf", V("gauge_long", body="""
+WITH s AS (SELECT DISTINCT entity, ts FROM gauge_long),
+g AS (SELECT s.entity, s.ts, t.tbl FROM s, (VALUES ('app_click'), ('app_error'), ('app_purchase'),
+                                              ('app_signup'), ('app_view')) AS t(tbl)),
+j AS (SELECT g.entity, g.tbl, g.ts, x.value FROM g LEFT JOIN gauge_long x USING (entity, tbl, ts))
+SELECT entity, tbl, ts,
+       COALESCE(last_value(value IGNORE NULLS) OVER (PARTITION BY entity, tbl ORDER BY ts
+                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS value
+FROM j"""), "P12 W8 P11")
+def locf(spark, d):
+    g = T.gauge_long(spark, d)
+    samples = g.select("entity", "ts").distinct()
+    grid = samples.select("entity", "ts", F.explode(F.array(*[F.lit(t) for t in APP_TABLES])).alias("tbl"))
+    j = grid.join(g.select("entity", "tbl", "ts", "value"), ["entity", "tbl", "ts"], "left")
+    return Wn.locf(j, ["entity", "tbl"]).select("entity", "tbl", "ts", "value")
+
+
+# ---------------------------------------------------------------- W9 ------
+@query("derive_prescale", V("counter_long", "gauge_long", "catalog", body=f"""
+WITH {_KINDED_SQL}
+SELECT entity, tbl, metric, ts, CASE WHEN kind = 'DERIVE' THEN value * 5.0 ELSE value END AS value FROM k"""),
+       "W9 J7")
+def derive_prescale(spark, d):
+    return Wn.prescale(_kinded(spark, d), 5).select("entity", "tbl", "metric", "ts", "value")
