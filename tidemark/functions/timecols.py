@@ -91,3 +91,14 @@ def resolve_range(start=None, end=None, preset: str | None = None, now=None):
 
 def add_seconds(col, secs) -> Column:
     return F.timestamp_add("MICROSECOND", F.lit(int(secs * 1_000_000)), _c(col))
+
+
+def to_instant(col) -> Column:
+    """TIMESTAMP_NTZ (wall clock in UTC) -> TIMESTAMP instant, for event-time
+    watermarks; independent of the session time zone."""
+    return F.timestamp_micros(epoch_us(col))
+
+
+def from_instant(col) -> Column:
+    """TIMESTAMP instant -> TIMESTAMP_NTZ wall clock in UTC."""
+    return from_epoch_us(F.unix_micros(_c(col)))
