@@ -75,12 +75,16 @@ def change_per_second(df: DataFrame, entity: str = "entity", item_keys: Sequence
     """Current vs previous *sample* of each client: a sample is all rows of an
     entity at one ts.  For every (tbl, metric) present in both samples,
     ``(v - v_prev) / whole_seconds``; skipped when no previous sample or the
-    whole-second gap is 0.  Keys only in the current sample are ignored."""
+    whole-second gap is 0.  Keys only in the current sample are ignored.
+
+    A series has a value in the previous sample exactly when its own
+    previous row sits at the previous sample time, so this is a per-series
+    lag plus one join with the per-client sample sequence.
+    """
+    series = prev_row(df, [entity, *item_keys], "ts", ["value"], split_s=split_s)
     samples = df.select(entity, "ts").distinct()
-    seq = prev_row(samples, [entity], "ts", [], split_s=split_s)
-    cur = df.join(seq, [entity, "ts"])
-    prev = df.select(entity, *item_keys, F.col("ts").alias("prev_ts"), F.col("value").alias("prev_value"))
-    j = cur.join(prev, [entity, *item_keys, "prev_ts"])
+    seq = prev_row(samples, [entity], "ts", [], prefix="smp_", split_s=split_s)
+    j = series.join(seq, [entity, "ts"]).where(F.col("prev_ts") == F.col("smp_ts"))
     secs = whole_seconds_between("prev_ts", "ts")
     return (j.where(secs != 0)
             .select(entity, *item_keys, "ts", "prev_ts", secs.alias("diff_sec"),

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..operators import alarms as AL
 from ..operators import rules as RU
 from ..operators import windows as Wn
-from ..operators.search import pivot_metrics
 from ..operators.seqwindow import prev_row
 from ..sources import testdata as T
 from .registry import query
@@ -127,7 +126,7 @@ def _lambda_alarms(spark, d):
     src = _alarm_src(spark, d)
     samples = src.select("entity", "ts").distinct()
     seq = prev_row(samples, ["entity"], "ts", [])
-    net = pivot_metrics(T.net_long(spark, d), list(T.NET_METRICS))
+    net = T.net_wide(spark, d)  # already one row per (entity, tbl, ts) with a column per metric
     cur = net.join(seq, ["entity", "ts"])
     prev_tables = net.select("entity", "tbl", F.col("ts").alias("prev_ts"))
     cur = cur.join(prev_tables, ["entity", "tbl", "prev_ts"], "left_semi")
