@@ -79,56 +79,67 @@ def suppress(alarms: DataFrame, window_s: int = DEFAULT_SUPPRESS_S, key: str = "
     """Keep an alarm only if at least ``window_s`` passed since the last
     *fired* alarm of the same key (greedy, exact).
 
-    Fired alarms of a key form the chain ``head -> next(head) -> ...`` where
-    ``next(a)`` is the first alarm at or after ``a + window``.  ``next`` is
-    found without pairing alarms (sort within ``window``-wide buckets plus a
-    small per-bucket table), then the chain is followed by pointer doubling:
-    ``log2(chain length)`` self-joins of the candidate table, each level
-    checkpointed.  No key is ever gathered into one task.
+    1. A candidate at least ``window_s`` after the previous candidate of its
+       key always fires; it starts a *cluster*.  Clusters are independent.
+    2. Inside a cluster the fired alarms form the chain ``head -> next(head)
+       -> ...`` where ``next(a)`` is the first candidate at or after
+       ``a + window``.  ``next`` is found without pairing candidates (sorting
+       inside ``window``-wide buckets plus a small per-bucket table).
+    3. The chain is followed by pointer doubling: ``log2(longest cluster /
+       window)`` self-joins, each level checkpointed.  No key or cluster is
+       ever gathered into one task.
     """
-    if checkpoint:  # the alarm pipeline is read three times below: materialise it once
+    from .seqwindow import prev_row, running_sums
+    if checkpoint:  # the alarm pipeline is read several times below: materialise it once
         alarms = cut_lineage(alarms)
-    cand = alarms.select(key, "ts").distinct()
     w_us = int(window_s) * 1_000_000
-    c = cand.withColumn("__b", bucket_index("ts", window_s)).withColumn("__us", epoch_us("ts"))
-    # next(a) inside bucket b+1: first candidate with us >= a.us + W
-    probes = c.select(key, (F.col("__b") + 1).alias("__b"), F.col("__us").alias("__src"),
+    cand = alarms.select(key, "ts").distinct().withColumn("__us", epoch_us("ts"))
+    p = prev_row(cand, [key], "ts", ["__us"])
+    head = F.col("prev___us").isNull() | (F.col("__us") >= F.col("prev___us") + F.lit(w_us))
+    cl = running_sums(p.withColumn("__head", head), [key], "ts",
+                      {"__cl": F.when(F.col("__head"), 1).otherwise(0)})
+    ck = F.concat_ws("#", F.col(key), F.col("__cl").cast("string"))
+    c = cl.select(ck.alias("__ck"), key, "__us", "__head", bucket_index("ts", window_s).alias("__b"))
+    if checkpoint:
+        c = cut_lineage(c)
+    K = "__ck"
+    # next(a) inside bucket b+1 of the same cluster: first candidate with us >= a.us + W
+    probes = c.select(K, (F.col("__b") + 1).alias("__b"), F.col("__us").alias("__src"),
                       (F.col("__us") + F.lit(w_us)).alias("__t"), F.lit(0).alias("__kind"))
-    targets = c.select(key, "__b", F.lit(None).cast("bigint").alias("__src"),
+    targets = c.select(K, "__b", F.lit(None).cast("bigint").alias("__src"),
                        F.col("__us").alias("__t"), F.lit(1).alias("__kind"))
-    w = (Window.partitionBy(key, "__b").orderBy("__t", "__kind")
+    w = (Window.partitionBy(K, "__b").orderBy("__t", "__kind")
          .rowsBetween(Window.currentRow, Window.unboundedFollowing))
     both = probes.unionByName(targets).withColumn(
         "__nx", F.first(F.when(F.col("__kind") == 1, F.col("__t")), ignorenulls=True).over(w))
-    in_next = both.where(F.col("__kind") == 0).select(key, F.col("__src").alias("__us"),
+    in_next = both.where(F.col("__kind") == 0).select(K, F.col("__src").alias("__us"),
                                                      (F.col("__b") - 1).alias("__b"), "__nx")
-    # else: first candidate in buckets >= b+2 (per-bucket table, span/W rows per key)
-    bmin = c.groupBy(key, "__b").agg(F.min("__us").alias("__m"))
-    wb = Window.partitionBy(key).orderBy("__b").rangeBetween(2, Window.unboundedFollowing)
-    later = bmin.select(key, "__b", F.min("__m").over(wb).alias("__later"))
-    nxt = (in_next.join(later, [key, "__b"], "left")
-           .select(key, "__us", F.coalesce("__nx", "__later").alias("__to")))
-    jump = nxt.where(F.col("__to").isNotNull())
-    # chain length bound: (span of the key) / W + 1 -> number of doubling levels
-    span = cand.groupBy(key).agg(((F.max(epoch_us("ts")) - F.min(epoch_us("ts"))) / F.lit(w_us)).alias("s")) \
-        .agg(F.max("s")).first()[0]
-    levels = max(1, int(math.ceil(math.log2((span or 0) + 2))))
-    tables = []
-    cur = cut_lineage(jump) if checkpoint else jump
-    for _ in range(levels):
+    # else: first candidate of the cluster in buckets >= b+2 (per-bucket table)
+    bmin = c.groupBy(K, "__b").agg(F.min("__us").alias("__m"))
+    wb = Window.partitionBy(K).orderBy("__b").rangeBetween(2, Window.unboundedFollowing)
+    later = bmin.select(K, "__b", F.min("__m").over(wb).alias("__later"))
+    jump = (in_next.join(later, [K, "__b"], "left")
+            .select(K, "__us", F.coalesce("__nx", "__later").alias("__to"))
+            .where(F.col("__to").isNotNull()))
+    # doubling levels from the longest cluster, in windows
+    span = c.groupBy(K).agg(((F.max("__us") - F.min("__us")) / F.lit(w_us)).alias("s")).agg(F.max("s")).first()[0]
+    levels = int(math.ceil(math.log2((span or 0) + 2)))
+    fired = c.where(F.col("__head")).select(K, "__us")
+    if span and span >= 1:
+        tables = []
+        cur = cut_lineage(jump) if checkpoint else jump
+        for _ in range(levels):
+            tables.append(cur)
+            nxt2 = cur.alias("a").join(cur.alias("b"), (F.col(f"a.{K}") == F.col(f"b.{K}"))
+                                       & (F.col("a.__to") == F.col("b.__us")))
+            cur = nxt2.select(F.col(f"a.{K}").alias(K), F.col("a.__us").alias("__us"), F.col("b.__to").alias("__to"))
+            cur = cut_lineage(cur) if checkpoint else cur
         tables.append(cur)
-        nxt2 = cur.alias("a").join(cur.alias("b"), (F.col(f"a.{key}") == F.col(f"b.{key}"))
-                                   & (F.col("a.__to") == F.col("b.__us")))
-        cur = nxt2.select(F.col(f"a.{key}").alias(key), F.col("a.__us").alias("__us"), F.col("b.__to").alias("__to"))
-        cur = cut_lineage(cur) if checkpoint else cur
-    tables.append(cur)
-    heads = cand.groupBy(key).agg(F.min(epoch_us("ts")).alias("__us"))
-    fired = heads
-    for t in reversed(tables):
-        step = fired.join(t, [key, "__us"]).select(key, F.col("__to").alias("__us"))
-        fired = fired.unionByName(step).distinct()
-        fired = cut_lineage(fired) if checkpoint else fired
-    fired_ts = fired.select(key, "__us")
+        for t in reversed(tables):
+            step = fired.join(t, [K, "__us"]).select(K, F.col("__to").alias("__us"))
+            fired = fired.unionByName(step).distinct()
+            fired = cut_lineage(fired) if checkpoint else fired
+    fired_ts = c.join(fired, [K, "__us"], "left_semi").select(key, "__us")
     return (alarms.withColumn("__us", epoch_us("ts")).join(fired_ts, [key, "__us"], "left_semi")
             .drop("__us"))
 

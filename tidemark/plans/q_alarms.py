@@ -9,6 +9,7 @@ from ..operators import alarms as AL
 from ..operators import rules as RU
 from ..operators import windows as Wn
 from ..operators.seqwindow import prev_row
+from ..session import materialize
 from ..sources import testdata as T
 from .registry import query
 from .sqlviews import register
@@ -111,19 +112,18 @@ SELECT * FROM (
 
 
 def _alarm_src(spark, d):
-    return T.counter_long(spark, d).drop("seq").unionByName(T.net_long(spark, d))
+    """Samples checked by the alarm rules (derived views, read by several
+    operators: computed once per query)."""
+    return materialize(T.counter_long(spark, d).drop("seq").unionByName(T.net_long(spark, d)))
 
 
-def _changes(spark, d):
-    return Wn.change_per_second(_alarm_src(spark, d))
+def _abs_alarms(spark, d, src=None):
+    src = _alarm_src(spark, d) if src is None else src
+    return AL.threshold_alarms(Wn.change_per_second(src), RU.abs_rules_frame(spark, ABS_RULES))
 
 
-def _abs_alarms(spark, d):
-    return AL.threshold_alarms(_changes(spark, d), RU.abs_rules_frame(spark, ABS_RULES))
-
-
-def _lambda_alarms(spark, d):
-    src = _alarm_src(spark, d)
+def _lambda_alarms(spark, d, src=None):
+    src = _alarm_src(spark, d) if src is None else src
     samples = src.select("entity", "ts").distinct()
     seq = prev_row(samples, ["entity"], "ts", [])
     net = T.net_wide(spark, d)  # already one row per (entity, tbl, ts) with a column per metric
@@ -134,13 +134,15 @@ def _lambda_alarms(spark, d):
 
 
 def _all_alarms(spark, d):
-    return _abs_alarms(spark, d).unionByName(_lambda_alarms(spark, d))
+    src = _alarm_src(spark, d)
+    return _abs_alarms(spark, d, src).unionByName(_lambda_alarms(spark, d, src))
 
 
 # ---------------------------------------------------------------- J2 ------
 @query("rule_match", V("rule_pick", body="SELECT key, rule_ord FROM rule_pick"), "J2")
 def rule_match(spark, d):
-    keys = _alarm_src(spark, d).select(RU.key_of().alias("key")).distinct()
+    src = T.counter_long(spark, d).drop("seq").unionByName(T.net_long(spark, d))
+    keys = src.select(RU.key_of().alias("key")).distinct()
     return RU.match_first(keys, RU.rule_heads(RU.abs_rules_frame(spark, ABS_RULES)))
 
 

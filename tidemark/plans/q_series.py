@@ -271,7 +271,8 @@ UNION ALL
 SELECT s.entity, s.tbl, s.metric, s.ts, s.value FROM s SEMI JOIN good USING (entity, tbl, metric)"""),
        "A8 O5")
 def downsample(spark, d):
-    return downsample_minmax(T.net_long(spark, d), ["entity", "tbl", "metric"], resolution=DS_R)
+    from ..session import materialize
+    return downsample_minmax(materialize(T.net_long(spark, d)), ["entity", "tbl", "metric"], resolution=DS_R)
 
 
 # ---------------------------------------------------------------- A9 ------
