@@ -58,3 +58,16 @@ def membership_changes(spark, d):
     snaps = o.select((F.year("o_orderdate") * 12 + F.month("o_orderdate") - 1).cast("int").alias("snap"),
                      F.concat(F.lit("cust-"), F.col("o_custkey").cast("string")).alias("member")).distinct()
     return C.snapshot_changes(snaps, prev_snap_col=lambda s: s - 1)
+
+
+# ---------------------------------------------------------------- O1 ------
+@query("sort_charts", V("net_long", body=f"""
+SELECT l.chart_ord, l.chart_title, l.item_ord, l.item_title, n.entity, n.tbl, n.ts, n.value,
+       CASE n.tbl WHEN 'net_A' THEN 0 WHEN 'net_F' THEN 1 ELSE 2 END AS input_ord
+FROM net_long n JOIN {_L2_SQL} ON n.metric = l.metric
+WHERE n.tbl IN ('net_A', 'net_F', 'net_R')
+ORDER BY l.chart_title, input_ord, l.item_ord, n.entity, n.ts"""), "O1 U2")
+def sort_charts(spark, d):
+    ins = [_loader(spark, d, t) for t in ("net_A", "net_F", "net_R")]
+    return C.merge_charts(ins, chart_counts=[len(_L2)] * 3).orderBy("chart_title", "input_ord", "item_ord",
+                                                                     "entity", "ts")

@@ -336,3 +336,73 @@ def bitmask(spark, d):
     for o in outs[1:]:
         out = out.unionByName(o)
     return out
+
+
+# ------------------------------------------------------------ V3, V2 ------
+@query("preset_view", V("parsed_stat", body=f"""
+WITH v AS (SELECT entity, tbl, ts, a.metric, TRY_CAST(trunc(({_UNIT_SQL}) * a.factor) AS BIGINT) AS value
+           FROM parsed_stat p JOIN {_alias_sql('memcached')} ON p.key = a.raw_key),
+dumps AS (SELECT DISTINCT entity, tbl, ts FROM parsed_stat),
+g AS (SELECT dumps.*, m.metric FROM dumps, (SELECT DISTINCT metric FROM {_alias_sql('memcached')}) m),
+f AS (SELECT g.entity, g.tbl, g.ts, g.metric, COALESCE(v.value, 0) AS value
+      FROM g LEFT JOIN v USING (entity, tbl, ts, metric)),
+w AS (SELECT entity, tbl, ts, max(CASE WHEN metric = 'get_hits' THEN value END) AS h,
+             max(CASE WHEN metric = 'cmd_get' THEN value END) AS c FROM f GROUP BY entity, tbl, ts)
+SELECT entity, tbl, ts, 'hit ratio' AS item_title,
+       (floor((CASE WHEN c = 0 THEN NULL ELSE CAST(h AS DOUBLE) / c END * 100) * 10000 + 0.5) / 10000) AS value
+FROM w"""), "V3 V1 V6 F6 P5")
+def preset_view(spark, d):
+    from ..operators.search import derive
+    from .common import rnd
+    from .presets import HIT_RATIOS
+    parsed = N.parse_stat(_raw(spark, d, "stat"))
+    vals = N.fill_missing(N.apply_alias(parsed, _aliases(spark), plugin="memcached"), _aliases(spark), parsed,
+                          plugin="memcached").withColumn("value", F.col("value").cast("double"))
+    title, fn = HIT_RATIOS["memcached"]
+    r = derive(vals, title, fn)
+    return r.withColumn("value", rnd(F.col("value")))
+
+
+@query("redis_hit_ratio", V("raw_text", body=f"""
+WITH e AS (SELECT entity, tbl, ts, string_split(line, ':') AS p
+           FROM (SELECT entity, tbl, ts, unnest(string_split_regex(text, '\\r?\\n')) AS line
+                 FROM raw_text WHERE dialect = 'info') x),
+kv AS (SELECT entity, tbl, ts, p[1] AS key,
+              CASE WHEN contains(p[2], ',') THEN string_split(string_split(p[2], ',')[1], '=')[2] ELSE p[2] END AS raw
+       FROM e WHERE len(p) > 1),
+v AS (SELECT entity, tbl, ts, a.metric, TRY_CAST(trunc(({_UNIT_SQL}) * a.factor) AS BIGINT) AS value
+      FROM kv JOIN {_alias_sql('redis')} ON kv.key = a.raw_key),
+w AS (SELECT entity, tbl, ts, max(CASE WHEN metric = 'keyspace_hits' THEN value END) AS h,
+             max(CASE WHEN metric = 'keyspace_misses' THEN value END) AS m FROM v GROUP BY entity, tbl, ts)
+SELECT entity, tbl, ts, 'hit ratio' AS item_title,
+       (floor((CASE WHEN h + m = 0 THEN NULL ELSE CAST(h AS DOUBLE) / (h + m) END * 100) * 10000 + 0.5) / 10000) AS value
+FROM w"""), "V2 P14 P5")
+def redis_hit_ratio(spark, d):
+    from ..operators.search import derive
+    from .common import rnd
+    from .presets import HIT_RATIOS
+    vals = N.apply_alias(N.parse_colon(_raw(spark, d, "info")), _aliases(spark), plugin="redis") \
+        .withColumn("value", F.col("value").cast("double"))
+    title, fn = HIT_RATIOS["redis"]
+    return derive(vals, title, fn).withColumn("value", rnd(F.col("value")))
+
+
+# ---------------------------------------------------------------- S5 ------
+@query("metric_catalog_upsert", V("parsed_stat", body=f"""
+WITH cur AS (SELECT * FROM (VALUES ('memcached', 'cmd_get', 'DERIVE', 60), ('memcached', 'get_hits', 'DERIVE', 60))
+             AS c(plugin, metric, kind, heartbeat_s)),
+found AS (SELECT DISTINCT 'memcached' AS plugin, a.metric,
+                 CASE WHEN a.metric = 'bytes_sent' THEN 'GAUGE' ELSE 'COUNTER' END AS kind, 120 AS heartbeat_s
+          FROM parsed_stat p JOIN {_alias_sql('memcached')} ON p.key = a.raw_key)
+SELECT plugin, metric, arg_min(kind, pr) AS kind, CAST(arg_min(heartbeat_s, pr) AS INTEGER) AS heartbeat_s
+FROM (SELECT *, 0 AS pr FROM cur UNION ALL SELECT *, 1 AS pr FROM found) u
+GROUP BY plugin, metric"""), "S5 K1")
+def metric_catalog_upsert(spark, d):
+    from ..sources.store import declare_metrics
+    cur = spark.createDataFrame([("memcached", "cmd_get", "DERIVE", 60), ("memcached", "get_hits", "DERIVE", 60)],
+                                "plugin string, metric string, kind string, heartbeat_s int")
+    found = N.apply_alias(N.parse_stat(_raw(spark, d, "stat")), _aliases(spark), plugin="memcached") \
+        .select(F.lit("memcached").alias("plugin"), "metric").distinct() \
+        .select("plugin", "metric", F.when(F.col("metric") == "bytes_sent", "GAUGE").otherwise("COUNTER").alias("kind"),
+                F.lit(120).alias("heartbeat_s"))
+    return declare_metrics(cur, found)

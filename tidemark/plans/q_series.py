@@ -340,3 +340,14 @@ def fleet_entry(spark, d, limit: float = 200_000.0):
     _, series = _fs(T.net_long(spark, d), lambda a: a.max("bytes_sent") + a.max("bytes_recv") > limit)
     lay = S.layout_frame(spark, LAYOUT)
     return S.apply_layout(series, lay).select(*S.SERIES_COLS)
+
+
+# ---------------------------------------------------------------- P19 -----
+@query("preset_range", V("gauge_long", body="""
+SELECT entity, tbl, metric, ts, value FROM gauge_long
+WHERE ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 7 DAY AND ts < TIMESTAMP '2024-01-31 00:00:00'"""), "P19 P18")
+def preset_range(spark, d):
+    from ..functions.timecols import resolve_range
+    start, end = resolve_range(preset="1w", end="2024-01-31 00:00:00")
+    g = T.gauge_long(spark, d)
+    return S.range_scan(g, start, end).select("entity", "tbl", "metric", "ts", "value")
