@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timecols import epoch_us
+from ..session import cut_lineage
 from .seqwindow import DEFAULT_SPLIT_S, position
 
 DEFAULT_RESOLUTION = 400  # chart resolution; sampling starts at 2x this many points
@@ -29,22 +30,21 @@ def downsample_minmax(df: DataFrame, keys: Sequence[str], resolution: int = DEFA
     r = int(resolution)
     d = position(df, keys, "ts", "__pos", total_name="__n", split_s=split_s)
     per = F.floor(F.col("__n") / F.lit(r))
-    d = d.withColumn("__per", per)
-    big = d.where(F.col("__n") >= 2 * r)
-    big = big.withColumn("__b", F.floor((F.col("__pos") - 1) / F.col("__per"))) \
-             .where(F.col("__b") < F.floor(F.col("__n") / F.col("__per")))
-    nn = big.where(F.col("value").isNotNull())
-    agg = nn.groupBy(*keys, "__b").agg(
+    bucket = F.floor((F.col("__pos") - 1) / per)
+    # 1) sampled points of long series (complete buckets, non-null values): a
+    #    partial+final aggregate per (series, bucket); at most 2 points per bucket
+    big = d.where((F.col("__n") >= 2 * r) & F.col("value").isNotNull()).withColumn("__b", bucket) \
+           .where(F.col("__b") < F.floor(F.col("__n") / per))
+    agg = big.groupBy(*keys, "__b").agg(
         F.min(F.struct(F.col("value").alias("v"), F.col("ts").alias("t"))).alias("mn"),
         F.max(F.struct(F.col("value").alias("v"), (-epoch_us("ts")).alias("nt"), F.col("ts").alias("t"))).alias("mx"))
     pts = agg.select(*keys, F.explode(F.array_distinct(F.array(
         F.struct(F.col("mn.t").alias("ts"), F.col("mn.v").alias("value")),
         F.struct(F.col("mx.t").alias("ts"), F.col("mx.v").alias("value"))))).alias("p"))
-    sampled = pts.select(*keys, "p.ts", "p.value")
-    # fallback: too few sampled points -> keep the original series
+    sampled = cut_lineage(pts.select(*keys, "p.ts", "p.value"))   # small: <= 2R rows per series
+    # 2) series whose sampling kept too few points fall back to their original rows
     counts = sampled.groupBy(*keys).agg(F.count(F.lit(1)).alias("__m"))
-    good = counts.where(F.col("__m") >= F.lit(r / 2.0)).select(*keys)
-    keep_sampled = sampled.join(good, keys, "left_semi")
-    small = d.where(F.col("__n") < 2 * r).select(*keys, "ts", "value")
-    fallback = big.select(*keys, "ts", "value").join(good, keys, "left_anti")
-    return small.unionByName(fallback).unionByName(keep_sampled)
+    good = counts.where(F.col("__m") >= F.lit(r / 2.0)).select(*keys, F.lit(True).alias("__good"))
+    kept = d.join(good, keys, "left").where((F.col("__n") < 2 * r) | F.col("__good").isNull()) \
+            .select(*keys, "ts", "value")
+    return kept.unionByName(sampled.join(good, keys, "left_semi"))

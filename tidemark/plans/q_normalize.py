@@ -406,3 +406,27 @@ def metric_catalog_upsert(spark, d):
         .select("plugin", "metric", F.when(F.col("metric") == "bytes_sent", "GAUGE").otherwise("COUNTER").alias("kind"),
                 F.lit(120).alias("heartbeat_s"))
     return declare_metrics(cur, found)
+
+
+# ---------------------------------------------------------------- V6 ------
+@query("jstat_preset", V("raw_text", body=r"""
+WITH e AS (SELECT entity, tbl, ts, string_split_regex(trim(line), '\s+') AS a
+           FROM (SELECT entity, tbl, ts, unnest(string_split_regex(text, '\r?\n')) AS line
+                 FROM raw_text WHERE dialect = 'jstat') x),
+p AS (SELECT entity, tbl, ts, unnest(['S0', 'S1', 'E', 'O', 'M', 'CCS', 'YGC', 'YGCT', 'FGC', 'FGCT']) AS key,
+             unnest(a) AS raw FROM e WHERE len(a) = 10 AND a[1] <> 'S0'),
+v AS (SELECT entity, tbl, ts, a.metric, TRY_CAST(trunc(TRY_CAST(raw AS DOUBLE) * a.factor) AS BIGINT) AS value
+      FROM p JOIN (VALUES ('YGC', 'YGC', 1.0), ('YGCT', 'YGCT', 1000.0), ('FGC', 'FGC', 1.0),
+                          ('FGCT', 'FGCT', 1000.0), ('E', 'E', 1.0), ('O', 'O', 1.0)) AS a(raw_key, metric, factor)
+        ON p.key = a.raw_key)
+SELECT l.chart_ord, l.chart_title, l.item_ord, l.item_title, v.entity, v.tbl, v.ts, CAST(v.value AS DOUBLE) AS value
+FROM v JOIN (VALUES (0, 'YGC, FGC', 0, 'YGC', 'YGC'), (0, 'YGC, FGC', 1, 'FGC', 'FGC'),
+                    (1, 'YGCT, FGCT', 0, 'YGCT', 'YGCT'), (1, 'YGCT, FGCT', 1, 'FGCT', 'FGCT'),
+                    (2, 'E, O', 0, 'E', 'E'), (2, 'E, O', 1, 'O', 'O'))
+     AS l(chart_ord, chart_title, item_ord, item_title, metric) ON v.metric = l.metric"""), "V6 P16 P10 P3")
+def jstat_preset(spark, d):
+    from ..operators.select import SERIES_COLS, apply_layout, layout_frame
+    from .presets import LAYOUTS
+    vals = N.apply_alias(N.parse_positional(_raw(spark, d, "jstat"), JSTAT_COLUMNS), _aliases(spark), plugin="jstat")
+    vals = vals.withColumn("value", F.col("value").cast("double"))
+    return apply_layout(vals, layout_frame(spark, LAYOUTS["jstat"])).select(*SERIES_COLS)

@@ -252,3 +252,45 @@ def multi_range_fetch(spark, d):
 SELECT key FROM bop_keys ANTI JOIN (SELECT DISTINCT key FROM bop_items) i USING (key)"""), "J10")
 def missing_keys(spark, d):
     return _bop(spark, d)[1]
+
+
+# ------------------------------------------------------------ V4, V5 ------
+_SUM_LAYOUT = [["cmd_get", "get_hits"], "bytes_sent"]
+_SUM_LAYOUT_SQL = """(VALUES (0, 'cmd_get, get_hits', 0, 'cmd_get', 'cmd_get'),
+                             (0, 'cmd_get, get_hits', 1, 'get_hits', 'get_hits'),
+                             (1, 'bytes_sent', 0, 'bytes_sent', 'bytes_sent'))
+        AS l(chart_ord, chart_title, item_ord, item_title, metric)"""
+
+
+@query("cluster_sum", V("declared", "net_long", body=f"""
+SELECT d.cluster, l.chart_ord, l.item_ord, min(l.chart_title) AS chart_title, min(l.item_title) AS item_title, n.ts,
+       floor(CAST(SUM(CAST(n.value AS DECIMAL(18,2))) AS DOUBLE) * 10000 + 0.5) / 10000 AS value,
+       CAST(COUNT(n.value) AS BIGINT) AS n_instances
+FROM net_long n JOIN declared d ON n.entity = d.node JOIN {_SUM_LAYOUT_SQL} ON n.metric = l.metric
+GROUP BY d.cluster, l.chart_ord, l.item_ord, n.ts"""), "V4 V5 A5 J4")
+def cluster_sum(spark, d):
+    from ..operators.aggregate import sum_instances
+    from ..operators.select import apply_layout, layout_frame
+    from .common import rnd
+    nodes = _declared(spark, d).select(F.col("node").alias("entity"), "cluster")
+    ser = apply_layout(T.net_long(spark, d), layout_frame(spark, _SUM_LAYOUT))
+    ser = ser.join(nodes, "entity").withColumn("value", F.col("value").cast("decimal(18,2)"))
+    out = sum_instances(ser, by=("cluster", "chart_ord", "item_ord"))
+    return out.withColumn("value", rnd(F.col("value")))
+
+
+DASHBOARD_CLUSTERS = ("asia", "europe", "atlantis")
+
+
+@query("cluster_dashboard", V("declared", body="""
+SELECT r.cluster, CASE WHEN c.n IS NULL THEN r.cluster || ' not found' ELSE r.cluster END AS title,
+       COALESCE(c.n, 0) AS instances
+FROM (VALUES ('asia'), ('europe'), ('atlantis')) AS r(cluster)
+LEFT JOIN (SELECT cluster, CAST(COUNT(*) AS BIGINT) AS n FROM declared GROUP BY cluster) c USING (cluster)"""),
+       "V5 A14 S14b")
+def cluster_dashboard(spark, d):
+    wanted = spark.range(1).select(F.explode(F.array(*[F.lit(c) for c in DASHBOARD_CLUSTERS])).alias("cluster"))
+    counts = _declared(spark, d).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    j = wanted.join(counts, "cluster", "left")
+    title = F.when(F.col("n").isNull(), F.concat(F.col("cluster"), F.lit(" not found"))).otherwise(F.col("cluster"))
+    return j.select("cluster", title.alias("title"), F.coalesce("n", F.lit(0)).cast("bigint").alias("instances"))
