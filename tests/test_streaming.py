@@ -138,3 +138,17 @@ def test_live_window(spark, sf, scratch):
     view = L.live_window(_src(spark, path, I.LONG_SCHEMA), "1 day", delay="0 seconds")
     got = _collect(view, scratch, "live", mode="update")
     assert got
+
+
+def test_stateful_counter_rate(spark, sf, scratch):
+    src = T.counter_long(spark, sf).drop("seq")
+    path = os.path.join(scratch, "rates")
+    _write_in_time_order(src, path, ["2024-01-10", "2024-01-20"])
+    got = {(r["entity"], r["metric"], r["ts"]): r["rate"]
+           for r in _collect(ST.counter_rate(_src(spark, path, I.LONG_SCHEMA), heartbeat_s=86400), scratch, "rate")}
+    kinded = src.withColumn("kind", F.lit("DERIVE")).withColumn("heartbeat_s", F.lit(86400)) \
+        .withColumn("min_v", F.lit(0.0)).withColumn("max_v", F.lit(None).cast("double"))
+    want = {(r["entity"], r["metric"], r["ts"]): r["rate"] for r in Wn.counter_rate(kinded).collect()}
+    assert got.keys() == want.keys()
+    for k, v in want.items():
+        assert (got[k] is None and v is None) or got[k] == pytest.approx(v)

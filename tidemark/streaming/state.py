@@ -124,3 +124,38 @@ def membership_changes(snapshots: DataFrame) -> DataFrame:
 
     return snapshots.groupBy("grp").applyInPandasWithState(
         fn, MEMBER_SCHEMA, "last_snap int, members array<string>", "append", GroupStateTimeout.NoTimeout)
+
+
+RATE_SCHEMA = "entity string, tbl string, metric string, ts timestamp_ntz, value double, rate double"
+
+
+def counter_rate(stream: DataFrame, heartbeat_s: float, min_v: float | None = 0.0,
+                 max_v: float | None = None) -> DataFrame:
+    """DERIVE rates on a stream: per series the previous (ts, value) is kept
+    as state; ``dv / dt`` is null without a predecessor, when ``dt`` exceeds
+    the heartbeat or is 0, or when it leaves ``[min_v, max_v]``."""
+
+    def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(pdfs), ignore_index=True)
+        pdf["__us"] = _us(pdf["ts"])
+        pdf = pdf.sort_values("__us", kind="stable")
+        prev_us, prev_v = state.get if state.exists else (None, None)
+        rates = []
+        for us, v in zip(pdf["__us"].tolist(), pdf["value"].tolist()):
+            r = None
+            if prev_us is not None:
+                dt = (us - prev_us) / 1e6
+                if 0 < dt <= heartbeat_s and v is not None and prev_v is not None and not pd.isna(v) \
+                        and not pd.isna(prev_v):
+                    r = (v - prev_v) / dt
+                    if (min_v is not None and r < min_v) or (max_v is not None and r > max_v):
+                        r = None
+            rates.append(r)
+            prev_us, prev_v = int(us), (None if pd.isna(v) else float(v))
+        state.update((prev_us, prev_v))
+        out = pdf[["entity", "tbl", "metric", "ts", "value"]].copy()
+        out["rate"] = pd.Series(rates, index=out.index, dtype="float64")
+        yield out
+
+    return stream.groupBy("entity", "tbl", "metric").applyInPandasWithState(
+        fn, RATE_SCHEMA, "prev_us long, prev_v double", "append", GroupStateTimeout.NoTimeout)
