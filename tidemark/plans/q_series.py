@@ -350,3 +350,32 @@ def preset_range(spark, d):
     start, end = resolve_range(preset="1w", end="2024-01-31 00:00:00")
     g = T.gauge_long(spark, d)
     return S.range_scan(g, start, end).select("entity", "tbl", "metric", "ts", "value")
+
+
+# ------------------------------------------------------------- S2, S9 -----
+TIER_NOW = "2002-01-01 00:00:00"
+TIER_START = "2000-01-01 00:00:00"
+
+
+@query("tier_read", V("net_long", body="""
+WITH b AS (
+  SELECT entity, tbl, metric,
+         make_timestamp(CAST(floor(epoch_us(ts) / 2592000000000) AS BIGINT) * 2592000000000) AS ts,
+         MAX(value) AS mx, COUNT(value) AS known
+  FROM net_long GROUP BY ALL)
+SELECT entity, tbl, metric, ts, CASE WHEN known >= 15 THEN mx END AS value FROM b
+WHERE ts > TIMESTAMP '2002-01-01 00:00:00' - INTERVAL 1800 DAY
+  AND ts >= TIMESTAMP '2000-01-01 00:00:00' AND ts < TIMESTAMP '2002-01-01 00:00:00'"""), "S2 S9 A7")
+def tier_read(spark, d):
+    import datetime as _dt
+    age = (_dt.datetime.fromisoformat(TIER_NOW) - _dt.datetime.fromisoformat(TIER_START)).total_seconds()
+    step = A.choose_tier(age, ROLLUP_TIERS)              # plan-time routing: 30-day tier here
+    keep = dict(ROLLUP_TIERS)[step]
+    # raw pre-filter, bucket-aligned so every kept bucket keeps all its rows:
+    # pushed to the parquet scan instead of filtering after the aggregate
+    epoch = _dt.datetime(1970, 1, 1)
+    end_s = (_dt.datetime.fromisoformat(TIER_NOW) - epoch).total_seconds()
+    hi = epoch + _dt.timedelta(seconds=(int(end_s) // step + 1) * step)
+    raw = S.range_scan(T.net_long(spark, d), TIER_START, hi)
+    tier = A.rollup_tier(raw, ["entity", "tbl", "metric"], 86400, step, keep, now=TIER_NOW)
+    return S.range_scan(tier, TIER_START, TIER_NOW).select("entity", "tbl", "metric", "ts", "value")
