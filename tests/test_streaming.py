@@ -152,3 +152,27 @@ def test_stateful_counter_rate(spark, sf, scratch):
     assert got.keys() == want.keys()
     for k, v in want.items():
         assert (got[k] is None and v is None) or got[k] == pytest.approx(v)
+
+
+def test_collector_raw_and_rollup_tiers(spark, sf, scratch):
+    from tidemark.streaming import collector as CO
+    net = T.net_long(spark, sf)
+    wide = net.groupBy("entity", "ts", "tbl").agg(F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("m"))
+    samples = wide.groupBy("entity", "ts").agg(F.map_from_entries(F.collect_list(F.struct("tbl", "m"))).alias("tables"))
+    stacks = samples.groupBy("entity", F.year("ts").alias("y")).agg(
+        F.collect_list(F.struct(F.col("entity").alias("client"), F.col("ts").alias("datetime"), "tables")).alias("stack"),
+        F.min("ts").alias("ts"))
+    src = os.path.join(scratch, "collector_src")
+    _write_in_time_order(stacks.select("stack", "ts"), src, ["1997-01-01", "1999-01-01"])
+    raw, roll, ck = (os.path.join(scratch, x) for x in ("store_raw", "store_rollup", "ck-collector"))
+    CO.ingest_to_store(spark, src, raw, ck, delay="3650 days", available_now=True, recursive=True).awaitTermination()
+    CO.rollup_to_store(spark, src, roll, ck, "30 days", delay="0 seconds", points_per_bucket=30,
+                       available_now=True, recursive=True).awaitTermination()
+    stored = spark.read.parquet(raw).select("entity", "tbl", "metric", "ts", "value")
+    assert stored.exceptAll(net).count() == 0 and net.exceptAll(stored).count() == 0
+    tier = {(r["entity"], r["tbl"], r["metric"], r["ts"]): r["value"] for r in spark.read.parquet(roll).collect()}
+    batch = net.groupBy("entity", "tbl", "metric", bucket_start("ts", 30 * 86400).alias("ts")).agg(
+        F.max("value").alias("mx"), F.count("value").alias("known"))
+    want = {(r["entity"], r["tbl"], r["metric"], r["ts"]): (r["mx"] if r["known"] >= 15 else None)
+            for r in batch.collect()}
+    assert tier and all(want[k] == v for k, v in tier.items())

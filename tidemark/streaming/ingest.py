@@ -20,9 +20,11 @@ STACK_SCHEMA = f"stack array<{NESTED_SCHEMA.split(' ', 1)[1]}>"
 
 
 def read_samples(spark: SparkSession, path: str, schema: str = LONG_SCHEMA, fmt: str = "parquet",
-                 max_files_per_trigger: int | None = None) -> DataFrame:
+                 max_files_per_trigger: int | None = None, recursive: bool = False) -> DataFrame:
     """File source of sample batches (the collector's periodic pushes)."""
     r = spark.readStream.format(fmt).schema(schema)
+    if recursive:
+        r = r.option("recursiveFileLookup", "true")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     return r.load(path)
@@ -42,20 +44,24 @@ def unnest(stream: DataFrame) -> DataFrame:
 
 
 def dedup(stream: DataFrame, delay: str = "60 seconds",
-          keys: Sequence[str] = ("entity", "tbl", "metric", "ts")) -> DataFrame:
+          keys: Sequence[str] = ("entity", "tbl", "metric", "ts"), keep_event_time: bool = False) -> DataFrame:
     """Late / duplicate samples: a repeated (series, ts) inside the watermark
-    delay is dropped, keeping state bounded by the delay."""
+    delay is dropped, keeping state bounded by the delay.  With
+    ``keep_event_time`` the watermarked column stays for later windows."""
     d = stream.withColumn(EVENT_TIME, to_instant("ts")).withWatermark(EVENT_TIME, delay)
-    return d.dropDuplicatesWithinWatermark(list(keys)).drop(EVENT_TIME)
+    d = d.dropDuplicatesWithinWatermark(list(keys))
+    return d if keep_event_time else d.drop(EVENT_TIME)
 
 
 def tumbling_max(stream: DataFrame, width: str, delay: str, xff: float = 0.5, points_per_bucket: int | None = None,
                  keys: Sequence[str] = ("entity", "tbl", "metric")) -> DataFrame:
     """Rollup tier on a stream: MAX per tumbling window, emitted once the
     watermark passes the window end (append mode); null when too few points
-    are known (``count >= xff * points_per_bucket``)."""
-    g = (stream.withColumn(EVENT_TIME, to_instant("ts")).withWatermark(EVENT_TIME, delay)
-         .groupBy(*keys, F.window(EVENT_TIME, width).alias("w"))
+    are known (``count >= xff * points_per_bucket``).  An upstream watermark
+    (from :func:`dedup` with ``keep_event_time``) is reused."""
+    src = stream if EVENT_TIME in stream.columns else \
+        stream.withColumn(EVENT_TIME, to_instant("ts")).withWatermark(EVENT_TIME, delay)
+    g = (src.groupBy(*keys, F.window(EVENT_TIME, width).alias("w"))
          .agg(F.max("value").alias("mx"), F.count("value").alias("known")))
     val = F.col("mx") if points_per_bucket is None else \
         F.when(F.col("known") >= F.lit(xff * points_per_bucket), F.col("mx"))
