@@ -176,3 +176,19 @@ def test_collector_raw_and_rollup_tiers(spark, sf, scratch):
     want = {(r["entity"], r["tbl"], r["metric"], r["ts"]): (r["mx"] if r["known"] >= 15 else None)
             for r in batch.collect()}
     assert tier and all(want[k] == v for k, v in tier.items())
+
+
+def test_alarm_stream_two_stages(spark, sf, scratch):
+    from tidemark.operators import rules as RU
+    from tidemark.streaming import alerting as AS
+    src_df = T.counter_long(spark, sf).drop("seq")
+    path = os.path.join(scratch, "alarm_src")
+    _write_in_time_order(src_df, path, ["2024-01-10", "2024-01-20"])
+    rules = RU.abs_rules_frame(spark, q_alarms.ABS_RULES)
+    alarms, sink, ck = (os.path.join(scratch, x) for x in ("alarm_table", "alarm_sink", "ck-alarms"))
+    AS.detect(_src(spark, path, I.LONG_SCHEMA), rules, alarms, ck, available_now=True).awaitTermination()
+    AS.notify(spark, alarms, sink, ck, available_now=True).awaitTermination()
+    batch_alarms = AL.threshold_alarms(Wn.change_per_second(src_df), rules)
+    want = {(r["alarm_key"], r["ts"]) for r in AL.suppress(batch_alarms).collect()}
+    got = {(r["alarm_key"], r["ts"]) for r in spark.read.parquet(sink).collect()}
+    assert got == want and got
