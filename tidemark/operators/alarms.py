@@ -108,15 +108,17 @@ def suppress(alarms: DataFrame, window_s: int = DEFAULT_SUPPRESS_S, key: str = "
                       (F.col("__us") + F.lit(w_us)).alias("__t"), F.lit(0).alias("__kind"))
     targets = c.select(K, "__b", F.lit(None).cast("bigint").alias("__src"),
                        F.col("__us").alias("__t"), F.lit(1).alias("__kind"))
-    w = (Window.partitionBy(K, "__b").orderBy("__t", "__kind")
-         .rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    # reversed order + growing frame = the nearest target at or after the probe,
+    # computed incrementally (a following-unbounded frame would be quadratic)
+    w = (Window.partitionBy(K, "__b").orderBy(F.col("__t").desc(), F.col("__kind").desc())
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     both = probes.unionByName(targets).withColumn(
-        "__nx", F.first(F.when(F.col("__kind") == 1, F.col("__t")), ignorenulls=True).over(w))
+        "__nx", F.last(F.when(F.col("__kind") == 1, F.col("__t")), ignorenulls=True).over(w))
     in_next = both.where(F.col("__kind") == 0).select(K, F.col("__src").alias("__us"),
                                                      (F.col("__b") - 1).alias("__b"), "__nx")
     # else: first candidate of the cluster in buckets >= b+2 (per-bucket table)
     bmin = c.groupBy(K, "__b").agg(F.min("__us").alias("__m"))
-    wb = Window.partitionBy(K).orderBy("__b").rangeBetween(2, Window.unboundedFollowing)
+    wb = Window.partitionBy(K).orderBy(F.col("__b").desc()).rangeBetween(Window.unboundedPreceding, -2)
     later = bmin.select(K, "__b", F.min("__m").over(wb).alias("__later"))
     jump = (in_next.join(later, [K, "__b"], "left")
             .select(K, "__us", F.coalesce("__nx", "__later").alias("__to"))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 # Ring construction of the cache client.
 ROUNDS_PER_NODE = 40
 POINTS_PER_DIGEST = 4
-BUCKET_BITS = 12
+BUCKET_BITS = 16       # 65536 hash buckets: ~15M keys per window partition at 10^12 keys
 
 
 def le_uint32(md5_hex: Column, word: int) -> Column:
@@ -52,18 +52,21 @@ def place_keys(keys: DataFrame, points: DataFrame, key: str = "key", bits: int =
                     F.lit(1).alias("t"), F.lit(None).cast("string").alias("node"))
     prow = points.select(F.lit(None).cast("string").alias("k"), F.col("point").alias("h"),
                          F.shiftright("point", shift).alias("b"), F.lit(0).alias("t"), "node")
-    w = Window.partitionBy("b").orderBy("h", "t").rowsBetween(1, Window.unboundedFollowing)
-    nxt = F.first(F.when(F.col("t") == 0, F.struct("h", "node")), ignorenulls=True).over(w)
+    # nearest point strictly after each key: reversed order + growing frame (linear;
+    # a following-unbounded frame would be re-evaluated per row)
+    w = Window.partitionBy("b").orderBy(F.col("h").desc(), F.col("t").desc()) \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    nxt = F.last(F.when(F.col("t") == 0, F.struct("h", "node")), ignorenulls=True).over(w)
     both = krow.unionByName(prow).withColumn("nx", nxt)
     in_bucket = both.where(F.col("t") == 1).select("k", "h", "b", F.col("nx.node").alias("n1"))
     # lowest point of the next non-empty bucket, wrapping to the ring's lowest
     # point: a table with one row per bucket (2^bits rows, independent of data size)
     bmin = points.groupBy(F.shiftright("point", shift).alias("b")).agg(F.min(F.struct("point", "node")).alias("m"))
     grid = keys.sparkSession.range(1 << bits).select(F.col("id").alias("b")).join(bmin, "b", "left")
-    after = Window.orderBy("b").rowsBetween(1, Window.unboundedFollowing)
-    whole = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    later = grid.select("b", F.coalesce(F.first("m", ignorenulls=True).over(after),
-                                        F.first("m", ignorenulls=True).over(whole)).alias("nb"))
+    after = Window.orderBy(F.col("b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(F.lit(0))
+    later = grid.select("b", F.coalesce(F.last("m", ignorenulls=True).over(after),
+                                        F.min("m").over(whole)).alias("nb"))
     j = in_bucket.join(F.broadcast(later), "b", "left")
     return j.select(F.col("k").alias(key), F.col("h").alias("hash"),
                     F.coalesce("n1", F.col("nb.node")).alias("node"))
