@@ -86,3 +86,14 @@ def strip_replica(node) -> Column:
     c = F.col(node) if isinstance(node, str) else node
     parts = F.split(c, r"\^")
     return F.when(F.size(parts) == 3, F.element_at(parts, 3)).otherwise(c)
+
+
+def split_first(col, sep: str):
+    """(head, tail) around the first ``sep`` (tail '' when absent)."""
+    c = F.col(col) if isinstance(col, str) else col
+    parts = F.split(c, _re_escape(sep), 2)
+    return parts.getItem(0), F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit(""))
+
+
+def _re_escape(s: str) -> str:
+    return re.escape(s)

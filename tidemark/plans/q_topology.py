@@ -294,3 +294,38 @@ def cluster_dashboard(spark, d):
     j = wanted.join(counts, "cluster", "left")
     title = F.when(F.col("n").isNull(), F.concat(F.col("cluster"), F.lit(" not found"))).otherwise(F.col("cluster"))
     return j.select("cluster", title.alias("title"), F.coalesce("n", F.lit(0)).cast("bigint").alias("instances"))
+
+
+# ---------------------------------------------------------------- 2.8 -----
+@query("name_rules", V("topo", body="""
+WITH h AS (SELECT node, ip, port,
+                  'cache' || CAST(s_suppkey AS VARCHAR) || '.' || lower(replace(cluster, '-', '')) || '.dc'
+                    || CAST(r_regionkey AS VARCHAR) || '.corp' AS host,
+                  CASE WHEN s_acctbal >= 0 THEN 'g' || CAST(n_nationkey AS VARCHAR) || '^M^' || ip || ':' || port
+                       ELSE ip || ':' || port END AS znode,
+                  'arcus_' || port || CASE WHEN s_acctbal > 5000 THEN '-prefix' ELSE '' END AS tbl
+           FROM topo)
+SELECT node,
+       CASE WHEN len(string_split(host, '.')) > 2
+            THEN array_to_string(string_split(host, '.')[1:len(string_split(host, '.')) - 2], '.') ELSE host END
+         AS short_host,
+       CASE WHEN len(string_split(znode, '^')) = 3 THEN string_split(znode, '^')[3] ELSE znode END AS addr,
+       split_part(substr(tbl, strpos(tbl, '_') + 1), '-', 1) AS instance,
+       CASE WHEN strpos(substr(tbl, strpos(tbl, '_') + 1), '-') > 0
+            THEN substr(substr(tbl, strpos(tbl, '_') + 1), strpos(substr(tbl, strpos(tbl, '_') + 1), '-') + 1)
+            ELSE '' END AS prefix
+FROM h"""), "2.8 string rules")
+def name_rules(spark, d):
+    from ..functions.patterns import instance_of, short_host, split_first, strip_replica
+    t = _topo(spark, d)
+    host = F.concat(F.lit("cache"), F.col("s_suppkey").cast("string"), F.lit("."),
+                    F.lower(F.regexp_replace("cluster", "-", "")), F.lit(".dc"), F.col("r_regionkey").cast("string"),
+                    F.lit(".corp"))
+    znode = F.when(F.col("s_acctbal") >= 0, F.concat(F.lit("g"), F.col("n_nationkey").cast("string"), F.lit("^M^"),
+                                                     F.col("ip"), F.lit(":"), F.col("port"))) \
+        .otherwise(F.concat_ws(":", "ip", "port"))
+    tbl = F.concat(F.lit("arcus_"), F.col("port"), F.when(F.col("s_acctbal") > 5000, F.lit("-prefix")).otherwise(F.lit("")))
+    h = t.select("node", host.alias("host"), znode.alias("znode"), tbl.alias("tbl"))
+    inst, prefix = split_first(instance_of("tbl"), "-")
+    return h.select("node", short_host("host").alias("short_host"), strip_replica("znode").alias("addr"),
+                    inst.alias("instance"), prefix.alias("prefix"))
