@@ -53,19 +53,21 @@ def predicate_alarms(spark: SparkSession, current: DataFrame, rules: Sequence[La
     c = current.withColumn("key", key_of())
     chosen = match_first(c.select("key").distinct(), heads)
     j = c.join(chosen, "key")
-    outs = []
+    # one pass: every (rule, level) candidate as an array element, exploded and filtered
+    cands = []
     for i, r in enumerate(rules):
+        if len(r.limits) < LEVELS:
+            continue
         for lvl, lim in enumerate(r.limits[:LEVELS]):
-            if len(r.limits) < LEVELS or not lim:
+            if not lim:
                 continue
             pred, msg = r.fn(_Row(), float(lim))
-            outs.append(j.where((F.col("rule_ord") == i) & F.coalesce(pred, F.lit(False))).select(
-                "ts", F.concat(F.col("key"), F.lit(f".{r.name}({lvl})")).alias("alarm_key"),
-                F.lit(lvl).alias("level"), F.concat(F.lit("["), F.col("key"), F.lit("] "), msg).alias("message")))
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
+            hit = (F.col("rule_ord") == i) & F.coalesce(pred, F.lit(False))
+            cands.append(F.when(hit, F.struct(F.lit(f".{r.name}({lvl})").alias("suffix"), F.lit(lvl).alias("level"),
+                                              msg.alias("msg"))))
+    e = j.select("ts", "key", F.explode(F.array(*cands)).alias("a")).where(F.col("a").isNotNull())
+    return e.select("ts", F.concat(F.col("key"), F.col("a.suffix")).alias("alarm_key"), F.col("a.level").alias("level"),
+                    F.concat(F.lit("["), F.col("key"), F.lit("] "), F.col("a.msg")).alias("message"))
 
 
 class _Row:
