@@ -262,3 +262,25 @@ def test_bitmask_filters(spark):
     for expr, *spec in cases:
         got = {r["flag"] for r in df.where(eflag_predicate(expr, "flag")).collect()}
         assert got == {f for f in flags if ref(f, *spec)}, expr
+
+
+# ------------------------------------------------- cache-client fixtures ---
+def test_btree_range_count_and_multi_key_merge(spark):
+    """Fixture shapes of the cache client's functional script: keyed b-tree
+    items, a range count, a multi-key merged range fetch with missing keys."""
+    items = [("k1", b, b) for b in range(0, 1000)] + [("k2", b, b) for b in range(1000, 2000)] \
+        + [("k3", b, b) for b in range(2000, 3000)]
+    df = spark.createDataFrame(items, "key string, bkey long, value long")
+    one = df.where(F.col("key") == "k1")
+    assert one.where(F.col("bkey").between(200, 400)).count() == 201
+    assert one.where(F.col("bkey").between(100, 199)).count() == 100
+    keys = spark.createDataFrame([("k1",), ("k2",), ("k3",), ("nope1",), ("nope2",)], "key string")
+    page, missing = PL.multi_range_fetch(df, keys, 500, 2500, offset=0, count=3000)
+    got = [(r["key"], r["bkey"]) for r in page.collect()]
+    assert got == [(("k1", "k2", "k3")[b // 1000], b) for b in range(500, 2501)]
+    assert sorted(r["key"] for r in missing.collect()) == ["nope1", "nope2"]
+    page2, _ = PL.multi_range_fetch(df, keys, 500, 2500, offset=10, count=5)
+    assert [r["bkey"] for r in page2.collect()] == [510, 511, 512, 513, 514]
+    flagged = df.withColumn("flag", F.lpad(F.hex("bkey"), 4, "0"))
+    assert flagged.where((F.col("key") == "k1") & F.col("bkey").between(200, 400)) \
+        .where(eflag_predicate("EFLAG & 0x00ff == 0x0001", "flag")).count() == 1
