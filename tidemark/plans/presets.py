@@ -22,3 +22,27 @@ LAYOUTS = {
     "jstat": [["YGC", "FGC"], ["YGCT", "FGCT"], ["E", "O"]],
     "net": [["bytes_sent", "bytes_recv"], "cmd_get", "get_hits"],
 }
+
+# Metric kinds declared by the host-metrics collector per table
+# (heartbeat 60 s, minimum 0, no maximum).
+HOST_KINDS = {
+    "psutil_cpu": [("user", "DERIVE"), ("system", "DERIVE"), ("idle", "DERIVE"), ("nice", "DERIVE"),
+                   ("iowait", "DERIVE"), ("irq", "DERIVE"), ("softirq", "DERIVE")],
+    "psutil_memory": [("total", "GAUGE"), ("available", "GAUGE"), ("percent", "GAUGE"), ("used", "GAUGE"),
+                      ("free", "GAUGE")],
+    "psutil_swap": [("total", "GAUGE"), ("used", "GAUGE"), ("free", "GAUGE"), ("percent", "GAUGE"),
+                    ("sin", "DERIVE"), ("sout", "DERIVE")],
+    "psutil_disk": [("read_count", "DERIVE"), ("write_count", "DERIVE"), ("read_bytes", "DERIVE"),
+                    ("write_bytes", "DERIVE"), ("read_time", "DERIVE"), ("write_time", "DERIVE")],
+    "psutil_net": [("bytes_sent", "DERIVE"), ("bytes_recv", "DERIVE"), ("packets_sent", "DERIVE"),
+                   ("packets_recv", "DERIVE"), ("errin", "DERIVE"), ("errout", "DERIVE"), ("dropin", "DERIVE"),
+                   ("dropout", "DERIVE")],
+    "psutil_resource": [("process", "GAUGE"), ("thread", "GAUGE"), ("fd", "GAUGE"), ("handle", "GAUGE"),
+                        ("ctx_switch", "GAUGE"), ("tcp_open", "GAUGE"), ("retransmit", "DERIVE")],
+}
+HOST_HEARTBEAT_S = 60
+
+
+def host_catalog_rows():
+    """(plugin, metric, kind, heartbeat_s) rows of the declared host catalog."""
+    return [(tbl, m, k, HOST_HEARTBEAT_S) for tbl, ms in HOST_KINDS.items() for m, k in ms]

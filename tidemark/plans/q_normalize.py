@@ -388,9 +388,15 @@ def redis_hit_ratio(spark, d):
 
 
 # ---------------------------------------------------------------- S5 ------
+def _declared_catalog_sql() -> str:
+    from .presets import host_catalog_rows
+    rows = host_catalog_rows() + [("memcached", "cmd_get", "DERIVE", 60), ("memcached", "get_hits", "DERIVE", 60)]
+    return "(VALUES " + ", ".join(f"('{a}', '{b}', '{c}', {e})" for a, b, c, e in rows) + \
+        ") AS c(plugin, metric, kind, heartbeat_s)"
+
+
 @query("metric_catalog_upsert", V("parsed_stat", body=f"""
-WITH cur AS (SELECT * FROM (VALUES ('memcached', 'cmd_get', 'DERIVE', 60), ('memcached', 'get_hits', 'DERIVE', 60))
-             AS c(plugin, metric, kind, heartbeat_s)),
+WITH cur AS (SELECT * FROM {_declared_catalog_sql()}),
 found AS (SELECT DISTINCT 'memcached' AS plugin, a.metric,
                  CASE WHEN a.metric = 'bytes_sent' THEN 'GAUGE' ELSE 'COUNTER' END AS kind, 120 AS heartbeat_s
           FROM parsed_stat p JOIN {_alias_sql('memcached')} ON p.key = a.raw_key)
@@ -399,7 +405,9 @@ FROM (SELECT *, 0 AS pr FROM cur UNION ALL SELECT *, 1 AS pr FROM found) u
 GROUP BY plugin, metric"""), "S5 K1")
 def metric_catalog_upsert(spark, d):
     from ..sources.store import declare_metrics
-    cur = spark.createDataFrame([("memcached", "cmd_get", "DERIVE", 60), ("memcached", "get_hits", "DERIVE", 60)],
+    from .presets import host_catalog_rows
+    cur = spark.createDataFrame(host_catalog_rows() + [("memcached", "cmd_get", "DERIVE", 60),
+                                                       ("memcached", "get_hits", "DERIVE", 60)],
                                 "plugin string, metric string, kind string, heartbeat_s int")
     found = N.apply_alias(N.parse_stat(_raw(spark, d, "stat")), _aliases(spark), plugin="memcached") \
         .select(F.lit("memcached").alias("plugin"), "metric").distinct() \
