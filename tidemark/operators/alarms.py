@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.timecols import add_seconds, bucket_index, epoch_us, minute_of_day
+from ..functions.timecols import bucket_index, epoch_us, minute_of_day
 from ..session import cut_lineage
 from .rules import LEVELS, LambdaRule, key_of, match_first, rule_heads
 
@@ -170,7 +170,3 @@ def daily_heartbeat(samples: DataFrame, hhmm: str = "12:00", gap_s: int = 120) -
     del gap_s  # a one-minute window can never hold two events 120 s apart
     return hit.groupBy(day.cast("string").alias("day")).agg(F.min("ts").alias("ts")) \
         .withColumn("message", F.lit(f"alarm health check ({hhmm})"))
-
-
-def in_window(ts: Column, start, seconds: int) -> Column:
-    return (ts >= start) & (ts < add_seconds(start, seconds))

@@ -9,7 +9,7 @@ linear in the number of keys.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +37,6 @@ class LambdaRule:
     fn: Callable
     limits: tuple
     ignore: str | None = None
-    uses: Sequence[str] = field(default_factory=tuple)
 
 
 def _limit_text(v) -> str:

@@ -165,3 +165,28 @@ SELECT entity, tbl, metric, ts, CASE WHEN kind = 'DERIVE' THEN value * 5.0 ELSE
        "W9 J7")
 def derive_prescale(spark, d):
     return Wn.prescale(_kinded(spark, d), 5).select("entity", "tbl", "metric", "ts", "value")
+
+
+# ------------------------------------------------------------ §4 look-back --
+RATE_RANGE = ("2024-01-10 00:00:00", "2024-01-20 00:00:00")
+RATE_HEARTBEAT_S = 86400
+
+
+@query("range_rate", V("counter_long", "gauge_long", "catalog", body=f"""
+WITH {_KINDED_SQL},
+p AS (SELECT *, lag(value) OVER w AS pv, lag(ts) OVER w AS pts FROM k
+      WINDOW w AS (PARTITION BY entity, tbl, metric ORDER BY ts, seq)),
+r AS (SELECT *, CASE WHEN kind = 'GAUGE' THEN value
+                     WHEN (epoch_us(ts) - epoch_us(pts)) / 1000000.0 > 0
+                      AND (epoch_us(ts) - epoch_us(pts)) / 1000000.0 <= heartbeat_s
+                     THEN (value - pv) / ((epoch_us(ts) - epoch_us(pts)) / 1000000.0) END AS raw FROM p)
+SELECT entity, tbl, metric, ts,
+       CASE WHEN (min_v IS NULL OR raw >= min_v) AND (max_v IS NULL OR raw <= max_v) THEN raw END AS rate
+FROM r WHERE ts >= TIMESTAMP '{RATE_RANGE[0]}' AND ts < TIMESTAMP '{RATE_RANGE[1]}'"""), "W3 S1 P18 lookback")
+def range_rate(spark, d):
+    """Rates inside a range: scan ``heartbeat`` seconds before the start (a
+    rate never looks further back), compute, then keep the range."""
+    s = T.counter_long(spark, d).unionByName(T.gauge_long(spark, d))
+    scan = S.lookback_scan(s, RATE_RANGE[0], RATE_RANGE[1], RATE_HEARTBEAT_S)
+    rates = Wn.counter_rate(Wn.with_kind(scan, T.metric_catalog(spark)), tiebreak="seq")
+    return S.range_scan(rates, *RATE_RANGE).select("entity", "tbl", "metric", "ts", "rate")
