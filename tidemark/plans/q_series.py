@@ -379,3 +379,24 @@ def tier_read(spark, d):
     raw = S.range_scan(T.net_long(spark, d), TIER_START, hi)
     tier = A.rollup_tier(raw, ["entity", "tbl", "metric"], 86400, step, keep, now=TIER_NOW)
     return S.range_scan(tier, TIER_START, TIER_NOW).select("entity", "tbl", "metric", "ts", "value")
+
+
+# ---------------------------------------------------------------- T10 -----
+LIVE_DIFF_S = 6 * 3600      # live range length (the page's "diff"), here 6 hours
+LIVE_AHEAD_S = 60           # the live range ends 60 s after "now"
+
+
+@query("live_range", V("gauge_long", body=f"""
+WITH n AS (SELECT max(ts) AS now FROM gauge_long)
+SELECT g.entity, g.tbl, g.metric, g.ts, g.value FROM gauge_long g, n
+WHERE g.ts >= n.now - INTERVAL {LIVE_DIFF_S} SECOND AND g.ts < n.now + INTERVAL {LIVE_AHEAD_S} SECOND"""),
+       "T10 P18")
+def live_range(spark, d):
+    """Batch twin of the live view: "now" is the newest sample (a one-row
+    aggregate, broadcast on a constant key); the range is [now - diff, now + 60 s)."""
+    from ..functions.timecols import add_seconds
+    g = T.gauge_long(spark, d)
+    now = g.agg(F.max("ts").alias("__now")).withColumn("__k", F.lit(1))
+    j = g.withColumn("__k", F.lit(1)).join(F.broadcast(now), "__k")
+    return j.where((F.col("ts") >= add_seconds("__now", -LIVE_DIFF_S)) & (F.col("ts") < add_seconds("__now", LIVE_AHEAD_S))) \
+        .select("entity", "tbl", "metric", "ts", "value")
