@@ -20,7 +20,8 @@ Defined cases: null vectors, and vectors holding a null or a component that is
 not finite, take no part; shorter vectors count as padded with zeros; equal ids
 are separate rows and only the query's own row is left out; ties go to the
 smaller id; fewer than k candidates: all; empty table: no rows.  Scores are
-64-bit integers; components beyond 2**25 are computed as such, without floats.
+64-bit integers; large ones are computed without floats, and one that needs more
+than 64 bits has no defined result.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, bounded_batches, record, saved, sorted_groups
+from .common import bounded_batches, parts, record, saved, sorted_groups
 
 K = 5
 SCALE = 256
@@ -46,7 +47,6 @@ def scaled(vectors: DataFrame, id_col: str, vector_col: str, scale: int = SCALE)
     """vec_id, v (floor(scale * x) of every component), for vectors that are whole and finite."""
     x = F.col(vector_col)
     fine = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
-    v = F.transform(x, lambda c: F.floor(F.lit(scale) * c.cast("double")).cast("long"))
     return vectors.select(F.col(id_col).alias("vec_id"), x.alias("x")).where(F.col("x").isNotNull()) \
         .where(F.forall("x", fine)).select("vec_id", F.transform("x", lambda c: F.floor(F.lit(scale) * c.cast("double")).cast("long")).alias("v"))
 
@@ -131,8 +131,8 @@ def collected(width: int, m: int):
             keep |= np.isinf(cut)[:, None] & ~_own(q, c)
             i, j = np.nonzero(keep)
             lacks = np.stack([~h[i, j] for h in seen], 1)
-            yield record(schema, quid=q.column("uid").to_numpy()[i], qid=q.column("vec_id").to_pandas().to_numpy()[i],
-                         uid=c.column("uid").to_numpy()[j], vec_id=c.column("vec_id").to_pandas().to_numpy()[j],
+            yield record(schema, quid=q.column("uid").to_numpy()[i], qid=q.column("vec_id").combine_chunks().take(pa.array(i)),
+                         uid=c.column("uid").to_numpy()[j], vec_id=c.column("vec_id").combine_chunks().take(pa.array(j)),
                          known=known[i, j], missing=[np.flatnonzero(x).tolist() for x in lacks])
 
     return run
@@ -163,7 +163,7 @@ def top_k(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vect
     def meet(q: DataFrame) -> DataFrame:
         q = q.withColumn("rb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rbs - 1).cast("long"))))
         both = q.unionByName(rside, allowMissingColumns=True)
-        return both.repartition("qb", "rb").sortWithinPartitions("qb", "rb", "side")
+        return both.repartition(min(qbs * rbs, 4 * parts(vectors)), "qb", "rb").sortWithinPartitions("qb", "rb", "side")
 
     first = saved(meet(qside).mapInArrow(listed(k, width, m), "quid long, uid long, score long, least array<long>"), "listed")
     m_is = len(fragments(width, m))
