@@ -101,11 +101,19 @@ MULT = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(int(MULT), -1, 1 << 64))
 
 
+_POWERS: dict = {}
+
+
 def powers(n: int, base: np.uint64 = MULT) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    out = np.full(max(n, 1), base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    """base**0 .. base**(n-1) modulo 2**64; the longest so far is kept (up to a text of 4 MB)."""
+    out = _POWERS.get(base)
+    if out is None or len(out) < n:
+        out = np.full(max(n, 1 << 14), base, np.uint64)
+        out[0] = 1
+        out = np.multiply.accumulate(out)
+        if n <= 4 << 20:
+            _POWERS[base] = out
+    return out[:n]
 
 
 def span_hash(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -30,20 +30,23 @@ def as_number(df: DataFrame, col: str) -> Column:
     return F.col(col).cast("double")
 
 
-def quantised(df: DataFrame, dims: tuple[str, ...], bits: int) -> DataFrame:
-    """Adds ``_q0..``: each dimension's equi-depth cell number.  The edges are
-    2**bits - 1 numbers a dimension; they are all that the driver sees."""
+def edges_of(df: DataFrame, dims: tuple[str, ...], bits: int) -> dict[str, list[float]]:
+    """Each dimension's edges of equi-depth cells: 2**bits - 1 numbers, all that the driver sees."""
     n = 1 << bits
     asked = [round(i / n, 6) for i in range(1, n)]
-    edges = df.agg(*[F.percentile_approx(as_number(df, d), asked, 10_000).alias(d) for d in dims]).first()
-    out = df
-    for i, d in enumerate(dims):
-        x = as_number(df, d)
-        cell = F.lit(0)
-        for e in sorted(set(edges[d] or [])):
-            cell = cell + F.when(x > F.lit(e), 1).otherwise(0)
-        out = out.withColumn(f"_q{i}", F.when(x.isNull(), 0).otherwise(cell).cast("long"))
-    return out
+    found = df.agg(*[F.percentile_approx(as_number(df, d), asked, 10_000).alias(d) for d in dims]).first()
+    return {d: sorted(set(found[d] or [])) for d in dims}
+
+
+def cell_of(df: DataFrame, edges: dict[str, list[float]], bits: int) -> Column:
+    """The number of a row's cell: its place between the edges of each dimension, one after the other."""
+    cell = F.lit(0).cast("long")
+    for d, own in edges.items():
+        x, at = as_number(df, d), F.lit(0)
+        for e in own:
+            at = at + F.when(x > F.lit(e), 1).otherwise(0)
+        cell = cell * (1 << bits) + F.when(x.isNull(), 0).otherwise(at)
+    return cell
 
 
 def curve_table(spark, n_dims: int, bits: int) -> DataFrame:
@@ -86,15 +89,11 @@ def hilbert_shards(docs: DataFrame, shards: int = 24, dims: tuple[str, ...] = DI
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    cell = F.lit(0).cast("long")
-    for i in range(len(dims)):
-        cell = cell * (1 << bits) + F.col(f"_q{i}")
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
-    placed = quantised(docs.select(*dict.fromkeys(("doc_id", "text", *dims))), dims, bits).select(
-        "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        cell.alias("cell"), salt.alias("salt"))
-    light = quantised(docs.select(*dict.fromkeys(("doc_id", *dims))), dims, bits).select(cell.alias("cell"), salt.alias("salt"))
-    buckets = light.groupBy("cell", "salt").agg(F.count("*").alias("n"))
+    edges = edges_of(docs, dims, bits)  # asked once: two approximate answers may differ
+    cell, salt = cell_of(docs, edges, bits), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
+    placed = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"),
+                         F.crc32(text.cast("binary")).alias("text_crc32"), cell.alias("cell"), salt.alias("salt"))
+    buckets = docs.select(cell.alias("cell"), salt.alias("salt")).groupBy("cell", "salt").agg(F.count("*").alias("n"))
     curve = F.broadcast(curve_table(spark, len(dims), bits))  # 2 ** (bits * dimensions) rows
     counted = buckets.groupBy("cell").agg(F.sum("n").alias("n")).join(curve, "cell")
     before = Window.orderBy("curve").rowsBetween(Window.unboundedPreceding, -1)  # over the cells, not the rows

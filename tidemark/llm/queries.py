@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .bpe_counts import bpe_counts
+from .common import crc_of_id, table
 from .ctw_score import ctw_score
+from .ffd_packing import ffd_packing
 from .hilbert_shards import hilbert_shards
+from .lz_fingerprint import lz_neighbours
 from .mix_sources import mix_sources
 from .tput_topk import top_k
+from .weak_toxicity import CUT, FOLDS, HELD_OUT, weak_toxicity
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -31,6 +35,38 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+@query("op2_weak_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = weak_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", (crc_of_id() % FOLDS == HELD_OUT).alias("held_out"), "score",
+                         (F.col("score") >= CUT).cast("int").alias("predicted"))
+
+
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@query("op3_bpe_counts")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+def packing(docs: DataFrame) -> DataFrame:
+    import public_tokenizers
+    return ffd_packing(docs, tokenizer("byte_bpe_50k.json"), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op4_ffd_packing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing(table(spark, sf_dir, "documents"))
+
+
+@query("op5_lz_fingerprint")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz_neighbours(table(spark, sf_dir, "documents"))
+
+
 @query("op8_ctw_score")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw_score(table(spark, sf_dir, "documents"))
