@@ -10,6 +10,7 @@ from .common import crc_of_id, table
 from .ctw_score import ctw_score
 from .ffd_packing import ffd_packing
 from .hilbert_shards import hilbert_shards
+from .lsh_forest import jaccard_join
 from .lz_fingerprint import lz_neighbours
 from .mix_sources import mix_sources
 from .tput_topk import top_k
@@ -67,6 +68,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_neighbours(table(spark, sf_dir, "documents"))
 
 
+@query("op6_lsh_forest")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "copies")
+
+
 @query("op8_ctw_score")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw_score(table(spark, sf_dir, "documents"))
