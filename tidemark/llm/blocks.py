@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -82,7 +83,7 @@ def blocks_of(docs: DataFrame, name: str, block_bytes: int = BLOCK_BYTES) -> Dat
                                                pa.array([squeeze(sink.getvalue().to_pybytes())], pa.binary())], schema=BLOCK_SCHEMA)
 
         for b in it:
-            lengths = pa.compute.fill_null(pa.compute.binary_length(b.column(b.schema.get_field_index("text"))), 0).to_numpy(zero_copy_only=False)
+            lengths = pc.fill_null(pc.binary_length(b.column(b.schema.get_field_index("text"))), 0).to_numpy(zero_copy_only=False)
             at = 0
             ends = np.cumsum(lengths)
             while at < b.num_rows:
@@ -98,7 +99,6 @@ def blocks_of(docs: DataFrame, name: str, block_bytes: int = BLOCK_BYTES) -> Dat
         if held:
             yield flushed()
 
-    import pyarrow.compute  # noqa: F401  (pa.compute is used by the tasks)
     return saved(docs.mapInArrow(run, BLOCKS), name)
 
 
@@ -110,7 +110,7 @@ def text_buffer(col) -> tuple[np.ndarray, np.ndarray]:
     """All texts of a column as one byte array, and the place where each starts (and the last ends)."""
     if isinstance(col, pa.ChunkedArray):
         col = pa.concat_arrays(col.chunks) if col.num_chunks != 1 else col.chunk(0)
-    col = pa.compute.fill_null(col.cast(pa.large_binary()), b"")
+    col = pc.fill_null(col.cast(pa.large_binary()), b"")
     offsets = np.frombuffer(col.buffers()[1], np.int64, len(col) + 1, col.offset * 8)
     if col.buffers()[2] is None:
         return np.zeros(0, np.uint8), offsets - offsets[0]
@@ -140,12 +140,12 @@ def each_part(messages: DataFrame, reduce, schema: str, n: int) -> DataFrame:
 
 
 def answered(blocks: DataFrame, answers: DataFrame, finish, schema: str) -> DataFrame:
-    """``finish(table, {part: payload})`` yields record batches for each block with its answers."""
+    """``finish(block, table, {part: payload})`` yields record batches for each block with its answers."""
     def run(it):
         for (block,), t in sorted_groups(it, ["block"]):
             part, payload = t.column("part").to_pylist(), t.column("payload").to_pylist()
             got = dict(zip(part[1:], payload[1:], strict=True))
-            yield from finish(rows_of(payload[0]), got)
+            yield from finish(int(block), rows_of(payload[0]), got)
 
     both = blocks.unionByName(answers.select("block", "part", "payload"))
     return both.repartition(parts(blocks), "block").sortWithinPartitions("block", "part").mapInArrow(run, schema)
@@ -174,3 +174,14 @@ def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return (keys[at], *[np.add.reduceat(v[order], at) if len(at) else v[:0] for v in values])
 
 
+#: Bytes of text that are turned into arrays of a value a byte at once.
+CHUNK = 2 << 20
+
+
+def chunks(offsets: np.ndarray, most: int = CHUNK) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``most`` bytes."""
+    a, n = 0, len(offsets) - 1
+    while a < n:
+        z = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1)
+        yield a, z
+        a = z

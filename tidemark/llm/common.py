@@ -98,7 +98,7 @@ def sorted_groups(it: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tup
 # ---------------------------------------------------------------- hashes over byte buffers
 
 MULT = np.uint64(0x9E3779B97F4A7C15)
-_INV = np.uint64(pow(int(MULT), -1, 1 << 64))
+INVERSE = np.uint64(pow(int(MULT), -1, 1 << 64))
 
 
 _POWERS: dict = {}
@@ -122,7 +122,7 @@ def span_hash(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     with np.errstate(over="ignore"):
         run = np.zeros(n + 1, np.uint64)
         np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * powers(n), out=run[1:])
-        back = powers(n + 1, _INV)
+        back = powers(n + 1, INVERSE)
         return mix((run[ends] - run[starts]) * back[starts] + (ends - starts).astype(np.uint64) * MULT)
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import (answered, asked, blocks_of, dealt, each_part, packed, packed_keys, summed, text_buffer, unpacked,
+from .blocks import (answered, asked, blocks_of, chunks, dealt, each_part, packed, packed_keys, summed, text_buffer, unpacked,
                      unpacked_keys)
 from .common import MULT, crc_of_id, mix, parts, record, saved, span_hash
 
@@ -37,8 +37,6 @@ DEPTH = 5
 FOLDS = 10
 #: Never a byte of UTF-8: stands before a text and after it.
 EDGE = 0xFF
-#: Bytes whose windows are looked up at once.
-CHUNK = 2 << 20
 LN2 = math.log(2.0)
 
 
@@ -99,15 +97,6 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 END = mix(np.array([MULT], np.uint64))[0]
 
 
-def chunks(offsets: np.ndarray, most: int = CHUNK):
-    """Runs of texts of about ``most`` bytes."""
-    a, n = 0, len(offsets) - 1
-    while a < n:
-        z = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1)
-        yield a, z
-        a = z
-
-
 def distinct(table: pa.Table, depth: int):
     """A block's distinct windows and words with their counts in training texts."""
     data, offsets = text_buffer(table.column("text"))
@@ -277,7 +266,7 @@ def finish(depth: int, n: int, n_train: int, n_types: int):
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()),
                         ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
-    def run(table, got):
+    def run(block, table, got):
         (key, _), (word, _) = distinct(table, depth)
         ln, times = np.zeros(len(key)), np.zeros(len(word), np.int64)
         own = window_part(key, depth, n)

@@ -13,6 +13,7 @@ from .hilbert_shards import hilbert_shards
 from .lsh_forest import jaccard_join
 from .lz_fingerprint import lz_neighbours
 from .mix_sources import mix_sources
+from .suffix_levels import suffix_dedup
 from .tput_topk import top_k
 from .weak_toxicity import CUT, FOLDS, HELD_OUT, weak_toxicity
 
@@ -73,6 +74,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "copies")
 
 
+@query("op7_suffix_levels")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 @query("op8_ctw_score")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw_score(table(spark, sf_dir, "documents"))
