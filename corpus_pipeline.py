@@ -1,13 +1,89 @@
-"""The pipeline (its stages follow as their operators land)."""
+"""Five operators as a corpus pipeline: raw documents in, packed training sequences out.
 
-STAGES: list = []
+Every stage takes all rows that the one before it kept, and its decisions take
+effect in its output: toxic rows go, one row of each near-duplicate group
+stays, repeated passages are cut out of the texts, rows are taken as often as
+the mix of sources wants them, and what is left is packed.  Between stages,
+rows are written as Parquet and read again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidemark.llm.common import saved, table
+from tidemark.llm.lsh_forest import jaccard_join
+from tidemark.llm.mix_sources import mix_sources
+from tidemark.llm.queries import packing
+from tidemark.llm.suffix_levels import suffix_dedup
+from tidemark.llm.weak_toxicity import CUT, ToxicityModel
+
+#: No SQL of the stages exists; tests/llm/test_pipeline.py holds them against plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    from tidemark.llm.common import table
+def numbered(docs: DataFrame, *keys: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with key columns that are never null (of columns ``keys`` and of the text) and
+    a number, from 0, among rows with equal keys; and the names of these columns."""
+    names = []
+    for k in (*keys, None):
+        value = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) if k is None else F.xxhash64(F.col(k), F.col(k).isNull())
+        names.append(f"__{k or 'text'}_key")
+        docs = docs.withColumn(names[-1], value)
+    equal = Window.partitionBy(*names).orderBy(*names)
+    return docs.withColumn("__copy", F.row_number().over(equal) - 1), [*names, "__copy"]
+
+
+def keyed(rows: DataFrame, *keys: str) -> DataFrame:
+    """The same key columns for an operator's result, which has text_hash instead of the text."""
+    named = {f"__{k}_key": F.xxhash64(F.col(k), F.col(k).isNull()) for k in keys}
+    return rows.withColumns(named | {"__text_key": F.col("text_hash")})
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that score below the cut."""
+    model = ToxicityModel(docs, table(spark, sf_dir, "labels"))
+    return model.scored(docs, "__score").where(F.col("__score") < CUT).drop("__score")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each class: the smallest id, of equal ids the smallest text hash, of equal rows any."""
+    joined = jaccard_join(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    kept = keyed(joined.groupBy("class_key").agg(first).select("first.doc_id", "first.text_hash"), "doc_id") \
+        .select("__doc_id_key", "__text_key", F.lit(0).alias("__copy"))
+    rows, keys = numbered(docs, "doc_id")
+    return rows.join(kept, keys, "left_semi").select(*docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that an earlier text has; rows of which nothing is left go."""
+    cut = suffix_dedup(docs, whole_rows=True)
+    touched = F.col("__removed_bytes") > 0
+    return cut.where(~touched | (F.col("text") != "")) \
+        .withColumn("n_chars", F.when(touched, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row as often as the mix takes it."""
+    taken = keyed(mix_sources(docs).where("times > 0"), "doc_id", "source") \
+        .select("__doc_id_key", "__source_key", "__text_key", F.col("copy").cast("int").alias("__copy"), F.col("times").alias("__times"))
+    rows, keys = numbered(docs, "doc_id", "source")
+    return rows.join(taken, keys).withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2048 tokens with their places in sequences."""
+    return packing(docs)
+
+
+STAGES = [("toxicity", toxicity), ("near duplicates", near_duplicates), ("repeated passages", repeated_passages),
+          ("source mixture", mixture), ("packing", pack)]
+
 
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -362,7 +362,7 @@ def finish(n: int, length: int, whole_rows: bool):
             texts = [kept[x:y].tobytes() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             rows = table.slice(a, z - a)
             if whole_rows:
-                rows = rows.drop_columns(["__order"]).append_column("removed_bytes", pa.array(removed, pa.int64()))
+                rows = rows.drop_columns(["__order"]).append_column("__removed_bytes", pa.array(removed, pa.int64()))
                 where = rows.schema.get_field_index("text")
                 old = rows.column("text").to_pylist()
                 new = [o if not r else t.decode("utf-8", "ignore") for o, r, t in zip(old, removed.tolist(), texts, strict=True)]
@@ -376,7 +376,7 @@ def finish(n: int, length: int, whole_rows: bool):
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, piece: int = PIECE, whole_rows: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row; with ``whole_rows`` instead
-    the columns of ``docs`` with the kept text, and ``removed_bytes`` (a character cut in two goes)."""
+    the columns of ``docs`` with the kept text, and ``__removed_bytes`` (a character cut in two goes)."""
     n = 2 * parts(docs)
     message = "block long, part int, payload binary"
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("__order")
@@ -385,6 +385,6 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, piece: int = PIECE, whol
     known = saved(each_part(asked(blocks, ask(n, length, piece)), reply(n), message, 2 * n), "suffix-known")
     found = each_part(answered(blocks, known, second_round(n, length, piece), message), scan(n, length), message, n)
     answers = known.where(F.col("part") >= n).unionByName(found)
-    out = T.StructType([*docs.schema.fields, T.StructField("removed_bytes", T.LongType())]) if whole_rows \
+    out = T.StructType([*docs.schema.fields, T.StructField("__removed_bytes", T.LongType())]) if whole_rows \
         else "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return answered(blocks, answers, finish(n, length, whole_rows), out)

@@ -32,7 +32,7 @@ from operator import add
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, bounded_batches, crc_of_id, record, saved
@@ -84,8 +84,8 @@ def lexicon(train: DataFrame, terms: int = TERMS) -> list[tuple[str, float]]:
     return out
 
 
-def numbers(docs: DataFrame, words: list[tuple[str, float]]) -> DataFrame:
-    """``docs`` with a column ``x``: the numbers of each text."""
+def numbers(docs: DataFrame, words: list[tuple[str, float]], name: str = "x") -> DataFrame:
+    """``docs`` with a column of the numbers of each text."""
     exact = {t[1:] for t, _ in words if t[0] == "="}
     begin = {n: {t[1:] for t, _ in words if t[0] == "^" and len(t) == n + 1} for n in BEGINNINGS}
     strong = {t[1:] for t, o in words if o >= 4.0}
@@ -116,7 +116,7 @@ def numbers(docs: DataFrame, words: list[tuple[str, float]]) -> DataFrame:
     def of(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [float(v) for v in measure(t or "")])
 
-    return docs.withColumn("x", of(F.col("text")))
+    return docs.withColumn(name, of(F.col("text")))
 
 
 def thresholds(x: np.ndarray, y: np.ndarray) -> list[tuple[int, float, float]]:
@@ -214,30 +214,49 @@ def sample_of(labels: DataFrame, sample: int, folds: int, held_out: int) -> Data
     return reduce(DataFrame.unionByName, [known.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for v in (0, 1)])
 
 
-def weak_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
+class ToxicityModel:
+    """Fitted on ``docs`` and ``labels``; scores any texts."""
+
+    def __init__(self, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = FOLDS, held_out: int = HELD_OUT):
+        bounded_batches(docs.sparkSession)
+        own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        chosen = F.broadcast(saved(sample_of(labels, sample, folds, held_out), "labels"))  # at most 2 * sample rows of two numbers
+        train = saved(own.join(chosen, "doc_id").repartition(F.xxhash64("doc_id", "text")), "train")
+        self.words, self.weights, self.constant = lexicon(train), None, 0.0
+        #: the numbers of all rows, with a hash of their text
+        self.measured = saved(numbers(own, self.words).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "x"), "numbers")
+        if not self.words:
+            return
+        gold = self.measured.join(chosen, "doc_id").dropDuplicates(["doc_id", "text_hash"]).orderBy("doc_id", "text_hash").limit(2 * sample).toPandas()
+        x, y = np.stack(gold["x"].to_numpy()), gold["label"].to_numpy()
+        self.constant, voters = float(y.mean()), thresholds(x, y)
+        if not voters:
+            return
+        vote = [F.when(F.col("x")[i] >= F.lit(max(low, high)), 2).when(F.col("x")[i] < F.lit(low), 1).otherwise(0) for i, low, high in voters]
+        code = reduce(add, [v * 3**k for k, v in enumerate(vote)])
+        patterns = self.measured.groupBy(code.alias("code")).count().orderBy("code").toPandas()  # at most 3 ** len(voters) rows
+        of_code = np.stack([patterns["code"].to_numpy() // 3**k % 3 for k in range(len(voters))], 1)
+        model = LabelModel(of_code, patterns["count"].to_numpy(), votes_of(x, voters), y)
+        self.weights = logistic(features(x), model.posterior(votes_of(x, voters), y))
+
+    def score_of(self, x: Column) -> Column:
+        """Score of a column of numbers."""
+        if self.weights is None:
+            return F.lit(self.constant)
+        w = self.weights
+
+        @F.pandas_udf("double")
+        def score(xs: pd.Series) -> pd.Series:
+            return pd.Series(1 / (1 + np.exp(-np.clip(features(np.stack(xs.to_numpy())) @ w, -30, 30)))) if len(xs) else pd.Series([], dtype=float)
+
+        return score(x)
+
+    def scored(self, docs: DataFrame, name: str = "score") -> DataFrame:
+        """``docs`` with a score column, in one pass and without a shuffle."""
+        return numbers(docs, self.words, "__x").withColumn(name, self.score_of(F.col("__x"))).drop("__x")
+
+
+def weak_toxicity(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """doc_id, text_hash, score of each row of ``docs``."""
-    bounded_batches(docs.sparkSession)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    chosen = F.broadcast(saved(sample_of(labels, sample, folds, held_out), "labels"))  # at most 2 * sample rows of two numbers
-    train = saved(own.join(chosen, "doc_id").repartition(F.xxhash64("doc_id", "text")), "train")
-    words = lexicon(train)
-    if not words:
-        return own.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.lit(0.0).alias("score"))
-    measured = saved(numbers(own, words).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "x"), "numbers")
-    gold = measured.join(chosen, "doc_id").dropDuplicates(["doc_id", "text_hash"]).orderBy("doc_id", "text_hash").limit(2 * sample).toPandas()
-    x, y = np.stack(gold["x"].to_numpy()), gold["label"].to_numpy()
-    voters = thresholds(x, y)
-    if not voters:
-        return measured.select("doc_id", "text_hash", F.lit(float(y.mean())).alias("score"))
-    vote = [F.when(F.col("x")[i] >= F.lit(max(low, high)), 2).when(F.col("x")[i] < F.lit(low), 1).otherwise(0) for i, low, high in voters]
-    code = reduce(add, [v * 3**k for k, v in enumerate(vote)])
-    patterns = measured.groupBy(code.alias("code")).count().orderBy("code").toPandas()  # at most 3 ** len(voters) rows
-    of_code = np.stack([patterns["code"].to_numpy() // 3**k % 3 for k in range(len(voters))], 1)
-    model = LabelModel(of_code, patterns["count"].to_numpy(), votes_of(x, voters), y)
-    w = logistic(features(x), model.posterior(votes_of(x, voters), y))
-
-    @F.pandas_udf("double")
-    def score(xs: pd.Series) -> pd.Series:
-        return pd.Series(1 / (1 + np.exp(-np.clip(features(np.stack(xs.to_numpy())) @ w, -30, 30)))) if len(xs) else pd.Series([], dtype=float)
-
-    return measured.select("doc_id", "text_hash", score(F.col("x")).alias("score"))
+    model = ToxicityModel(docs, labels, **how)
+    return model.measured.select("doc_id", "text_hash", model.score_of(F.col("x")).alias("score"))
