@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 
-from .common import bounded_batches, parts, saved, sorted_groups
+from .common import MULT, bounded_batches, parts, saved, sorted_groups
 
 #: Bytes of text in one block (a longer text is a block of its own).
 BLOCK_BYTES = 12 << 20
@@ -185,3 +185,36 @@ def chunks(offsets: np.ndarray, most: int = CHUNK) -> Iterator[tuple[int, int]]:
         z = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1)
         yield a, z
         a = z
+
+
+class Lookup:
+    """Values of 64-bit keys by open addressing: a probe a round for all keys that have not met theirs."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(3 * max(1, len(keys))).bit_length())
+        self.keys = np.zeros(1 << self.bits, np.uint64)
+        self.values = np.zeros(1 << self.bits, values.dtype)
+        taken = np.zeros(1 << self.bits, bool)
+        slot, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = left[~taken[slot[left]]]
+            first = free[np.unique(slot[free], return_index=True)[1]]  # one key a slot
+            at = slot[first]
+            taken[at], self.keys[at], self.values[at] = True, keys[first], values[first]
+            placed = np.zeros(len(keys), bool)
+            placed[first] = True
+            left = left[~placed[left]]
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys * MULT) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """Values of keys that are all there."""
+        slot = self._slot(keys)
+        wrong = np.flatnonzero(self.keys[slot] != keys)
+        while len(wrong):
+            slot[wrong] = (slot[wrong] + 1) & ((1 << self.bits) - 1)
+            wrong = wrong[self.keys[slot[wrong]] != keys[wrong]]
+        return self.values[slot]

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import (answered, asked, blocks_of, chunks, dealt, each_part, packed, packed_keys, summed, text_buffer, unpacked,
+from .blocks import (Lookup, answered, asked, blocks_of, chunks, dealt, each_part, packed_keys, summed, text_buffer,
                      unpacked_keys)
 from .common import MULT, crc_of_id, mix, parts, record, saved, span_hash
 
@@ -69,17 +69,18 @@ def lowered(data: np.ndarray) -> np.ndarray:
 def all_windows(data: np.ndarray, offsets: np.ndarray, depth: int) -> np.ndarray:
     """Keys of every byte and of the end of each text, in order: the context, nearest byte
     first, then the byte."""
-    n_docs, gap = len(offsets) - 1, depth + 1
     lengths = np.diff(offsets)
-    at = np.arange(len(data)) + np.repeat(np.arange(n_docs) * gap, lengths) + depth  # places in the padded buffer
-    padded = np.full(len(data) + n_docs * gap + depth, EDGE, np.uint8)
-    padded[at] = data
-    ends = offsets[1:] + np.arange(n_docs) * gap + depth
-    places = np.sort(np.concatenate([at, ends]))
-    key = np.zeros(len(places), np.uint64)
+    doc = np.arange(len(lengths))
+    padded = np.full(len(data) + len(lengths) * (depth + 1) + depth, EDGE, np.uint8)
+    padded[np.arange(len(data)) + np.repeat(doc * (depth + 1) + depth, lengths)] = data
+    n = len(padded) - depth
+    key = np.zeros(n, np.uint64)
     for i in range(1, depth + 1):
-        key = (key << np.uint64(8)) | padded[places - i]
-    return (key << np.uint64(8)) | padded[places]
+        key <<= np.uint64(8)
+        key |= padded[depth - i:depth - i + n]
+    key <<= np.uint64(8)
+    key |= padded[depth:]
+    return key[np.arange(len(data) + len(lengths)) + np.repeat(doc * depth, lengths + 1)]
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,27 +91,35 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     word = ~blank
     starts = np.flatnonzero(word & (edge[:-1] | np.r_[True, blank[:-1]])) if len(data) else np.zeros(0, np.int64)
     stop = np.flatnonzero(word & np.r_[edge[1:-1] | blank[1:], True]) + 1 if len(data) else np.zeros(0, np.int64)
-    return span_hash(data, starts, stop), np.searchsorted(offsets, starts, "right") - 1
+    return span_hash(data, starts, stop) & ~np.uint64(1), np.searchsorted(offsets, starts, "right") - 1
 
 
-#: The key of the end token.
-END = mix(np.array([MULT], np.uint64))[0]
+#: The key of the end token (word keys are even: the last bit of a counted key says "training").
+END = mix(np.array([MULT], np.uint64))[0] & ~np.uint64(1)
+
+
+def counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and how often training texts have them; keys are even."""
+    both = np.sort(keys | train)
+    at = np.flatnonzero(np.r_[True, both[1:] != both[:-1]]) if len(both) else np.zeros(0, np.int64)
+    times = np.diff(np.r_[at, len(both)])
+    return summed(both[at] & ~np.uint64(1), np.where(both[at] & np.uint64(1), times, 0))
 
 
 def distinct(table: pa.Table, depth: int):
     """A block's distinct windows and words with their counts in training texts."""
     data, offsets = text_buffer(table.column("text"))
     data = lowered(data)
-    train = ~table.column("held_out").to_numpy()
+    train = (~table.column("held_out").to_numpy()).astype(np.uint64)
     found: list[list] = [[], []]
     for a, z in chunks(offsets):
         own, at = data[offsets[a]:offsets[z]], offsets[a:z + 1] - offsets[a]
         learn = train[a:z]
-        key = all_windows(own, at, depth)
-        found[0].append(summed(key, np.repeat(learn, np.diff(at) + 1).astype(np.int64)))
+        found[0].append(counted(all_windows(own, at, depth) << np.uint64(1), np.repeat(learn, np.diff(at) + 1)))
         h, doc = words(own, at)
-        found[1].append(summed(np.r_[h, np.full(z - a, END)], np.r_[learn[doc], learn].astype(np.int64)))
-    return [summed(np.concatenate([k for k, _ in x]), np.concatenate([v for _, v in x])) if x else (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for x in found]
+        found[1].append(counted(np.r_[h, np.full(z - a, END)], np.r_[learn[doc], learn]))
+    (key, count), word = (summed(np.concatenate([k for k, _ in x]), np.concatenate([v for _, v in x])) for x in found)
+    return (key >> np.uint64(1), count), word
 
 
 def window_part(keys: np.ndarray, depth: int, n: int) -> np.ndarray:
@@ -255,7 +264,7 @@ def reply(depth: int, n: int, tables):
             values = counts
         for block, (own, _) in zip(blocks, asks, strict=True):
             yield pa.RecordBatch.from_arrays(
-                [pa.array([block], pa.int64()), pa.array([part], pa.int32()), pa.array([packed(values[np.searchsorted(keys, own)])], pa.binary())],
+                [pa.array([block], pa.int64()), pa.array([part], pa.int32()), pa.array([packed_keys(own, values[np.searchsorted(keys, own)])], pa.binary())],
                 names=["block", "part", "payload"])
 
     return run
@@ -267,30 +276,21 @@ def finish(depth: int, n: int, n_train: int, n_types: int):
                         ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(block, table, got):
-        (key, _), (word, _) = distinct(table, depth)
-        ln, times = np.zeros(len(key)), np.zeros(len(word), np.int64)
-        own = window_part(key, depth, n)
-        cuts = np.searchsorted((word >> np.uint64(32)) * np.uint64(n) >> np.uint64(32), np.arange(n + 1))
-        for p, payload in got.items():
-            values = unpacked(payload)[0]
-            if p < n:
-                ln[own == p] = values
-            else:
-                times[cuts[p - n]:cuts[p - n + 1]] = values
+        found = [[unpacked_keys(m) for p, m in got.items() if (p >= n) == of_words] for of_words in (False, True)]
+        ln, times = (Lookup(*(np.concatenate([x[i] for x in side]) for i in (0, 1))) for side in found)
         data, offsets = text_buffer(table.column("text"))
         data, n_docs = lowered(data), len(offsets) - 1
-        base = np.log10((times + 0.1) / (n_train + 0.1 * (n_types + 1)))
         out = np.zeros((4, n_docs))
         for a, z in chunks(offsets):
             text, at = data[offsets[a]:offsets[z]], offsets[a:z + 1] - offsets[a]
-            values = ln[np.searchsorted(key, all_windows(text, at, depth))]
+            values = ln.of(all_windows(text, at, depth)).astype(np.float64)
             out[0, a:z] = np.add.reduceat(values, at[:-1] + np.arange(z - a))
             h, doc = words(text, at)
             h, doc = np.r_[h, np.full(z - a, END)], np.r_[doc, np.arange(z - a)]
-            which = np.searchsorted(word, h)
+            c = times.of(h)
             out[1, a:z] = np.bincount(doc, minlength=z - a)
-            out[2, a:z] = np.bincount(doc, weights=times[which] > 0, minlength=z - a)
-            out[3, a:z] = np.bincount(doc, weights=base[which], minlength=z - a)
+            out[2, a:z] = np.bincount(doc, weights=c > 0, minlength=z - a)
+            out[3, a:z] = np.bincount(doc, weights=np.log10((c + 0.1) / (n_train + 0.1 * (n_types + 1))), minlength=z - a)
         yield record(schema, doc_id=table.column("doc_id").combine_chunks(), held_out=table.column("held_out").combine_chunks(),
                      n_bytes=np.diff(offsets), n_tokens=out[1].astype(np.int64), n_known=out[2].astype(np.int64),
                      base_score=out[3], score=out[0] / math.log(10))
@@ -300,7 +300,7 @@ def finish(depth: int, n: int, n_train: int, n_types: int):
 
 def ctw_score(docs: DataFrame, depth: int = DEPTH, folds: int = FOLDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte;
-    learns from rows whose crc32(id) mod ``folds`` is not 0.  ``depth``: 2 to 7."""
+    learns from rows whose crc32(id) mod ``folds`` is not 0.  ``depth``: 2 to 6."""
     n = parts(docs)
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_of_id() % folds == 0).alias("held_out"), "text")
     blocks = blocks_of(kept, "ctw-blocks")

@@ -167,11 +167,12 @@ def copies_of(table: pa.Table, got: dict, n: int, text: np.ndarray) -> np.ndarra
 
 def runs_of(place: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last index of runs of neighbouring places with equal values."""
+    if not len(place):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     new = np.ones(len(place), bool)
-    if len(place):
-        new[1:] = place[1:] != place[:-1] + 1
-        for s in same:
-            new[1:] |= s[1:] != s[:-1]
+    new[1:] = place[1:] != place[:-1] + 1
+    for s in same:
+        new[1:] |= s[1:] != s[:-1]
     first = np.flatnonzero(new)
     return first, np.r_[first[1:], len(place)] - 1
 
