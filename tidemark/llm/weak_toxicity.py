@@ -74,7 +74,8 @@ def lexicon(train: DataFrame, terms: int = TERMS) -> list[tuple[str, float]]:
     per = train.select("text", "label").mapInArrow(count, "term string, toxic long, clean long").groupBy("term") \
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
-    best = per.where(F.col("toxic") >= max(2, round(0.004 * n_toxic))).withColumn("odds", odds).where("odds >= 1.0") \
+    sure = F.col("odds") / F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))  # in standard errors
+    best = per.where(F.col("toxic") >= max(3, round(0.004 * n_toxic))).withColumn("odds", odds).where((F.col("odds") >= 1.5) & (sure >= 2.5)) \
         .orderBy((F.col("odds") * F.sqrt("toxic")).desc(), F.length("term").desc(), "term").limit(terms).collect()
     out, seen = [], set()
     for r in best:  # a beginning speaks for the words and longer beginnings under it
