@@ -94,21 +94,18 @@ def test_skew_safe_helpers_equal_plain_windows(spark, hot_series):
         assert (g[2] or 0.0) == pytest.approx(r["rs"] or 0.0)
 
 
-def test_adaptive_slicing_of_hot_series(spark, hot_series, monkeypatch):
-    monkeypatch.setattr(SW, "HOT_ROWS", 50)   # 'hot' (400 rows) is cut into ~8 slices, 'cold' is not
-    w = Window.partitionBy("k").orderBy("ts")
-    plain = hot_series.select("k", "ts", F.lag("v").over(w).alias("pv"), F.row_number().over(w).alias("pos"),
-                              F.last("v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cf"))
-    a = SW.prev_row(hot_series, ["k"], "ts", ["v"])
-    a = SW.position(a, ["k"], "ts", "pos", total_name="n")
-    a = SW.carry_forward(a, ["k"], "ts", "v", name="cf")
-    got = {(r["k"], r["ts"]): (r["prev_v"], r["pos"], r["cf"], r["n"]) for r in a.collect()}
-    for r in plain.collect():
-        g = got[(r["k"], r["ts"])]
-        assert (g[0], g[1], g[2]) == (r["pv"], r["pos"], r["cf"])
-        assert g[3] == (400 if r["k"] == "hot" else 30)
-    sliced = SW._split(hot_series, "ts", None, ["k"])[0].groupBy("k").agg(F.countDistinct(SW._SB)).collect()
-    assert dict(sliced)["hot"] > 4 and dict(sliced)["cold"] == 1
+def test_building_ordered_queries_runs_no_job_on_the_data(spark, sf):
+    from tidemark.plans.registry import load_all
+    reg, sc = load_all(), spark.sparkContext
+    tracker = sc.statusTracker()
+    for name in ("delta", "counter_rate", "change_per_sec", "locf", "history_expr", "downsample_minmax",
+                 "threshold_alarms", "predicate_alarms", "suppressed_alarms", "quiet_hours"):
+        sc.setJobGroup("build-" + name, name)
+        reg[name][0](spark, sf)
+        schemas = sum(len(tracker.getStageInfo(s).name) > 0 and "parquet at" in tracker.getStageInfo(s).name
+                      for j in tracker.getJobIdsForGroup("build-" + name) for s in tracker.getJobInfo(j).stageIds)
+        assert len(tracker.getJobIdsForGroup("build-" + name)) == schemas, name   # only footers are read
+    sc.setJobGroup(None, None)
 
 
 def test_counter_rate_nulls(spark):

@@ -14,17 +14,33 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: accepted filter grammar.
-_EXPR = re.compile(r"EFLAG\s*(\[\s*([0-9]*)\s*:\s*\])?\s*(([&|^])\s*(0x[0-9a-fA-F]+))?\s*"
-                   r"(==|!=|<=|>=|<|>)\s*(0x[0-9a-fA-F]+)")
+_TOKEN = re.compile(r"\s*(0[xX][0-9a-fA-F]+|[0-9]+|[A-Za-z]+|[<>=!]=|\S)")
+_COMPARES = ("==", "!=", "<=", ">=", "<", ">")
 
 
 def parse_eflag(expr: str) -> tuple[int, str | None, str | None, str, str]:
-    m = _EXPR.match(expr.strip())
-    if not m:
+    """(offset, bit operator, mask, comparison, operand) of a filter: the word EFLAG, then
+    optionally ``[offset:]``, then optionally a bit operator and a mask, then the comparison."""
+    words = _TOKEN.findall(expr)
+    offset, bitop, mask = 0, None, None
+
+    def take(n: int) -> list[str]:
+        nonlocal words
+        out, words = words[:n], words[n:]
+        return out
+
+    ok = take(1) == ["EFLAG"]
+    if words[:1] == ["["]:
+        inside = take(words.index("]") + 1)[1:-1] if "]" in words else []
+        ok &= inside[-1:] == [":"] and (len(inside) == 1 or len(inside) == 2 and inside[0].isdigit())
+        offset = int(inside[0]) if ok and len(inside) == 2 else 0
+    if words[:1] in (["&"], ["|"], ["^"]):
+        bitop, mask = (take(2) + [""])[:2]
+        ok &= mask.startswith("0x")
+    compare, operand = (take(2) + ["", ""])[:2]
+    if not ok or words or compare not in _COMPARES or not operand.startswith("0x"):
         raise ValueError(f"invalid flag filter: {expr!r}")
-    offset = int(m.group(2)) if m.group(2) else 0
-    return offset, m.group(4), (m.group(5) or None), m.group(6), m.group(7)
+    return offset, bitop, mask, compare, operand
 
 
 def eflag_predicate(expr: str, flag_col: str = "flag") -> Column:

@@ -4,15 +4,16 @@ streaming path in :mod:`tidemark.streaming`)."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from bisect import bisect_right
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.timecols import bucket_index, epoch_us, minute_of_day
-from ..session import cut_lineage
-from .rules import LEVELS, LambdaRule, key_of, match_first, rule_heads
+from ..functions.timecols import epoch_us, minute_of_day
+from .rules import LambdaRule, key_of, match_first, rule_heads
 
 DEFAULT_SUPPRESS_S = 21600  # 6 hours
 
@@ -32,7 +33,7 @@ def threshold_alarms(changes: DataFrame, rules: DataFrame) -> DataFrame:
         .select("rule_ord", "metric", "level", "limit", "limit_text")
     j = c.join(chosen, "key").join(F.broadcast(lim), ["rule_ord", "metric"])
     hit = j.where(F.col("change_per_sec") > F.col("limit"))
-    msg = F.format_string("[%s] absolute value of %s(%d) exceeds %s", F.col("key"), F.col("metric"),
+    msg = F.format_string("%s: %s changed by %d a second, limit %s", F.col("key"), F.col("metric"),
                           F.col("change_per_sec").cast("bigint"), F.col("limit_text"))
     return hit.select("ts", F.concat_ws("", F.col("key"), F.lit("."), F.col("metric"), F.lit("("),
                                         F.col("level").cast("string"), F.lit(")")).alias("alarm_key"),
@@ -56,9 +57,7 @@ def predicate_alarms(spark: SparkSession, current: DataFrame, rules: Sequence[La
     # one pass: every (rule, level) candidate as an array element, exploded and filtered
     cands = []
     for i, r in enumerate(rules):
-        if len(r.limits) < LEVELS:
-            continue
-        for lvl, lim in enumerate(r.limits[:LEVELS]):
+        for lvl, lim in enumerate(r.limits):
             if not lim:
                 continue
             pred, msg = r.fn(_Row(), float(lim))
@@ -67,7 +66,7 @@ def predicate_alarms(spark: SparkSession, current: DataFrame, rules: Sequence[La
                                               msg.alias("msg"))))
     e = j.select("ts", "key", F.explode(F.array(*cands)).alias("a")).where(F.col("a").isNotNull())
     return e.select("ts", F.concat(F.col("key"), F.col("a.suffix")).alias("alarm_key"), F.col("a.level").alias("level"),
-                    F.concat(F.lit("["), F.col("key"), F.lit("] "), F.col("a.msg")).alias("message"))
+                    F.concat(F.col("key"), F.lit(": "), F.col("a.msg")).alias("message"))
 
 
 class _Row:
@@ -76,76 +75,41 @@ class _Row:
 
 
 # ---------------------------------------------------------------- T6 ------
-def suppress(alarms: DataFrame, window_s: int = DEFAULT_SUPPRESS_S, key: str = "alarm_key",
-             checkpoint: bool = True) -> DataFrame:
+def suppress(alarms: DataFrame, window_s: int = DEFAULT_SUPPRESS_S, key: str = "alarm_key") -> DataFrame:
     """Keep an alarm only if at least ``window_s`` passed since the last
-    *fired* alarm of the same key (greedy, exact).
-
-    1. A candidate at least ``window_s`` after the previous candidate of its
-       key always fires; it starts a *cluster*.  Clusters are independent.
-    2. Inside a cluster the fired alarms form the chain ``head -> next(head)
-       -> ...`` where ``next(a)`` is the first candidate at or after
-       ``a + window``.  ``next`` is found without pairing candidates (sorting
-       inside ``window``-wide buckets plus a small per-bucket table).
-    3. The chain is followed by pointer doubling: ``log2(longest cluster /
-       window)`` self-joins, each level checkpointed.  No key or cluster is
-       ever gathered into one task.
+    *fired* alarm of the same key (greedy, exact); alarms of a fired moment
+    stay together.
+
+    Rows are partitioned by key and sorted by time, and a task walks through
+    them once: from a fired alarm it jumps to the first one past the window by
+    a binary search.  It holds one Arrow batch and the last fired time, however
+    many alarms a key has; nothing is written in between.
     """
-    from .seqwindow import prev_row, running_sums
-    if checkpoint:  # the alarm pipeline is read several times below: materialise it once
-        alarms = cut_lineage(alarms)
     w_us = int(window_s) * 1_000_000
-    cand = alarms.select(key, "ts").distinct().withColumn("__us", epoch_us("ts"))
-    p = prev_row(cand, [key], "ts", ["__us"])
-    head = F.col("prev___us").isNull() | (F.col("__us") >= F.col("prev___us") + F.lit(w_us))
-    cl = running_sums(p.withColumn("__head", head), [key], "ts",
-                      {"__cl": F.when(F.col("__head"), 1).otherwise(0)})
-    ck = F.concat_ws("#", F.col(key), F.col("__cl").cast("string"))
-    c = cl.select(ck.alias("__ck"), key, "__us", "__head", bucket_index("ts", window_s).alias("__b"))
-    if checkpoint:
-        c = cut_lineage(c)
-    K = "__ck"
-    # next(a) inside bucket b+1 of the same cluster: first candidate with us >= a.us + W
-    probes = c.select(K, (F.col("__b") + 1).alias("__b"), F.col("__us").alias("__src"),
-                      (F.col("__us") + F.lit(w_us)).alias("__t"), F.lit(0).alias("__kind"))
-    targets = c.select(K, "__b", F.lit(None).cast("bigint").alias("__src"),
-                       F.col("__us").alias("__t"), F.lit(1).alias("__kind"))
-    # reversed order + growing frame = the nearest target at or after the probe,
-    # computed incrementally (a following-unbounded frame would be quadratic)
-    w = (Window.partitionBy(K, "__b").orderBy(F.col("__t").desc(), F.col("__kind").desc())
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    both = probes.unionByName(targets).withColumn(
-        "__nx", F.last(F.when(F.col("__kind") == 1, F.col("__t")), ignorenulls=True).over(w))
-    in_next = both.where(F.col("__kind") == 0).select(K, F.col("__src").alias("__us"),
-                                                     (F.col("__b") - 1).alias("__b"), "__nx")
-    # else: first candidate of the cluster in buckets >= b+2 (per-bucket table)
-    bmin = c.groupBy(K, "__b").agg(F.min("__us").alias("__m"))
-    wb = Window.partitionBy(K).orderBy(F.col("__b").desc()).rangeBetween(Window.unboundedPreceding, -2)
-    later = bmin.select(K, "__b", F.min("__m").over(wb).alias("__later"))
-    jump = (in_next.join(later, [K, "__b"], "left")
-            .select(K, "__us", F.coalesce("__nx", "__later").alias("__to"))
-            .where(F.col("__to").isNotNull()))
-    # doubling levels from the longest cluster, in windows
-    span = c.groupBy(K).agg(((F.max("__us") - F.min("__us")) / F.lit(w_us)).alias("s")).agg(F.max("s")).first()[0]
-    levels = int(math.ceil(math.log2((span or 0) + 2)))
-    fired = c.where(F.col("__head")).select(K, "__us")
-    if span and span >= 1:
-        tables = []
-        cur = cut_lineage(jump) if checkpoint else jump
-        for _ in range(levels):
-            tables.append(cur)
-            nxt2 = cur.alias("a").join(cur.alias("b"), (F.col(f"a.{K}") == F.col(f"b.{K}"))
-                                       & (F.col("a.__to") == F.col("b.__us")))
-            cur = nxt2.select(F.col(f"a.{K}").alias(K), F.col("a.__us").alias("__us"), F.col("b.__to").alias("__to"))
-            cur = cut_lineage(cur) if checkpoint else cur
-        tables.append(cur)
-        for t in reversed(tables):
-            step = fired.join(t, [K, "__us"]).select(K, F.col("__to").alias("__us"))
-            fired = fired.unionByName(step).distinct()
-            fired = cut_lineage(fired) if checkpoint else fired
-    fired_ts = c.join(fired, [K, "__us"], "left_semi").select(key, "__us")
-    return (alarms.withColumn("__us", epoch_us("ts")).join(fired_ts, [key, "__us"], "left_semi")
-            .drop("__us"))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, None
+        for b in batches:
+            names = b.column(b.schema.get_field_index(key)).to_pylist()
+            us = b.column(b.schema.get_field_index("__us")).to_numpy()
+            keep = np.zeros(len(us), bool)
+            at = 0
+            while at < len(us):
+                stop = bisect_right(names, names[at], at)
+                if names[at] != now:
+                    now, last = names[at], None
+                while at < stop:
+                    if last is not None and us[at] != last and us[at] < last + w_us:
+                        at += int(np.searchsorted(us[at:stop], last + w_us))
+                        continue
+                    last = us[at]
+                    same = at + int(np.searchsorted(us[at:stop], last, "right"))
+                    keep[at:same] = True
+                    at = same
+            yield b.filter(pa.array(keep)).drop_columns(["__us"])
+
+    timed = alarms.withColumn("__us", epoch_us("ts"))
+    return timed.repartition(key).sortWithinPartitions(key, "__us").mapInArrow(walk, alarms.schema)
 
 
 # ---------------------------------------------------------------- T7 ------

@@ -20,15 +20,12 @@ def concat_charts(inputs: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def merge_charts(inputs: Sequence[DataFrame], chart_counts: Sequence[int] | None = None,
-                 strict: bool = True) -> DataFrame:
+def merge_charts(inputs: Sequence[DataFrame], chart_counts: Sequence[int] | None = None) -> DataFrame:
     """Merge: chart i of every input becomes one chart holding all their items
     (items keep ``input_ord``).  Chart counts are known from the layouts at
-    plan time; when they differ the merge is refused (``strict``) or empty."""
+    plan time; when they differ the merge is refused."""
     if chart_counts is not None and len(set(chart_counts)) > 1:
-        if strict:
-            raise ValueError(f"merge needs equal chart counts, got {list(chart_counts)}")
-        return inputs[0].limit(0).withColumn("input_ord", F.lit(0))
+        raise ValueError(f"merge needs equal chart counts, got {list(chart_counts)}")
     out = None
     for i, df in enumerate(inputs):
         d = df.withColumn("input_ord", F.lit(i))
@@ -36,14 +33,6 @@ def merge_charts(inputs: Sequence[DataFrame], chart_counts: Sequence[int] | None
     return out
 
 
-def sum_charts(inputs: Sequence[DataFrame]) -> DataFrame:
-    """[SUM]: the same charts of several instances added per (chart, item, ts)."""
-    out = None
-    for df in inputs:
-        out = df if out is None else out.unionByName(df)
-    return sum_instances(out)
-
-
 def snapshot_changes(snapshots: DataFrame, snap: str = "snap", member: str = "member",
                      prev_snap_col=None) -> DataFrame:
     """Up / down events between consecutive snapshots.
@@ -60,11 +49,11 @@ def snapshot_changes(snapshots: DataFrame, snap: str = "snap", member: str = "me
     has_prev = with_prev.join(snaps.select(F.col("snap").alias("prev_snap")), "prev_snap", "left_semi")
     prev_members = cur.select(F.col("snap").alias("prev_snap"), "member")
     # up: in s, not in prev(s)
-    up = (cur.join(F.broadcast(has_prev), "snap")
+    up = (cur.join(has_prev, "snap")
           .join(prev_members, ["prev_snap", "member"], "left_anti")
           .select("snap", "member", F.lit("up").alias("change")))
     # down: in prev(s), not in s
-    down = (prev_members.join(F.broadcast(has_prev), "prev_snap")
+    down = (prev_members.join(has_prev, "prev_snap")
             .join(cur, ["snap", "member"], "left_anti")
             .select("snap", "member", F.lit("down").alias("change")))
     return up.unionByName(down)

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timecols import epoch_us
-from ..session import cut_lineage
 from .seqwindow import DEFAULT_SPLIT_S, position
 
 DEFAULT_RESOLUTION = 400  # chart resolution; sampling starts at 2x this many points
@@ -41,7 +40,7 @@ def downsample_minmax(df: DataFrame, keys: Sequence[str], resolution: int = DEFA
     pts = agg.select(*keys, F.explode(F.array_distinct(F.array(
         F.struct(F.col("mn.t").alias("ts"), F.col("mn.v").alias("value")),
         F.struct(F.col("mx.t").alias("ts"), F.col("mx.v").alias("value"))))).alias("p"))
-    sampled = cut_lineage(pts.select(*keys, "p.ts", "p.value"))   # small: <= 2R rows per series
+    sampled = pts.select(*keys, "p.ts", "p.value")   # small: <= 2R rows per series
     # 2) series whose sampling kept too few points fall back to their original rows
     counts = sampled.groupBy(*keys).agg(F.count(F.lit(1)).alias("__m"))
     good = counts.where(F.col("__m") >= F.lit(r / 2.0)).select(*keys, F.lit(True).alias("__good"))

@@ -66,19 +66,20 @@ def parse_positional(df: DataFrame, names: Sequence[str], header_first: str = "S
     return z.select(*keys, F.element_at(names_arr, F.col("pos") + 1).alias("key"), "raw")
 
 
-def parse_prefix(df: DataFrame, max_lines: int = 32, keys: Sequence[str] = KEYS) -> DataFrame:
-    """``PREFIX p k1 v1 k2 v2 ...`` dumps -> (prefix, key, raw); a dump with
-    more than ``max_lines`` lines is skipped whole."""
-    d = df.select(*keys, lines().alias("l")).where(F.size("l") <= max_lines)
-    e = d.select(*keys, F.explode("l").alias("line")).where(F.col("line") != "END")
+def parse_prefix(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """``PREFIX p k1 v1 k2 v2 ...`` dumps -> (prefix, key, raw); of a key that a line has
+    several times, the last value."""
+    e = df.select(*keys, F.explode(lines()).alias("line")).where(F.col("line") != "END")
     a = F.split(F.col("line"), r"\s+")
     e = e.select(*keys, a.alias("a")).where(F.size("a") >= 2)
     body = F.slice(F.col("a"), 3, F.greatest(F.size("a") - 2, F.lit(0)))
-    ks = F.filter(body, lambda x, i: i % 2 == 0)
-    vs = F.filter(body, lambda x, i: i % 2 == 1)
-    n = F.least(F.size(ks), F.size(vs))
-    m = F.map_from_arrays(F.slice(ks, 1, n), F.slice(vs, 1, n))
-    return e.select(*keys, F.col("a").getItem(1).alias("prefix"), F.explode(m).alias("key", "raw"))
+    e = e.select(*keys, F.col("a").getItem(1).alias("prefix"), F.filter(body, lambda x, i: i % 2 == 0).alias("ks"),
+                 F.filter(body, lambda x, i: i % 2 == 1).alias("vs"))
+    n = F.least(F.size("ks"), F.size("vs"))
+    pairs = F.arrays_zip(F.slice("ks", 1, n).alias("key"), F.slice("vs", 1, n).alias("raw"))
+    back = F.reverse(F.slice("ks", 1, n))
+    last = F.filter(pairs, lambda p, i: F.array_position(back, p["key"]) == n - i)
+    return e.select(*keys, "prefix", F.inline(last))
 
 
 def unit_number(raw: Column) -> Column:

@@ -78,15 +78,16 @@ def shard_id(entity: Column, n: int) -> Column:
 
 
 def multi_range_fetch(items: DataFrame, keys: DataFrame, lo, hi, predicate: Column | None = None,
-                      offset: int = 0, count: int = 50) -> tuple[DataFrame, DataFrame]:
+                      offset: int = 0, count: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Items of many keys with ``lo <= bkey <= hi`` (optional element
-    filter), merged in (bkey, key) order with offset and count, plus the
-    requested keys that do not exist.  The ordered merge is a top-k
-    (``offset + count`` rows per partition, then merged)."""
+    filter), merged in (bkey, key) order with offset and count (None: all),
+    plus the requested keys that do not exist.  With a count the ordered merge
+    is a top-k (``offset + count`` rows per partition, then merged)."""
     req = keys.select("key").distinct()
     sel = items.join(req, "key", "left_semi").where(F.col("bkey").between(lo, hi))
     if predicate is not None:
         sel = sel.where(predicate)
-    page = sel.orderBy("bkey", "key").offset(offset).limit(count)
+    page = sel.orderBy("bkey", "key").offset(offset)
+    page = page if count is None else page.limit(count)
     missing = req.join(items.select("key").distinct(), "key", "left_anti")
     return page, missing

@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import glob_to_regex
 
-LEVELS = 3  # number of alarm methods (levels 0..2)
-
 
 @dataclass
 class AbsRule:
@@ -46,15 +44,13 @@ def _limit_text(v) -> str:
 def abs_rules_frame(spark: SparkSession, rules: Sequence[AbsRule]) -> DataFrame:
     """``rule_ord, pattern, regex, ignore_regex, metric, level, limit, limit_text``.
 
-    Limit tuples shorter than the number of levels are skipped (as the
-    reference does); off levels (None / 0) are dropped here.
+    A metric has as many levels as limits are given; levels that are off
+    (None / 0) never fire.
     """
     rows = []
     for i, r in enumerate(rules):
         for metric, lims in r.limits.items():
-            if len(lims) < LEVELS:
-                continue
-            for lvl, lim in enumerate(lims[:LEVELS]):
+            for lvl, lim in enumerate(lims):
                 rows.append((i, r.pattern, glob_to_regex(r.pattern),
                              glob_to_regex(r.ignore) if r.ignore else None, metric, lvl,
                              None if lim is None else float(lim), _limit_text(lim)))

@@ -13,26 +13,64 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.classic.column import Column as ClassicColumn
 
 from .aggregate import max_floor0
+from .seqwindow import prev_row, running_sums
+
+
+class Safe(ClassicColumn):
+    """A Column whose arithmetic gives null where it fails (division by zero, overflow)."""
+
+    @staticmethod
+    def _of(c: Column) -> Safe:
+        return Safe(c._jc)
+
+    @staticmethod
+    def _arg(x) -> Column:
+        return x if isinstance(x, Column) else F.lit(x)
+
+    def __add__(self, o): return self._of(F.try_add(self, self._arg(o)))  # noqa: E704
+    def __radd__(self, o): return self._of(F.try_add(self._arg(o), self))  # noqa: E704
+    def __sub__(self, o): return self._of(F.try_subtract(self, self._arg(o)))  # noqa: E704
+    def __rsub__(self, o): return self._of(F.try_subtract(self._arg(o), self))  # noqa: E704
+    def __mul__(self, o): return self._of(F.try_multiply(self, self._arg(o)))  # noqa: E704
+    def __rmul__(self, o): return self._of(F.try_multiply(self._arg(o), self))  # noqa: E704
+    def __truediv__(self, o): return self._of(F.try_divide(self, self._arg(o)))  # noqa: E704
+    def __rtruediv__(self, o): return self._of(F.try_divide(self._arg(o), self))  # noqa: E704
 
 
 class MetricRow:
-    """``m['metric']`` -> Column of that metric in the pivoted row."""
+    """``m['metric']`` -> the metric of the pivoted row; ``m.prev('metric')`` -> its value at the
+    row before, ``m.prev_sum`` / ``m.prev_mean`` / ``m.prev_count`` -> over all earlier rows."""
 
     def __init__(self):
         self.used: list[str] = []
+        self.last: set[str] = set()
+        self.running: set[str] = set()
 
-    def __getitem__(self, name: str) -> Column:
+    def __getitem__(self, name: str) -> Safe:
         if name not in self.used:
             self.used.append(name)
-        return F.col(f"`{name}`")
+        return Safe(F.col(f"`{name}`")._jc)
 
+    def prev(self, name: str) -> Safe:
+        self[name]
+        self.last.add(name)
+        return Safe(F.col(f"`prev_{name}`")._jc)
 
-def trace(fn: Callable[[MetricRow], Column]) -> tuple[Column, list[str]]:
-    m = MetricRow()
-    col = fn(m)
-    return col, m.used
+    def prev_sum(self, name: str) -> Safe:
+        self[name]
+        self.running.add(name)
+        return Safe(F.col(f"`sum_{name}`")._jc)
+
+    def prev_count(self, name: str) -> Safe:
+        self[name]
+        self.running.add(name)
+        return Safe(F.col(f"`n_{name}`")._jc)
+
+    def prev_mean(self, name: str) -> Safe:
+        return self.prev_sum(name) / self.prev_count(name)
 
 
 def pivot_metrics(long_df: DataFrame, metrics: Sequence[str], keys: Sequence[str] = ("entity", "tbl", "ts")) -> DataFrame:
@@ -42,18 +80,25 @@ def pivot_metrics(long_df: DataFrame, metrics: Sequence[str], keys: Sequence[str
 
 
 def derive(long_df: DataFrame, title: str, *fns, keys: Sequence[str] = ("entity", "tbl", "ts")) -> DataFrame:
-    """Derived metric: the *last* callable given wins (earlier ones are
-    ignored, as in the reference tuple form).  Any arithmetic failure gives
-    null (use ``try_*`` functions inside the lambda)."""
-    fn = [f for f in fns if callable(f)][-1]
-    col, used = trace(fn)
-    wide = pivot_metrics(long_df, used, keys)
+    """Derived metric: the *last* callable given wins.  Arithmetic that fails gives null.
+    Earlier rows (``m.prev...``) are those of the same keys without the time, in time order."""
+    m = MetricRow()
+    col = [f for f in fns if callable(f)][-1](m)
+    wide = pivot_metrics(long_df, m.used, keys)
+    series, ts = list(keys[:-1]), keys[-1]
+    if m.last:
+        wide = prev_row(wide, series, ts, sorted(m.last)).drop(f"prev_{ts}")
+    if m.running:
+        values = {f"sum_{x}": F.col(f"`{x}`") for x in sorted(m.running)}
+        values |= {f"n_{x}": F.when(F.col(f"`{x}`").isNotNull(), 1).otherwise(0) for x in sorted(m.running)}
+        wide = running_sums(wide, series, ts, values, include_current=False)
     return wide.select(*keys, F.lit(title).alias("item_title"), col.cast("double").alias("value"))
 
 
 class SeriesAggs:
     """Aggregate tracer for fleet search: ``a.max('x')``, ``a.min('x')``,
-    ``a.avg('x')``, ``a.count('x')`` (the store's count = sum)."""
+    ``a.avg('x')``, ``a.count('x')`` (the store's count = sum).  A metric that
+    a key does not have counts as 0."""
 
     def __init__(self):
         self.used: list[str] = []
@@ -67,7 +112,7 @@ class SeriesAggs:
         return max_floor0(self._v(name))
 
     def min(self, name: str) -> Column:
-        return F.min(self._v(name))
+        return F.coalesce(F.min(self._v(name)), F.lit(0.0))
 
     def count(self, name: str) -> Column:
         return F.coalesce(F.sum(self._v(name)), F.lit(0.0))
@@ -76,20 +121,19 @@ class SeriesAggs:
 
     def avg(self, name: str) -> Column:
         pts = F.count(F.when(F.col("metric") == name, F.lit(1)))
-        return F.try_divide(F.sum(self._v(name)), pts)
+        return F.coalesce(F.try_divide(F.sum(self._v(name)), pts), F.lit(0.0))
 
 
-def fleet_search(long_df: DataFrame, predicate: Callable[[SeriesAggs], Column],
-                 keys: Sequence[str] = ("entity", "tbl")) -> tuple[DataFrame, DataFrame]:
+def fleet_search(long_df: DataFrame, predicate: Callable[[SeriesAggs], Column], keys: Sequence[str] = ("entity", "tbl"),
+                 output: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """Keys whose aggregates satisfy ``predicate`` and their series.
 
-    One aggregate pass (partial + final) over the metrics the predicate uses,
-    then a left-semi join loads only the selected series.  Returns
+    One aggregate pass (partial + final) with a conditional column for each
+    metric that the predicate uses; every key of the data is tested, also
+    those without these metrics.  A left-semi join then loads only the
+    selected series, and ``output`` says what is made of them.  Returns
     ``(selected_keys, selected_series)``.
     """
-    a = SeriesAggs()
-    pred = predicate(a)
-    scoped = long_df.where(F.col("metric").isin(a.used))
-    selected = scoped.groupBy(*keys).agg(pred.alias("__hit")).where("__hit").select(*keys)
+    selected = long_df.groupBy(*keys).agg(predicate(SeriesAggs()).alias("__hit")).where("__hit").select(*keys)
     series = long_df.join(selected, list(keys), "left_semi")
-    return selected, series
+    return selected, output(series) if output else series

@@ -130,11 +130,6 @@ def drop_nulls(series: DataFrame) -> DataFrame:
     return series.where(F.col("value").isNotNull())
 
 
-def with_title_prefix(series: DataFrame, prefix: str) -> DataFrame:
-    return series.withColumn("item_title", F.concat(F.lit(prefix), "item_title")) \
-                 .withColumn("chart_title", F.concat(F.lit(prefix), "chart_title"))
-
-
 # ---------------------------------------------------------------- shapes ---
 def grid_to_points(grid: DataFrame, key_cols: Sequence[str]) -> DataFrame:
     """Normalise regular-grid results (shape A/B): one row per series chunk
@@ -151,11 +146,13 @@ def points_to_grid(df: DataFrame, key_cols: Sequence[str], chunk_s: int, step_s:
     """Pack points into regular-grid chunks (one array per key and chunk).
 
     Chunks are epoch-aligned ``chunk_s`` slices, so every array holds at most
-    ``chunk_s / step_s`` slots however long the series is.
+    ``chunk_s / step_s`` slots however long the series is.  A slot holds the
+    last point that falls into it.
     """
     from ..functions.timecols import bucket_start, epoch_us
     d = df.withColumn("start", bucket_start("ts", chunk_s)).withColumn(
         "slot", ((epoch_us("ts") - epoch_us("start")) / F.lit(step_s * 1_000_000)).cast("int"))
+    d = d.groupBy(*key_cols, "start", "slot").agg(F.max_by("value", "ts").alias("value"))
     g = d.groupBy(*key_cols, "start").agg(
         F.max("slot").alias("n"), F.map_from_entries(F.collect_list(F.struct("slot", "value"))).alias("m"))
     vals = F.transform(F.sequence(F.lit(0), F.col("n")), lambda i: F.try_element_at(F.col("m"), i))

@@ -6,12 +6,10 @@ of the data.  Every ordered operation here is instead computed in two
 levels:
 
 1. rows are partitioned by ``(series_key, split)`` where ``split`` is an
-   epoch-aligned time slice (default one day), and the operation runs
-   locally inside each slice;
-   Only series above ``HOT_ROWS`` rows are sliced (one cheap eager aggregate
-   finds them); all others are a single slice.  With no hot series at all the
-   plan is exactly a plain window;
-2. one small row per slice (its last row, its total, its count ...) carries
+   epoch-aligned time slice of fixed width (``split_s``, a parameter of every
+   operator), and the operation runs locally inside each slice;
+2. one small row per slice (its last row, its total, its count ...), made by an
+   aggregate that combines before it shuffles, carries
    the state across slices with a window over the *slice table*, which has
    ``span / split_s`` rows per series however dense the series is;
 3. the carry is joined back on ``(series_key, split)``.  The big side is
@@ -30,41 +28,17 @@ from pyspark.sql import functions as F
 
 from ..functions.timecols import bucket_index, epoch_us
 
-DEFAULT_SPLIT_S = None     # None: adaptive (only hot series are sliced)
-HOT_ROWS = 10_000_000      # a series above this many rows is cut into time slices of ~this size
+DEFAULT_SPLIT_S = 7 * 86_400     # slice width in seconds; denser series take a smaller one
 _SB = "__split"
-_HOT = "__hot"
 
 
 def _cols(x) -> list[str]:
     return [x] if isinstance(x, str) else list(x)
 
 
-def _split(df: DataFrame, ts: str, split_s: int | None, keys=None,
-           hot_rows: int | None = None) -> tuple[DataFrame, bool]:
-    """Slice id per row, and whether any series is sliced.
-
-    ``split_s`` given: fixed epoch-aligned slices of that width for every
-    series.  Otherwise adaptive: a partial+final aggregate counts rows per
-    series and is evaluated eagerly (it returns only the hot series, at most
-    ``rows / hot_rows`` of them).  With no hot series the plan is a plain
-    window -- no carry branch, no join.  Hot series are cut into slices of
-    about ``hot_rows`` rows; their list is broadcast.
-    """
-    if split_s is not None:
-        return df.withColumn(_SB, bucket_index(ts, split_s)).withColumn(_HOT, F.lit(True)), True
-    hot_rows = HOT_ROWS if hot_rows is None else hot_rows
-    us = epoch_us(ts)
-    stats = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min(us).alias("__t0"), F.max(us).alias("__t1"))
-             .where(F.col("__n") > F.lit(hot_rows)))
-    width = F.greatest(F.lit(1), F.ceil((F.col("__t1") - F.col("__t0") + 1) * F.lit(hot_rows) / F.col("__n")))
-    hot = stats.select(*keys, F.col("__t0").alias("__h0"), width.cast("bigint").alias("__hw"))
-    if hot.isEmpty():
-        return df.withColumn(_SB, F.lit(0).cast("bigint")).withColumn(_HOT, F.lit(False)), False
-    d = df.join(F.broadcast(hot), list(keys), "left")
-    sb = F.when(F.col("__hw").isNull(), F.lit(0).cast("bigint")).otherwise(
-        F.floor((us - F.col("__h0")) / F.col("__hw")).cast("bigint"))
-    return d.withColumn(_SB, sb).withColumn(_HOT, F.col("__hw").isNotNull()).drop("__h0", "__hw"), True
+def _split(df: DataFrame, ts: str, split_s: int) -> DataFrame:
+    """Slice id per row; nothing about the data is looked up while the plan is built."""
+    return df.withColumn(_SB, bucket_index(ts, split_s))
 
 
 def _local_window(keys, order):
@@ -75,18 +49,6 @@ def _slice_window(keys):
     return Window.partitionBy(*keys).orderBy(_SB)
 
 
-def _mark_last(d: DataFrame, keys, order) -> DataFrame:
-    """Flag the last row of each (series, slice): its slice summary is read
-    from that row, so no aggregate is needed."""
-    return d.withColumn("__last_row", F.lead(F.lit(1)).over(_local_window(keys, order)).isNull())
-
-
-def _hot_rows(base: DataFrame) -> DataFrame:
-    """Rows of sliced series only: the carry branch never touches the rest, and
-    the main window's output is consumed once."""
-    return base.where(F.col(_HOT))
-
-
 def prev_row(df: DataFrame, keys: Sequence[str] | str, ts: str, cols: Sequence[str],
              tiebreak: Sequence[str] | str = (), prefix: str = "prev_",
              split_s: int = DEFAULT_SPLIT_S) -> DataFrame:
@@ -97,15 +59,10 @@ def prev_row(df: DataFrame, keys: Sequence[str] | str, ts: str, cols: Sequence[s
     keys, tiebreak, cols = _cols(keys), _cols(tiebreak), _cols(cols)
     order = [ts] + tiebreak
     payload = F.struct(*[F.col(c).alias(c) for c in order + [c for c in cols if c not in order]])
-    base, sliced = _split(df, ts, split_s, keys)
+    base = _split(df, ts, split_s)
     base = base.withColumn("__payload", payload)
     d = base.withColumn("__prev", F.lag("__payload").over(_local_window(keys, order)))
-    if not sliced:
-        prev = F.col("__prev")
-        extra = [prev.getField(ts).alias(prefix + ts)] + [prev.getField(c).alias(prefix + c) for c in cols if c != ts]
-        return d.select(*[F.col(c) for c in df.columns], *extra)
-    last = _mark_last(_hot_rows(base), keys, order).where("__last_row").select(
-        *keys, _SB, F.col("__payload").alias("__last"))
+    last = base.groupBy(*keys, _SB).agg(F.max_by("__payload", F.struct(*order)).alias("__last"))
     carry = (last.withColumn("__carry", F.lag("__last").over(_slice_window(keys)))
              .select(*keys, _SB, "__carry").where(F.col("__carry").isNotNull()))
     out = d.join(carry, on=[*keys, _SB], how="left")
@@ -124,7 +81,7 @@ def running_sums(df: DataFrame, keys: Sequence[str] | str, ts: str, values: dict
     """
     keys, tiebreak = _cols(keys), _cols(tiebreak)
     order = [ts] + tiebreak
-    base, sliced = _split(df, ts, split_s, keys)
+    base = _split(df, ts, split_s)
     for name, expr in values.items():
         base = base.withColumn("__v_" + name, expr)
     w_inc = _local_window(keys, order).rowsBetween(Window.unboundedPreceding, 0)
@@ -135,10 +92,8 @@ def running_sums(df: DataFrame, keys: Sequence[str] | str, ts: str, values: dict
             d = d.withColumn("__l_" + name, F.coalesce(F.sum("__v_" + name).over(w_inc), F.lit(0)))
         else:
             d = d.withColumn("__l_" + name, F.coalesce(F.sum("__v_" + name).over(w_exc), F.lit(0)))
-    if not sliced:
-        return d.select(*[F.col(c) for c in df.columns], *[F.col("__l_" + n).alias(n) for n in values])
-    # slice totals of hot series only
-    tot = _hot_rows(base).groupBy(*keys, _SB).agg(*[F.sum("__v_" + n).alias("__t_" + n) for n in values])
+    # slice totals
+    tot = base.groupBy(*keys, _SB).agg(*[F.sum("__v_" + n).alias("__t_" + n) for n in values])
     ws = _slice_window(keys).rowsBetween(Window.unboundedPreceding, -1)
     carry = tot.select(*keys, _SB, *[F.coalesce(F.sum("__t_" + n).over(ws), F.lit(0)).alias("__c_" + n)
                                      for n in values])
@@ -156,17 +111,12 @@ def position(df: DataFrame, keys: Sequence[str] | str, ts: str, name: str = "pos
     """
     keys, tiebreak = _cols(keys), _cols(tiebreak)
     order = [ts] + tiebreak
-    base, sliced = _split(df, ts, split_s, keys)
+    base = _split(df, ts, split_s)
     lw = _local_window(keys, order)
     d = base.withColumn("__rn", F.row_number().over(lw))
     if total_name:
         d = d.withColumn("__slice_n", F.count(F.lit(1)).over(Window.partitionBy(*keys, _SB)))
-    if not sliced:
-        cols = [F.col(c) for c in df.columns] + [F.col("__rn").cast("bigint").alias(name)]
-        if total_name:
-            cols.append(F.col("__slice_n").cast("bigint").alias(total_name))
-        return d.select(*cols)
-    cnt = _hot_rows(base).groupBy(*keys, _SB).agg(F.count(F.lit(1)).alias("__n"))
+    cnt = base.groupBy(*keys, _SB).agg(F.count(F.lit(1)).alias("__n"))
     ws = _slice_window(keys).rowsBetween(Window.unboundedPreceding, -1)
     extra = [F.coalesce(F.sum("__n").over(ws), F.lit(0)).alias("__off")]
     if total_name:
@@ -187,13 +137,11 @@ def carry_forward(df: DataFrame, keys: Sequence[str] | str, ts: str, value: str,
     keys, tiebreak = _cols(keys), _cols(tiebreak)
     name = name or value
     order = [ts] + tiebreak
-    base, sliced = _split(df, ts, split_s, keys)
+    base = _split(df, ts, split_s)
     w = _local_window(keys, order).rowsBetween(Window.unboundedPreceding, 0)
     d = base.withColumn("__loc", F.last(value, ignorenulls=True).over(w))
-    if not sliced:
-        return d.select(*[F.col(c) for c in df.columns if c != name], F.col("__loc").alias(name))
     nn = F.when(F.col(value).isNotNull(), F.struct(*[F.col(c) for c in order], F.col(value).alias("__v")))
-    lastnn = _hot_rows(base).groupBy(*keys, _SB).agg(F.max(nn).alias("__lnn"))
+    lastnn = base.groupBy(*keys, _SB).agg(F.max(nn).alias("__lnn"))
     ws = _slice_window(keys).rowsBetween(Window.unboundedPreceding, -1)
     carry = (lastnn.select(*keys, _SB, F.last(F.col("__lnn").getField("__v"), ignorenulls=True).over(ws).alias("__cv"))
              .where(F.col("__cv").isNotNull()))

@@ -58,10 +58,10 @@ def cluster_brief(nodes: DataFrame) -> DataFrame:
 def merge_prefix_stats(stats: DataFrame, prefix_filter: str | None = None,
                        hide_in_totals: Sequence[str] = ("time",)) -> DataFrame:
     """Sum prefix statistics over nodes by (prefix, key).  ``prefix_filter``:
-    ``'all'`` / None = every prefix, ``'<null>'`` = the null prefix, else a
-    startsWith prefix.  Keys in ``hide_in_totals`` are not summed."""
+    ``'all'`` / None = every prefix, ``'null'`` or ``'<null>'`` = the null
+    prefix, else a startsWith prefix.  Keys in ``hide_in_totals`` are not summed."""
     d = stats.where(~F.col("key").isin(list(hide_in_totals)))
-    if prefix_filter == "<null>":
+    if prefix_filter in ("null", "<null>"):
         d = d.where(F.col("prefix") == "<null>")
     elif prefix_filter not in (None, "all"):
         d = d.where(F.col("prefix").startswith(prefix_filter))

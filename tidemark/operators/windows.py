@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timecols import epoch_us, whole_seconds_between
-from .seqwindow import DEFAULT_SPLIT_S, carry_forward, prev_row, running_sums
+from .seqwindow import DEFAULT_SPLIT_S, carry_forward, prev_row
 
 SERIES_KEY = ("entity", "tbl", "metric")
 
@@ -71,7 +71,7 @@ def counter_rate(df: DataFrame, keys: Sequence[str] = SERIES_KEY, heartbeat_col:
 
 
 def change_per_second(df: DataFrame, entity: str = "entity", item_keys: Sequence[str] = ("tbl", "metric"),
-                      split_s: int = DEFAULT_SPLIT_S) -> DataFrame:
+                      split_s: int = DEFAULT_SPLIT_S, samples: DataFrame | None = None) -> DataFrame:
     """Current vs previous *sample* of each client: a sample is all rows of an
     entity at one ts.  For every (tbl, metric) present in both samples,
     ``(v - v_prev) / whole_seconds``; skipped when no previous sample or the
@@ -79,10 +79,11 @@ def change_per_second(df: DataFrame, entity: str = "entity", item_keys: Sequence
 
     A series has a value in the previous sample exactly when its own
     previous row sits at the previous sample time, so this is a per-series
-    lag plus one join with the per-client sample sequence.
+    lag plus one join with the per-client sample sequence.  ``samples``: the
+    rows that tell the sample times, where ``df`` has only some of the metrics.
     """
     series = prev_row(df, [entity, *item_keys], "ts", ["value"], split_s=split_s)
-    samples = df.select(entity, "ts").distinct()
+    samples = (df if samples is None else samples).select(entity, "ts").distinct()
     seq = prev_row(samples, [entity], "ts", [], prefix="smp_", split_s=split_s)
     j = series.join(seq, [entity, "ts"]).where(F.col("prev_ts") == F.col("smp_ts"))
     secs = whole_seconds_between("prev_ts", "ts")
@@ -91,16 +92,6 @@ def change_per_second(df: DataFrame, entity: str = "entity", item_keys: Sequence
                     ((F.col("value") - F.col("prev_value")) / secs).alias("change_per_sec")))
 
 
-def history_ratio(df: DataFrame, keys: Sequence[str] = SERIES_KEY, split_s: int = DEFAULT_SPLIT_S) -> DataFrame:
-    """Expression over the full history rewritten as running aggregates:
-    ``value / mean(earlier non-null values)``; null with no earlier value."""
-    d = running_sums(df, keys, "ts", {"prev_sum": F.col("value"),
-                                     "prev_n": F.when(F.col("value").isNotNull(), F.lit(1)).otherwise(F.lit(0))},
-                     include_current=False, split_s=split_s)
-    return d.withColumn("prev_mean", F.try_divide(F.col("prev_sum").cast("double"), F.col("prev_n"))) \
-            .withColumn("ratio", F.try_divide(F.col("value"), F.col("prev_mean")))
-
-
 def locf(df: DataFrame, keys: Sequence[str], value: str = "value", default: float | None = 0.0,
          split_s: int = DEFAULT_SPLIT_S) -> DataFrame:
     """Fill missing values with the last value seen in the series (``default`` if none)."""
@@ -117,22 +108,17 @@ def prescale(df: DataFrame, step_s: float, kind_col: str = "kind") -> DataFrame:
 
 
 def stack_adjacent(series: DataFrame, cumulative: bool = False) -> DataFrame:
-    """Add an item ``stack`` placed first in each chart: (last item) + (item
-    before it) per time; null where either is null.  ``cumulative=True``
-    stacks every item instead.  Windows are per (chart, ts): a handful of
-    items, never a whole series."""
-    last = series.groupBy("chart_ord").agg(F.max("item_ord").alias("__last"))  # one row per chart
+    """For charts whose layout has the ``#stack`` flag (column ``stack``): an item
+    ``stack`` placed first, (last item) + (item before it) per time, null where
+    either is null; ``cumulative=True`` stacks every item instead.  Other charts
+    pass unchanged.  Windows are per (chart, ts): a handful of items, never a
+    whole series."""
+    flagged = series.where("stack")
     w = Window.partitionBy("chart_ord", "entity", "tbl", "ts").orderBy("item_ord")
-    d = series.join(F.broadcast(last), "chart_ord")
-    if cumulative:
-        s = F.sum("value").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    else:
-        s = F.col("value") + F.lag("value").over(w)
-    d = d.withColumn("__stack", s)
-    top = d.where(F.col("item_ord") == F.col("__last")).select(
-        "chart_ord", F.concat(F.lit("stack, "), F.col("chart_title")).alias("chart_title"),
-        F.lit(-1).alias("item_ord"), F.lit("stack").alias("item_title"), "entity", "tbl", "ts",
-        F.col("__stack").alias("value"))
-    rest = series.select("chart_ord", F.concat(F.lit("stack, "), F.col("chart_title")).alias("chart_title"),
-                         "item_ord", "item_title", "entity", "tbl", "ts", "value")
-    return top.unionByName(rest)
+    total = F.sum("value").over(w.rowsBetween(Window.unboundedPreceding, 0)) if cumulative else F.col("value") + F.lag("value").over(w)
+    top = F.col("item_ord") == F.max("item_ord").over(Window.partitionBy("chart_ord", "entity", "tbl", "ts"))
+    title = F.concat(F.lit("stack, "), F.col("chart_title")).alias("chart_title")
+    cols = [c for c in ("chart_ord", "item_ord", "item_title", "entity", "tbl", "ts", "value")]
+    stacked = flagged.withColumn("__s", total).withColumn("__top", top).where("__top").select(
+        "chart_ord", title, F.lit(-1).alias("item_ord"), F.lit("stack").alias("item_title"), "entity", "tbl", "ts", F.col("__s").alias("value"))
+    return stacked.unionByName(flagged.select(title, *cols)).unionByName(series.where(~F.col("stack")).select("chart_title", *cols))

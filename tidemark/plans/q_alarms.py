@@ -9,7 +9,6 @@ from ..operators import alarms as AL
 from ..operators import rules as RU
 from ..operators import windows as Wn
 from ..operators.seqwindow import prev_row
-from ..session import materialize
 from ..sources import testdata as T
 from .registry import query
 from .sqlviews import register
@@ -39,7 +38,7 @@ ABS_RULES_SQL = """(VALUES
   (3, '*:R', NULL, 'bytes_sent', 0, 0.5, '0.5'), (3, '*:R', NULL, 'bytes_sent', 1, 1.0, '1.0'),
   (3, '*:R', NULL, 'bytes_sent', 2, NULL, 'None'),
   (4, '*:[AF]', NULL, 'bytes_sent', 0, 0.8, '0.8'), (4, '*:[AF]', NULL, 'bytes_sent', 1, NULL, 'None'),
-  (4, '*:[AF]', NULL, 'bytes_sent', 2, NULL, 'None')
+  (4, '*:[AF]', NULL, 'bytes_sent', 2, NULL, 'None'), (4, '*:[AF]', NULL, 'bytes_recv', 0, 0.001, '0.001')
 ) AS r(rule_ord, pattern, ign, metric, level, lim, limit_text)"""
 
 HIT_LIMITS = (0.5, 0.2, None)
@@ -47,7 +46,7 @@ HIT_LIMITS = (0.5, 0.2, None)
 
 def _hit_rule(m, limit):
     ratio = F.try_divide(m["get_hits"], m["cmd_get"])
-    return ratio < F.lit(limit), F.format_string("hit ratio(%f) belows %f", ratio, F.lit(limit))
+    return ratio < F.lit(limit), F.format_string("hit ratio %f is under %f", ratio, F.lit(limit))
 
 
 LAMBDA_RULES = [RU.LambdaRule("server-*:*", "hit_ratio", _hit_rule, HIT_LIMITS, ignore="server-4?:*")]
@@ -76,7 +75,7 @@ JOIN alarm_src p ON p.entity = c.entity AND p.tbl = c.tbl AND p.metric = c.metri
 WHERE (epoch_us(c.ts) - epoch_us(q.prev_ts)) // 1000000 <> 0""", ("alarm_src", "samples_seq"))
 register("abs_alarms", f"""
 SELECT c.ts, c.key || '.' || c.metric || '(' || CAST(r.level AS VARCHAR) || ')' AS alarm_key, r.level,
-       printf('[%s] absolute value of %s(%d) exceeds %s', c.key, c.metric,
+       printf('%s: %s changed by %d a second, limit %s', c.key, c.metric,
               CAST(trunc(c.change_per_sec) AS BIGINT), r.limit_text) AS message
 FROM changes c JOIN rule_pick p ON c.key = p.key
 JOIN {ABS_RULES_SQL} ON r.rule_ord = p.rule_ord AND r.metric = c.metric
@@ -91,7 +90,7 @@ WHERE EXISTS (SELECT 1 FROM net p WHERE p.entity = n.entity AND p.tbl = n.tbl AN
          ("net", "samples_seq"))
 register("lambda_alarms", """
 SELECT s.ts, s.key || '.hit_ratio(' || CAST(l.level AS VARCHAR) || ')' AS alarm_key, l.level,
-       '[' || s.key || '] ' || printf('hit ratio(%f) belows %f',
+       s.key || ': ' || printf('hit ratio %f is under %f',
             CASE WHEN s.cmd_get = 0 THEN NULL ELSE s.get_hits / s.cmd_get END, l.lim) AS message
 FROM net_seq s SEMI JOIN lambda_pick USING (key)
 JOIN (VALUES (0, 0.5), (1, 0.2)) AS l(level, lim)
@@ -112,21 +111,26 @@ SELECT * FROM (
 
 
 def _alarm_src(spark, d):
-    """Samples checked by the alarm rules (derived views, read by several
-    operators: computed once per query)."""
-    return materialize(T.counter_long(spark, d).drop("seq").unionByName(T.net_long(spark, d)))
+    """Samples checked by the alarm rules."""
+    return T.counter_long(spark, d).drop("seq").unionByName(T.net_long(spark, d))
 
 
-def _abs_alarms(spark, d, src=None):
-    src = _alarm_src(spark, d) if src is None else src
-    return AL.threshold_alarms(Wn.change_per_second(src), RU.abs_rules_frame(spark, ABS_RULES))
+def _sample_times(spark, d):
+    """(entity, ts) of all samples, without the values (counter samples are events)."""
+    ev = T.table(spark, d, "events")
+    counted = ev.select(F.concat(F.lit("host-"), F.col("user_id").cast("string")).alias("entity"), "ts")
+    return counted.unionByName(T.net_wide(spark, d).select("entity", "ts"))
 
 
-def _lambda_alarms(spark, d, src=None):
-    src = _alarm_src(spark, d) if src is None else src
-    samples = src.select("entity", "ts").distinct()
-    seq = prev_row(samples, ["entity"], "ts", [])
+def _abs_alarms(spark, d):
+    ruled = sorted({m for r in ABS_RULES for m in r.limits})  # only these metrics are compared
+    src = _alarm_src(spark, d).where(F.col("metric").isin(ruled))
+    return AL.threshold_alarms(Wn.change_per_second(src, samples=_sample_times(spark, d)), RU.abs_rules_frame(spark, ABS_RULES))
+
+
+def _lambda_alarms(spark, d):
     net = T.net_wide(spark, d)  # already one row per (entity, tbl, ts) with a column per metric
+    seq = prev_row(_sample_times(spark, d).distinct(), ["entity"], "ts", [])
     cur = net.join(seq, ["entity", "ts"])
     prev_tables = net.select("entity", "tbl", F.col("ts").alias("prev_ts"))
     cur = cur.join(prev_tables, ["entity", "tbl", "prev_ts"], "left_semi")
@@ -134,8 +138,7 @@ def _lambda_alarms(spark, d, src=None):
 
 
 def _all_alarms(spark, d):
-    src = _alarm_src(spark, d)
-    return _abs_alarms(spark, d, src).unionByName(_lambda_alarms(spark, d, src))
+    return _abs_alarms(spark, d).unionByName(_lambda_alarms(spark, d))
 
 
 # ---------------------------------------------------------------- J2 ------

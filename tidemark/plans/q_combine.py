@@ -23,22 +23,21 @@ def _loader(spark, d, tbl):
 
 # ---------------------------------------------------------------- U1 ------
 @query("concat_charts", V("net_long", body=f"""
-SELECT CASE n.tbl WHEN 'net_A' THEN 0 ELSE 1 END AS section_ord, l.chart_ord, l.chart_title, l.item_ord,
+SELECT CASE n.tbl WHEN 'net_A' THEN 0 WHEN 'net_N' THEN 1 ELSE 2 END AS section_ord, l.chart_ord, l.chart_title, l.item_ord,
        l.item_title, n.entity, n.tbl, n.ts, n.value
-FROM net_long n JOIN {_L2_SQL} ON n.metric = l.metric
-WHERE n.tbl IN ('net_A', 'net_R')"""), "U1 P7")
+FROM net_long n JOIN {_L2_SQL} ON n.metric = l.metric"""), "U1 P7")
 def concat_charts(spark, d):
-    return C.concat_charts([_loader(spark, d, "net_A"), _loader(spark, d, "net_R")])
+    return C.concat_charts([_loader(spark, d, t) for t in ("net_A", "net_N", "net_R")])
 
 
 # ---------------------------------------------------------------- U2 ------
 @query("merge_charts", V("net_long", body=f"""
 SELECT l.chart_ord, l.chart_title, l.item_ord, l.item_title, n.entity, n.tbl, n.ts, n.value,
-       CASE n.tbl WHEN 'net_A' THEN 0 WHEN 'net_F' THEN 1 ELSE 2 END AS input_ord
+       CASE n.tbl WHEN 'net_A' THEN 0 WHEN 'net_N' THEN 1 ELSE 2 END AS input_ord
 FROM net_long n JOIN {_L2_SQL} ON n.metric = l.metric
-WHERE n.tbl IN ('net_A', 'net_F', 'net_R')"""), "U2 V4 V5")
+WHERE n.tbl IN ('net_A', 'net_N', 'net_R')"""), "U2 V4 V5")
 def merge_charts(spark, d):
-    ins = [_loader(spark, d, t) for t in ("net_A", "net_F", "net_R")]
+    ins = [_loader(spark, d, t) for t in ("net_A", "net_N", "net_R")]
     return C.merge_charts(ins, chart_counts=[len(_L2)] * 3)
 
 
@@ -63,11 +62,11 @@ def membership_changes(spark, d):
 # ---------------------------------------------------------------- O1 ------
 @query("sort_charts", V("net_long", body=f"""
 SELECT l.chart_ord, l.chart_title, l.item_ord, l.item_title, n.entity, n.tbl, n.ts, n.value,
-       CASE n.tbl WHEN 'net_A' THEN 0 WHEN 'net_F' THEN 1 ELSE 2 END AS input_ord
+       CASE n.tbl WHEN 'net_A' THEN 0 WHEN 'net_N' THEN 1 ELSE 2 END AS input_ord
 FROM net_long n JOIN {_L2_SQL} ON n.metric = l.metric
-WHERE n.tbl IN ('net_A', 'net_F', 'net_R')
+WHERE n.tbl IN ('net_A', 'net_N', 'net_R')
 ORDER BY l.chart_title, input_ord, l.item_ord, n.entity, n.ts"""), "O1 U2")
 def sort_charts(spark, d):
-    ins = [_loader(spark, d, t) for t in ("net_A", "net_F", "net_R")]
+    ins = [_loader(spark, d, t) for t in ("net_A", "net_N", "net_R")]
     return C.merge_charts(ins, chart_counts=[len(_L2)] * 3).orderBy("chart_title", "input_ord", "item_ord",
                                                                      "entity", "ts")

@@ -178,13 +178,13 @@ def parse_positional(spark, d):
 @query("parse_prefix", V("prefix_dumps", body=r"""
 WITH d AS (SELECT entity, tbl, ts, string_split_regex(text, '\r?\n') AS l FROM prefix_dumps),
 e AS (SELECT entity, tbl, ts, string_split_regex(line, '\s+') AS a
-      FROM (SELECT entity, tbl, ts, unnest(l) AS line FROM d WHERE len(l) <= 32) x WHERE line <> 'END'),
+      FROM (SELECT entity, tbl, ts, unnest(l) AS line FROM d) x WHERE line <> 'END'),
 b AS (SELECT entity, tbl, ts, a[2] AS prefix, a[3:] AS body FROM e WHERE len(a) >= 2)
 SELECT entity, tbl, ts, prefix, unnest(list_filter(body, lambda x, i: i % 2 = 1)) AS key,
        unnest(list_filter(body, lambda x, i: i % 2 = 0)) AS raw
 FROM b"""), "P17 A13")
 def parse_prefix(spark, d):
-    return N.parse_prefix(RD.prefix_dumps(spark, d), max_lines=32)
+    return N.parse_prefix(RD.prefix_dumps(spark, d))
 
 
 # ---------------------------------------------------------------- S7 ------
@@ -239,14 +239,14 @@ def merge_plugins(spark, d):
 
 
 # ---------------------------------------------------------------- S8 ------
-@query("unstack", V("net", body="""
+@query("unstack", V("net_long", "counter_long", body="""
 SELECT entity AS client, ts AS datetime, CAST(COUNT(DISTINCT tbl) AS INTEGER) AS n_tables
-FROM net GROUP BY entity, ts"""), "S8 T2")
+FROM (SELECT entity, ts, tbl FROM net_long UNION ALL SELECT entity, ts, tbl FROM counter_long) s GROUP BY entity, ts"""), "S8 T2")
 def unstack(spark, d):
     from ..functions.timecols import bucket_index
-    smp = _samples(spark, d).where(F.col("sample.client").startswith("server-"))
+    smp = _samples(spark, d)
     stacked = smp.groupBy(F.col("sample.client").alias("c"), bucket_index("sample.datetime", 7 * 86400).alias("w")) \
-        .agg(F.collect_list("sample").alias("stack"))            # <= 7 daily samples per stack
+        .agg(F.collect_list("sample").alias("stack"))            # a week of one client
     return stacked.select(F.explode("stack").alias("s")).select(
         F.col("s.client").alias("client"), F.col("s.datetime").alias("datetime"),
         F.size("s.tables").alias("n_tables"))
@@ -330,12 +330,8 @@ def bitmask(spark, d):
     k = F.get_json_object("props", "$.k").cast("int")
     h = ev.select("event_id", k.alias("k")).withColumn(
         "flag", F.when(F.col("k") < 16, F.lpad(F.hex("k"), 2, "0")).otherwise(F.lpad(F.hex("k"), 4, "0")))
-    outs = [h.where(eflag_predicate(expr, "flag")).withColumn("filter_id", F.lit(i))
-            for i, expr in enumerate(EFLAG_FILTERS)]
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
+    matched = F.array(*[F.when(eflag_predicate(expr, "flag"), F.lit(i)) for i, expr in enumerate(EFLAG_FILTERS)])
+    return h.select("*", F.explode(F.array_compact(matched)).alias("filter_id"))
 
 
 # ------------------------------------------------------------ V3, V2 ------

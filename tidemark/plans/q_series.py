@@ -32,7 +32,10 @@ def range_scan(spark, d):
 SELECT entity FROM gauge_long UNION SELECT entity FROM net UNION SELECT entity FROM counter_long"""),
        "S11 U3 A15")
 def entities(spark, d):
-    return S.list_entities(T.gauge_long(spark, d), T.net_wide(spark, d), T.counter_long(spark, d))
+    # names only: counters are the users of events, servers the suppliers of lineitem
+    users = T.table(spark, d, "events").select(F.concat(F.lit("host-"), F.col("user_id").cast("string")).alias("entity"))
+    servers = T.table(spark, d, "lineitem").select(F.concat(F.lit("server-"), F.col("l_suppkey").cast("string")).alias("entity"))
+    return S.list_entities(users, servers)
 
 
 # ------------------------------------------------------------ S12, S13 ----
@@ -144,8 +147,21 @@ def first_instance(spark, d):
 
 # ------------------------------------------------------------ S4, P23 -----
 @query("implicit_ts", V("net", body="""
-SELECT entity, tbl, ts, bytes_sent AS value FROM net"""), "S4 P23 S3")
+SELECT entity, tbl, chunk + INTERVAL 1 DAY * (row_number() OVER (PARTITION BY entity, tbl, chunk ORDER BY ts) - 1) AS ts, value
+FROM (SELECT entity, tbl, ts, bytes_sent AS value,
+             make_timestamp(CAST(floor(epoch_us(ts) / 2592000000000) AS BIGINT) * 2592000000000) AS chunk FROM net) x"""), "S4 P23")
 def implicit_ts(spark, d):
+    """Grid rows hold values without times: the n-th value stands at start + n * step."""
+    from ..functions.timecols import bucket_start
+    ordered = F.array_sort(F.collect_list(F.struct("ts", F.col("bytes_sent").alias("value"))))
+    grid = T.net_wide(spark, d).groupBy("entity", "tbl", bucket_start("ts", 30 * 86400).alias("start")).agg(ordered.alias("pts")) \
+        .select("entity", "tbl", "start", F.lit(86400).alias("step_s"), F.col("pts.value").alias("vals"))
+    return S.grid_to_points(grid, ["entity", "tbl"])
+
+
+@query("grid_pack", V("net", body="""
+SELECT entity, tbl, ts, bytes_sent AS value FROM net"""), "S4")
+def grid_pack(spark, d):
     pts = T.net_wide(spark, d).select("entity", "tbl", "ts", F.col("bytes_sent").alias("value"))
     grid = S.points_to_grid(pts, ["entity", "tbl"], chunk_s=30 * 86400, step_s=86400)
     return S.grid_to_points(grid, ["entity", "tbl"]).where(F.col("value").isNotNull())
@@ -201,11 +217,10 @@ def series_min(spark, d):
 SELECT l.chart_ord, l.item_ord, min(l.chart_title) AS chart_title, min(l.item_title) AS item_title, n.ts,
        {rnd('CAST(SUM(CAST(n.value AS DECIMAL(18,2))) AS DOUBLE)')} AS value, CAST(COUNT(n.value) AS BIGINT) AS n_instances
 FROM net_long n JOIN {LAYOUT_SQL} ON n.metric = l.metric
-WHERE n.tbl = 'net_R'
 GROUP BY l.chart_ord, l.item_ord, n.ts"""), "A5 J11 V4 V5")
 def sum_instances(spark, d):
     lay = S.layout_frame(spark, LAYOUT)
-    ser = S.apply_layout(T.net_long(spark, d).where(F.col("tbl") == "net_R"), lay)
+    ser = S.apply_layout(T.net_long(spark, d), lay)
     out = A.sum_instances(ser.withColumn("value", _cents("value")))
     return out.withColumn("value", _r(F.col("value")))
 
@@ -295,20 +310,62 @@ def share_of_total(spark, d):
 
 
 # ------------------------------------------------------- J1, F2, F3, V7 ---
-FLEET_LIMIT = 2_000_000.0
+FLEET_LIMIT = 180_000.0
 
 
 @query("fleet_search", V("net_long", body=f"""
 WITH k AS (
-  SELECT entity, tbl FROM net_long WHERE metric IN ('bytes_sent', 'bytes_recv')
-  GROUP BY entity, tbl
+  SELECT entity, tbl FROM net_long GROUP BY entity, tbl
   HAVING greatest(COALESCE(MAX(CASE WHEN metric = 'bytes_sent' THEN value END), 0), 0)
        + greatest(COALESCE(MAX(CASE WHEN metric = 'bytes_recv' THEN value END), 0), 0) > {FLEET_LIMIT})
-SELECT n.entity, n.tbl, n.metric, n.ts, n.value FROM net_long n SEMI JOIN k USING (entity, tbl)
-WHERE n.metric = 'bytes_sent'"""), "J1 F2 F3 V7")
+SELECT n.entity, n.tbl, n.metric, n.ts, n.value FROM net_long n SEMI JOIN k USING (entity, tbl)"""), "J1 F2 V7")
 def fleet(spark, d):
     _, series = fleet_search(T.net_long(spark, d), lambda a: a.max("bytes_sent") + a.max("bytes_recv") > FLEET_LIMIT)
-    return series.where(F.col("metric") == "bytes_sent")
+    return series
+
+
+COLD_LIMIT = 1.03
+
+
+@query("cold_caches", V("net_long", "gauge_long", body=f"""
+WITH s AS (SELECT entity, tbl, metric, ts, value FROM net_long
+           UNION ALL SELECT entity, tbl, metric, ts, value FROM gauge_long),
+k AS (SELECT entity, tbl FROM s GROUP BY entity, tbl
+      HAVING COALESCE(SUM(CASE WHEN metric = 'cmd_get' THEN value END)
+                      / NULLIF(COUNT(CASE WHEN metric = 'cmd_get' THEN 1 END), 0), 0) < {COLD_LIMIT})
+SELECT s.entity, s.tbl, s.metric, arg_max(s.value, s.ts) AS value, max(s.ts) AS ts
+FROM s SEMI JOIN k USING (entity, tbl)
+WHERE s.metric <> 'value' GROUP BY s.entity, s.tbl, s.metric
+UNION ALL
+SELECT s.entity, s.tbl, s.metric, max(s.value) AS value, max(s.ts) AS ts
+FROM s SEMI JOIN k USING (entity, tbl)
+WHERE s.metric = 'value' GROUP BY s.entity, s.tbl, s.metric"""), "V7 F2 F3 J1")
+def cold_caches(spark, d):
+    """Keys whose mean of cmd_get is low; keys without that metric are the coldest.  The output
+    is the newest value of each series (gauges may have several at one time: their largest)."""
+    s = T.net_long(spark, d).unionByName(T.gauge_long(spark, d).drop("seq"))
+    newest = F.when(F.col("metric") == "value", F.max("value")).otherwise(F.max_by("value", "ts"))
+    return fleet_search(s, lambda a: a.avg("cmd_get") < COLD_LIMIT,
+                        output=lambda x: x.groupBy("entity", "tbl", "metric").agg(newest.alias("value"), F.max("ts").alias("ts")))[1]
+
+
+# ------------------------------------------------------------- P5, F1 -----
+@query("derive_plain_div", V("net", body="""
+SELECT entity, tbl, ts, 'gets a hit' AS item_title, CASE WHEN get_hits = 0 THEN NULL ELSE cmd_get / get_hits * 100 END AS value
+FROM net"""), "P5 F1")
+def derive_plain_div(spark, d):
+    return derive(T.net_long(spark, d), "gets a hit", lambda m: m["cmd_get"] / m["get_hits"] * 100)
+
+
+@query("derive_prev", V("net", body="""
+SELECT entity, tbl, ts, 'against before' AS item_title,
+       (bytes_recv - lag(bytes_recv) OVER w) / nullif(SUM(bytes_recv) OVER b / COUNT(bytes_recv) OVER b, 0) AS value
+FROM net
+WINDOW w AS (PARTITION BY entity, tbl ORDER BY ts),
+       b AS (PARTITION BY entity, tbl ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""), "P5 F1 W5")
+def derive_prev(spark, d):
+    return derive(T.net_long(spark, d), "against before",
+                  lambda m: (m["bytes_recv"] - m.prev("bytes_recv")) / m.prev_mean("bytes_recv"))
 
 
 # ---------------------------------------------------------------- S18 -----
@@ -317,10 +374,10 @@ WITH r AS (SELECT CAST(date_diff('day', min(ts), max(ts)) AS BIGINT) AS n FROM n
 SELECT CAST(x AS BIGINT) AS x, CAST((x * x) % 97 AS BIGINT) AS y
 FROM r, range(0, r.n + 1) AS t(x)"""), "S18 F5")
 def generated_series(spark, d):
-    span = T.net_wide(spark, d).agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
-    days = span.select(F.timestamp_diff("DAY", "a", "b").alias("n"))
-    xs = days.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n"))).alias("x"))
-    return xs.select("x", ((F.col("x") * F.col("x")) % 97).cast("bigint").alias("y"))
+    # the range is one number, looked up first; the points are made by all tasks
+    n = T.table(spark, d, "lineitem").agg(F.timestamp_diff("DAY", F.min("l_shipdate"), F.max("l_shipdate"))).first()[0]
+    return S.generated_series(spark, 0, -1 if n is None else n + 1, 1, lambda x: ((x * x) % 97).cast("bigint")) if n is not None \
+        else spark.createDataFrame([], "x long, y long")
 
 
 # ---------------------------------------------------------------- S16 -----
@@ -392,11 +449,10 @@ SELECT g.entity, g.tbl, g.metric, g.ts, g.value FROM gauge_long g, n
 WHERE g.ts >= n.now - INTERVAL {LIVE_DIFF_S} SECOND AND g.ts < n.now + INTERVAL {LIVE_AHEAD_S} SECOND"""),
        "T10 P18")
 def live_range(spark, d):
-    """Batch twin of the live view: "now" is the newest sample (a one-row
-    aggregate, broadcast on a constant key); the range is [now - diff, now + 60 s)."""
-    from ..functions.timecols import add_seconds
+    """Batch twin of the live view: "now" is the newest sample, looked up first, so
+    that the range [now - diff, now + 60 s) reaches the scan as literals."""
+    import datetime as _dt
     g = T.gauge_long(spark, d)
-    now = g.agg(F.max("ts").alias("__now")).withColumn("__k", F.lit(1))
-    j = g.withColumn("__k", F.lit(1)).join(F.broadcast(now), "__k")
-    return j.where((F.col("ts") >= add_seconds("__now", -LIVE_DIFF_S)) & (F.col("ts") < add_seconds("__now", LIVE_AHEAD_S))) \
+    now = T.table(spark, d, "events").agg(F.max("ts")).first()[0] or _dt.datetime(1970, 1, 1)
+    return S.range_scan(g, now - _dt.timedelta(seconds=LIVE_DIFF_S), now + _dt.timedelta(seconds=LIVE_AHEAD_S)) \
         .select("entity", "tbl", "metric", "ts", "value")

@@ -217,7 +217,15 @@ def keys_per_node(spark, d):
 SHARDS = 4
 
 
-@query("shard_hash", None, "hash crc32")
+def _crc_values(n: int) -> str:
+    """(entity, crc32) of the first n entities, computed apart from Spark."""
+    import zlib
+    return "(VALUES " + ", ".join(f"('host-{i}', {zlib.crc32(f'host-{i}'.encode())})" for i in range(n)) + ") AS v(entity, crc)"
+
+
+@query("shard_hash", V("gauge_long", body=f"""
+SELECT entity, CAST(crc % {SHARDS} AS INTEGER) AS shard
+FROM (SELECT DISTINCT entity FROM gauge_long) e LEFT JOIN {_crc_values(20_000)} USING (entity)"""), "hash crc32")
 def shard_hash(spark, d):
     ents = T.gauge_long(spark, d).select("entity").distinct()
     return ents.select("entity", PL.shard_id(F.col("entity"), SHARDS).alias("shard"))
@@ -228,7 +236,8 @@ FETCH = dict(lo=1000, hi=9000, offset=10, count=100)
 register("bop_items", """
 SELECT 'cust-' || CAST(o_custkey AS VARCHAR) AS key, o_orderkey AS bkey, o_totalprice AS value FROM orders""")
 register("bop_keys", """
-SELECT DISTINCT 'cust-' || CAST(c_custkey AS VARCHAR) AS key FROM customer WHERE c_mktsegment = 'BUILDING'""")
+SELECT DISTINCT 'cust-' || CAST(c_custkey AS VARCHAR) AS key FROM customer WHERE c_mktsegment = 'BUILDING'
+UNION SELECT DISTINCT 'cust-' || CAST(c_custkey * 7 AS VARCHAR) AS key FROM customer""")
 
 
 def _bop(spark, d):
@@ -236,7 +245,8 @@ def _bop(spark, d):
     items = o.select(F.concat(F.lit("cust-"), F.col("o_custkey").cast("string")).alias("key"),
                      F.col("o_orderkey").alias("bkey"), F.col("o_totalprice").alias("value"))
     c = T.table(spark, d, "customer").where(F.col("c_mktsegment") == "BUILDING")
-    keys = c.select(F.concat(F.lit("cust-"), F.col("c_custkey").cast("string")).alias("key"))
+    more = T.table(spark, d, "customer").select(F.concat(F.lit("cust-"), (F.col("c_custkey") * 7).cast("string")).alias("key"))
+    keys = c.select(F.concat(F.lit("cust-"), F.col("c_custkey").cast("string")).alias("key")).unionByName(more).distinct()
     return PL.multi_range_fetch(items, keys, FETCH["lo"], FETCH["hi"], offset=FETCH["offset"], count=FETCH["count"])
 
 
@@ -303,7 +313,7 @@ WITH h AS (SELECT node, ip, port,
                     || CAST(r_regionkey AS VARCHAR) || '.corp' AS host,
                   CASE WHEN s_acctbal >= 0 THEN 'g' || CAST(n_nationkey AS VARCHAR) || '^M^' || ip || ':' || port
                        ELSE ip || ':' || port END AS znode,
-                  'arcus_' || port || CASE WHEN s_acctbal > 5000 THEN '-prefix' ELSE '' END AS tbl
+                  'cachepool_' || port || CASE WHEN s_acctbal > 5000 THEN '-prefix' ELSE '' END AS tbl
            FROM topo)
 SELECT node,
        CASE WHEN len(string_split(host, '.')) > 2
@@ -324,7 +334,7 @@ def name_rules(spark, d):
     znode = F.when(F.col("s_acctbal") >= 0, F.concat(F.lit("g"), F.col("n_nationkey").cast("string"), F.lit("^M^"),
                                                      F.col("ip"), F.lit(":"), F.col("port"))) \
         .otherwise(F.concat_ws(":", "ip", "port"))
-    tbl = F.concat(F.lit("arcus_"), F.col("port"), F.when(F.col("s_acctbal") > 5000, F.lit("-prefix")).otherwise(F.lit("")))
+    tbl = F.concat(F.lit("cachepool_"), F.col("port"), F.when(F.col("s_acctbal") > 5000, F.lit("-prefix")).otherwise(F.lit("")))
     h = t.select("node", host.alias("host"), znode.alias("znode"), tbl.alias("tbl"))
     inst, prefix = split_first(instance_of("tbl"), "-")
     return h.select("node", short_host("host").alias("short_host"), strip_replica("znode").alias("addr"),

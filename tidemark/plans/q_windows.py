@@ -86,13 +86,13 @@ WITH h AS (
   SELECT entity, tbl, metric, ts, value,
          CAST(SUM(CAST(value AS DECIMAL(18,2))) OVER w AS DOUBLE) AS s,
          COUNT(value) OVER w AS n
-  FROM net_long WHERE metric = 'bytes_sent'
+  FROM net_long
   WINDOW w AS (PARTITION BY entity, tbl, metric ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT entity, tbl, metric, ts, value, CASE WHEN n = 0 THEN NULL ELSE s / n END AS prev_mean,
-       CASE WHEN n = 0 THEN NULL ELSE value / (s / n) END AS ratio
+       CASE WHEN n = 0 THEN NULL ELSE value / nullif(s / n, 0) END AS ratio
 FROM h"""), "W5 P5")
 def history_expr(spark, d):
-    s = T.net_long(spark, d).where(F.col("metric") == "bytes_sent") \
+    s = T.net_long(spark, d) \
         .withColumn("value_c", F.col("value").cast("decimal(18,2)"))
     r = running_sums(s, ["entity", "tbl", "metric"], "ts",
                      {"prev_sum": F.col("value_c"),
@@ -104,24 +104,24 @@ def history_expr(spark, d):
 
 
 # ---------------------------------------------------------------- W6 ------
-STACK_LAYOUT = [["#stack", "bytes_recv", "cmd_get"]]
+STACK_LAYOUT = [["#stack", "bytes_recv", "cmd_get"], ["bytes_sent", "get_hits"]]  # the second is not stacked
 
 
-@query("stack_adjacent", V("net_long", body="""
+@query("stack_adjacent", V("net", "net_long", body="""
 WITH l AS (SELECT * FROM (VALUES (0, 'bytes_recv, cmd_get', 0, 'bytes_recv', 'bytes_recv'),
                                  (0, 'bytes_recv, cmd_get', 1, 'cmd_get', 'cmd_get'))
-           AS l(chart_ord, chart_title, item_ord, item_title, metric)),
-s AS (SELECT l.chart_ord, l.chart_title, l.item_ord, l.item_title, n.entity, n.tbl, n.ts, n.value
-      FROM net_long n JOIN l ON n.metric = l.metric),
-t AS (SELECT *, value + lag(value) OVER (PARTITION BY chart_ord, entity, tbl, ts ORDER BY item_ord) AS sv FROM s)
-SELECT chart_ord, 'stack, ' || chart_title AS chart_title, -1 AS item_ord, 'stack' AS item_title,
-       entity, tbl, ts, sv AS value FROM t WHERE item_ord = 1
+           AS l(chart_ord, chart_title, item_ord, item_title, metric))
+SELECT 0 AS chart_ord, 'stack, bytes_recv, cmd_get' AS chart_title, -1 AS item_ord, 'stack' AS item_title,
+       entity, tbl, ts, bytes_recv + cmd_get AS value FROM net
 UNION ALL
-SELECT chart_ord, 'stack, ' || chart_title, item_ord, item_title, entity, tbl, ts, value FROM s"""), "W6")
+SELECT l.chart_ord, 'stack, ' || l.chart_title, l.item_ord, l.item_title, n.entity, n.tbl, n.ts, n.value
+FROM net_long n JOIN l ON n.metric = l.metric
+UNION ALL
+SELECT 1, 'bytes_sent, get_hits', CASE metric WHEN 'bytes_sent' THEN 0 ELSE 1 END, metric, entity, tbl, ts, value
+FROM net_long WHERE metric IN ('bytes_sent', 'get_hits')"""), "W6")
 def stack_adjacent(spark, d):
     lay = S.layout_frame(spark, STACK_LAYOUT)
-    ser = S.apply_layout(T.net_long(spark, d), lay).select(*S.SERIES_COLS)
-    return Wn.stack_adjacent(ser)
+    return Wn.stack_adjacent(S.apply_layout(T.net_long(spark, d), lay)).select(*S.SERIES_COLS)
 
 
 # ------------------------------------------------------------ W7, T13 -----

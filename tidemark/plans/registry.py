@@ -27,11 +27,5 @@ def query(name: str, sql: str | None = None, ops: str = ""):
 
 
 def load_all() -> dict[str, tuple[QueryFn, str | None, str]]:
-    from . import q_series, q_windows, q_combine  # noqa: F401
-    for mod in ("q_normalize", "q_topology", "q_alarms", "q_placement"):
-        try:
-            __import__(f"{__package__}.{mod}")
-        except ModuleNotFoundError as e:  # modules land one by one
-            if mod not in str(e):
-                raise
+    from . import q_alarms, q_combine, q_normalize, q_series, q_topology, q_windows  # noqa: F401
     return REGISTRY

@@ -1,16 +1,12 @@
-"""Spark session helpers.
+"""A session for tests, benches and local runs.
 
-The library never assumes a local machine: the checkpoint folder comes from
-``spark.checkpoint.dir`` on the session (a shared folder on a cluster).  Only
-when that setting is absent -- tests and local runs -- do we choose one.
+No operator of the library needs it: they take the session of their input,
+write nothing in between and set no folder.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
@@ -32,35 +28,4 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, choosing one only if unset.
-
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is.  Locally (tests) a fresh scratch folder under /tmp is set.
-    """
-    sc = spark.sparkContext
-    current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if current:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(current)
-        return current
-    path = tempfile.mkdtemp(prefix="tidemark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.conf.set("spark.checkpoint.dir", path)
-    sc.setCheckpointDir(path)
-    return path
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """A derived table read by several operators of one plan: compute it once
-    (reliable checkpoint) instead of once per consumer."""
-    return cut_lineage(df)

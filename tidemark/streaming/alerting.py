@@ -32,8 +32,8 @@ def detect(samples: DataFrame, rules: DataFrame, alarms_path: str, checkpoint: s
 
 
 def notify(spark, alarms_path: str, sink_path: str, checkpoint: str, window_s: int = DEFAULT_SUPPRESS_S,
-           available_now: bool = False) -> StreamingQuery:
-    alarms = I.read_samples(spark, alarms_path, ST.ALARM_SCHEMA, max_files_per_trigger=1, recursive=True)
+           available_now: bool = False, max_files_per_trigger: int | None = None) -> StreamingQuery:
+    alarms = I.read_samples(spark, alarms_path, ST.ALARM_SCHEMA, max_files_per_trigger=max_files_per_trigger, recursive=True)
     fired = ST.suppress(alarms, window_s)
     w = I.alarm_sink(fired, sink_path, os.path.join(checkpoint, "notify"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 seconds")

@@ -26,12 +26,6 @@ def live_window(stream: DataFrame, width: str = f"{LIVE_DIFF_MIN} minutes", slid
             .withColumn("window_start", from_instant("w.start")).drop("w"))
 
 
-def start_live(view: DataFrame, name: str, checkpoint: str, refresh_s: int = LIVE_REFRESH_S) -> StreamingQuery:
-    """Memory-sink live view refreshed every ``refresh_s`` seconds."""
-    return (view.writeStream.format("memory").queryName(name).outputMode("update")
-            .option("checkpointLocation", checkpoint).trigger(processingTime=f"{refresh_s} seconds").start())
-
-
 def cursor(stream: DataFrame, callback: Callable[[DataFrame, int], None], checkpoint: str,
            available_now: bool = False) -> StreamingQuery:
     """Continuous query cursor: every new micro-batch of results is pushed to

@@ -1,20 +1,23 @@
 """Keyed streaming state (``applyInPandasWithState``).
 
-Each operator keeps a small, bounded state per key:
-
-* change per second: per client, the previous sample's time and values
-  (one value per (table, metric) of that client);
-* suppression: per alarm key, the time of the last fired alarm;
-* membership: per cluster, its current member list (a cluster's node list,
-  bounded by the cluster size).
-
-Within a micro-batch the rows of a key are processed in time order, so the
-result equals the batch twins in :mod:`tidemark.operators` when samples
-arrive in order.
+Rows may come in any number of files and micro-batches, split anywhere and up
+to the watermark late: an operator buffers a key's rows in its state and works
+on them only once the watermark has passed them, when their time is complete.
+Rows later than the watermark are dropped by Spark; a moment that was already
+worked on is not worked on again.  The state of a key is
+
+* change per second: of a client, the previous sample and the open samples;
+* suppression: of an alarm key, the last fired time and the open alarms;
+* membership: of a cluster, the last member list and the open snapshots;
+* counter rate: of a series, the previous point and the open points;
+
+and it goes when nothing came for ``idle`` (event time).  Results are those of
+the batch twins in :mod:`tidemark.operators`.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,139 +26,157 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.alarms import DEFAULT_SUPPRESS_S
+from .ingest import to_instant
 
-CHANGE_SCHEMA = ("entity string, tbl string, metric string, ts timestamp_ntz, prev_ts timestamp_ntz, "
-                 "diff_sec bigint, change_per_sec double")
-CHANGE_STATE = "prev_us long, tbls array<string>, metrics array<string>, vals array<double>"
+IDLE = "1 hour"
+DELAY = "10 seconds"
 
 
 def _us(s: pd.Series) -> np.ndarray:
     return s.astype("datetime64[us]").astype("int64").to_numpy()
 
 
-def change_per_second(stream: DataFrame) -> DataFrame:
+def _times(us) -> pd.Series:
+    return pd.to_datetime(pd.Series(np.asarray(us, np.int64)), unit="us").astype("datetime64[us]")
+
+
+def _buffered(stream: DataFrame, keys: list[str], ts: str, work, schema: str, delay: str, idle: str) -> DataFrame:
+    """``work(key, rows, memory) -> (result or None, memory)`` on rows whose time the watermark has passed,
+    in time order.  State: the memory (an opaque text of our own) and the open rows."""
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+
+    def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        memory, held, seen = None, [], None
+        if state.exists:
+            memory, rows, seen = state.get
+            memory, held = json.loads(memory), [pd.DataFrame(**json.loads(rows))] if rows else []
+        mark = state.getCurrentWatermarkMs() * 1000
+        for pdf in pdfs:
+            pdf = pdf.drop(columns=["__time"]).assign(**{ts: _us(pdf[ts])})
+            held.append(pdf if seen is None else pdf[pdf[ts] > seen])
+        rows = pd.concat(held, ignore_index=True) if held else pd.DataFrame({ts: np.zeros(0, np.int64)})
+        ready = rows[ts] < mark
+        out = None
+        if ready.any():
+            done = rows[ready].sort_values(ts, kind="stable").drop_duplicates().reset_index(drop=True)
+            out, memory = work(key, done, memory)
+            seen = int(done[ts].iloc[-1])
+        rows = rows[~ready]
+        if state.hasTimedOut and rows.empty:
+            state.remove()
+        else:
+            kept = {"data": rows.values.tolist(), "columns": list(rows.columns)}
+            state.update((json.dumps(memory), json.dumps(kept) if len(rows) else "", seen))
+            first = int(rows[ts].min()) // 1000 + 1 if len(rows) else mark // 1000 + idle_ms
+            state.setTimeoutTimestamp(max(first, mark // 1000 + 1))
+        if out is not None and len(out):
+            yield out
+
+    timed = stream.withColumn("__time", to_instant(ts)).withWatermark("__time", delay)
+    return timed.groupBy(*keys).applyInPandasWithState(
+        fn, schema, "memory string, rows string, seen long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+CHANGE_SCHEMA = ("entity string, tbl string, metric string, ts timestamp_ntz, prev_ts timestamp_ntz, "
+                 "diff_sec bigint, change_per_sec double")
+
+
+def change_per_second(stream: DataFrame, delay: str = DELAY, idle: str = IDLE) -> DataFrame:
     """Current vs previous sample per client (entity): for each
     (tbl, metric) in both samples, ``(v - v_prev) / whole seconds``; samples
     with a zero whole-second gap are skipped but still become the previous
     sample."""
 
-    def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        (entity,) = key
-        pdf = pd.concat(list(pdfs), ignore_index=True)
-        if state.exists:
-            prev_us, tbls, metrics, vals = state.get
-            prev = dict(zip(zip(tbls, metrics), vals))
-        else:
-            prev_us, prev = None, None
-        pdf["__us"] = _us(pdf["ts"])
-        out = []
-        for us, smp in pdf.sort_values("__us").groupby("__us", sort=True):
-            cur = dict(zip(zip(smp["tbl"], smp["metric"]), smp["value"]))
-            if prev_us is not None:
-                diff = (int(us) - int(prev_us)) // 1_000_000
-                if diff != 0:
-                    for (tbl, metric), v in cur.items():
-                        if (tbl, metric) in prev:
-                            out.append((entity, tbl, metric, int(us), int(prev_us), diff,
-                                        (v - prev[(tbl, metric)]) / diff))
-            prev_us, prev = int(us), cur
-        ks = list(prev.keys())
-        state.update((prev_us, [k[0] for k in ks], [k[1] for k in ks], [float(prev[k]) for k in ks]))
-        if out:
-            o = pd.DataFrame(out, columns=["entity", "tbl", "metric", "ts", "prev_ts", "diff_sec", "change_per_sec"])
-            o["ts"] = pd.to_datetime(o["ts"], unit="us")
-            o["prev_ts"] = pd.to_datetime(o["prev_ts"], unit="us")
-            yield o
-
-    return stream.groupBy("entity").applyInPandasWithState(
-        fn, CHANGE_SCHEMA, CHANGE_STATE, "append", GroupStateTimeout.NoTimeout)
+    def work(key, rows: pd.DataFrame, memory):
+        if memory:  # the previous sample goes before the new rows
+            rows = pd.concat([pd.DataFrame(memory), rows], ignore_index=True)
+        times = np.unique(rows["ts"])
+        rows["nth"] = np.searchsorted(times, rows["ts"])
+        before = rows.assign(nth=rows["nth"] + 1)[["tbl", "metric", "nth", "ts", "value"]]
+        both = rows.merge(before, on=["tbl", "metric", "nth"], suffixes=("", "_prev"))
+        gap = (both["ts"] - both["ts_prev"]) // 1_000_000
+        both, gap = both[gap != 0], gap[gap != 0]
+        last = rows[rows["nth"] == len(times) - 1][["entity", "tbl", "metric", "ts", "value"]]
+        out = pd.DataFrame({"entity": both["entity"].to_numpy(), "tbl": both["tbl"].to_numpy(), "metric": both["metric"].to_numpy(),
+                            "ts": _times(both["ts"]), "prev_ts": _times(both["ts_prev"]), "diff_sec": gap.to_numpy(),
+                            "change_per_sec": ((both["value"] - both["value_prev"]) / gap).to_numpy()})
+        return out, last.to_dict("list")
+
+    return _buffered(stream.select("entity", "tbl", "metric", "ts", "value"), ["entity"], "ts", work, CHANGE_SCHEMA, delay, idle)
 
 
 ALARM_SCHEMA = "ts timestamp_ntz, alarm_key string, level int, message string"
 
 
-def suppress(alarms: DataFrame, window_s: int = DEFAULT_SUPPRESS_S) -> DataFrame:
-    """Fire an alarm only if ``window_s`` passed since the key's last fired one."""
+def suppress(alarms: DataFrame, window_s: int = DEFAULT_SUPPRESS_S, delay: str = DELAY, idle: str | None = None) -> DataFrame:
+    """Fire an alarm only if ``window_s`` passed since the key's last fired one; alarms of a fired moment stay together."""
     w_us = int(window_s) * 1_000_000
 
-    def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(pdfs), ignore_index=True)
-        last = state.get[0] if state.exists else None
-        pdf["__us"] = _us(pdf["ts"])
-        keep = []
-        for i, us in zip(pdf.sort_values("__us").index, pdf.sort_values("__us")["__us"]):
-            if last is None or us >= last + w_us:
-                keep.append(i)
-                last = int(us)
-        if last is not None:
-            state.update((last,))
-        if keep:
-            yield pdf.loc[keep, ["ts", "alarm_key", "level", "message"]]
-
-    return alarms.groupBy("alarm_key").applyInPandasWithState(
-        fn, ALARM_SCHEMA, "last_us long", "append", GroupStateTimeout.NoTimeout)
+    def work(key, rows: pd.DataFrame, last):
+        us, at = rows["ts"].to_numpy(), 0
+        keep = np.zeros(len(us), bool)
+        while at < len(us):
+            if last is not None and us[at] != last and us[at] < last + w_us:
+                at += int(np.searchsorted(us[at:], last + w_us))
+                continue
+            last = int(us[at])
+            stop = int(np.searchsorted(us, last, "right"))
+            keep[at:stop] = True
+            at = stop
+        out = rows.loc[keep, ["ts", "alarm_key", "level", "message"]].reset_index(drop=True)
+        return out.assign(ts=_times(out["ts"])), last
+
+    return _buffered(alarms.select("ts", "alarm_key", "level", "message"), ["alarm_key"], "ts", work, ALARM_SCHEMA, delay,
+                     idle or f"{2 * int(window_s)} seconds")
 
 
 MEMBER_SCHEMA = "grp string, snap int, member string, change string"
 
 
-def membership_changes(snapshots: DataFrame) -> DataFrame:
-    """``(grp, snap, member)`` snapshots -> up / down events between
-    consecutive snapshots of each group."""
+def membership_changes(snapshots: DataFrame, delay: str = DELAY, idle: str = "36500 days") -> DataFrame:
+    """``(grp, snap, ts, member)`` snapshots -> up / down events between
+    consecutive snapshots of each group; all rows of a snapshot have its ``ts``."""
 
-    def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    def work(key, rows: pd.DataFrame, memory):
         (grp,) = key
-        pdf = pd.concat(list(pdfs), ignore_index=True)
-        if state.exists:
-            last_snap, members = state.get
-            prev = set(members)
-        else:
-            last_snap, prev = None, None
-        out = []
-        for snap, g in pdf.groupby("snap", sort=True):
-            cur = set(g["member"])
-            if prev is not None and last_snap is not None and int(snap) == int(last_snap) + 1:
-                out += [(grp, int(snap), m, "up") for m in sorted(cur - prev)]
-                out += [(grp, int(snap), m, "down") for m in sorted(prev - cur)]
-            last_snap, prev = int(snap), cur
-        state.update((last_snap, sorted(prev)))
-        if out:
-            yield pd.DataFrame(out, columns=["grp", "snap", "member", "change"])
-
-    return snapshots.groupBy("grp").applyInPandasWithState(
-        fn, MEMBER_SCHEMA, "last_snap int, members array<string>", "append", GroupStateTimeout.NoTimeout)
+        last, members = memory or (None, [])
+        before, parts = pd.Index(members), []
+        for snap, own in rows.groupby("snap", sort=True)["member"]:
+            now = pd.Index(own.unique())
+            if last is not None and snap == last + 1:
+                up, down = now.difference(before), before.difference(now)
+                parts.append(pd.DataFrame({"grp": grp, "snap": int(snap), "member": up.append(down),
+                                           "change": ["up"] * len(up) + ["down"] * len(down)}))
+            last, before = int(snap), now
+        return (pd.concat(parts, ignore_index=True) if parts else None), (last, list(before))
+
+    return _buffered(snapshots.select("grp", "snap", "ts", "member"), ["grp"], "ts", work, MEMBER_SCHEMA, delay, idle)
 
 
 RATE_SCHEMA = "entity string, tbl string, metric string, ts timestamp_ntz, value double, rate double"
 
 
 def counter_rate(stream: DataFrame, heartbeat_s: float, min_v: float | None = 0.0,
-                 max_v: float | None = None) -> DataFrame:
+                 max_v: float | None = None, delay: str = DELAY, idle: str = IDLE) -> DataFrame:
     """DERIVE rates on a stream: per series the previous (ts, value) is kept
     as state; ``dv / dt`` is null without a predecessor, when ``dt`` exceeds
     the heartbeat or is 0, or when it leaves ``[min_v, max_v]``."""
 
-    def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(pdfs), ignore_index=True)
-        pdf["__us"] = _us(pdf["ts"])
-        pdf = pdf.sort_values("__us", kind="stable")
-        prev_us, prev_v = state.get if state.exists else (None, None)
-        rates = []
-        for us, v in zip(pdf["__us"].tolist(), pdf["value"].tolist()):
-            r = None
-            if prev_us is not None:
-                dt = (us - prev_us) / 1e6
-                if 0 < dt <= heartbeat_s and v is not None and prev_v is not None and not pd.isna(v) \
-                        and not pd.isna(prev_v):
-                    r = (v - prev_v) / dt
-                    if (min_v is not None and r < min_v) or (max_v is not None and r > max_v):
-                        r = None
-            rates.append(r)
-            prev_us, prev_v = int(us), (None if pd.isna(v) else float(v))
-        state.update((prev_us, prev_v))
-        out = pdf[["entity", "tbl", "metric", "ts", "value"]].copy()
-        out["rate"] = pd.Series(rates, index=out.index, dtype="float64")
-        yield out
-
-    return stream.groupBy("entity", "tbl", "metric").applyInPandasWithState(
-        fn, RATE_SCHEMA, "prev_us long, prev_v double", "append", GroupStateTimeout.NoTimeout)
+    def work(key, rows: pd.DataFrame, memory):
+        value = rows["value"].astype("float64").to_numpy()
+        us = rows["ts"].to_numpy()
+        before_us, before_v = memory if memory else (None, None)
+        us0 = np.r_[np.nan if before_us is None else before_us, us[:-1].astype(float)]
+        v0 = np.r_[np.nan if before_v is None else before_v, value[:-1]]
+        dt = (us - us0) / 1e6
+        with np.errstate(all="ignore"):
+            rate = (value - v0) / dt
+            good = (dt > 0) & (dt <= heartbeat_s) & ~np.isnan(rate)
+            if min_v is not None:
+                good &= rate >= min_v
+            if max_v is not None:
+                good &= rate <= max_v
+        out = rows[["entity", "tbl", "metric", "ts", "value"]].assign(ts=_times(us), value=value, rate=np.where(good, rate, np.nan))
+        return out, (int(us[-1]), None if np.isnan(value[-1]) else float(value[-1]))
+
+    return _buffered(stream.select("entity", "tbl", "metric", "ts", "value"), ["entity", "tbl", "metric"], "ts", work, RATE_SCHEMA, delay, idle)
