@@ -41,6 +41,16 @@ def is_glob(s: str) -> bool:
     return any(ch in s for ch in "*?[")
 
 
+def glob_predicate(c: Column, glob: str) -> Column:
+    """A glob as a predicate; its literal beginning is a ``startswith``, which reaches the parquet scan."""
+    cut = min(glob.index(ch) for ch in "*?[" if ch in glob)
+    head, rest = glob[:cut], glob[cut:]
+    if rest == "*":
+        return c.startswith(head)
+    match = c.rlike(glob_to_regex(glob))
+    return c.startswith(head) & match if head else match
+
+
 def matches(col, pattern_or_list) -> Column:
     """Entity wildcard or explicit list -> predicate Column."""
     c = F.col(col) if isinstance(col, str) else col
@@ -49,10 +59,10 @@ def matches(col, pattern_or_list) -> Column:
         globs = [p for p in pattern_or_list if is_glob(p)]
         pred = c.isin(exact) if exact else F.lit(False)
         for g in globs:
-            pred = pred | c.rlike(glob_to_regex(g))
+            pred = pred | glob_predicate(c, g)
         return pred
     if is_glob(pattern_or_list):
-        return c.rlike(glob_to_regex(pattern_or_list))
+        return glob_predicate(c, pattern_or_list)
     return c == F.lit(pattern_or_list)
 
 

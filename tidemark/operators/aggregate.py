@@ -107,14 +107,21 @@ def rollup_tier(df: DataFrame, keys: Sequence[str], base_step_s: int, tier_step_
 def rollup_tiers(df: DataFrame, keys: Sequence[str], base_step_s: int,
                  tiers: Sequence[tuple[int, int]] = DEFAULT_TIERS, now=None,
                  xff: float = DEFAULT_XFF) -> DataFrame:
-    """All tiers at once (union; each tier is its own partial+final aggregate)."""
-    out = None
-    for step, keep in tiers:
-        if step < base_step_s:
-            continue
-        t = rollup_tier(df, keys, base_step_s, step, keep, now, xff)
-        out = t if out is None else out.unionByName(t)
-    return out
+    """All tiers in one pass over the samples: a row counts for a bucket of each tier, which the
+    partial aggregate combines before anything is shuffled."""
+    from ..functions.timecols import add_seconds, to_ntz_literal
+    used = [(step, keep) for step, keep in tiers if step >= base_step_s]
+    buckets = F.array(*[F.struct(F.lit(step).cast("int").alias("step_s"), bucket_start("ts", step).alias("bucket")) for step, _ in used])
+    g = df.select(*keys, "value", F.inline(buckets)).groupBy(*keys, "step_s", "bucket") \
+        .agg(F.max("value").alias("mx"), F.count("value").alias("known"))
+    out = g.select(*keys, F.col("bucket").alias("ts"), "step_s",
+                   F.when(F.col("known") >= F.lit(xff) * F.floor(F.col("step_s") / F.lit(base_step_s)), F.col("mx")).alias("value"))
+    if now is None:
+        return out
+    kept = F.lit(False)
+    for step, keep in used:
+        kept = kept | ((F.col("step_s") == step) & (F.col("ts") > add_seconds(to_ntz_literal(now), -keep * step)))
+    return out.where(kept)
 
 
 def choose_tier(start_age_s: float, tiers: Sequence[tuple[int, int]] = DEFAULT_TIERS) -> int | None:

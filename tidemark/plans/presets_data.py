@@ -82,13 +82,28 @@ def items_of(preset: list) -> list[tuple[int, str, int, object]]:
     return out
 
 
+class _Names:
+    """Stands for a row and for any value made from it; notes the metrics that are asked for."""
+
+    def __init__(self):
+        self.used: list[str] = []
+
+    def __getitem__(self, name: str) -> _Names:
+        self.used.append(name)
+        return self
+
+    def _value(self, _other=None) -> _Names:
+        return self
+
+    __add__ = __radd__ = __sub__ = __rsub__ = __mul__ = __rmul__ = __truediv__ = __rtruediv__ = _value
+
+
 def metrics_of(preset: list) -> list[str]:
     """Metrics that a preset shows, in order of first appearance, and those its ratios use."""
-    from ..operators.search import MetricRow
     out = []
     for *_, item in items_of(preset):
-        m = MetricRow()
+        names = _Names()
         if not isinstance(item, str):
-            item[1](m)
-        out += [item] if isinstance(item, str) else m.used
+            item[1](names)
+        out += [item] if isinstance(item, str) else names.used
     return list(dict.fromkeys(out))
