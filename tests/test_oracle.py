@@ -40,3 +40,13 @@ def test_entry_contract(spark):
     df = e.entry(spark)
     assert df.count() >= 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_queries_are_listed_without_a_session():
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"],
+                          cwd=root, capture_output=True, text=True)
+    assert said.returncode == 0, said.stderr[-500:]

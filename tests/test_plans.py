@@ -27,3 +27,16 @@ def test_layout_join_is_broadcast(spark, sf):
 def test_placement_has_no_following_unbounded_frame(spark, sf):
     p = _plan(REG["ring_placement"][0](spark, sf))
     assert "unboundedfollowing" not in p.lower().replace("unboundedpreceding$(), unboundedfollowing", "")
+
+
+def test_one_scan_where_one_is_enough(spark, sf):
+    for name in ("bitmask", "rollup_tiers", "fleet_search"):
+        scans = _plan(REG[name][0](spark, sf)).split("Initial Plan")[0].count("FileScan parquet")
+        assert scans <= {"fleet_search": 2}.get(name, 1), name
+
+
+def test_glob_prefix_reaches_the_scan(spark, sf):
+    from tidemark.functions.patterns import matches
+    df = spark.read.parquet(f"{sf}/nation.parquet")
+    assert "StringStartsWith(n_name,NA" in _plan(df.where(matches("n_name", "NA*")))
+    assert "StringStartsWith(n_name,NA" in _plan(df.where(matches("n_name", "NA?[0-9]")))

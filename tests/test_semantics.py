@@ -281,3 +281,53 @@ def test_btree_range_count_and_multi_key_merge(spark):
     flagged = df.withColumn("flag", F.lpad(F.hex("bkey"), 4, "0"))
     assert flagged.where((F.col("key") == "k1") & F.col("bkey").between(200, 400)) \
         .where(eflag_predicate("EFLAG & 0x00ff == 0x0001", "flag")).count() == 1
+
+
+def test_every_level_of_a_rule_fires_alone(spark):
+    from tidemark.operators import alarms as AL
+    from tidemark.operators import rules as RU
+    ch = spark.createDataFrame([("e", "p_x", "m", T0, 100.0)], "entity string, tbl string, metric string, ts timestamp_ntz, change_per_sec double")
+    four = RU.abs_rules_frame(spark, [RU.AbsRule("e:*", {"m": (1, None, 50, 99)})])
+    assert sorted(r["level"] for r in AL.threshold_alarms(ch, four).collect()) == [0, 2, 3]
+    one = RU.abs_rules_frame(spark, [RU.AbsRule("e:*", {"m": (1,)})])
+    assert [r["level"] for r in AL.threshold_alarms(ch, one).collect()] == [0]
+
+
+def test_long_prefix_dumps_and_repeated_keys(spark):
+    from tidemark.operators import normalize as N
+    text = "\r\n".join(f"PREFIX p{i} a {i} b 1 a {i + 1}" for i in range(60)) + "\r\nEND"
+    df = spark.createDataFrame([("e", "t", T0, text)], "entity string, tbl string, ts timestamp_ntz, text string")
+    got = {(r["prefix"], r["key"]): r["raw"] for r in N.parse_prefix(df).collect()}
+    assert len(got) == 120 and got["p7", "a"] == "8" and got["p59", "b"] == "1"
+
+
+def test_flag_filters_are_read_word_by_word():
+    from tidemark.functions.bitmask import parse_eflag
+    assert parse_eflag("EFLAG & 0x00ff == 0x0001") == (0, "&", "0x00ff", "==", "0x0001")
+    assert parse_eflag(" EFLAG[2:]>=0x30 ") == (2, None, None, ">=", "0x30")
+    assert parse_eflag("EFLAG [:] ^ 0x1 != 0x0") == (0, "^", "0x1", "!=", "0x0")
+    for bad in ("", "FLAG == 0x1", "EFLAG", "EFLAG & 0x1", "EFLAG = 0x1", "EFLAG == 12", "EFLAG[1] == 0x1", "EFLAG == 0x1 0x2", "EFLAG[1:2:] == 0x1"):
+        with pytest.raises(ValueError):
+            parse_eflag(bad)
+
+
+def test_fleet_search_tests_keys_without_the_metric(spark):
+    from tidemark.operators.search import derive, fleet_search
+    rows = [("a", "t", "cmd_get", T0, 3.0), ("a", "t", "x", T0, 0.0), ("b", "t", "other", T0, 9.0), ("c", "t", "cmd_get", T0, 7.0)]
+    df = _frame(spark, rows)
+    keys, series = fleet_search(df, lambda m: m.max("cmd_get") < 5, output=lambda s: s.groupBy("entity").count())
+    assert sorted(r["entity"] for r in keys.collect()) == ["a", "b"] and sorted(map(tuple, series.collect())) == [("a", 2), ("b", 1)]
+    assert [r["value"] for r in derive(df.where(F.col("entity") == "a"), "r", lambda m: m["cmd_get"] / m["x"]).collect()] == [None]
+
+
+def test_suppression_against_a_plain_walk(spark):
+    from tidemark.operators import alarms as AL
+    rnd = random.Random(3)
+    rows = [(T0 + dt.timedelta(seconds=rnd.randrange(0, 40) * 100), f"k{rnd.randrange(4)}", i % 3, f"m{i}") for i in range(400)]
+    got = sorted(map(tuple, AL.suppress(spark.createDataFrame(rows, "ts timestamp_ntz, alarm_key string, level int, message string"), 750).collect()))
+    last, want = {}, []
+    for r in sorted(rows, key=lambda x: (x[1], x[0])):
+        if r[1] not in last or r[0] == last[r[1]] or (r[0] - last[r[1]]).total_seconds() >= 750:
+            last[r[1]] = r[0]
+            want.append(r)
+    assert got == sorted(want)
