@@ -175,7 +175,7 @@ def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 #: Bytes of text that are turned into arrays of a value a byte at once.
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 
 
 def chunks(offsets: np.ndarray, most: int = CHUNK) -> Iterator[tuple[int, int]]:

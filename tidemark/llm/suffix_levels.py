@@ -40,6 +40,8 @@ from .common import INVERSE, MULT, mix, parts, powers, record, saved, span_hash
 
 LENGTH = 50
 PIECE = 16
+#: Bytes of text in one block.
+BLOCK_BYTES = 6 << 20
 #: Suffixes of one batch.
 BATCH = 1 << 18
 NO_ID = np.int64(2**63 - 1)
@@ -75,7 +77,7 @@ def suffixes(data: np.ndarray, offsets: np.ndarray, length: int, piece: int) ->
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:len(least)]
     fits = np.arange(len(least)) + length <= offsets[1:][doc]
     place = np.flatnonzero(fits)
-    return place, doc[place], least[place]
+    return place, doc[place], mix(least[place])  # minima are small numbers: mixed, they spread over the parts
 
 
 def text_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -382,7 +384,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, piece: int = PIECE, whol
     message = "block long, part int, payload binary"
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("__order")
     kept = docs.select("*", order) if whole_rows else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", order)
-    blocks = blocks_of(kept, "suffix-blocks")
+    blocks = blocks_of(kept, "suffix-blocks", BLOCK_BYTES)
     known = saved(each_part(asked(blocks, ask(n, length, piece)), reply(n), message, 2 * n), "suffix-known")
     found = each_part(answered(blocks, known, second_round(n, length, piece), message), scan(n, length), message, n)
     answers = known.where(F.col("part") >= n).unionByName(found)
