@@ -72,6 +72,28 @@ CHANGE_LIMITS = {
 }
 
 
+# Metrics that a collector declares, by kind (heartbeat 60 s, minimum 0, no maximum).
+KINDS = {
+    "redis": {
+        "GAUGE": "connections memory memory_human memory_rss memory_lua mem_frag".split(),
+        "DERIVE": ("cmds_processed expired_keys evicted_keys keyspace_hits keyspace_misses cpu_sys cpu_user cpu_sys_children "
+                   "cpu_user_children cmd_checkpoint cmd_get cmd_set cmd_del cmd_mget cmd_mset cmd_expire cmd_lindex cmd_linsert "
+                   "cmd_llen cmd_lpop cmd_lpush cmd_lrange cmd_sadd cmd_srem cmd_scard cmd_sismember cmd_smembers cmd_zadd "
+                   "cmd_zcard cmd_zrange cmd_zrank cmd_zscore cmd_zrem").split(),
+    },
+    "memcached": {
+        "GAUGE": "curr_connections limit_maxbytes bytes curr_items total_malloced".split(),
+        "DERIVE": ("rusage_user rusage_system cmd_get cmd_set cmd_flush cmd_touch get_hits delete_hits incr_hits decr_hits cas_hits "
+                   "cas_badval touch_hits auth_cmds auth_errors bytes_read bytes_written total_items evictions reclaimed").split(),
+    },
+    "jstat": {
+        "GAUGE": "Survivor_0 Survivor_1 Eden Old Permanent".split(),
+        "DERIVE": "YGC YGCT FGC FGCT GCT".split(),
+    },
+}
+HEARTBEAT_S = 60
+
+
 def items_of(preset: list) -> list[tuple[int, str, int, object]]:
     """(chart number, chart title, item number, item) of a preset."""
     out = []

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from ..operators import alarms as AL
 from ..operators import rules as RU
 from ..operators import select as S
+from ..operators import windows as Wn
 from ..operators.search import derive
 from ..sources import testdata as T
-from .presets_data import CACHE, CUBRID, HOST_TABLES, MYSQL, items_of, metrics_of
+from .presets_data import CACHE, CUBRID, HEARTBEAT_S, HOST_TABLES, KINDS, MYSQL, items_of, metrics_of
 from .registry import query
 
 
@@ -129,3 +130,32 @@ def ratio_rules(spark, d):
     wide = s.groupBy("entity", "tbl", "ts").agg(*[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in _RATIO_METRICS])
     return AL.predicate_alarms(spark, wide, [RU.LambdaRule("*:A", "used", _used, RATIO_LIMITS["used"]),
                                              RU.LambdaRule("*:*", "keyspace", _keyspace, RATIO_LIMITS["keyspace"])])
+
+
+# ---------------------------------------------------------------- K1 ------
+def _kind_rows() -> list[tuple[str, str, str]]:
+    return [(plugin, metric, kind) for plugin, kinds in KINDS.items() for kind, metrics in kinds.items() for metric in metrics]
+
+
+def _declared(plugin: str) -> list[str]:
+    return [m for metrics in KINDS[plugin].values() for m in metrics]
+
+
+@query("declared_kinds", f"""
+WITH s AS ({' UNION ALL '.join(f'SELECT * FROM {_samples_sql(p, _declared(p))}' for p in KINDS)}),
+c AS (SELECT * FROM (VALUES {', '.join(map(str, _kind_rows()))}) AS c(plugin, metric, kind))
+SELECT entity, tbl, metric, kind, max(CASE WHEN kind = 'GAUGE' THEN value ELSE greatest(value - coalesce(prev, value), 0) END) AS most
+FROM (SELECT s.*, c.kind, lag(value) OVER (PARTITION BY entity, tbl, s.metric ORDER BY ts) AS prev
+      FROM s JOIN c ON c.plugin = split_part(s.tbl, '_', 1) AND c.metric = s.metric) x
+GROUP BY entity, tbl, metric, kind""", "K1 W1")
+def declared_kinds(spark, d):
+    """The largest value of each gauge and the largest step of each counter, by the kinds that collectors declare."""
+    samples = None
+    for plugin in KINDS:
+        one = service_samples(spark, d, plugin, _declared(plugin))
+        samples = one if samples is None else samples.unionByName(one)
+    catalog = spark.createDataFrame([(*r, HEARTBEAT_S, 0.0, None) for r in _kind_rows()],
+                                    "plugin string, metric string, kind string, heartbeat_s int, min_v double, max_v double")
+    steps = Wn.raw_delta(Wn.with_kind(samples, catalog).where(F.col("kind").isNotNull()))
+    return steps.groupBy("entity", "tbl", "metric", "kind").agg(
+        F.max(F.when(F.col("kind") == "GAUGE", F.col("delta")).otherwise(F.greatest("delta", F.lit(0.0)))).alias("most"))
