@@ -155,11 +155,11 @@ class LabelModel:
         post = np.where(label >= 0, label, 0.5).astype(float)
         seen = label >= 0
         self._fit(votes[seen], weight[seen], post[seen])
-        for turn in range(rounds):
+        if seen.any():  # by given labels: a crowd of repeating voters cannot pass for the class itself
+            self.share = self._shares(votes[seen], weight[seen], post[seen])
+        for _ in range(rounds):
             post = self._posterior(votes, label)
             self._fit(votes, weight, post)
-            if turn == 4:
-                self.share = self._shares(votes, weight, post)
 
     def _fit(self, votes, weight, post):
         one, zero = weight * post, weight * (1 - post)
