@@ -57,12 +57,14 @@ def _buffered(stream: DataFrame, keys: list[str], ts: str, work, schema: str, de
         rows = pd.concat(held, ignore_index=True) if held else pd.DataFrame({ts: np.zeros(0, np.int64)})
         ready = rows[ts] < mark
         out = None
+        if seen is not None and ready.any() and rows[ts].min() - seen > idle_ms * 1000:
+            memory = None  # what is older than ``idle`` is forgotten, also where new rows come before the timeout
         if ready.any():
             done = rows[ready].sort_values(ts, kind="stable").drop_duplicates().reset_index(drop=True)
             out, memory = work(key, done, memory)
             seen = int(done[ts].iloc[-1])
         rows = rows[~ready]
-        if state.hasTimedOut and rows.empty:
+        if state.hasTimedOut and rows.empty and not ready.any():
             state.remove()
         else:
             kept = {"data": rows.values.tolist(), "columns": list(rows.columns)}
@@ -157,7 +159,7 @@ RATE_SCHEMA = "entity string, tbl string, metric string, ts timestamp_ntz, value
 
 
 def counter_rate(stream: DataFrame, heartbeat_s: float, min_v: float | None = 0.0,
-                 max_v: float | None = None, delay: str = DELAY, idle: str = IDLE) -> DataFrame:
+                 max_v: float | None = None, delay: str = DELAY, idle: str | None = None) -> DataFrame:
     """DERIVE rates on a stream: per series the previous (ts, value) is kept
     as state; ``dv / dt`` is null without a predecessor, when ``dt`` exceeds
     the heartbeat or is 0, or when it leaves ``[min_v, max_v]``."""
@@ -179,4 +181,5 @@ def counter_rate(stream: DataFrame, heartbeat_s: float, min_v: float | None = 0.
         out = rows[["entity", "tbl", "metric", "ts", "value"]].assign(ts=_times(us), value=value, rate=np.where(good, rate, np.nan))
         return out, (int(us[-1]), None if np.isnan(value[-1]) else float(value[-1]))
 
-    return _buffered(stream.select("entity", "tbl", "metric", "ts", "value"), ["entity", "tbl", "metric"], "ts", work, RATE_SCHEMA, delay, idle)
+    return _buffered(stream.select("entity", "tbl", "metric", "ts", "value"), ["entity", "tbl", "metric"], "ts", work, RATE_SCHEMA, delay,
+                     idle or f"{max(3600, int(2 * heartbeat_s))} seconds")
