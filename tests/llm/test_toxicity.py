@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.conftest import TEXTS
 from tidemark.llm.queries import op2
-from tidemark.llm.weak_toxicity import LabelModel, ToxicityModel, weak_toxicity
+from tidemark.llm.weak_toxicity import LabelModel, ToxicityModel, features, logistic, thresholds, weak_toxicity
 
 MORE = "/root/testdata/sf0.01"
 
@@ -59,3 +59,31 @@ def test_label_model_tells_good_voters_from_bad():
     found = model.posterior(votes, np.full(4000, -1))
     assert ((found > 0.5) == y).mean() > 0.93
     assert model.share[2:].max() < 0.6 < model.share[0]
+
+
+def test_a_capped_sample_keeps_the_share_of_toxic_rows(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(900):
+        toxic = int(rng.random() < 0.1)
+        words = [f"word{w}" for w in rng.integers(0, 300, 40)]
+        for _ in range(int(rng.integers(1, 5)) if toxic else int(rng.random() < 0.03)):
+            words[rng.integers(0, 40)] = "scum"
+        rows.append((i, " ".join(words), toxic))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, toxic int"), spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
+    whole, capped = (ToxicityModel(docs, labels, sample=n) for n in (10_000, 20))
+    assert whole.weights is not None and capped.weights is not None
+    assert abs(capped.constant - whole.constant) < 1e-9 and whole.constant < 0.15
+    means = [np.mean([r.s for r in m.measured.select(m.score_of(F.col("x")).alias("s")).collect()]) for m in (whole, capped)]
+    assert abs(means[0] - means[1]) < 0.04
+
+
+def test_a_weighted_row_counts_as_so_many_rows():
+    rng = np.random.default_rng(3)
+    y = np.arange(300) % 2
+    x = np.abs(rng.normal(0, 0.2, (300, 9)) + 0.9 * y[:, None] * rng.random((300, 9)))
+    times = np.where(y == 1, 1, 9)
+    more, one = np.repeat(np.arange(300), times), np.ones(times.sum())
+    a, b = thresholds(x, y, times.astype(float)), thresholds(x[more], y[more], one)
+    assert a and np.allclose(a, b) and not np.array_equal(a, thresholds(x, y, np.ones(300)))
+    assert np.allclose(logistic(features(x), y, times.astype(float)), logistic(features(x[more]), y[more], one))

@@ -12,6 +12,10 @@
 5. A linear classifier on the numbers is trained on the posterior labels of the
    sampled rows and gives the score.
 
+A sampled row stands for as many training rows of its label as there are to each
+sampled one, in the voters' cuts, the label model and the classifier: the share of
+toxic rows is that of all training rows, whatever the sample.
+
 Labels are read from training rows only; language, source and id are no inputs.
 
 Defined cases: null and empty texts are texts without hits and get the score of
@@ -120,14 +124,24 @@ def numbers(docs: DataFrame, words: list[tuple[str, float]], name: str = "x") ->
     return docs.withColumn(name, of(F.col("text")))
 
 
-def thresholds(x: np.ndarray, y: np.ndarray) -> list[tuple[int, float, float]]:
+def quantiles(x: np.ndarray, weight: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """np.quantile of ``x`` with each value as often as its weight says."""
+    order = np.argsort(x, kind="stable")
+    x, upto = x[order], np.cumsum(weight[order])
+    at = asked * max(0.0, upto[-1] - 1)
+    low, high = (x[np.searchsorted(upto, np.floor(at) + k, "right").clip(0, len(x) - 1)] for k in (0, 1))
+    return low + (high - low) * (at - np.floor(at))
+
+
+def thresholds(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[tuple[int, float, float]]:
     """Voters (number, low, high): vote 0 up to low, 1 from high, abstain between.  high and low
-    are where votes become mostly right on the sample; numbers that never do have no voter."""
+    are where votes become mostly right on the weighted sample; numbers that never do have no voter."""
     out = []
     for i in range(x.shape[1]):
-        values = np.unique(np.quantile(x[:, i], np.linspace(0, 1, 201)))
+        values = np.unique(quantiles(x[:, i], weight, np.linspace(0, 1, 201)))
         middle = (values[1:] + values[:-1]) / 2
-        right = [(np.mean(y[x[:, i] >= m]), np.mean(y[x[:, i] < m]), m) for m in middle]
+        toxic = [(x[:, i] >= m, m) for m in middle]
+        right = [(np.average(y[up], weights=weight[up]), np.average(y[~up], weights=weight[~up]), m) for up, m in toxic]
         high = next((m for up, _, m in right if up >= 0.85), None)
         low = next((m for _, down, m in reversed(right) if down <= 0.02), None)
         if high is None and low is None:
@@ -145,9 +159,10 @@ class LabelModel:
     """Two classes; a voter's vote has a distribution of its own in each; voters that
     repeat each other beyond the class share one voice (their weights add up to one)."""
 
-    def __init__(self, patterns: np.ndarray, counts: np.ndarray, gold: np.ndarray, gold_y: np.ndarray, rounds: int = 30):
+    def __init__(self, patterns: np.ndarray, counts: np.ndarray, gold: np.ndarray, gold_y: np.ndarray, rounds: int = 30,
+                 gold_weight: np.ndarray | None = None):
         votes = np.concatenate([patterns, gold])
-        weight = np.concatenate([counts.astype(float), np.ones(len(gold))])
+        weight = np.concatenate([counts.astype(float), np.ones(len(gold)) if gold_weight is None else gold_weight])
         label = np.concatenate([np.full(len(patterns), -1), gold_y])
         self.m = votes.shape[1]
         self.share = np.ones(self.m)
@@ -196,22 +211,26 @@ def features(x: np.ndarray) -> np.ndarray:
                      shouted, np.minimum(100 * marks, 5)], 1).astype(float)
 
 
-def logistic(f: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 40) -> np.ndarray:
-    """Newton's method on soft labels."""
+def logistic(f: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05, rounds: int = 40) -> np.ndarray:
+    """Newton's method on soft labels of weighted rows."""
     w, penalty = np.zeros(f.shape[1]), np.full(f.shape[1], ridge)
     penalty[0] = 1e-6
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(f @ w, -30, 30)))
-        step = np.linalg.solve((f * (p * (1 - p))[:, None]).T @ f + np.diag(penalty + 1e-9), f.T @ (y - p) - penalty * w)
+        step = np.linalg.solve((f * (weight * p * (1 - p))[:, None]).T @ f + np.diag(penalty + 1e-9), f.T @ (weight * (y - p)) - penalty * w)
         w += step * min(1.0, 4 / (1e-9 + np.abs(step).max()))
     return w
 
 
-def sample_of(labels: DataFrame, sample: int, folds: int, held_out: int) -> DataFrame:
-    """doc_id, label: at most ``sample`` training rows of each label, by a hash of their id."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")) \
+def training_rows(labels: DataFrame, folds: int, held_out: int) -> DataFrame:
+    """doc_id, label of each labelled row that may be used."""
+    return labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")) \
         .where("doc_id IS NOT NULL AND label IN (0, 1)").where(crc_of_id() % folds != held_out) \
         .groupBy("doc_id").agg(F.max("label").alias("label"))
+
+
+def sample_of(known: DataFrame, sample: int) -> DataFrame:
+    """doc_id, label: at most ``sample`` training rows of each label, by a hash of their id."""
     return reduce(DataFrame.unionByName, [known.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for v in (0, 1)])
 
 
@@ -221,7 +240,8 @@ class ToxicityModel:
     def __init__(self, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = FOLDS, held_out: int = HELD_OUT):
         bounded_batches(docs.sparkSession)
         own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        chosen = F.broadcast(saved(sample_of(labels, sample, folds, held_out), "labels"))  # at most 2 * sample rows of two numbers
+        known = saved(training_rows(labels, folds, held_out), "known")
+        chosen = F.broadcast(saved(sample_of(known, sample), "labels"))  # at most 2 * sample rows of two numbers
         train = saved(own.join(chosen, "doc_id").repartition(F.xxhash64("doc_id", "text")), "train")
         self.words, self.weights, self.constant = lexicon(train), None, 0.0
         #: the numbers of all rows, with a hash of their text
@@ -230,15 +250,18 @@ class ToxicityModel:
             return
         gold = self.measured.join(chosen, "doc_id").dropDuplicates(["doc_id", "text_hash"]).orderBy("doc_id", "text_hash").limit(2 * sample).toPandas()
         x, y = np.stack(gold["x"].to_numpy()), gold["label"].to_numpy()
-        self.constant, voters = float(y.mean()), thresholds(x, y)
+        #: training rows of a label to each sampled one
+        stands = {r["label"]: r["count"] / min(sample, r["count"]) for r in known.groupBy("label").count().collect()}
+        weight = np.array([stands[v] for v in y.tolist()])
+        self.constant, voters = float(np.average(y, weights=weight)), thresholds(x, y, weight)
         if not voters:
             return
         vote = [F.when(F.col("x")[i] >= F.lit(max(low, high)), 2).when(F.col("x")[i] < F.lit(low), 1).otherwise(0) for i, low, high in voters]
         code = reduce(add, [v * 3**k for k, v in enumerate(vote)])
         patterns = self.measured.groupBy(code.alias("code")).count().orderBy("code").toPandas()  # at most 3 ** len(voters) rows
         of_code = np.stack([patterns["code"].to_numpy() // 3**k % 3 for k in range(len(voters))], 1)
-        model = LabelModel(of_code, patterns["count"].to_numpy(), votes_of(x, voters), y)
-        self.weights = logistic(features(x), model.posterior(votes_of(x, voters), y))
+        model = LabelModel(of_code, patterns["count"].to_numpy(), votes_of(x, voters), y, gold_weight=weight)
+        self.weights = logistic(features(x), model.posterior(votes_of(x, voters), y), weight)
 
     def score_of(self, x: Column) -> Column:
         """Score of a column of numbers."""
