@@ -2,7 +2,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
-from tidemark.llm.hilbert_shards import curve_table, hilbert_shards, write_shards
+from tidemark.llm.hilbert_shards import cell_of, curve_table, edges_of, hilbert_shards, write_shards
 
 
 def check(rows, docs, shards):
@@ -47,3 +47,15 @@ def test_files_have_narrow_boxes(documents, tmp_path):
     assert sum(b["rows"] for b in boxes) == documents.count()
     ids = documents.agg(F.max("doc_id")).first()[0]
     assert sum(b.max_doc_id - b.min_doc_id for b in boxes) / len(boxes) < 0.9 * ids
+
+
+def test_strings_with_a_common_beginning_get_cells_of_their_own(spark):
+    names = [f"common_crawl_{c}" for c in "abcdefghijklmnopqrstuvw"] + ["common_crawl_\U0001f642"]
+    docs = spark.range(2400).select(F.element_at(F.array(*map(F.lit, names)), (F.col("id") % 24 + 1).cast("int")).alias("source"), F.lit(None).cast("string").alias("lang"))
+    edges = edges_of(docs, ("source", "lang"), 3)
+    assert edges == {"source": names[2:-1:3], "lang": []}
+    cells = docs.groupBy(cell_of(docs, {"source": edges["source"]}, 3).alias("cell")).count().collect()
+    assert sorted((r.cell, r["count"]) for r in cells) == [(i, 300) for i in range(8)]
+    hot = docs.select(F.when(F.rand(1) < 0.6, "common_crawl_m").otherwise(F.col("source")).alias("source"))
+    values = sorted((r.source for r in hot.collect()), key=str.encode)
+    assert edges_of(hot, ("source",), 3)["source"] == sorted({values[300 * i - 1] for i in range(1, 8)})

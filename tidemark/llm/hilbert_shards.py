@@ -1,7 +1,7 @@
 """Operator 1, sharding [native]: Hilbert-curve ordering.
 
-Several metadata dimensions are quantised into equi-depth cells, documents are
-ordered by the Hilbert index of their cell, and the order is cut into runs of
+Several metadata dimensions are quantised into equi-depth cells (strings whole,
+by their rank), documents are ordered by the Hilbert index of their cell, and the order is cut into runs of
 equal row counts.  Neighbours on the curve are neighbours in every dimension,
 so each shard covers a small box and files can be skipped on any of them.
 
@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import parts, saved
+
 #: bits of each dimension; cells = 2 ** (BITS * dimensions)
 BITS = 3
 #: hash buckets that a cell is split into, so that one cell may hold any share of the rows
@@ -22,27 +24,47 @@ SALTS = 256
 DIMENSIONS = ("doc_id", "n_chars", "lang", "source")
 
 
-def as_number(df: DataFrame, col: str) -> Column:
-    """An order-preserving number: numerics as they are, strings by their first six bytes."""
-    if dict(df.dtypes)[col] == "string":
-        head = F.rpad(F.substring(F.hex(F.substring(F.col(col).cast("binary"), 1, 6)), 1, 12), 12, "0")
-        return F.conv(head, 16, 10).cast("double")
-    return F.col(col).cast("double")
+def is_string(df: DataFrame, col: str) -> bool:
+    return dict(df.dtypes)[col] == "string"
+
+
+def as_value(df: DataFrame, col: str) -> Column:
+    """What is compared with the edges: strings as they are, whole; all else as a number."""
+    return F.col(col) if is_string(df, col) else F.col(col).cast("double")
+
+
+def string_edges(df: DataFrame, dims: list[str], n: int) -> dict[str, list[str]]:
+    """Edges of string dimensions by the rank of their values: distinct values are counted and
+    dealt by range, a value's rank is the rows of earlier ranges and of earlier values of its own."""
+    each = F.array(*[F.struct(F.lit(i).alias("dim"), F.col(d).alias("value")) for i, d in enumerate(dims)])
+    counts = df.select(F.inline(each)).where("value IS NOT NULL").groupBy("dim", "value").agg(F.count("*").alias("n"))
+    ranged = saved(counts.repartitionByRange(parts(df), "dim", "value").withColumn("range", F.spark_partition_id()), "values")
+    earlier = Window.partitionBy("dim").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over the ranges, not the values
+    starts = ranged.groupBy("dim", "range").agg(F.sum("n").alias("rows")) \
+        .select("dim", "range", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("start"), F.sum("rows").over(Window.partitionBy("dim")).alias("total"))
+    own = Window.partitionBy("dim", "range").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = ranged.withColumn("own", F.sum("n").over(own)).join(F.broadcast(starts), ["dim", "range"]).withColumn("upto", F.col("start") + F.col("own"))
+    reached = [F.least(F.expr(f"({rows}) * {n} div total"), F.lit(n - 1)) for rows in ("upto", "upto - n")]  # 1 / n, 2 / n, ... of all rows
+    found = ranked.where(reached[0] > reached[1]).select("dim", "value").collect()
+    return {d: sorted((r.value for r in found if r.dim == i), key=str.encode) for i, d in enumerate(dims)}
 
 
-def edges_of(df: DataFrame, dims: tuple[str, ...], bits: int) -> dict[str, list[float]]:
-    """Each dimension's edges of equi-depth cells: 2**bits - 1 numbers, all that the driver sees."""
+def edges_of(df: DataFrame, dims: tuple[str, ...], bits: int) -> dict[str, list]:
+    """Each dimension's edges of equi-depth cells: 2**bits - 1 values, all that the driver sees."""
     n = 1 << bits
     asked = [round(i / n, 6) for i in range(1, n)]
-    found = df.agg(*[F.percentile_approx(as_number(df, d), asked, 10_000).alias(d) for d in dims]).first()
-    return {d: sorted(set(found[d] or [])) for d in dims}
+    strings = [d for d in dims if is_string(df, d)]
+    numeric = [d for d in dims if d not in strings]
+    found = df.agg(*[F.percentile_approx(as_value(df, d), asked, 10_000).alias(d) for d in numeric]).first() if numeric else {}
+    edges = string_edges(df, strings, n) if strings else {}
+    return {d: edges[d] if d in edges else sorted(set(found[d] or [])) for d in dims}
 
 
-def cell_of(df: DataFrame, edges: dict[str, list[float]], bits: int) -> Column:
+def cell_of(df: DataFrame, edges: dict[str, list], bits: int) -> Column:
     """The number of a row's cell: its place between the edges of each dimension, one after the other."""
     cell = F.lit(0).cast("long")
     for d, own in edges.items():
-        x, at = as_number(df, d), F.lit(0)
+        x, at = as_value(df, d), F.lit(0)
         for e in own:
             at = at + F.when(x > F.lit(e), 1).otherwise(0)
         cell = cell * (1 << bits) + F.when(x.isNull(), 0).otherwise(at)
