@@ -5,8 +5,10 @@
 2. A representative has a label of ``LABEL`` min-hash bytes in each of ``TREES``
    trees.  All labels of all trees are range-sorted, so a trie's nodes are runs
    of labels with a common prefix, and a run may be as long as it likes.
-3. The matched prefix starts at the whole label and is shortened byte by byte
-   until a pair at the threshold shares it in some tree with the target recall.
+3. The matched prefix is the longest with which a pair at the threshold meets in
+   some tree with the target recall.  It depends on threshold, target, trees and
+   label alone, not on the data: 6 bytes for the production parameters, so bytes
+   7 and 8 only order the rows of a run.
    Neighbours in the order that share the prefix are tied, and ties of all
    trees give candidate groups.  No pair is written for this.
 4. Within a group every pair is verified on the exact sets, in blocks of
