@@ -331,3 +331,29 @@ def test_suppression_against_a_plain_walk(spark):
             last[r[1]] = r[0]
             want.append(r)
     assert got == sorted(want)
+
+
+def test_suppression_of_a_hot_key_is_cut_into_slices(spark):
+    """One key has nearly all alarms, with no gap of a window: no task gets them all, and the result is that of a plain walk."""
+    from tidemark.operators import alarms as AL
+    rnd = random.Random(8)
+    rows = [(T0 + dt.timedelta(seconds=i * 7 + rnd.randrange(7) - 9000), "hot", 0, f"m{i}") for i in range(6000)]
+    rows += [(T0 + dt.timedelta(seconds=rnd.randrange(42000)), f"k{i % 3}", 0, f"n{i}") for i in range(120)]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, alarm_key string, level int, message string")
+    last, want = {}, []
+    for r in sorted(rows, key=lambda x: (x[1], x[0])):
+        if r[1] not in last or r[0] == last[r[1]] or (r[0] - last[r[1]]).total_seconds() >= 100:
+            last[r[1]] = r[0]
+            want.append(r)
+    fired = AL.suppress(df, 100)
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": "50"}
+    before = {c: spark.conf.get(c) for c in conf}
+    try:
+        for c, v in conf.items():
+            spark.conf.set(c, v)
+        assert sorted(map(tuple, fired.collect())) == sorted(want)
+        tasks = fired.where("alarm_key = 'hot'").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert max(r["count"] for r in tasks) < 0.6 * sum(r["count"] for r in tasks)
