@@ -6,9 +6,11 @@
    density, their concentration, shouting and punctuation patterns).
 3. Voters are thresholds on these numbers that vote 1, 0 or not at all.
 4. The label model estimates from the votes of all texts (how often each
-   pattern of votes occurs: at most 3**voters rows) how accurate each voter is
-   and which voters repeat each other; the given labels take part as one more
-   voter where a training row has one.  Repeating voters share one voice.
+   pattern of votes occurs: at most 3**voters rows) how accurate each voter is;
+   the given labels take part as one more voter where a training row has one.
+   Which voters repeat each other is taken once, from the labelled sample, and
+   repeating voters share one voice.  Voters are at most nine sums: no lexicon
+   entry votes itself.
 5. A linear classifier on the numbers is trained on the posterior labels of the
    sampled rows and gives the score.
 
