@@ -7,12 +7,13 @@ its concatenation, until no pair has a rank.  Ranks come from a literal: a list
 of small maps, dealt by the crc32 of the piece (Spark looks a key of a map up
 one by one).  Ranks of the pairs are kept beside the pieces, so that a step
 asks for the two new pairs only.  Decoding looks the pieces of the ids up in a
-literal array and concatenates them, in runs of runs.
+literal array and concatenates them, in runs of runs; of a text, the decoded
+words are concatenated.
 
 Texts are read once into blocks in the shared folder: a block holds its
 distinct words and, for each row, the words' numbers.  Blocks send their words
 to parts by crc32; a part encodes each distinct word once, however many blocks
-and texts have it, and answers the blocks.  The number of parts grows with the
+and texts have it, and decodes the ids again, and answers the blocks.  The number of parts grows with the
 number of blocks.  Words are compared as bytes, never by a hash.
 
 A word above ``LONG`` bytes (a fold copies the word at every step) gets the
@@ -30,6 +31,7 @@ import base64
 import hashlib
 import heapq
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -131,23 +133,29 @@ def encoded_words(words: Column, ranks: dict[bytes, int]) -> Column:
     return bound(rank_literal(ranks), lambda maps: F.transform(words, lambda w: encoded_word(w, maps)))
 
 
+def concatenated(values: Column, piece) -> Column:
+    """Concatenations of the pieces of each RUN of values."""
+    n = F.size(values)
+    count = ((n + (RUN - 1)) / RUN).cast("int")
+    return F.when(n == 0, F.array().cast("array<binary>")).otherwise(F.transform(
+        F.sequence(F.lit(0), count - 1),
+        lambda c: F.aggregate(F.slice(values, c * RUN + 1, F.lit(RUN)), F.lit(b""), lambda a, v: F.concat(a, piece(v)))))
+
+
+def decoded_by(ids: Column, pieces: Column) -> Column:
+    once = concatenated(ids, lambda i: F.element_at(pieces, i + 1))
+    twice = bound(once, lambda r: concatenated(r, lambda v: v))
+    return bound(twice, lambda r: F.aggregate(r, F.lit(b""), lambda a, v: F.concat(a, v)))
+
+
 def decoded(ids: Column, ranks: dict[bytes, int]) -> Column:
     """The bytes of ``ids`` (array<int>)."""
-    empty = F.lit(b"")
-
-    def runs(values: Column, piece) -> Column:
-        """Concatenations of each RUN of values."""
-        n = F.size(values)
-        count = ((n + (RUN - 1)) / RUN).cast("int")
-        return F.when(n == 0, F.array().cast("array<binary>")).otherwise(F.transform(
-            F.sequence(F.lit(0), count - 1),
-            lambda c: F.aggregate(F.slice(values, c * RUN + 1, F.lit(RUN)), empty, lambda a, v: F.concat(a, piece(v)))))
+    return bound(piece_literal(ranks), lambda pieces: decoded_by(ids, pieces))
 
-    def all_of(pieces: Column) -> Column:
-        once = runs(ids, lambda i: F.element_at(pieces, i + 1))
-        return bound(bound(once, lambda r: runs(r, lambda v: v)), lambda r: F.aggregate(r, empty, lambda a, v: F.concat(a, v)))
 
-    return bound(piece_literal(ranks), all_of)
+def decoded_words(lists: Column, ranks: dict[bytes, int]) -> Column:
+    """The bytes of each of ``lists`` (array<array<int>>)."""
+    return bound(piece_literal(ranks), lambda pieces: F.transform(lists, lambda ids: decoded_by(ids, pieces)))
 
 
 # ---------------------------------------------------------------- pre-tokens
@@ -177,11 +185,12 @@ class Splitter:
 
     def __init__(self, pattern: str, odd: str, exact: str):
         import regex
-        self.odd, self.plain = frozenset(odd), regex.compile(pattern)
+        self.odd = re.compile("[" + "".join(rf"\U{ord(c):08x}" for c in odd) + "]") if odd else None
+        self.plain = regex.compile(pattern)
         self.exact_pattern, self.exact = exact, None
 
     def words(self, text: str) -> list[str]:
-        if text.isascii() or self.odd.isdisjoint(text):
+        if self.odd is None or text.isascii() or not self.odd.search(text):
             return self.plain.findall(text)
         if self.exact is None:
             import regex
@@ -191,6 +200,17 @@ class Splitter:
 
 # ---------------------------------------------------------------- blocks of words
 
+class Numbers(dict):
+    """Numbers of words in the order in which they are asked for."""
+
+    def __missing__(self, word):
+        self[word] = n = len(self)
+        return n
+
+    def of(self, words: list) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+
+
 def words_packed(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.array([len(w) for w in words], np.int32), np.frombuffer(b"".join(words), np.uint8)
 
@@ -216,20 +236,24 @@ def word_blocks(docs: DataFrame, pattern: str, block_bytes: int = BLOCK_BYTES) -
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, first, n = Splitter(pattern, odd, exact), TaskContext.get().partitionId() << 32, 0
-        index, codes, counts, ids, size = {}, [], [], [], 0
+        index, codes, counts, ids, size = Numbers(), [], [], [], 0
 
         def flushed() -> pa.RecordBatch:
+            own = np.concatenate(codes)
+            often = np.argsort(-np.bincount(own, minlength=len(index)), kind="stable")  # small numbers for frequent words
+            number = np.empty(len(index), np.int32)
+            number[often] = np.arange(len(index), dtype=np.int32)
+            words = [w.encode() for w in index]
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, pa.schema([("id", ids[0].type)])) as w:
                 for c in ids:
                     w.write_batch(pa.RecordBatch.from_arrays([c], ["id"]))
             return message(first + n, -1, packed(np.frombuffer(sink.getvalue(), np.uint8), np.array(counts, np.int32),
-                                                 np.concatenate(codes), *words_packed([w.encode() for w in index])))
+                                                 number[own], *words_packed([words[i] for i in often.tolist()])))
 
         for b in it:
             for i, text in enumerate(b.column(1).to_pylist()):
-                words = split.words(text or "")
-                own = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int32, len(words))
+                own = index.of(split.words(text or ""))
                 codes.append(own)
                 counts.append(len(own))
                 ids.append(b.column(0).slice(i, 1))
@@ -237,7 +261,7 @@ def word_blocks(docs: DataFrame, pattern: str, block_bytes: int = BLOCK_BYTES) -
                 if size >= block_bytes:
                     ids = [pa.concat_arrays(ids)]
                     yield flushed()
-                    index, codes, counts, ids, size, n = {}, [], [], [], 0, n + 1
+                    index, codes, counts, ids, size, n = Numbers(), [], [], [], 0, n + 1
             if ids:
                 ids = [pa.concat_arrays(ids)]
         if ids:
@@ -315,23 +339,28 @@ def flat_lists(col) -> tuple[np.ndarray, np.ndarray]:
 
 
 def replies(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A part's ids as answers to its blocks: sizes and ids in the order of the block's words."""
+    """A part's ids and decoded words as answers to its blocks, in the order of a block's words."""
     for b in it:
         for row in range(b.num_rows):
-            part, ids, long, blocks, asked = (b.column(i)[row] for i in range(5))
+            part, ids, long, blocks, asked, back, long_back = (b.column(i)[row] for i in range(7))
             values, sizes = (np.concatenate(x) for x in zip(flat_lists(ids), flat_lists(long), strict=True))
-            starts, n_short = np.cumsum(sizes, dtype=np.int64) - sizes, len(ids.values)
+            starts, n_short, back = np.cumsum(sizes, dtype=np.int64) - sizes, len(ids.values), back.as_py() + long_back.as_py()
             for block, payload in zip(blocks.as_py(), asked.as_py(), strict=True):
                 own = unpacked(payload)[0].astype(np.int64)
                 own = np.where(own >= 0, own, n_short - 1 - own)
                 size = sizes[own].astype(np.int64)
-                at = np.repeat(starts[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                yield message(block, part.as_py(), packed(size.astype(np.int32), values[at].astype(np.int32)))
+                yield message(block, part.as_py(), packed(size.astype(np.int32), values[places(starts[own], size)].astype(np.int32),
+                                                          *words_packed([back[i] for i in own.tolist()])))
+
+
+def places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of runs of ``size`` values from ``start``, run by run."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
 def assembled(n: int, id_type: pa.DataType):
-    """Ids of each row of a block."""
-    schema = pa.schema([("id", id_type), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("ids_sha256", pa.string())])
+    """Ids and decoded bytes of each row of a block."""
+    schema = pa.schema([("id", id_type), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("ids_sha256", pa.string()), ("decoded", pa.binary())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in sorted_groups(it, ["block"]):
@@ -339,25 +368,30 @@ def assembled(n: int, id_type: pa.DataType):
             raw_ids, counts, codes, word_sizes, data = unpacked(payload[0])
             own = part_numbers(words_unpacked(word_sizes, data), n)
             by = np.argsort(own, kind="stable")  # words in the order of the answers
-            sizes, values = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in zip(*[unpacked(p) for p in payload[1:]], strict=True)) \
-                if len(payload) > 1 else (np.zeros(0, np.int32), np.zeros(0, np.int32))
-            assert part[1:] == np.unique(own).tolist() and len(sizes) == len(own), "a block's answers do not fit its words"
+            got = [unpacked(p) for p in payload[1:]] or [[np.zeros(0, np.int32)] * 3 + [np.zeros(0, np.uint8)]]
+            sizes, values, lengths, data = (np.concatenate(x) for x in zip(*got, strict=True))
+            if part[1:] != np.unique(own).tolist() or len(sizes) != len(own):
+                raise ValueError("a block's answers do not fit its words")
             size, start = np.empty(len(own), np.int64), np.empty(len(own), np.int64)
             size[by], start[by] = sizes, np.cumsum(sizes, dtype=np.int64) - sizes
+            back = [b""] * len(own)
+            for i, w in zip(by.tolist(), words_unpacked(lengths, data), strict=True):
+                back[i] = w
             ids = pa.ipc.open_stream(raw_ids.tobytes()).read_all().column(0).combine_chunks()
             ends, a = np.cumsum(counts, dtype=np.int64), 0
             while a < len(counts):  # about half a million words at once
                 before = ends[a - 1] if a else 0
                 z = max(a + 1, int(np.searchsorted(ends, before + (1 << 19), "right")))
-                own_codes = codes[before:ends[z - 1]]
+                own_codes, edges = codes[before:ends[z - 1]], np.r_[0, ends[a:z] - before]
                 s = size[own_codes]
-                at = np.repeat(start[own_codes] - (np.cumsum(s) - s), s) + np.arange(s.sum())
-                flat = values[at].astype("<i4")
-                cuts = np.r_[0, np.cumsum(s)][np.r_[0, ends[a:z] - before]]
+                flat = values[places(start[own_codes], s)].astype("<i4")
+                cuts = np.r_[0, np.cumsum(s)][edges]
                 hashes = [hashlib.sha256(flat[x:y]).hexdigest() for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+                pieces = [back[c] for c in own_codes.tolist()]
+                texts = [b"".join(pieces[x:y]) for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([ids.slice(a, z - a), pa.array(np.diff(cuts), pa.int64()),
                                                   pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat, pa.int32())),
-                                                  pa.array(hashes, pa.string())], schema=schema)
+                                                  pa.array(hashes, pa.string()), pa.array(texts, pa.binary())], schema=schema)
                 a = z
 
     return run
@@ -370,13 +404,14 @@ def byte_bpe(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_
     ranks = read_ranks(vocabulary)
     own = docs.select(F.col(id_col).alias("id"), F.col("text").cast("string").alias("text"))
     blocks = word_blocks(own, pattern, block_bytes)
-    n = max(parts(docs), blocks.count() // 2)
+    n = max(parts(docs), blocks.count())
     asked = blocks.mapInArrow(asks(n), BLOCKS).repartition(n, "part").sortWithinPartitions("part", "block")
     words = asked.mapInArrow(distinct_words(ranks, longest), ASKED)
-    answers = words.select("part", encoded_words(F.col("words"), ranks).alias("ids"), "long", "blocks", "asked").mapInArrow(replies, BLOCKS)
-    both = blocks.unionByName(answers).repartition(parts(docs), "block").sortWithinPartitions("block", "part")
+    ids = words.select("part", encoded_words(F.col("words"), ranks).alias("ids"), "long", "blocks", "asked")
+    answers = ids.select("*", decoded_words(F.col("ids"), ranks).alias("back"), decoded_words(F.col("long"), ranks).alias("long_back")).mapInArrow(replies, BLOCKS)
+    both = blocks.unionByName(answers).repartition(n, "block").sortWithinPartitions("block", "part")
     id_field = own.schema["id"]
     out = T.StructType([id_field, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())),
-                        T.StructField("ids_sha256", T.StringType())])
+                        T.StructField("ids_sha256", T.StringType()), T.StructField("decoded", T.BinaryType())])
     rows = both.mapInArrow(assembled(n, to_arrow_type(id_field.dataType)), out)
-    return rows.select(F.col("id").alias(id_col), "n_tokens", "ids", "ids_sha256", decoded(F.col("ids"), ranks).alias("decoded"))
+    return rows.withColumnRenamed("id", id_col)

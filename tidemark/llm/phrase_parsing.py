@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import answered, asked, blocks_of, dealt, each_part, packed, summed, unpacked, unpacked_keys
-from .byte_bpe import message
+from .blocks import answered, asked, blocks_of, dealt, each_part, packed_keys, summed, unpacked_keys
+from .byte_bpe import Numbers, message
 from .common import MULT, bounded_batches, mix, parts, saved
 
 BREAK = re.compile(rb"[.,;:!?\x0A-\x0D]+")
@@ -48,21 +49,21 @@ FIRST = 2000
 #: Bytes of chunks in one block.
 BLOCK_BYTES = 12 << 20
 #: Bytes of text whose chunks are gathered before they are sent.
-GATHER = 24 << 20
+GATHER = 6 << 20
 
 
-class Words:
-    """Numbers of words, and a keyed 64-bit hash of each."""
+class Hashes(dict):
+    """Keyed 64-bit hashes of words, each made once."""
 
     def __init__(self, salt: str = ""):
-        self.index: dict[bytes, int] = {}
         self.key = hashlib.blake2b(salt.encode(), digest_size=16).digest()
 
-    def codes(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter((self.index.setdefault(w, len(self.index)) for w in words), np.int64, len(words))
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=self.key).digest(), "little")
+        return h
 
-    def hashes(self) -> np.ndarray:
-        return np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=8, key=self.key).digest() for w in self.index), np.uint64)
+    def of(self, words) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 def then(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -71,56 +72,50 @@ def then(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mix(a * MULT + b)
 
 
-def parsed(period: int):
-    """(lang, chunk, follows, freq): the chunks of a task's texts; follows: another chunk shares the last window."""
+def starts(h: np.ndarray, ends: np.ndarray, period: int) -> np.ndarray:
+    """Where chunks begin: pieces, and windows (within one piece) whose hash is divisible."""
+    start = np.zeros(len(h), bool)
+    if len(h) >= WINDOW:
+        start[:len(h) - WINDOW + 1] = then(then(h[:-2], h[1:-1]), h[2:]) % np.uint64(period) == 0
+        for back in range(1, WINDOW):
+            start[ends - back] = False
+    start[np.r_[0, ends[:-1]]] = True
+    return np.flatnonzero(start)
+
+
+def parsed(period: int, gather: int):
+    """(lang, text, follows, freq): the chunks of a task's texts; follows: another chunk shares the last window."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[tuple]] = {}
+        held: dict[str, tuple[list, list]] = {}
         size = 0
 
         def flushed() -> Iterator[pa.RecordBatch]:
-            for lang, pieces in held.items():
-                words = Words()
-                own = [words.codes(p) for p in pieces]
-                codes = np.concatenate(own)
-                ends = np.cumsum([len(p) for p in pieces])
-                begins = np.r_[0, ends[:-1]]
-                start = np.zeros(len(codes), bool)
-                if len(codes) >= WINDOW:
-                    h = words.hashes()[codes]
-                    start[:len(codes) - WINDOW + 1] = then(then(h[:-2], h[1:-1]), h[2:]) % np.uint64(period) == 0
-                    for back in range(1, WINDOW):  # the window does not leave its piece
-                        start[ends - back] = False
-                start[begins] = True
-                a = np.flatnonzero(start)
-                nxt = np.r_[a[1:], len(codes)]
+            for lang, (words, lengths) in held.items():
+                ends = np.cumsum(lengths)
+                a = starts(Hashes().of(words), ends, period)
+                nxt = np.r_[a[1:], len(words)]
                 end = ends[np.searchsorted(ends, a, "right")]
                 follows = nxt < end
                 stop = np.where(follows, nxt + WINDOW, end)
-                found: dict[tuple, int] = {}
-                raw = codes.astype(np.int32).tobytes()
-                for x, y, f in zip((4 * a).tolist(), (4 * stop).tolist(), follows.tolist(), strict=True):
-                    k = (raw[x:y], f)
-                    found[k] = found.get(k, 0) + 1
-                name = list(words.index)
-                chunks = [b" ".join([name[c] for c in np.frombuffer(k, np.int32).tolist()]) for k, _ in found]
-                for s in range(0, len(chunks), 1 << 16):
-                    e = s + (1 << 16)
-                    keys = list(found)[s:e]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(keys), pa.string()), pa.array(chunks[s:e], pa.binary()), pa.array([f for _, f in keys], pa.bool_()),
-                         pa.array([found[k] for k in keys], pa.int64())], names=["lang", "text", "follows", "freq"])
+                found = Counter(zip([b" ".join(words[x:y]) for x, y in zip(a.tolist(), stop.tolist(), strict=True)], follows.tolist(), strict=True))
+                text, follow = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(text), pa.string()), pa.array(text, pa.binary()), pa.array(follow, pa.bool_()),
+                                                  pa.array(list(found.values()), pa.int64())], names=["lang", "text", "follows", "freq"])
 
         for b in it:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                pieces = [w for p in BREAK.split(text.lower()) if (w := p.split())]
-                if pieces:
-                    held.setdefault(lang, []).extend(pieces)
+                words, lengths = held.setdefault(lang, ([], []))
+                for piece in BREAK.split(text.lower()):
+                    if own := piece.split():
+                        words += own
+                        lengths.append(len(own))
                 size += len(text)
-                if size >= GATHER:
+                if not words:
+                    del held[lang]
+                if size >= gather:
                     yield from flushed()
                     held, size = {}, 0
-        if held:
-            yield from flushed()
+        yield from flushed()
 
     return run
 
@@ -136,33 +131,31 @@ class Chunks:
             rows.setdefault(lang, []).append(i)
         self.langs = {}
         for lang in sorted(rows):
-            words = Words(lang)
-            own = [words.codes(text[i].split(b" ")) for i in rows[lang]]
+            number, own = Numbers(), [text[i].split(b" ") for i in rows[lang]]
             n = np.array([len(c) for c in own])
+            codes = number.of([w for c in own for w in c])
             follow = np.array([follows[i] for i in rows[lang]])
             of = np.repeat(np.arange(len(n)), n)
             left = np.repeat(np.cumsum(n), n) - np.arange(n.sum())  # words from here to the end of the chunk
             counted = left > np.where(follow, WINDOW, 0)[of]  # phrases that begin here are counted here
             weight = np.where(counted, np.array([freq[i] for i in rows[lang]])[of], 0)
-            self.langs[lang] = (words, np.concatenate(own), left, weight)
-
-    def keys(self) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
-        """Per language the keys of all words and of all word pairs, by place (of no pair: 0)."""
-        for lang, (words, codes, left, _) in self.langs.items():
-            h = words.hashes()[codes]
-            pair = np.zeros(len(h), np.uint64)
-            pair[:-1] = then(h[:-1], h[1:])
-            pair[left < 2] = 0
-            yield lang, h, pair
+            name = list(number)
+            self.langs[lang] = (name, Hashes(lang).of(name), codes, left, weight)
 
     def counts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct keys of the block with weighted counts, sorted."""
+        """Distinct keys of words and word pairs of the block with weighted counts, sorted."""
         keys, weights = [], []
-        for lang, h, pair in self.keys():
-            _, _, left, weight = self.langs[lang]
-            keys += [h, pair[left >= 2]]
-            weights += [weight, weight[left >= 2]]
-        return summed(np.concatenate(keys), np.concatenate(weights)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        for _, hashes, codes, left, weight in self.langs.values():
+            at = np.flatnonzero((left[:-1] >= 2) & (weight[:-1] > 0))
+            keys += [hashes, then(hashes[codes[at]], hashes[codes[at + 1]])]
+            weights += [weighted(codes, weight, len(hashes)), weight[at]]
+        if not keys:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        key, weight = np.concatenate(keys), np.concatenate(weights)
+        by = np.argsort(key)
+        key = key[by]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        return key[first], np.add.reduceat(weight[by], first)
 
 
 def ask(n: int):
@@ -174,19 +167,19 @@ def ask(n: int):
 
 
 def frequent(least: int):
-    """Which keys of each block reach ``least`` in all blocks together."""
+    """The keys of each block that reach ``least`` in all blocks together."""
     def run(part, blocks, payloads):
         asks = [unpacked_keys(p) for p in payloads]
         key, total = summed(*(np.concatenate([a[i] for a in asks]) for i in (0, 1)))
         often = key[total >= least]
         for block, (own, _) in zip(blocks, asks, strict=True):
             at = np.minimum(np.searchsorted(often, own), max(0, len(often) - 1))
-            yield message(block, part, packed(np.packbits(often[at] == own if len(often) else np.zeros(len(own), bool))))
+            yield message(block, part, packed_keys(own[often[at] == own] if len(often) else own[:0]))
 
     return run
 
 
-def phrases(n: int, longest: int):
+def phrases(longest: int):
     """(lang, phrase, n): the block's words and phrases whose pairs are all frequent, and as the
     empty phrase the number of words."""
     def rows(lang: str, text: list[bytes], n: np.ndarray) -> pa.RecordBatch:
@@ -194,41 +187,35 @@ def phrases(n: int, longest: int):
                                            pa.array(n, pa.int64())], names=["lang", "phrase", "n"])
 
     def run(block, table, got):
-        chunks = Chunks(table)
-        key, _ = chunks.counts()
-        often = np.zeros(len(key), bool)
-        cuts = np.searchsorted((key >> np.uint64(32)) * np.uint64(n) >> np.uint64(32), np.arange(n + 1))
-        for p, payload in got.items():
-            a, z = cuts[p], cuts[p + 1]
-            often[a:z] = np.unpackbits(unpacked(payload)[0], count=int(z - a)).astype(bool)
-        key = key[often]
-        if not len(key):
-            key = np.zeros(1, np.uint64)  # the key of no pair
-        for lang, h, pair in chunks.keys():
-            words, codes, left, weight = chunks.langs[lang]
-            name = list(words.index)
+        key = np.concatenate([unpacked_keys(got[p])[0] for p in sorted(got)] or [np.zeros(0, np.uint64)])  # parts are runs of the keys
+        for lang, (name, hashes, codes, left, weight) in Chunks(table).langs.items():
             yield rows(lang, [b""], np.array([weight.sum()]))
+            if not len(key):
+                continue
 
             def known(k):
                 return key[np.minimum(np.searchsorted(key, k), len(key) - 1)] == k
 
-            at, pairs = np.flatnonzero(known(h) & (weight > 0)), known(pair) & (left >= 2)
-            ids = codes[at]
-            own, inverse = np.unique(ids, return_inverse=True)
-            text = [name[c] for c in own.tolist()]
-            yield rows(lang, text, weighted(inverse, weight[at], len(own)))
-            ids = inverse
-            for k in range(2, longest + 1):
-                on = pairs[np.minimum(at + k - 2, len(pairs) - 1)] & (left[at] >= k)
-                at, ids = at[on], ids[on]
+            word = known(hashes)[codes]
+            pairs = word.copy()  # whether the pair that begins here is frequent
+            pairs[:-1] &= word[1:]
+            pairs &= left >= 2
+            at = np.flatnonzero(pairs)
+            pairs[at] = known(then(hashes[codes[at]], hashes[codes[at + 1]]))
+            at = np.flatnonzero(word & (weight > 0))
+            text, ids = name, codes[at].astype(np.int64)
+            for k in range(1, longest + 1):
+                if k > 1:
+                    on = (left[at] >= k)
+                    on[on] = pairs[at[on] + k - 2]
+                    at, ids = at[on], ids[on] * len(name) + codes[at[on] + k - 1]
                 if not len(at):
                     break
-                both = ids.astype(np.int64) * len(name) + codes[at + k - 1]
-                own, inverse = np.unique(both, return_inverse=True)
-                text = [text[c // len(name)] + b" " + name[c % len(name)] for c in own.tolist()]
+                own, ids = np.unique(ids, return_inverse=True)
+                text = [text[c // len(name)] + b" " + name[c % len(name)] for c in own.tolist()] if k > 1 else [name[c] for c in own.tolist()]
+                n = weighted(ids, weight[at], len(own))
                 for s in range(0, len(text), 1 << 17):
-                    yield rows(lang, text[s:s + (1 << 17)], weighted(inverse, weight[at], len(own))[s:s + (1 << 17)])
-                ids = inverse
+                    yield rows(lang, text[s:s + (1 << 17)], n[s:s + (1 << 17)])
 
     return run
 
@@ -240,19 +227,19 @@ def weighted(group: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def phrase_counts(docs: DataFrame, least: int = MIN_COUNT, longest: int = LONGEST, period: int = PERIOD) -> DataFrame:
+def phrase_counts(docs: DataFrame, least: int = MIN_COUNT, longest: int = LONGEST, period: int = PERIOD, gather: int = GATHER) -> DataFrame:
     """lang, phrase, n: all phrases of up to ``longest`` (at most 4) words that occur ``least`` times; the empty phrase counts all words."""
     if not 1 <= longest <= LONGEST:
         raise ValueError(f"phrases have 1 to {LONGEST} words")
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    chunks = rows.mapInArrow(parsed(period), "lang string, text binary, follows boolean, freq long") \
+    chunks = rows.mapInArrow(parsed(period, gather), "lang string, text binary, follows boolean, freq long") \
         .groupBy("lang", "text", "follows").agg(F.sum("freq").alias("freq"))
     blocks = blocks_of(chunks, "phrase-blocks", BLOCK_BYTES)
     n = max(parts(docs), blocks.count())
     replies = each_part(asked(blocks, ask(n)), frequent(least), "block long, part int, payload binary", n)
-    found = answered(blocks, replies, phrases(n, longest), "lang string, phrase string, n long")
+    found = answered(blocks, replies, phrases(longest), "lang string, phrase string, n long")
     return saved(found.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("phrase") == "")), "phrase-counts")
 
 

@@ -11,7 +11,8 @@ of its range, and the shard walks them through its automaton, which drops
 what is not kept and sums up the rest by ordinal.  A common term is one entry
 of each task's message.  Smoothed shares are compared shard by shard: pairs of
 sources by the sum of differences, terms of a source by their surplus over the
-language, ties by ordinal; the shard turns ordinals back into terms.
+language, ties by ordinal; the shard turns ordinals back into terms.  Small neighbouring shards are compared
+together, so that pairs are summed up before they leave a task.
 
 The driver holds one line a shard (first term, size).  A shard's task holds the
 counts of its terms for all sources of the language.
@@ -274,7 +275,7 @@ def recounted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def compared(shards: dict[int, tuple[str, int, int]], top: int):
-    """Sums of differences of pairs of sources, and the leading terms of each source, of a shard.
+    """Sums of differences of pairs of sources, and the leading terms of each source, of a unit of shards.
     shards: language, first ordinal and number of terms of the language."""
     names = ["lang", "source", "part", "item", "value", "ordinal"]
     kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
@@ -282,15 +283,30 @@ def compared(shards: dict[int, tuple[str, int, int]], top: int):
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
+    def leading(rows: list[tuple]) -> list[tuple]:
+        return sorted(rows, key=lambda x: (-x[0], x[1]))[:top]
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (part,), t in sorted_groups(it, ["part"]):
-            lang, base, terms = shards[int(part)]
-            words = Transducer.load(t.column("counts")[0].as_py())  # the first row is the automaton
-            rows = t.slice(1)
-            source, total = rows.column("source").to_pylist(), rows.column("total").to_numpy()
+        now, lang, source, apart, best = None, "", [], None, []
+
+        def result() -> Iterator[pa.RecordBatch]:
+            for i, name in enumerate(source):
+                out = [(lang, name, "pair", other, int(apart[i, j]), None) for j, other in enumerate(source) if j != i]
+                out += [(lang, name, "term", term, f, ordinal) for f, ordinal, term in best[i]]
+                if out:
+                    yield batch(out)
+
+        for (unit, part), t in sorted_groups(it, ["unit", "part"]):
+            rows = t.slice(1)  # the first row is the automaton
+            if unit != now:
+                if now is not None:
+                    yield from result()
+                now, lang, source = unit, shards[int(part)][0], rows.column("source").to_pylist()
+                apart, best = np.zeros((len(source), len(source)), np.int64), [[] for _ in source]
+            _, base, terms = shards[int(part)]
+            words = Transducer.load(t.column("counts")[0].as_py())
+            total = rows.column("total").to_numpy()
             counts = [unpacked(c) if c else (np.zeros(0, np.int32), np.zeros(0, np.int64)) for c in rows.column("counts").to_pylist()]
-            apart = np.zeros((len(source), len(source)), np.int64)
-            best: list[list] = [[] for _ in source]
             step = max(1, CELLS // len(source))
             for a in range(0, words.size, step):
                 z = min(words.size, a + step)
@@ -304,12 +320,9 @@ def compared(shards: dict[int, tuple[str, int, int]], top: int):
                     apart[i] += np.abs(p - p[i]).sum(axis=1)
                     more = np.flatnonzero((c[i] > 0) & (p[i] > q))
                     first = more[np.argsort(-(p[i] - q)[more], kind="stable")[:top]]
-                    best[i].extend(zip((p[i] - q)[first].tolist(), (first + a).tolist(), strict=True))
-            for i, name in enumerate(source):
-                out = [(lang, name, "pair", other, int(apart[i, j]), None) for j, other in enumerate(source) if j != i]
-                out += [(lang, name, "term", words.term(o).decode(), f, base + o) for f, o in sorted(best[i], key=lambda x: (-x[0], x[1]))[:top]]
-                if out:
-                    yield batch(out)
+                    best[i] = leading(best[i] + [(int(p[i][o] - q[o]), base + a + o, words.term(a + o).decode()) for o in first.tolist()])
+        if now is not None:
+            yield from result()
 
     return run
 
@@ -328,15 +341,21 @@ def divergence_audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP,
                   .mapInArrow(transducers(shard), "lang string, first binary, last binary, size long, automaton binary"), "audit-transducers")
     lines = sorted((r.lang, bytes(r.first), r.size) for r in words.select("lang", "first", "size").toLocalIterator())  # one a shard
     terms: Counter = Counter()
-    firsts, numbers, at = {}, {}, []
+    firsts, numbers, at, units = {}, {}, [], []
+    held = shard
     for number, (lang, first, size) in enumerate(lines):
+        if held >= shard or lang not in firsts:  # small neighbouring shards are compared together
+            held = 0
+        units.append(number if held == 0 else units[-1])
+        held += size
         firsts.setdefault(lang, []).append(first)
         numbers.setdefault(lang, []).append(number)
         at.append((lang, terms[lang]))
         terms[lang] += size
     shards = {i: (lang, base, terms[lang]) for i, (lang, base) in enumerate(at)}
-    numbered = spark.createDataFrame([(i, lang, first) for i, (lang, first, _) in enumerate(lines)], "part int, lang string, first binary")
-    automata = words.join(numbered, ["lang", "first"]).select("part", "automaton")
+    numbered = spark.createDataFrame([(i, u, lang, first) for i, (u, (lang, first, _)) in enumerate(zip(units, lines, strict=True))],
+                                     "part int, unit int, lang string, first binary")
+    automata = words.join(numbered, ["lang", "first"]).select("part", "unit", "automaton")
     n = max(n, len(lines))
 
     sent = rows.mapInArrow(term_messages(firsts, numbers), BLOCKS)
@@ -347,9 +366,9 @@ def divergence_audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP,
     totals = groups.join(counts.join(numbered.select("part", "lang"), "part").groupBy("lang", "source").agg(F.sum("total").alias("total")),
                          ["lang", "source"], "left").select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"))
     totals = saved(totals, "audit-totals")
-    cells = totals.join(numbered.select("part", "lang"), "lang").join(counts.select("part", "source", "counts"), ["part", "source"], "left")
-    first = automata.select("part", F.lit(None).cast("string").alias("source"), F.lit(0).cast("long").alias("total"), F.col("automaton").alias("counts"))
-    found = cells.select("part", "source", "total", "counts").unionByName(first).repartition(n, "part").sortWithinPartitions("part", F.col("source").asc_nulls_first()) \
+    cells = totals.join(numbered.select("part", "unit", "lang"), "lang").join(counts.select("part", "source", "counts"), ["part", "source"], "left")
+    first = automata.select("unit", "part", F.lit(None).cast("string").alias("source"), F.lit(0).cast("long").alias("total"), F.col("automaton").alias("counts"))
+    found = cells.select("unit", "part", "source", "total", "counts").unionByName(first).repartition(n, "unit").sortWithinPartitions("unit", "part", F.col("source").asc_nulls_first()) \
         .mapInArrow(compared(shards, top), "lang string, source string, part string, item string, value long, ordinal long")
     found = saved(found, "audit-found")
 
