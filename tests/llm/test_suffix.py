@@ -74,3 +74,21 @@ def test_levels_stay_logarithmic():
     assert len(levels.levels) <= 8 and sum(len(x[0]) for x in levels.levels) == len(all_marks)
     ids, _ = levels.find(all_marks)
     assert (ids < 64).all()
+
+
+def test_texts_that_agree_in_a_polynomial_hash(spark):
+    """Two texts of 4,096 bytes that share no 50-byte string, but any hash that sums up powers of an odd
+    base modulo 2^64 (their difference is a Thue-Morse sequence): nothing goes."""
+    rng = np.random.default_rng(3)
+    turn = np.array([bin(i).count("1") & 1 for i in range(4096)])
+    letters = 97 + 2 * rng.integers(0, 12, 4096)
+    one, two = (bytes((letters + t).astype(np.uint8)).decode() for t in (turn, 1 - turn))
+    weights = np.full(4096, 0x9E3779B97F4A7C15, np.uint64)
+    weights[0] = 1
+    with np.errstate(over="ignore"):
+        weights = np.multiply.accumulate(weights)
+        sums = [(np.frombuffer(x.encode(), np.uint8).astype(np.uint64) * weights).sum() for x in (one, two)]
+    assert sums[0] == sums[1] and not {one[i:i + 50] for i in range(4047)} & {two[i:i + 50] for i in range(4047)}
+    df = spark.createDataFrame([(1, one), (2, two), (3, one)], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in suffix_dedup(df).collect()}
+    assert got == {1: 0, 2: 0, 3: 4096}

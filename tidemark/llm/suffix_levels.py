@@ -18,7 +18,7 @@ passage that stands in a third of all texts is thus one entry a block.
 
 Suffixes are ordered by a 64-bit hash of their 50 bytes (any order that brings
 equal strings together serves the scan); every match is then compared byte by
-byte, so nothing is removed by a hash alone.
+byte; copies of whole texts are told by 128 bits of their SHA-256.
 
 Defined cases: null and empty texts have no bytes; texts below 50 bytes lose
 nothing; equal ids are not smaller than each other, and null ids are not
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import answered, asked, blocks_of, chunks, dealt, each_part, packed, part_of, text_buffer, unpacked, unpacked_keys
-from .common import INVERSE, MULT, mix, parts, powers, record, saved, span_hash
+from .common import INVERSE, mix, parts, powers, record, saved
 
 LENGTH = 50
 PIECE = 16
@@ -81,7 +81,23 @@ def suffixes(data: np.ndarray, offsets: np.ndarray, length: int, piece: int) ->
 
 
 def text_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    return mix(span_hash(data, offsets[:-1], offsets[1:]) ^ MULT)
+    """The first 128 bits of the SHA-256 of each text, as two numbers."""
+    raw = data.tobytes()
+    digests = b"".join(hashlib.sha256(raw[a:z]).digest()[:16] for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))
+    return np.frombuffer(digests, np.uint64).reshape(-1, 2)
+
+
+def distinct_texts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct text keys of a block, sorted, with their least id, and which of them each row has."""
+    found = [(text_keys(data, offsets), order) for _, data, offsets, order in block_texts(table)]
+    if not found:
+        return np.zeros((0, 2), np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    keys, order = (np.concatenate(x) for x in zip(*found, strict=True))
+    by = np.lexsort((order, keys[:, 1], keys[:, 0]))
+    head = np.r_[True, (keys[by][1:] != keys[by][:-1]).any(axis=1)]
+    which = np.empty(len(by), np.int64)
+    which[by] = np.cumsum(head) - 1
+    return keys[by][head], order[by][head], which
 
 
 def block_texts(table: pa.Table):
@@ -93,9 +109,9 @@ def block_texts(table: pa.Table):
 
 
 def first_round(table: pa.Table, length: int, piece: int):
-    """Distinct pieces of a block with whether two texts of it have them, and distinct texts with their least id."""
-    found, texts, ids = [], [], []
-    for a, data, offsets, order in block_texts(table):
+    """Distinct pieces of a block with whether two texts of it have them."""
+    found = []
+    for a, data, offsets, _ in block_texts(table):
         _, doc, least = suffixes(data, offsets, length, piece)
         new = np.r_[True, (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])] if len(least) else np.zeros(0, bool)
         least, doc = least[new], doc[new]
@@ -103,27 +119,20 @@ def first_round(table: pa.Table, length: int, piece: int):
         least, doc = least[at], doc[at] + a
         new = np.r_[True, (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])] if len(least) else np.zeros(0, bool)
         found.append((least[new], doc[new]))
-        texts.append(text_keys(data, offsets))
-        ids.append(order)
     key = np.concatenate([k for k, _ in found]) if found else np.zeros(0, np.uint64)
     key = np.sort(key)  # once a text and run of texts
     first = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
     at = np.flatnonzero(first)
-    several = np.diff(np.r_[at, len(key)]) > 1
-    text = np.concatenate(texts) if texts else np.zeros(0, np.uint64)
-    order = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-    by = np.lexsort((order, text))
-    text, order = text[by], order[by]
-    one = np.r_[True, text[1:] != text[:-1]] if len(text) else np.zeros(0, bool)
-    return key[at], several, text[one], order[one]
+    return key[at], np.diff(np.r_[at, len(key)]) > 1
 
 
 def ask(n: int, length: int, piece: int):
     """Messages: parts 0..n-1 get pieces, n..2n-1 texts."""
     def run(table):
-        key, several, text, order = first_round(table, length, piece)
+        key, several = first_round(table, length, piece)
         yield from dealt(key, n, several.astype(np.uint8))
-        for p, message in dealt(text, n, order):
+        text, order, _ = distinct_texts(table)
+        for p, message in dealt(text[:, 0], n, text[:, 1], order):
             yield n + p, message
 
     return run
@@ -133,18 +142,22 @@ def reply(n: int):
     """Answers: which of the pieces stand in several texts; the least id of each text."""
     def run(part, blocks, payloads):
         asks = [unpacked_keys(p) for p in payloads]
-        key, value = (np.concatenate([a[i] for a in asks]) for i in (0, 1))
-        by = np.lexsort((value, key))
-        key, value = key[by], value[by]
-        at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        *key, value = (np.concatenate(x) for x in zip(*asks, strict=True))  # a piece is one number, a text two
+        by = np.lexsort((value, *key[::-1]))
+        head = np.zeros(len(by), bool)
+        head[:1] = True
+        for k in key:
+            head[1:] |= k[by][1:] != k[by][:-1]
+        at = np.flatnonzero(head)
         if part < n:
-            known = (np.diff(np.r_[at, len(key)]) > 1) | (np.maximum.reduceat(value, at) > 0)
+            known = (np.diff(np.r_[at, len(by)]) > 1) | (np.maximum.reduceat(value[by], at) > 0)
         else:
-            known = value[at]
-        key = key[at]
-        for block, (own, _) in zip(blocks, asks, strict=True):
-            got = known[np.searchsorted(key, own)]
-            yield message_of(block, part, packed(np.packbits(got) if part < n else got))
+            known = value[by][at]
+        answer = np.empty(len(by), known.dtype)
+        answer[by] = known[np.cumsum(head) - 1]
+        ends = np.cumsum([len(a[0]) for a in asks])
+        for block, a, z in zip(blocks, np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True):
+            yield message_of(block, part, packed(np.packbits(answer[a:z]) if part < n else answer[a:z]))
 
     return run
 
@@ -154,17 +167,16 @@ def message_of(block: int, part: int, payload: bytes) -> pa.RecordBatch:
                                       names=["block", "part", "payload"])
 
 
-def copies_of(table: pa.Table, got: dict, n: int, text: np.ndarray) -> np.ndarray:
-    """Which rows of a block are copies of a text with a smaller id; text: the block's distinct text keys."""
+def copies_of(table: pa.Table, got: dict, n: int) -> np.ndarray:
+    """Which rows of a block are copies of a text with a smaller id."""
+    text, _, which = distinct_texts(table)
     least = np.full(len(text), NO_ID)
-    cuts = np.searchsorted(part_of(text, n), np.arange(n + 1))
+    cuts = np.searchsorted(part_of(text[:, 0], n), np.arange(n + 1))
     for p, payload in got.items():
         if n <= p < 2 * n:
             least[cuts[p - n]:cuts[p - n + 1]] = unpacked(payload)[0]
-    out = []
-    for _, data, offsets, order in block_texts(table):
-        out.append(least[np.searchsorted(text, text_keys(data, offsets))] < order)
-    return np.concatenate(out) if out else np.zeros(0, bool)
+    order = table.column("__order").to_numpy()
+    return least[which] < order
 
 
 def runs_of(place: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,13 +194,13 @@ def runs_of(place: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def second_round(n: int, length: int, piece: int):
     """A block's answers make its suffixes: what neighbouring texts settle goes back as spans, the rest to parts."""
     def run(block, table, got):
-        key, _, text, _ = first_round(table, length, piece)
+        key, _ = first_round(table, length, piece)
         several = np.zeros(len(key), bool)
         cuts = np.searchsorted(part_of(key, n), np.arange(n + 1))
         for p, payload in got.items():
             if p < n:
                 several[cuts[p]:cuts[p + 1]] = np.unpackbits(unpacked(payload)[0], count=int(cuts[p + 1] - cuts[p])).astype(bool)
-        key, copy = key[several], copies_of(table, got, n, text)
+        key, copy = key[several], copies_of(table, got, n)
         spans, sent = [], []
         for a, data, offsets, order in block_texts(table):
             place, doc, least = suffixes(data, offsets, length, piece)
@@ -335,8 +347,7 @@ def marks(data: np.ndarray, begin: np.ndarray, size: np.ndarray, count: np.ndarr
 
 def covered(table: pa.Table, got: dict, n: int, length: int):
     """(first text, bytes, offsets, covered bytes) of runs of a block's texts."""
-    keys = [text_keys(data, offsets) for _, data, offsets, _ in block_texts(table)]
-    copy = copies_of(table, got, n, np.unique(np.concatenate(keys)))
+    copy = copies_of(table, got, n)
     spans = [unpacked(p) for k, p in got.items() if k < n or k >= 2 * n]
     doc, start, stop = (np.concatenate([s[i] for s in spans]).astype(np.int64) if spans else np.zeros(0, np.int64) for i in range(3))
     by = np.argsort(doc, kind="stable")
@@ -380,11 +391,11 @@ def finish(n: int, length: int, whole_rows: bool):
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, piece: int = PIECE, whole_rows: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row; with ``whole_rows`` instead
     the columns of ``docs`` with the kept text, and ``__removed_bytes`` (a character cut in two goes)."""
-    n = 2 * parts(docs)
     message = "block long, part int, payload binary"
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("__order")
     kept = docs.select("*", order) if whole_rows else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", order)
     blocks = blocks_of(kept, "suffix-blocks", BLOCK_BYTES)
+    n = max(2 * parts(docs), blocks.count())  # parts grow with the text
     known = saved(each_part(asked(blocks, ask(n, length, piece)), reply(n), message, 2 * n), "suffix-known")
     found = each_part(answered(blocks, known, second_round(n, length, piece), message), scan(n, length), message, n)
     answers = known.where(F.col("part") >= n).unionByName(found)
