@@ -124,6 +124,22 @@ def rollup_tiers(df: DataFrame, keys: Sequence[str], base_step_s: int,
     return out.where(kept)
 
 
+def chained_tiers(df: DataFrame, keys: Sequence[str], base_step_s: int, tiers: Sequence[int], xff: float = DEFAULT_XFF) -> DataFrame:
+    """Rollup tiers, each from the buckets of the tier below: a bucket carries its maximum and the number of
+    known base points, so a tier is the same as one made from the samples, and the samples are shuffled
+    once, combined, by the lowest tier.  ``tiers``: widths in seconds, each a multiple of the one before."""
+    for a, b in zip(tiers, tiers[1:]):
+        if b % a:
+            raise ValueError(f"{b} s is no multiple of {a} s")
+    lowest = df.groupBy(*keys, bucket_start("ts", tiers[0]).alias("ts")).agg(F.max("value").alias("value"), F.count("value").alias("known"))
+    # a bucket counts for each tier above: its own row and those of the tiers, which combine before they are shuffled
+    steps = F.array(*[F.struct(F.lit(step).cast("int").alias("step_s"), bucket_start("ts", step).alias("bucket")) for step in tiers])
+    up = lowest.select(*keys, "value", "known", F.inline(steps)).groupBy(*keys, "step_s", "bucket") \
+        .agg(F.max("value").alias("value"), F.sum("known").alias("known"))
+    enough = F.col("known") >= F.lit(xff) * F.floor(F.col("step_s") / F.lit(base_step_s))
+    return up.select(*keys, F.col("bucket").alias("ts"), "step_s", F.when(enough, F.col("value")).alias("value"), "known")
+
+
 def choose_tier(start_age_s: float, tiers: Sequence[tuple[int, int]] = DEFAULT_TIERS) -> int | None:
     """Resolution routing: the first tier whose retention covers ``now - start``."""
     for step, keep in tiers:

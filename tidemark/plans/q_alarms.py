@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import absence as AB
 from ..operators import alarms as AL
 from ..operators import rules as RU
 from ..operators import windows as Wn
@@ -175,16 +176,32 @@ c AS (SELECT k.key, e.* FROM k JOIN e ON e.pattern = 'default' OR k.key = e.patt
 SELECT key, metric, level, arg_max_null(lim, CASE WHEN pattern = 'default' THEN -1 ELSE entry_ord END) AS "limit"
 FROM c GROUP BY key, metric, level"""), "J3")
 def rule_overlay(spark, d):
+    keys = T.net_wide(spark, d).select(F.col("entity").alias("key")).distinct()
+    return RU.overlay(keys, overlay_entries(spark))
+
+
+def overlay_entries(spark):
     from ..functions.patterns import glob_to_regex
     rows = []
     for i, (pat, lims) in enumerate(OVERLAY):
         for metric, tup in lims.items():
             for lvl, v in enumerate(tup):
                 rows.append((i, pat, glob_to_regex(pat), metric, lvl, v))
-    entries = spark.createDataFrame(rows, "entry_ord int, pattern string, regex string, metric string, "
-                                          "level int, limit double")
-    keys = T.net_wide(spark, d).select(F.col("entity").alias("key")).distinct()
-    return RU.overlay(keys, entries)
+    return spark.createDataFrame(rows, "entry_ord int, pattern string, regex string, metric string, level int, limit double")
+
+
+@query("overlay_alarms", V("net_long", body=f"""
+WITH k AS (SELECT DISTINCT entity AS key FROM net_long),
+e AS (SELECT * FROM {OVERLAY_SQL}),
+ex AS (SELECT DISTINCT k.key FROM k JOIN e ON e.pattern <> 'default' AND k.key = e.pattern),
+c AS (SELECT k.key, e.* FROM k JOIN e ON e.pattern = 'default' OR k.key = e.pattern OR (k.key GLOB e.pattern AND k.key NOT IN (SELECT key FROM ex))),
+lim AS (SELECT key, metric, level, arg_max_null(lim, CASE WHEN pattern = 'default' THEN -1 ELSE entry_ord END) AS lim FROM c GROUP BY key, metric, level)
+SELECT n.ts, n.entity || ':' || substr(n.tbl, strpos(n.tbl, '_') + 1) || '.' || n.metric || '(' || CAST(lim.level AS VARCHAR) || ')' AS alarm_key,
+       lim.level, printf('%s: %s is %.2f, limit %.2f', n.entity, n.metric, n.value, lim.lim) AS message
+FROM net_long n JOIN lim ON lim.key = n.entity AND lim.metric = n.metric
+WHERE lim.lim IS NOT NULL AND lim.lim <> 0 AND n.value > lim.lim"""), "T5 J3")
+def overlay_alarms(spark, d):
+    return AL.overlay_alarms(T.net_long(spark, d), overlay_entries(spark))
 
 
 # ---------------------------------------------------------------- T4 ------
@@ -221,3 +238,17 @@ SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, min(ts) AS ts, 'alarm health ch
 FROM gauge_long WHERE hour(ts) = 12 AND minute(ts) = 0 GROUP BY 1"""), "T8")
 def daily_heartbeat(spark, d):
     return AL.daily_heartbeat(T.gauge_long(spark, d), "12:00")
+
+
+GAP_S, UNTIL = 86400, "2024-02-01 00:00:00"
+
+
+@query("client_absence", V("gauge_long", body=f"""
+WITH t AS (SELECT DISTINCT entity, ts FROM gauge_long),
+g AS (SELECT entity, ts, lead(ts) OVER (PARTITION BY entity ORDER BY ts) AS next_ts FROM t),
+s AS (SELECT *, (epoch_us(next_ts) - epoch_us(ts)) / 1000000.0 AS silent_s FROM g)
+SELECT entity, ts + INTERVAL {GAP_S} SECOND AS ts, 'down' AS change, CAST({GAP_S} AS DOUBLE) AS silent_s FROM s
+WHERE silent_s > {GAP_S} OR (next_ts IS NULL AND ts + INTERVAL {GAP_S} SECOND < TIMESTAMP '{UNTIL}')
+UNION ALL SELECT entity, next_ts, 'up', silent_s FROM s WHERE silent_s > {GAP_S}"""), "T8 T9")
+def client_absence(spark, d):
+    return AB.absences(T.gauge_long(spark, d), GAP_S, UNTIL)

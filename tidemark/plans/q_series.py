@@ -257,6 +257,19 @@ def rollup_tiers(spark, d):
     return out.select("entity", "tbl", "metric", "ts", F.col("step_s").cast("int").alias("step_s"), "value")
 
 
+CHAIN = (86400, 7 * 86400, 28 * 86400)
+
+
+@query("chained_tiers", V("net_long", body="""
+SELECT entity, tbl, metric, CAST(w.step_s AS INTEGER) AS step_s,
+       make_timestamp(CAST(floor(epoch_us(ts) / (w.step_s * 1000000)) AS BIGINT) * w.step_s * 1000000) AS ts,
+       CASE WHEN COUNT(value) >= 0.1 * (w.step_s / 86400) THEN MAX(value) END AS value, CAST(COUNT(value) AS BIGINT) AS known
+FROM net_long, (VALUES (86400::BIGINT), (604800::BIGINT), (2419200::BIGINT)) AS w(step_s)
+GROUP BY entity, tbl, metric, w.step_s, 5"""), "T12 A7")
+def chained_tiers(spark, d):
+    return A.chained_tiers(T.net_long(spark, d), ["entity", "tbl", "metric"], 86400, CHAIN, xff=0.1)
+
+
 # ---------------------------------------------------------------- A8 ------
 DS_R = 20
 

@@ -68,6 +68,26 @@ def tumbling_max(stream: DataFrame, width: str, delay: str, xff: float = 0.5, po
     return g.select(*keys, from_instant("w.start").alias("ts"), val.alias("value"), "known")
 
 
+def chained_tiers(stream: DataFrame, base_step_s: int, tiers: Sequence[int], delay: str = "60 seconds", xff: float = 0.5,
+                  keys: Sequence[str] = ("entity", "tbl", "metric"), ts: str = "ts") -> list[DataFrame]:
+    """Rollup tiers, each a window over the windows of the tier below, which are closed by the same
+    watermark: a tier keeps the maximum and how many of its base points are known, so that ``xff`` asks
+    for the points and not for the buckets below.  ``tiers``: widths in seconds, each a multiple of the
+    one before.  One DataFrame a tier (``keys, ts, step_s, value, known``); the samples are read by the
+    lowest window only."""
+    for a, b in zip(tiers, tiers[1:]):
+        if b % a:
+            raise ValueError(f"{b} s is no multiple of {a} s")
+    own = stream.withColumn(EVENT_TIME, to_instant(ts)).withWatermark(EVENT_TIME, delay)
+    level, out = own.withColumn("known", F.when(F.col("value").isNotNull(), 1).otherwise(0)), []
+    for step in tiers:
+        time = F.col(EVENT_TIME) if not out else F.window_time("w")
+        level = level.groupBy(*keys, F.window(time, f"{step} seconds").alias("w")).agg(F.max("value").alias("value"), F.sum("known").alias("known"))
+        out.append(level.select(*keys, from_instant("w.start").alias("ts"), F.lit(step).alias("step_s"),
+                                F.when(F.col("known") >= F.lit(xff) * (step // base_step_s), F.col("value")).alias("value"), "known"))
+    return out
+
+
 def fan_out(targets: Sequence[Callable[[DataFrame, int], None]]) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` body writing one micro-batch to several stores in
     order; the first failure stops the batch (and the query retries it)."""
