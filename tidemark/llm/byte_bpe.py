@@ -31,7 +31,6 @@ import base64
 import hashlib
 import heapq
 import json
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -180,26 +179,6 @@ def class_repairs(pattern: str) -> tuple[str, str]:
     return "".join(sorted(odd)), exact
 
 
-class Splitter:
-    """Pre-tokens of a text."""
-
-    def __init__(self, pattern: str, odd: str, exact: str):
-        import regex
-        self.odd = re.compile("[" + "".join(rf"\U{ord(c):08x}" for c in odd) + "]") if odd else None
-        self.plain = regex.compile(pattern)
-        self.exact_pattern, self.exact = exact, None
-
-    def words(self, text: str) -> list[str]:
-        if self.odd is None or text.isascii() or not self.odd.search(text):
-            return self.plain.findall(text)
-        if self.exact is None:
-            import regex
-            self.exact = regex.compile(self.exact_pattern, regex.V1)
-        return self.exact.findall(text)
-
-
-# ---------------------------------------------------------------- blocks of words
-
 class Numbers(dict):
     """Numbers of words in the order in which they are asked for."""
 
@@ -211,6 +190,36 @@ class Numbers(dict):
         return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
 
+class Splitter(Numbers):
+    """Pre-tokens of texts, numbered.  Characters of unlike class are looked for in new words only."""
+
+    def __init__(self, pattern: str, odd: str, exact: str):
+        import regex
+        self.odd, self.odd_words = frozenset(odd), set()
+        self.plain, self.exact = regex.compile(pattern), None
+        self.exact_pattern = exact
+
+    def __missing__(self, word):
+        if not self.odd.isdisjoint(word):
+            self.odd_words.add(word)
+        return super().__missing__(word)
+
+    def split(self, text: str) -> np.ndarray:
+        words = self.plain.findall(text)
+        own = self.of(words)
+        covered = sum(map(len, words)) == len(text)  # a pattern may leave characters out
+        if self.odd_words.isdisjoint(words) if covered else self.odd.isdisjoint(text):
+            return own
+        if self.exact is None:
+            import regex
+            self.exact = regex.compile(self.exact_pattern, regex.V1)
+        return self.of(self.exact.findall(text))
+
+    def restart(self) -> None:
+        self.clear()
+        self.odd_words.clear()
+
+
 def words_packed(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.array([len(w) for w in words], np.int32), np.frombuffer(b"".join(words), np.uint8)
 
@@ -235,8 +244,8 @@ def word_blocks(docs: DataFrame, pattern: str, block_bytes: int = BLOCK_BYTES) -
     odd, exact = class_repairs(pattern)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, first, n = Splitter(pattern, odd, exact), TaskContext.get().partitionId() << 32, 0
-        index, codes, counts, ids, size = Numbers(), [], [], [], 0
+        index, first, n = Splitter(pattern, odd, exact), TaskContext.get().partitionId() << 32, 0
+        codes, counts, ids, size = [], [], [], 0
 
         def flushed() -> pa.RecordBatch:
             own = np.concatenate(codes)
@@ -253,7 +262,7 @@ def word_blocks(docs: DataFrame, pattern: str, block_bytes: int = BLOCK_BYTES) -
 
         for b in it:
             for i, text in enumerate(b.column(1).to_pylist()):
-                own = index.of(split.words(text or ""))
+                own = index.split(text or "")
                 codes.append(own)
                 counts.append(len(own))
                 ids.append(b.column(0).slice(i, 1))
@@ -261,7 +270,8 @@ def word_blocks(docs: DataFrame, pattern: str, block_bytes: int = BLOCK_BYTES) -
                 if size >= block_bytes:
                     ids = [pa.concat_arrays(ids)]
                     yield flushed()
-                    index, codes, counts, ids, size, n = Numbers(), [], [], [], 0, n + 1
+                    index.restart()
+                    codes, counts, ids, size, n = [], [], [], 0, n + 1
             if ids:
                 ids = [pa.concat_arrays(ids)]
         if ids:

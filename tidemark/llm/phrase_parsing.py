@@ -8,11 +8,11 @@ and is counted there alone.  Equal stretches of text are cut alike, so copies
 and repeated passages become one dictionary entry with a frequency; phrases are
 counted inside distinct chunks only, weighted by it.
 
-Counting has two rounds.  Blocks of the dictionary send the keyed hashes of
+Counting has three rounds.  Blocks of the dictionary send the keyed hashes of
 their distinct words and word pairs with weighted counts to parts, which answer
-which of them are frequent; a phrase can only be frequent if all its pairs are.
-Blocks then send phrases that are left, as text, and Spark sums these up: the
-hashes prune, they never count.  The number of parts grows with the number of
+which of them are frequent; then the same for longer phrases of which all pairs
+are frequent, as no other can be.  Blocks then send the phrases that are left,
+as text, and Spark sums these up: the hashes prune, they never count.  The number of parts grows with the number of
 blocks.
 
 A candidate's cut is found by joins of the count table with itself, arithmetic
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import answered, asked, blocks_of, dealt, each_part, packed_keys, summed, unpacked_keys
+from .blocks import BLOCKS, answered, asked, blocks_of, dealt, each_part, packed_keys, summed, unpacked_keys
 from .byte_bpe import Numbers, message
 from .common import MULT, bounded_batches, mix, parts, saved
 
@@ -131,9 +131,9 @@ class Chunks:
             rows.setdefault(lang, []).append(i)
         self.langs = {}
         for lang in sorted(rows):
-            number, own = Numbers(), [text[i].split(b" ") for i in rows[lang]]
-            n = np.array([len(c) for c in own])
-            codes = number.of([w for c in own for w in c])
+            number, own = Numbers(), [text[i] for i in rows[lang]]
+            n = np.array([c.count(b" ") + 1 for c in own])
+            codes = number.of(b" ".join(own).split(b" "))
             follow = np.array([follows[i] for i in rows[lang]])
             of = np.repeat(np.arange(len(n)), n)
             left = np.repeat(np.cumsum(n), n) - np.arange(n.sum())  # words from here to the end of the chunk
@@ -151,11 +151,7 @@ class Chunks:
             weights += [weighted(codes, weight, len(hashes)), weight[at]]
         if not keys:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        key, weight = np.concatenate(keys), np.concatenate(weights)
-        by = np.argsort(key)
-        key = key[by]
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        return key[first], np.add.reduceat(weight[by], first)
+        return added(np.concatenate(keys), np.concatenate(weights))
 
 
 def ask(n: int):
@@ -179,47 +175,96 @@ def frequent(least: int):
     return run
 
 
-def phrases(longest: int):
-    """(lang, phrase, n): the block's words and phrases whose pairs are all frequent, and as the
-    empty phrase the number of words."""
+def member(keys: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Whether sorted ``keys`` have each of ``k``."""
+    if not len(keys):
+        return np.zeros(len(k), bool)
+    return keys[np.minimum(np.searchsorted(keys, k), len(keys) - 1)] == k
+
+
+def gathered(got: dict, first: int, last: int) -> np.ndarray:
+    """The keys of a block's answers of some parts, which are runs of the keys."""
+    return np.concatenate([unpacked_keys(got[p])[0] for p in sorted(got) if first <= p < last] or [np.zeros(0, np.uint64)])
+
+
+def grown(lang: tuple, key: np.ndarray, longest: int, use=None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(k, places, hashes, weights) of a language's phrases of k words that begin at counted places and of
+    which all words and pairs are among ``key``; ``use(hashes)`` tells which of three and more words go on."""
+    _, hashes, codes, left, weight = lang
+    word = member(key, hashes)[codes]
+    pairs = left >= 2  # whether the pair that begins here is frequent
+    pairs &= word
+    pairs[:-1] &= word[1:]
+    at = np.flatnonzero(pairs)
+    pairs[at] = member(key, then(hashes[codes[at]], hashes[codes[at + 1]]))
+    at = np.flatnonzero(word & (weight > 0))
+    h = hashes[codes[at]]
+    for k in range(1, longest + 1):
+        if k > 1:
+            on = left[at] >= k
+            on[on] = pairs[at[on] + k - 2]
+            at = at[on]
+            h = then(h[on], hashes[codes[at + k - 1]])
+        if k > 2 and use is not None:
+            on = use(h)
+            at, h = at[on], h[on]
+        if not len(at):
+            return
+        yield k, at, h, weight[at]
+
+
+def ask_longer(n: int, longest: int):
+    """The second question: phrases of three and more words whose pairs are frequent (parts n to 2n - 1)."""
+    def run(block, table, got):
+        key, keys, weights = gathered(got, 0, n), [], []
+        for lang in Chunks(table).langs.values():
+            for k, _, h, w in grown(lang, key, longest):
+                if k > 2:
+                    keys.append(h)
+                    weights.append(w)
+        if keys:
+            key, weight = added(np.concatenate(keys), np.concatenate(weights))
+            for p, payload in dealt(key, n, weight):
+                yield message(block, n + p, payload)
+
+    return run
+
+
+def phrases(n: int, longest: int):
+    """(lang, phrase, n): the block's words and phrases whose hashes are frequent, and as the empty
+    phrase the number of words."""
     def rows(lang: str, text: list[bytes], n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([lang] * len(text), pa.string()), pa.array(text, pa.binary()).cast(pa.string()),
                                            pa.array(n, pa.int64())], names=["lang", "phrase", "n"])
 
     def run(block, table, got):
-        key = np.concatenate([unpacked_keys(got[p])[0] for p in sorted(got)] or [np.zeros(0, np.uint64)])  # parts are runs of the keys
-        for lang, (name, hashes, codes, left, weight) in Chunks(table).langs.items():
+        key, longer = gathered(got, 0, n), gathered(got, n, 2 * n)
+        for lang, own in Chunks(table).langs.items():
+            name, _, codes, _, weight = own
             yield rows(lang, [b""], np.array([weight.sum()]))
-            if not len(key):
-                continue
-
-            def known(k):
-                return key[np.minimum(np.searchsorted(key, k), len(key) - 1)] == k
-
-            word = known(hashes)[codes]
-            pairs = word.copy()  # whether the pair that begins here is frequent
-            pairs[:-1] &= word[1:]
-            pairs &= left >= 2
-            at = np.flatnonzero(pairs)
-            pairs[at] = known(then(hashes[codes[at]], hashes[codes[at + 1]]))
-            at = np.flatnonzero(word & (weight > 0))
-            text, ids = name, codes[at].astype(np.int64)
-            for k in range(1, longest + 1):
-                if k > 1:
-                    on = (left[at] >= k)
-                    on[on] = pairs[at[on] + k - 2]
-                    at, ids = at[on], ids[on] * len(name) + codes[at[on] + k - 1]
-                if not len(at):
-                    break
-                own, ids = np.unique(ids, return_inverse=True)
-                text = [text[c // len(name)] + b" " + name[c % len(name)] for c in own.tolist()] if k > 1 else [name[c] for c in own.tolist()]
-                n = weighted(ids, weight[at], len(own))
+            place, ids, text = np.zeros(0, np.int64), np.zeros(0, np.int64), name
+            for k, at, _, w in grown(own, key, longest, lambda h: member(longer, h)):
+                if k == 1:
+                    both = codes[at].astype(np.int64)
+                else:  # the phrase before, and the next word: told apart by number, not by hash
+                    both = ids[np.searchsorted(place, at)] * len(name) + codes[at + k - 1]
+                distinct, ids = np.unique(both, return_inverse=True)
+                text = [text[c // len(name)] + b" " + name[c % len(name)] for c in distinct.tolist()] if k > 1 else [name[c] for c in distinct.tolist()]
+                place, total = at, weighted(ids, w, len(distinct))
                 for s in range(0, len(text), 1 << 17):
-                    yield rows(lang, text[s:s + (1 << 17)], n[s:s + (1 << 17)])
+                    yield rows(lang, text[s:s + (1 << 17)], total[s:s + (1 << 17)])
 
     return run
 
 
+def added(key: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, with sums of their weights."""
+    by = np.argsort(key)
+    key = key[by]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return key[first], np.add.reduceat(weight[by], first)
+
+
 def weighted(group: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
     """Sums of whole numbers by group."""
     out = np.zeros(n, np.int64)
@@ -238,8 +283,9 @@ def phrase_counts(docs: DataFrame, least: int = MIN_COUNT, longest: int = LONGES
         .groupBy("lang", "text", "follows").agg(F.sum("freq").alias("freq"))
     blocks = blocks_of(chunks, "phrase-blocks", BLOCK_BYTES)
     n = max(parts(docs), blocks.count())
-    replies = each_part(asked(blocks, ask(n)), frequent(least), "block long, part int, payload binary", n)
-    found = answered(blocks, replies, phrases(longest), "lang string, phrase string, n long")
+    pairs = saved(each_part(asked(blocks, ask(n)), frequent(least), BLOCKS, n), "phrase-pairs")
+    longer = each_part(answered(blocks, pairs, ask_longer(n, longest), BLOCKS), frequent(least), BLOCKS, n)
+    found = answered(blocks, pairs.unionByName(longer), phrases(n, longest), "lang string, phrase string, n long")
     return saved(found.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("phrase") == "")), "phrase-counts")
 
 
