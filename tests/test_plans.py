@@ -40,3 +40,16 @@ def test_glob_prefix_reaches_the_scan(spark, sf):
     df = spark.read.parquet(f"{sf}/nation.parquet")
     assert "StringStartsWith(n_name,NA" in _plan(df.where(matches("n_name", "NA*")))
     assert "StringStartsWith(n_name,NA" in _plan(df.where(matches("n_name", "NA?[0-9]")))
+
+
+def test_nested_ordered_operators_share_their_input(spark, sf):
+    """Rows and slice ends come from one shuffle; alarms are found once for tables and walk."""
+    most = {"derive_prev": 1, "history_expr": 1, "downsample_minmax": 1, "delta": 2, "change_per_sec": 3, "declared_kinds": 1,
+            "threshold_alarms": 5, "predicate_alarms": 5, "suppressed_alarms": 8, "quiet_hours": 8}
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # reused exchanges show in the plan before it runs
+    try:
+        scans = {q: _plan(REG[q][0](spark, sf)).count("FileScan parquet") for q in most}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert {q: n for q, n in scans.items() if n > most[q]} == {}

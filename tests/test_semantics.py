@@ -357,3 +357,27 @@ def test_suppression_of_a_hot_key_is_cut_into_slices(spark):
         for c, v in before.items():
             spark.conf.set(c, v)
     assert max(r["count"] for r in tasks) < 0.6 * sum(r["count"] for r in tasks)
+
+
+def test_ordered_operators_keep_null_keys_and_clashing_names(spark):
+    """A null key stays a series of its own slice; columns named like the helpers' own survive; empty frames pass."""
+    from pyspark.sql import functions as F
+
+    from tidemark.operators.seqwindow import carry_forward, position, prev_row, running_sums
+    rows = [("a", i, f"2024-01-{1 + i:02d} 00:00:00", float(i), "s", "r", "e") for i in range(20)] \
+        + [(None, 100 + i, "2024-01-01 00:00:00", 1.0, "s", "r", "e") for i in range(3)]
+    df = spark.createDataFrame(rows, "k string, n int, t string, v double, __split string, __row string, __end string") \
+        .withColumn("ts", F.col("t").cast("timestamp_ntz")).drop("t")
+    prev = prev_row(df, "k", "ts", ["v", "k", "n"], tiebreak="n")
+    assert prev.columns == [*df.columns, "prev_ts", "prev_v", "prev_k", "prev_n"]
+    got = {r["n"]: (r["prev_n"], r["prev_k"], r["__split"], r["__row"], r["__end"]) for r in prev.collect()}
+    assert got[0] == (None, None, "s", "r", "e") and got[102][0] == 101 and len(got) == 23
+    assert all(got[i] == (i - 1, "a", "s", "r", "e") for i in range(1, 20))
+    sums = {r["n"]: (r["upto"], r["pos"], r["total"]) for r in position(
+        running_sums(df, "k", "ts", {"upto": F.col("v")}, tiebreak="n"), "k", "ts", tiebreak="n", total_name="total").collect()}
+    assert all(sums[i] == (i * (i + 1) / 2, i + 1, 20) for i in range(20)) and sums[102] == (3.0, 3, 3)
+    holes = df.withColumn("v", F.when(F.col("n") % 10 == 3, F.col("v")))
+    filled = {r["n"]: r["v"] for r in carry_forward(holes, "k", "ts", "v", tiebreak="n").collect()}
+    assert [filled[i] for i in (2, 3, 12, 13, 19)] == [None, 3.0, 3.0, 13.0, 13.0]
+    for op in (prev_row(df.limit(0), "k", "ts", ["v"]), position(df.limit(0), "k", "ts")):
+        assert op.collect() == []

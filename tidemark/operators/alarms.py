@@ -19,15 +19,16 @@ SLICE_WINDOWS = 16          # suppression windows in one slice of a key
 
 
 # ---------------------------------------------------------------- T4 ------
-def threshold_alarms(changes: DataFrame, rules: DataFrame) -> DataFrame:
+def threshold_alarms(changes: DataFrame, rules: DataFrame, tables: DataFrame | None = None) -> DataFrame:
     """Every level whose limit is set (not null, not 0) and exceeded by the
     per-second change fires; one row per level.
 
     ``changes``: ``entity, tbl, metric, ts, change_per_sec``;
-    ``rules``: :func:`rules.abs_rules_frame`.
+    ``rules``: :func:`rules.abs_rules_frame`; ``tables``: rows that tell all
+    (entity, tbl), where they are had for less than the changes.
     """
     c = changes.withColumn("key", key_of())
-    keys = c.select("key").distinct()
+    keys = (changes if tables is None else tables).select("entity", "tbl").distinct().select(key_of().alias("key")).distinct()
     chosen = match_first(keys, rule_heads(rules))
     lim = rules.where(F.col("limit").isNotNull() & (F.col("limit") != 0)) \
         .select("rule_ord", "metric", "level", "limit", "limit_text")
@@ -41,10 +42,12 @@ def threshold_alarms(changes: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- T5 ------
-def predicate_alarms(spark: SparkSession, current: DataFrame, rules: Sequence[LambdaRule]) -> DataFrame:
+def predicate_alarms(spark: SparkSession, current: DataFrame, rules: Sequence[LambdaRule],
+                     tables: DataFrame | None = None) -> DataFrame:
     """Predicate rules on raw current values.  ``current`` is wide: one row
     per (entity, tbl, ts) sample that also existed in the previous sample,
     with one column per metric.  A failing expression (null) means no alarm.
+    ``tables``: as for :func:`threshold_alarms`.
     """
     from ..functions.patterns import glob_to_regex
     heads = spark.createDataFrame(
@@ -52,8 +55,8 @@ def predicate_alarms(spark: SparkSession, current: DataFrame, rules: Sequence[La
          for i, r in enumerate(rules)],
         "rule_ord int, pattern string, regex string, ignore_regex string")
     c = current.withColumn("key", key_of())
-    chosen = match_first(c.select("key").distinct(), heads)
-    j = c.join(chosen, "key")
+    keys = (current if tables is None else tables).select("entity", "tbl").distinct().select(key_of().alias("key")).distinct()
+    j = c.join(match_first(keys, heads), "key")
     # one pass: every (rule, level) candidate as an array element, exploded and filtered
     cands = []
     for i, r in enumerate(rules):
@@ -125,7 +128,7 @@ def suppress(alarms: DataFrame, window_s: int = DEFAULT_SUPPRESS_S, key: str = "
         now = None
 
         def table() -> pa.RecordBatch:
-            us = np.concatenate(held)
+            us = np.unique(np.concatenate(held))
             n = len(us)
             to = np.append(np.searchsorted(us, us + w_us), n)  # the moment that fires next; n: none
             end = np.arange(n)
@@ -136,7 +139,7 @@ def suppress(alarms: DataFrame, window_s: int = DEFAULT_SUPPRESS_S, key: str = "
             return pa.RecordBatch.from_arrays([pa.array([now[0]] * int(keep.sum()), pa.string()), pa.array(np.full(keep.sum(), now[1])),
                                                pa.array(us[:first][keep]), pa.array(us[end[:first][keep]])], ["key", "slice", "first", "last"])
 
-        for name, piece, us in _runs(batches):
+        for name, piece, us in _runs(batches, ("__key", "__slice", "__us")):
             if (name, piece) != now:
                 if held:
                     yield table()
@@ -190,12 +193,12 @@ def suppress(alarms: DataFrame, window_s: int = DEFAULT_SUPPRESS_S, key: str = "
 
     timed = alarms.withColumn("__key", F.col(key).cast("string")).withColumn("__us", epoch_us("ts")) \
         .withColumn("__slice", F.expr(f"(__us - pmod(__us, {span}L)) div {span}L")).withColumn("__real", F.lit(True))
-    moments = timed.select(F.col("__key").alias("key"), F.col("__slice").alias("slice"), F.col("__us").alias("us")).distinct()
-    tables = moments.repartition("key", "slice").sortWithinPartitions("key", "slice", "us") \
-        .mapInArrow(ends, "key string, slice long, first long, last long")
+    dealt = timed.repartition("__key", "__slice")
+    # whole alarms on both ways, or Spark would see two different shuffles
+    tables = dealt.sortWithinPartitions("__key", "__slice", "__us").mapInArrow(ends, "key string, slice long, first long, last long")
     before = tables.repartition("key").sortWithinPartitions("key", "slice", "first").mapInArrow(entries, "key string, slice long, us long")
     marks = before.select(F.col("key").alias("__key"), F.col("slice").alias("__slice"), F.col("us").alias("__us"), F.lit(False).alias("__real"))
-    rows = timed.unionByName(marks, allowMissingColumns=True).repartition("__key", "__slice")
+    rows = dealt.unionByName(marks, allowMissingColumns=True).repartition("__key", "__slice")
     return rows.sortWithinPartitions("__key", "__slice", "__real", "__us").mapInArrow(walk, alarms.schema)
 
 

@@ -118,15 +118,22 @@ def _alarm_src(spark, d):
 
 def _sample_times(spark, d):
     """(entity, ts) of all samples, without the values (counter samples are events)."""
-    ev = T.table(spark, d, "events")
-    counted = ev.select(F.concat(F.lit("host-"), F.col("user_id").cast("string")).alias("entity"), "ts")
+    ev = T.keyed(T.table(spark, d, "events"), "user_id")
+    counted = ev.select(T.named("host-", "user_id").alias("entity"), "ts")
     return counted.unionByName(T.net_wide(spark, d).select("entity", "ts"))
 
 
+def _tables(spark, d):
+    """(entity, tbl) of all samples."""
+    hosts = T.keyed(T.table(spark, d, "events"), "user_id").select(T.named("host-", "user_id").alias("entity"), F.lit("app_counter").alias("tbl"))
+    return hosts.unionByName(T.net_wide(spark, d).select("entity", "tbl"))
+
+
 def _abs_alarms(spark, d):
     ruled = sorted({m for r in ABS_RULES for m in r.limits})  # only these metrics are compared
     src = _alarm_src(spark, d).where(F.col("metric").isin(ruled))
-    return AL.threshold_alarms(Wn.change_per_second(src, samples=_sample_times(spark, d)), RU.abs_rules_frame(spark, ABS_RULES))
+    return AL.threshold_alarms(Wn.change_per_second(src, samples=_sample_times(spark, d)), RU.abs_rules_frame(spark, ABS_RULES),
+                               _tables(spark, d))
 
 
 def _lambda_alarms(spark, d):
@@ -135,7 +142,7 @@ def _lambda_alarms(spark, d):
     cur = net.join(seq, ["entity", "ts"])
     prev_tables = net.select("entity", "tbl", F.col("ts").alias("prev_ts"))
     cur = cur.join(prev_tables, ["entity", "tbl", "prev_ts"], "left_semi")
-    return AL.predicate_alarms(spark, cur, LAMBDA_RULES)
+    return AL.predicate_alarms(spark, cur, LAMBDA_RULES, net)
 
 
 def _all_alarms(spark, d):
@@ -251,4 +258,4 @@ SELECT entity, ts + INTERVAL {GAP_S} SECOND AS ts, 'down' AS change, CAST({GAP_S
 WHERE silent_s > {GAP_S} OR (next_ts IS NULL AND ts + INTERVAL {GAP_S} SECOND < TIMESTAMP '{UNTIL}')
 UNION ALL SELECT entity, next_ts, 'up', silent_s FROM s WHERE silent_s > {GAP_S}"""), "T8 T9")
 def client_absence(spark, d):
-    return AB.absences(T.gauge_long(spark, d), GAP_S, UNTIL)
+    return AB.absences(T.gauge_series(spark, d), GAP_S, UNTIL)

@@ -20,12 +20,14 @@ from .presets_data import CACHE, CUBRID, HEARTBEAT_S, HOST_TABLES, KINDS, MYSQL,
 from .registry import query
 
 
-def service_samples(spark: SparkSession, d: str, plugin: str, metrics: list[str]) -> DataFrame:
-    li = T.table(spark, d, "lineitem")
-    nth = F.pmod(F.col("l_orderkey") * 5 + F.col("l_partkey") + F.col("l_linenumber"), F.lit(len(metrics)))
-    return li.select(F.concat(F.lit("server-"), F.col("l_suppkey").cast("string")).alias("entity"),
-                     F.concat(F.lit(f"{plugin}_"), F.col("l_returnflag")).alias("tbl"), F.col("l_shipdate").alias("ts"),
-                     F.element_at(F.array(*[F.lit(m) for m in metrics]), (nth + 1).cast("int")).alias("metric"),
+def service_samples(spark: SparkSession, d: str, plugins: dict[str, list[str]]) -> DataFrame:
+    """Samples of services that have these metrics, in one scan."""
+    li = T.keyed(T.table(spark, d, "lineitem"), "l_suppkey", "l_returnflag")
+    nth = F.col("l_orderkey") * 5 + F.col("l_partkey") + F.col("l_linenumber")
+    one = [F.struct(T.named(f"{plugin}_", "l_returnflag").alias("tbl"),
+                    F.element_at(F.array(*[F.lit(m) for m in metrics]), (F.pmod(nth, F.lit(len(metrics))) + 1).cast("int")).alias("metric"))
+           for plugin, metrics in plugins.items()]
+    return li.select(T.named("server-", "l_suppkey").alias("entity"), F.inline(F.array(*one)), F.col("l_shipdate").alias("ts"),
                      F.col("l_quantity").alias("value")) \
         .groupBy("entity", "tbl", "ts", "metric").agg(F.sum("value").alias("value"))
 
@@ -73,17 +75,17 @@ CACHE_RATIOS = {
 
 @query("mysql_preset", _charts_sql("mysql", MYSQL), "V6 P3")
 def mysql_preset(spark, d):
-    return preset_charts(spark, service_samples(spark, d, "mysql", metrics_of(MYSQL)), MYSQL)
+    return preset_charts(spark, service_samples(spark, d, {"mysql": metrics_of(MYSQL)}), MYSQL)
 
 
 @query("cubrid_preset", _charts_sql("cubrid", CUBRID), "V6 P3")
 def cubrid_preset(spark, d):
-    return preset_charts(spark, service_samples(spark, d, "cubrid", metrics_of(CUBRID)), CUBRID)
+    return preset_charts(spark, service_samples(spark, d, {"cubrid": metrics_of(CUBRID)}), CUBRID)
 
 
 @query("cache_preset", _charts_sql("cache", CACHE, CACHE_RATIOS), "V4 F6 P5")
 def cache_preset(spark, d):
-    return preset_charts(spark, service_samples(spark, d, "cache", metrics_of(CACHE)), CACHE)
+    return preset_charts(spark, service_samples(spark, d, {"cache": metrics_of(CACHE)}), CACHE)
 
 
 # ---------------------------------------------------------------- V1 ------
@@ -95,7 +97,7 @@ def _brief_sql() -> str:
 def host_brief(spark, d):
     """The brief view of every host: the charts of its six tables, one after the other."""
     from ..operators.combine import concat_charts
-    return concat_charts([preset_charts(spark, service_samples(spark, d, t, metrics_of(p)), p) for t, p in HOST_TABLES.items()])
+    return concat_charts([preset_charts(spark, service_samples(spark, d, {t: metrics_of(p)}), p) for t, p in HOST_TABLES.items()])
 
 
 # ---------------------------------------------------------------- R2 ------
@@ -126,7 +128,7 @@ UNION ALL
 SELECT ts, key || '.keyspace(' || level || ')', level, key || ': ' || printf('share of key hits %f is under %f', k, lim)
 FROM r JOIN (VALUES (0, 0.80), (1, 0.60)) AS l(level, lim) ON k < lim WHERE NOT key GLOB '*:A'""", "R2 T5 F4")
 def ratio_rules(spark, d):
-    s = service_samples(spark, d, "service", _RATIO_METRICS)
+    s = service_samples(spark, d, {"service": _RATIO_METRICS})
     wide = s.groupBy("entity", "tbl", "ts").agg(*[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in _RATIO_METRICS])
     return AL.predicate_alarms(spark, wide, [RU.LambdaRule("*:A", "used", _used, RATIO_LIMITS["used"]),
                                              RU.LambdaRule("*:*", "keyspace", _keyspace, RATIO_LIMITS["keyspace"])])
@@ -150,10 +152,7 @@ FROM (SELECT s.*, c.kind, lag(value) OVER (PARTITION BY entity, tbl, s.metric OR
 GROUP BY entity, tbl, metric, kind""", "K1 W1")
 def declared_kinds(spark, d):
     """The largest value of each gauge and the largest step of each counter, by the kinds that collectors declare."""
-    samples = None
-    for plugin in KINDS:
-        one = service_samples(spark, d, plugin, _declared(plugin))
-        samples = one if samples is None else samples.unionByName(one)
+    samples = service_samples(spark, d, {plugin: _declared(plugin) for plugin in KINDS})
     catalog = spark.createDataFrame([(*r, HEARTBEAT_S, 0.0, None) for r in _kind_rows()],
                                     "plugin string, metric string, kind string, heartbeat_s int, min_v double, max_v double")
     steps = Wn.raw_delta(Wn.with_kind(samples, catalog).where(F.col("kind").isNotNull()))

@@ -20,7 +20,7 @@ _KINDED_SQL = """k AS (
 
 
 def _kinded(spark, d):
-    s = T.counter_long(spark, d).unionByName(T.gauge_long(spark, d))
+    s = T.counter_long(spark, d).unionByName(T.gauge_series(spark, d))
     return Wn.with_kind(s, T.metric_catalog(spark))
 
 
@@ -76,7 +76,7 @@ j AS (SELECT c.entity, c.tbl, c.metric, c.ts, smp.prev_ts, c.value, p.value AS p
 SELECT entity, tbl, metric, ts, prev_ts, diff_sec, (value - prev_value) / diff_sec AS change_per_sec
 FROM j WHERE diff_sec <> 0"""), "W4 J6 T3")
 def change_per_sec(spark, d):
-    s = T.counter_long(spark, d).unionByName(T.gauge_long(spark, d)).drop("seq")
+    s = T.counter_long(spark, d).unionByName(T.gauge_series(spark, d)).drop("seq")
     return Wn.change_per_second(s)
 
 
@@ -132,7 +132,7 @@ FROM (SELECT entity, tbl, metric,
       FROM gauge_long) x
 GROUP BY entity, tbl, metric, ts"""), "W7 T13")
 def dedup_ts(spark, d):
-    g = T.gauge_long(spark, d).withColumn("ts", bucket_start("ts", 3600))
+    g = T.gauge_series(spark, d).withColumn("ts", bucket_start("ts", 3600))
     return Wn.dedup_first(g)
 
 
@@ -151,7 +151,7 @@ SELECT entity, tbl, ts,
                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS value
 FROM j"""), "P12 W8 P11")
 def locf(spark, d):
-    g = T.gauge_long(spark, d)
+    g = T.gauge_series(spark, d)
     samples = g.select("entity", "ts").distinct()
     grid = samples.select("entity", "ts", F.explode(F.array(*[F.lit(t) for t in APP_TABLES])).alias("tbl"))
     j = grid.join(g.select("entity", "tbl", "ts", "value"), ["entity", "tbl", "ts"], "left")
@@ -186,7 +186,7 @@ FROM r WHERE ts >= TIMESTAMP '{RATE_RANGE[0]}' AND ts < TIMESTAMP '{RATE_RANGE[1
 def range_rate(spark, d):
     """Rates inside a range: scan ``heartbeat`` seconds before the start (a
     rate never looks further back), compute, then keep the range."""
-    s = T.counter_long(spark, d).unionByName(T.gauge_long(spark, d))
+    s = T.counter_long(spark, d).unionByName(T.gauge_series(spark, d))
     scan = S.lookback_scan(s, RATE_RANGE[0], RATE_RANGE[1], RATE_HEARTBEAT_S)
     rates = Wn.counter_rate(Wn.with_kind(scan, T.metric_catalog(spark)), tiebreak="seq")
     return S.range_scan(rates, *RATE_RANGE).select("entity", "tbl", "metric", "ts", "rate")

@@ -3,11 +3,14 @@
 Every view is a lazy DataFrame over the parquet scans, so filters and
 column pruning reach the files.  Canonical long form:
 ``entity, tbl, metric, ts, value`` (+ ``seq`` = arrival order where known).
+In ``gauge_series``, ``counter_long`` and the ``net`` views, a row without a key
+column (user, event type, supplier, return flag) is a sample of no series and is
+left out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import rnd
@@ -24,6 +27,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def keyed(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows that have all keys."""
+    return df.where(" AND ".join(f"{k} IS NOT NULL" for k in keys))
+
+
+def named(prefix: str, column: str) -> Column:
+    """A name made of a key column, for Spark never null (the rows are :func:`keyed`)."""
+    return F.concat(F.lit(prefix), F.coalesce(F.col(column).cast("string"), F.lit("")))
+
+
 def gauge_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events -> one gauge series per (user, event type)."""
     ev = table(spark, sf_dir, "events")
@@ -34,13 +47,20 @@ def gauge_long(spark: SparkSession, sf_dir: str) -> DataFrame:
         ev.ts, ev.value, ev.event_id.alias("seq"))
 
 
+def gauge_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`gauge_long` of rows that belong to a series, for ordered operators."""
+    ev = keyed(table(spark, sf_dir, "events"), "user_id", "event_type")
+    return ev.select(named("host-", "user_id").alias("entity"), named("app_", "event_type").alias("tbl"), F.lit("value").alias("metric"),
+                     "ts", "value", F.col("event_id").alias("seq"))
+
+
 def counter_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events -> a monotone counter per user (``requests``) and a wrapping
     variant with resets (``requests_wrap``)."""
-    ev = table(spark, sf_dir, "events").select(
+    ev = keyed(table(spark, sf_dir, "events"), "user_id").select(
         "user_id", "ts", "event_id", F.round(F.col("value") * 100).cast("bigint").alias("inc"))
     run = running_sums(ev, "user_id", "ts", {"total": F.col("inc")}, tiebreak="event_id")
-    base = run.select(F.concat(F.lit("host-"), F.col("user_id").cast("string")).alias("entity"),
+    base = run.select(named("host-", "user_id").alias("entity"),
                       F.lit("app_counter").alias("tbl"), "ts", F.col("event_id").alias("seq"), "total")
     vals = F.array(
         F.struct(F.lit("requests").alias("metric"), F.col("total").cast("double").alias("value")),
@@ -52,14 +72,14 @@ def counter_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def net_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem -> per (supplier, return flag, ship day) network/cache counters."""
-    li = table(spark, sf_dir, "lineitem")
+    li = keyed(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_returnflag")
     return (li.groupBy("l_suppkey", "l_returnflag", "l_shipdate")
             .agg(rnd(F.sum("l_extendedprice"), 2).alias("bytes_sent"),
                  F.sum("l_quantity").alias("bytes_recv"),
                  F.count(F.lit(1)).cast("double").alias("cmd_get"),
                  F.count_if(F.col("l_discount") > 0.045).cast("double").alias("get_hits"))
-            .select(F.concat(F.lit("server-"), F.col("l_suppkey").cast("string")).alias("entity"),
-                    F.concat(F.lit("net_"), F.col("l_returnflag")).alias("tbl"),
+            .select(named("server-", "l_suppkey").alias("entity"),
+                    named("net_", "l_returnflag").alias("tbl"),
                     F.col("l_shipdate").alias("ts"), *NET_METRICS))
 
 
