@@ -60,3 +60,29 @@ def test_odd_rows(odd, odd_rows, empty):
 def test_hot_group_of_equal_rows(spark):
     docs = [(1, "a b c", "s")] * 500 + [(i, "a b " * (i % 9 + 1), "t") for i in range(700)]
     check(mix_sources(spark.createDataFrame(docs, "doc_id long, text string, source string"), block=32).collect(), docs)
+
+
+def test_words_come_near_the_targets(spark, sf):
+    """Sources of 50 documents and more, none above a tenth of the target: within 2 %, in one block and over several turns."""
+    docs = spark.read.parquet(sf.replace("sf0.001", "sf0.01") + "/documents.parquet")
+    for block in (4096, 64):
+        taken, want, n, largest = defaultdict(int), {}, defaultdict(int), defaultdict(int)
+        for r in mix_sources(docs, block=block).collect():
+            taken[r.source] += r.taken
+            want[r.source] = r.target
+            n[r.source] += 1
+            largest[r.source] = max(largest[r.source], r["size"])
+        fit = [s for s in want if n[s] >= 50 and largest[s] <= want[s] / 10]
+        assert fit and all(abs(taken[s] - want[s]) <= 0.02 * want[s] for s in fit), block
+
+
+def test_settle_makes_up_for_a_large_unit():
+    from tidemark.llm.mix_sources import settle
+    sizes = [900] + [7, 9, 11, 13] * 20
+    for want in (300.0, 411.5, 905.0, 0.0):
+        p = [1.0] + [0.0] * 80
+        settle(p, sizes, want)
+        assert set(p) <= {0.0, 1.0} and abs(sum(x for x, t in zip(sizes, p) if t) - want) <= 4
+    p = []
+    settle(p, [], 0.0)
+    assert p == []

@@ -6,8 +6,12 @@ inclusion probability.  The cube method decides the fractions: probabilities
 move along the null space of the balancing constraints (documents and words),
 so that both totals stay exact until a constraint's worth of undecided units
 is left.  It runs in blocks of one source; what blocks leave undecided is
-dealt into fewer blocks, until one block a source is left and its last two
-units land on whole numbers.
+dealt into fewer blocks, until one block a source is left.  About a quarter of a
+block of each source, chosen by hash, waits for that block, as large texts stay
+undecided longest and only smaller ones can make up for them.  There the last
+two units land on whole numbers, and a few units of the block change places (one
+taken for one left, or one more or less) while that brings the words nearer to
+the target.
 
 Defined cases: null text or no word: size 0, taken 0; null source: a source of
 its own, ordered last; equal rows count as separate units; empty table: no rows.
@@ -16,6 +20,7 @@ Nothing depends on partitions or on row order, so reruns agree.
 
 from __future__ import annotations
 
+import bisect
 import math
 import random
 from collections.abc import Iterator
@@ -90,6 +95,29 @@ def landing(p: list[float], x: list[float], held: list[int]) -> None:
         p[i] = float(best >> j & 1)
 
 
+def settle(p: list[float], x: list[int], want: float) -> None:
+    """Changes decided units in place while the words taken come nearer to ``want``:
+    of all exchanges of one taken unit for one left, and of all single changes,
+    the one that comes nearest, exchanges first, as they keep the number of documents."""
+    over = sum(x[i] for i in range(len(p)) if p[i]) - want
+
+    def nearest(places: list[int], size: float) -> list[int]:
+        at = bisect.bisect_left(places, size, key=x.__getitem__)
+        return places[max(0, at - 1):at + 1]
+
+    while abs(over) > EPS:
+        order = sorted(range(len(p)), key=lambda i: (x[i], i))
+        taken, left = [i for i in order if p[i]], [i for i in order if not p[i]]
+        moves = [(abs(over - x[i] + x[j]), 0, i, j) for i in taken for j in nearest(left, x[i] - over)]
+        moves += [(abs(over - x[i]), 1, i, i) for i in nearest(taken, over)] + [(abs(over + x[j]), 1, j, j) for j in nearest(left, -over)]
+        best = min(moves, default=(math.inf,))
+        if best[0] >= abs(over) - EPS:
+            return
+        for i in set(best[2:]):
+            over += x[i] if not p[i] else -x[i]
+            p[i] = 1.0 - p[i]
+
+
 def cube_blocks(seed: int, last: bool):
     """mapInArrow function over rows (sid, block, ord, size, p) sorted by these."""
     schema = pa.schema([("uid", pa.int64()), ("sid", pa.int64()), ("m", pa.int64()), ("size", pa.int64()), ("p", pa.float64())])
@@ -97,9 +125,11 @@ def cube_blocks(seed: int, last: bool):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (sid, block), t in sorted_groups(it, ["sid", "block"]):
             p, size = t.column("p").to_pylist(), t.column("size").to_pylist()
+            want = math.fsum(a * b for a, b in zip(p, size))
             held = flight(p, [float(s) for s in size], random.Random(f"{seed}:{sid}:{block}"))
             if last:
                 landing(p, size, held)
+                settle(p, size, want)
             yield record(schema, uid=t.column("uid").combine_chunks(), sid=np.full(len(p), sid), m=t.column("m").combine_chunks(), size=size, p=p)
 
     return run
@@ -111,11 +141,13 @@ def cube_sample(units: DataFrame, block: int = BLOCK, seed: int = 11) -> DataFra
     leaves two units, so the number of blocks of the next turn follows without counting."""
     now, done, turn = units.select("uid", "sid", "m", "size", "p"), None, 0
     most = now.agg(F.max("m")).first()[0] or 0
+    waits = F.pmod(F.xxhash64("uid", F.lit(seed + 1009)), F.col("m")) < (block // 4 if most > block else 0)
+    waiting, now = now.where(waits), now.where(~waits)
     while True:
-        blocks = F.ceil(F.col("m") / F.lit(block)).cast("long")
-        dealt = now.withColumn("block", F.pmod(F.xxhash64("uid", F.lit(seed + turn)), blocks)) \
-            .withColumn("m", blocks * 2).withColumn("ord", F.xxhash64("uid", F.lit(seed - 1 - turn)))
         last = most <= block
+        blocks = F.lit(1).cast("long") if last else F.ceil(F.col("m") / F.lit(block)).cast("long")
+        dealt = (now.unionByName(waiting) if last else now).withColumn("block", F.pmod(F.xxhash64("uid", F.lit(seed + turn)), blocks)) \
+            .withColumn("m", blocks * 2).withColumn("ord", F.xxhash64("uid", F.lit(seed - 1 - turn)))
         flown = dealt.repartition("sid", "block").sortWithinPartitions("sid", "block", "ord", "uid") \
             .mapInArrow(cube_blocks(seed + turn, last), "uid long, sid long, m long, size long, p double")
         flown = saved(flown, f"flight{turn}")
