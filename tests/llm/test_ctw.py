@@ -2,6 +2,7 @@ import math
 import re
 import zlib
 
+from tests.llm.test_suffix import agreeing_texts
 from tidemark.llm.ctw_score import ctw_score
 
 
@@ -93,3 +94,12 @@ def test_odd_rows(odd, odd_rows, empty):
 def test_held_out_texts_beat_a_uniform_byte(documents):
     rows = [r for r in ctw_score(documents).collect() if r.held_out and r.n_bytes > 200]
     assert rows and sum(r.bits_per_byte for r in rows) / len(rows) < 3.5
+
+
+def test_words_that_agree_in_a_polynomial_hash(spark):
+    one, two = agreeing_texts()
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
+    learn = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10)
+    docs = [(learn, one), (held, two)]
+    rows = {r.doc_id: r for r in ctw_score(spark.createDataFrame(docs, "doc_id long, text string"), depth=2).collect()}
+    assert rows[held].n_known == 1 and abs(rows[held].base_score - (math.log10(.1 / 2.3) + math.log10(1.1 / 2.3))) < 1e-9

@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 
+from tests.llm.test_suffix import agreeing_texts
 from tidemark.llm.lsh_forest import jaccard_join, prefix_length, similar
 
 
@@ -74,3 +75,9 @@ def test_similar_sets():
         for i, near in similar(a, b, 0.7):
             want = [j for j, x in enumerate(b) if len(np.intersect1d(a[i], x)) >= 0.7 * len(np.union1d(a[i], x))]
             assert [j for j in near if not (a is b and i == j)] == [j for j in want if not (a is b and i == j)]
+
+
+def test_words_that_agree_in_a_polynomial_hash(spark):
+    one, two = agreeing_texts()
+    docs = [(1, one), (2, two), (3, f"{one} a b c d e f"), (4, f"{two} a b c d e f")]
+    assert got(spark.createDataFrame(docs, "doc_id long, text string")) == brute(docs)

@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pytest
 
 from tidemark.llm.suffix_levels import Levels, suffix_dedup
 
@@ -61,8 +62,11 @@ def test_planted_passages(spark):
 def test_odd_rows(odd, odd_rows, empty):
     assert got(odd) == brute([r[:2] for r in odd_rows])
     assert suffix_dedup(empty).collect() == []
-    whole = suffix_dedup(odd, whole_rows=True)
-    assert whole.columns == [*odd.columns, "__removed_bytes"] and whole.count() == len(odd_rows)
+    whole = suffix_dedup(odd, whole_rows=True, removed="gone")
+    assert whole.columns == [*odd.columns, "gone"] and whole.count() == len(odd_rows)
+    assert {tuple(r[5:-1]) for r in whole.collect()} == {r[5:] for r in odd_rows}
+    with pytest.raises(ValueError):
+        suffix_dedup(odd, whole_rows=True)
 
 
 def test_levels_stay_logarithmic():
@@ -76,9 +80,9 @@ def test_levels_stay_logarithmic():
     assert (ids < 64).all()
 
 
-def test_texts_that_agree_in_a_polynomial_hash(spark):
+def agreeing_texts():
     """Two texts of 4,096 bytes that share no 50-byte string, but any hash that sums up powers of an odd
-    base modulo 2^64 (their difference is a Thue-Morse sequence): nothing goes."""
+    base modulo 2^64 (their difference is a Thue-Morse sequence)."""
     rng = np.random.default_rng(3)
     turn = np.array([bin(i).count("1") & 1 for i in range(4096)])
     letters = 97 + 2 * rng.integers(0, 12, 4096)
@@ -89,6 +93,11 @@ def test_texts_that_agree_in_a_polynomial_hash(spark):
         weights = np.multiply.accumulate(weights)
         sums = [(np.frombuffer(x.encode(), np.uint8).astype(np.uint64) * weights).sum() for x in (one, two)]
     assert sums[0] == sums[1] and not {one[i:i + 50] for i in range(4047)} & {two[i:i + 50] for i in range(4047)}
+    return one, two
+
+
+def test_texts_that_agree_in_a_polynomial_hash(spark):
+    one, two = agreeing_texts()
     df = spark.createDataFrame([(1, one), (2, two), (3, one)], "doc_id long, text string")
     got = {r.doc_id: r.n_removed for r in suffix_dedup(df).collect()}
     assert got == {1: 0, 2: 0, 3: 4096}

@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,10 +20,12 @@ BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is set (tests, local runs)."""
+    """The cluster's shared folder; one of our own only where none is set and the master is local (tests)."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="tidemark-llm-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -51,6 +54,14 @@ def crc_of_id(col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary"))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores after it until no column of ``df`` has it."""
+    used = {c.lower() for c in df.columns}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def parts(df: DataFrame) -> int:
     """Number of reduce tasks the session asks for."""
     return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -126,6 +137,14 @@ def span_hash(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         return mix((run[ends] - run[starts]) * back[starts] + (ends - starts).astype(np.uint64) * MULT)
 
 
+def word_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit SipHash of the bytes data[start:end]: unlike a polynomial's, its collisions cannot be written down."""
+    buffer = data.tobytes()
+    spans = np.empty(len(starts), object)
+    spans[:] = [buffer[a:z] for a, z in zip(starts.tolist(), ends.tolist(), strict=True)]
+    return pd.util.hash_array(spans, categorize=False)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values."""
     x = np.asarray(x, np.uint64)

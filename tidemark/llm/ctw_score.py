@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .blocks import (Lookup, answered, asked, blocks_of, chunks, dealt, each_part, packed_keys, summed, text_buffer,
                      unpacked_keys)
-from .common import MULT, crc_of_id, mix, parts, record, saved, span_hash
+from .common import MULT, crc_of_id, mix, parts, record, saved, word_hash
 
 DEPTH = 5
 FOLDS = 10
@@ -91,7 +91,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     word = ~blank
     starts = np.flatnonzero(word & (edge[:-1] | np.r_[True, blank[:-1]])) if len(data) else np.zeros(0, np.int64)
     stop = np.flatnonzero(word & np.r_[edge[1:-1] | blank[1:], True]) + 1 if len(data) else np.zeros(0, np.int64)
-    return span_hash(data, starts, stop) & ~np.uint64(1), np.searchsorted(offsets, starts, "right") - 1
+    return word_hash(data, starts, stop) & ~np.uint64(1), np.searchsorted(offsets, starts, "right") - 1
 
 
 #: The key of the end token (word keys are even: the last bit of a counted key says "training").

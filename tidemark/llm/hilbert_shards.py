@@ -112,7 +112,7 @@ def hilbert_shards(docs: DataFrame, shards: int = 24, dims: tuple[str, ...] = DI
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     edges = edges_of(docs, dims, bits)  # asked once: two approximate answers may differ
-    cell, salt = cell_of(docs, edges, bits), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
+    cell, salt = cell_of(docs, edges, bits), F.pmod(F.xxhash64("doc_id", F.crc32(text.cast("binary"))), F.lit(SALTS))
     placed = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"),
                          F.crc32(text.cast("binary")).alias("text_crc32"), cell.alias("cell"), salt.alias("salt"))
     buckets = docs.select(cell.alias("cell"), salt.alias("salt")).groupBy("cell", "salt").agg(F.count("*").alias("n"))
@@ -135,14 +135,17 @@ def hilbert_shards(docs: DataFrame, shards: int = 24, dims: tuple[str, ...] = DI
 
 def write_shards(docs: DataFrame, path: str, **how) -> DataFrame:
     """Write whole rows as one folder per shard, in curve order, and return each
-    shard's box: rows, bytes, least and greatest value of every dimension."""
+    shard's box: rows, bytes, least and greatest value of every dimension.  ``docs`` may have
+    columns of any names but ``_shard`` and ``_slot``."""
+    if {c.lower() for c in docs.columns} & {"_shard", "_slot"}:
+        raise ValueError("docs has a column _shard or _slot")
     dims = how.get("dims", DIMENSIONS)
     places = hilbert_shards(docs, **how).select("doc_id", "text_crc32", F.col("shard").alias("_shard"), F.col("slot").alias("_slot"),
                                                 F.row_number().over(Window.partitionBy("doc_id", "text_crc32").orderBy("shard", "slot")).alias("_copy"))
-    rows = docs.withColumn("_crc", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("_crc"))
     rows = rows.withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id", "_crc").orderBy("doc_id")))
     same = F.expr("_crc = text_crc32 AND r._copy = p._copy") & F.col("r.doc_id").eqNullSafe(F.col("p.doc_id"))
-    out = rows.alias("r").join(places.alias("p"), same).select("r.*", "_shard", "_slot").drop("_crc", "_copy")
+    out = rows.alias("r").join(places.alias("p"), same).select("row.*", "_shard", "_slot")
     out.repartition("_shard").sortWithinPartitions("_shard", "_slot").drop("_slot").write.partitionBy("_shard").parquet(path)
     kept = docs.sparkSession.read.parquet(path)
     return kept.groupBy("_shard").agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes"),

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import text_buffer
-from .common import MULT, batches, bounded_batches, mix, parts, record, saved, sorted_groups, span_hash
+from .common import MULT, batches, bounded_batches, mix, parts, record, saved, sorted_groups, word_hash
 from .components import components, forest, thinned
 
 WORDS = 5
@@ -66,7 +66,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarr
     size = len(data)
     starts = np.flatnonzero(~blank & (edge[:-1] | np.r_[True, blank[:-1]])) if size else np.zeros(0, np.int64)
     stops = np.flatnonzero(~blank & np.r_[edge[1:-1] | blank[1:], True]) + 1 if size else np.zeros(0, np.int64)
-    word = span_hash(data, starts, stops)
+    word = word_hash(data, starts, stops)
     first = np.searchsorted(starts, offsets)  # each text's first word
     with np.errstate(over="ignore"):
         gram = np.zeros(max(0, len(word) - n + 1), np.uint64)

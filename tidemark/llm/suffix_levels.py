@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import answered, asked, blocks_of, chunks, dealt, each_part, packed, part_of, text_buffer, unpacked, unpacked_keys
-from .common import INVERSE, mix, parts, powers, record, saved
+from .common import INVERSE, free_name, mix, parts, powers, record, saved
 
 LENGTH = 50
 PIECE = 16
@@ -376,7 +376,7 @@ def finish(n: int, length: int, whole_rows: bool):
             texts = [kept[x:y].tobytes() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             rows = table.slice(a, z - a)
             if whole_rows:
-                rows = rows.drop_columns(["__order"]).append_column("__removed_bytes", pa.array(removed, pa.int64()))
+                rows = rows.drop_columns(["__order"]).append_column("removed", pa.array(removed, pa.int64()))
                 where = rows.schema.get_field_index("text")
                 old = rows.column("text").to_pylist()
                 new = [o if not r else t.decode("utf-8", "ignore") for o, r, t in zip(old, removed.tolist(), texts, strict=True)]
@@ -388,17 +388,23 @@ def finish(n: int, length: int, whole_rows: bool):
     return run
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, piece: int = PIECE, whole_rows: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, piece: int = PIECE, whole_rows: bool = False, removed: str = "__removed_bytes") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row; with ``whole_rows`` instead
-    the columns of ``docs`` with the kept text, and ``__removed_bytes`` (a character cut in two goes)."""
+    the columns of ``docs`` with the kept text, and ``removed``, the removed bytes (a character cut in
+    two goes).  ``docs`` may have columns of any names but that one."""
+    if whole_rows and free_name(docs, removed) != removed:
+        raise ValueError(f"docs has a column {removed}")
     message = "block long, part int, payload binary"
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("__order")
-    kept = docs.select("*", order) if whole_rows else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", order)
+    others = F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != "text"]).alias("row")
+    kept = docs.select("text", order, others) if whole_rows else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", order)
     blocks = blocks_of(kept, "suffix-blocks", BLOCK_BYTES)
     n = max(2 * parts(docs), blocks.count())  # parts grow with the text
     known = saved(each_part(asked(blocks, ask(n, length, piece)), reply(n), message, 2 * n), "suffix-known")
     found = each_part(answered(blocks, known, second_round(n, length, piece), message), scan(n, length), message, n)
     answers = known.where(F.col("part") >= n).unionByName(found)
-    out = T.StructType([*docs.schema.fields, T.StructField("__removed_bytes", T.LongType())]) if whole_rows \
-        else "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return answered(blocks, answers, finish(n, length, whole_rows), out)
+    if not whole_rows:
+        return answered(blocks, answers, finish(n, length, False), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = T.StructType([f for f in kept.schema if f.name != "__order"] + [T.StructField("removed", T.LongType())])
+    cut = answered(blocks, answers, finish(n, length, True), out)
+    return cut.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns], F.col("removed").alias(removed))

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, bounded_batches, crc_of_id, record, saved
+from .common import batches, bounded_batches, crc_of_id, free_name, record, saved
 
 #: Labelled training rows of each label that lexicon, voters and classifier are fitted on.
 SAMPLE = 10_000
@@ -279,7 +279,8 @@ class ToxicityModel:
 
     def scored(self, docs: DataFrame, name: str = "score") -> DataFrame:
         """``docs`` with a score column, in one pass and without a shuffle."""
-        return numbers(docs, self.words, "__x").withColumn(name, self.score_of(F.col("__x"))).drop("__x")
+        x = free_name(docs, "__x")
+        return numbers(docs, self.words, x).withColumn(name, self.score_of(F.col(x))).drop(x)
 
 
 def weak_toxicity(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
