@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import saved, table
+from tidemark.llm.common import free_name, saved, table
 from tidemark.llm.lsh_forest import jaccard_join
 from tidemark.llm.mix_sources import mix_sources
 from tidemark.llm.queries import packing
@@ -23,58 +23,62 @@ from tidemark.llm.weak_toxicity import CUT, ToxicityModel
 ORACLE_SQL = None
 
 
-def numbered(docs: DataFrame, *keys: str) -> tuple[DataFrame, list[str]]:
-    """``docs`` with key columns that are never null (of columns ``keys`` and of the text) and
-    a number, from 0, among rows with equal keys; and the names of these columns."""
-    names = []
-    for k in (*keys, None):
-        value = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) if k is None else F.xxhash64(F.col(k), F.col(k).isNull())
-        names.append(f"__{k or 'text'}_key")
-        docs = docs.withColumn(names[-1], value)
-    equal = Window.partitionBy(*names).orderBy(*names)
-    return docs.withColumn("__copy", F.row_number().over(equal) - 1), [*names, "__copy"]
+def with_keys(docs: DataFrame, *keys: str) -> tuple[DataFrame, list[str]]:
+    """The rows of ``docs`` as one struct ``row``, so that no column of theirs clashes, beside key
+    columns that are never null (of columns ``keys`` and of the text); and the names of these."""
+    text = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_key")
+    named = [F.xxhash64(F.col(k), F.col(k).isNull()).alias(f"{k}_key") for k in keys]
+    return docs.select(F.struct("*").alias("row"), *named, text), [*(f"{k}_key" for k in keys), "text_key"]
 
 
 def keyed(rows: DataFrame, *keys: str) -> DataFrame:
     """The same key columns for an operator's result, which has text_hash instead of the text."""
-    named = {f"__{k}_key": F.xxhash64(F.col(k), F.col(k).isNull()) for k in keys}
-    return rows.withColumns(named | {"__text_key": F.col("text_hash")})
+    named = {f"{k}_key": F.xxhash64(F.col(k), F.col(k).isNull()) for k in keys}
+    return rows.withColumns(named | {"text_key": F.col("text_hash")})
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that score below the cut."""
+    """Rows that score below the cut.  Null and empty texts have a score like any other; equal texts
+    have equal scores, so repeated rows go or stay together; no rows: none."""
     model = ToxicityModel(docs, table(spark, sf_dir, "labels"))
-    return model.scored(docs, "__score").where(F.col("__score") < CUT).drop("__score")
+    score = free_name(docs, "__score")
+    return model.scored(docs, score).where(F.col(score) < CUT).drop(score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class: the smallest id, of equal ids the smallest text hash, of equal rows any."""
+    """One row of each class: the smallest id (null last), of equal ids the smallest text hash, of
+    rows with equal id and text any.  Null, empty and blank texts are one class; no rows: none."""
     joined = jaccard_join(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
-    kept = keyed(joined.groupBy("class_key").agg(first).select("first.doc_id", "first.text_hash"), "doc_id") \
-        .select("__doc_id_key", "__text_key", F.lit(0).alias("__copy"))
-    rows, keys = numbered(docs, "doc_id")
-    return rows.join(kept, keys, "left_semi").select(*docs.columns)
+    kept = keyed(joined.groupBy("class_key").agg(first).select("first.doc_id", "first.text_hash"), "doc_id")
+    rows, keys = with_keys(docs, "doc_id")
+    return rows.join(kept, keys, "left_semi").dropDuplicates(keys).select("row.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that an earlier text has; rows of which nothing is left go."""
-    cut = suffix_dedup(docs, whole_rows=True)
-    touched = F.col("__removed_bytes") > 0
+    """Texts without the passages that an earlier text (smaller id, null last) has; rows of which
+    nothing is left go.  Null and empty texts stay as they are; no rows: none."""
+    removed = free_name(docs, "__removed_bytes")
+    cut = suffix_dedup(docs, whole_rows=True, removed=removed)
+    touched = F.col(removed) > 0
     return cut.where(~touched | (F.col("text") != "")) \
         .withColumn("n_chars", F.when(touched, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes it."""
+    """Each row as often as the mix takes it, at most three times.  Null is a source of its own, the
+    last; rows without words are taken as the mix says, at no cost; rows with equal id, source and
+    text are told apart by a number, any of them by any; no rows: none."""
     taken = keyed(mix_sources(docs).where("times > 0"), "doc_id", "source") \
-        .select("__doc_id_key", "__source_key", "__text_key", F.col("copy").cast("int").alias("__copy"), F.col("times").alias("__times"))
-    rows, keys = numbered(docs, "doc_id", "source")
-    return rows.join(taken, keys).withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+        .select("doc_id_key", "source_key", "text_key", F.col("copy").cast("int").alias("copy"), "times")
+    rows, keys = with_keys(docs, "doc_id", "source")
+    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy(*keys).orderBy(*keys)) - 1)
+    return rows.join(taken, [*keys, "copy"]).select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens with their places in sequences."""
+    """Pieces of at most 2048 tokens with their places in sequences.  Null and empty texts are their
+    end token alone; repeated rows are packed each; no rows: none."""
     return packing(docs)
 
 
