@@ -27,5 +27,5 @@ def query(name: str, sql: str | None = None, ops: str = ""):
 
 
 def load_all() -> dict[str, tuple[QueryFn, str | None, str]]:
-    from . import q_alarms, q_combine, q_normalize, q_presets, q_series, q_topology, q_windows  # noqa: F401
+    from . import q_alarms, q_combine, q_normalize, q_presets, q_series, q_store, q_topology, q_windows  # noqa: F401
     return REGISTRY
