@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from tidemark.llm import phrase_parsing
 from tidemark.llm.phrase_parsing import collocations, phrase_counts
 
 
@@ -70,3 +71,14 @@ def test_odd_rows(odd, odd_rows, empty):
     assert collocations(empty).count() == 0
     with pytest.raises(ValueError):
         phrase_counts(odd, longest=5)
+
+
+def test_pairs_counted_in_other_blocks(spark, monkeypatch):
+    """A counted phrase may end in a pair that its block holds at uncounted places only."""
+    monkeypatch.setattr(phrase_parsing, "BLOCK_BYTES", 1 << 8)
+    rows = [(f"u{i} u{i + 1} a b c d e f g h v{i}", "en") for i in range(60)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    f, n = counted(rows)
+    want = {("en", p): a for p, a in f["en"].items() if a >= 30} | {("en", ""): n["en"]}
+    for period in (2, 5):
+        assert {(r.lang, r.phrase): r.n for r in phrase_counts(df, 30, period=period).collect()} == want

@@ -50,6 +50,8 @@ FIRST = 2000
 BLOCK_BYTES = 12 << 20
 #: Bytes of text whose chunks are gathered before they are sent.
 GATHER = 6 << 20
+#: Chunks whose words are numbered at once.
+SOME = 1 << 12
 
 
 class Hashes(dict):
@@ -132,21 +134,23 @@ class Chunks:
         self.langs = {}
         for lang in sorted(rows):
             number, own = Numbers(), [text[i] for i in rows[lang]]
-            n = np.array([c.count(b" ") + 1 for c in own])
-            codes = number.of(b" ".join(own).split(b" "))
+            n = np.array([c.count(b" ") + 1 for c in own], np.int32)
+            # words are numbered a few chunks at a time: as objects they take ten times their bytes
+            codes = np.concatenate([number.of(b" ".join(own[s:s + SOME]).split(b" ")) for s in range(0, len(own), SOME)])
             follow = np.array([follows[i] for i in rows[lang]])
-            of = np.repeat(np.arange(len(n)), n)
-            left = np.repeat(np.cumsum(n), n) - np.arange(n.sum())  # words from here to the end of the chunk
-            counted = left > np.where(follow, WINDOW, 0)[of]  # phrases that begin here are counted here
-            weight = np.where(counted, np.array([freq[i] for i in rows[lang]])[of], 0)
+            left = np.repeat(np.cumsum(n, dtype=np.int32), n)  # words from here to the end of the chunk
+            left -= np.arange(len(left), dtype=np.int32)
+            weight = np.repeat(np.array([freq[i] for i in rows[lang]], np.int64), n)
+            weight[left <= np.repeat(np.where(follow, np.int32(WINDOW), np.int32(0)), n)] = 0  # phrases that begin here are counted in the next chunk
             name = list(number)
             self.langs[lang] = (name, Hashes(lang).of(name), codes, left, weight)
 
     def counts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct keys of words and word pairs of the block with weighted counts, sorted."""
+        """Distinct keys of words and word pairs of the block with weighted counts, sorted.  Pairs that begin
+        where nothing is counted weigh nothing here, but a counted phrase may hold them: they are asked for too."""
         keys, weights = [], []
         for _, hashes, codes, left, weight in self.langs.values():
-            at = np.flatnonzero((left[:-1] >= 2) & (weight[:-1] > 0))
+            at = np.flatnonzero(left[:-1] >= 2)
             keys += [hashes, then(hashes[codes[at]], hashes[codes[at + 1]])]
             weights += [weighted(codes, weight, len(hashes)), weight[at]]
         if not keys:
