@@ -53,3 +53,21 @@ def test_nested_ordered_operators_share_their_input(spark, sf):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
     assert {q: n for q, n in scans.items() if n > most[q]} == {}
+
+
+def test_series_of_servers_are_shuffled_once(spark, sf):
+    """Lines are dealt by server; buckets, positions, sums and rollups of its series need no other shuffle."""
+    names = ("chained_tiers", "rollup_tiers", "merge_plugins", "history_expr", "derive_prev", "downsample_minmax", "declared_kinds",
+             "unstack", "unnest_sample")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plans = {q: _plan(REG[q][0](spark, sf)) for q in names}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    # unstack and unnest_sample read the counters of hosts too, which are cut into slices
+    most = {"unstack": 1, "unnest_sample": 1}
+    for q, p in plans.items():
+        dealt = sum("Exchange hashpartitioning(entity" in line for line in p.splitlines() if "Reused" not in line)
+        others = sum("Exchange hashpartitioning(" in line and "user_id" not in line for line in p.splitlines() if "Reused" not in line) - dealt
+        assert dealt - most.get(q, 0) <= 2 * most.get(q, 0) + 1 and others <= 2 * most.get(q, 0), (q, p)

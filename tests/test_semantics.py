@@ -381,3 +381,26 @@ def test_ordered_operators_keep_null_keys_and_clashing_names(spark):
     assert [filled[i] for i in (2, 3, 12, 13, 19)] == [None, 3.0, 3.0, 13.0, 13.0]
     for op in (prev_row(df.limit(0), "k", "ts", ["v"]), position(df.limit(0), "k", "ts")):
         assert op.collect() == []
+
+
+def test_short_series_are_ordered_whole(spark):
+    """``split_s=None`` gives what slices give, also for rows without a time and tied rows."""
+    rnd = random.Random(5)
+    rows = [(f"s{k}", f"t{k % 2}", "m", None if i % 17 == 16 else T0 + dt.timedelta(hours=i), i, rnd.choice([None, *range(9)]))
+            for k in range(6) for i in range(10 + 25 * k)]
+    df = spark.createDataFrame([(*r[:5], None if r[5] is None else float(r[5])) for r in rows],
+                               "entity string, tbl string, metric string, ts timestamp_ntz, n int, value double")
+    keys = ["entity", "tbl", "metric"]
+
+    def same(op):
+        got, want = (op(x) for x in (None, 7200))
+        assert got.columns == want.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count()
+
+    same(lambda x: SW.prev_row(df, keys, "ts", ["value", "entity", "n"], tiebreak="n", split_s=x))
+    for now in (True, False):
+        same(lambda x: SW.running_sums(df, keys, "ts", {"a": F.col("value"), "b": F.lit(1)}, tiebreak="n", include_current=now, split_s=x))
+    same(lambda x: SW.position(df, keys, "ts", "p", tiebreak="n", total_name="all", split_s=x))
+    timed = df.where(F.col("ts").isNotNull()).drop("n")
+    same(lambda x: downsample_minmax(timed, keys, 20, split_s=x))
+    same(lambda x: Wn.change_per_second(timed.where("value > 1"), split_s=x))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timecols import epoch_us
@@ -14,7 +14,7 @@ DEFAULT_RESOLUTION = 400  # chart resolution; sampling starts at 2x this many po
 
 
 def downsample_minmax(df: DataFrame, keys: Sequence[str], resolution: int = DEFAULT_RESOLUTION,
-                      split_s: int = DEFAULT_SPLIT_S) -> DataFrame:
+                      split_s: int | None = DEFAULT_SPLIT_S) -> DataFrame:
     """Series with fewer than ``2R`` points are kept.  Otherwise points are cut,
     in time order, into buckets of ``per = n // R`` points (null points count);
     each complete bucket yields its first minimum and first maximum point in
@@ -24,12 +24,27 @@ def downsample_minmax(df: DataFrame, keys: Sequence[str], resolution: int = DEFA
 
     Positions come from the skew-safe :func:`position`; the per-bucket
     min/max is a partial+final aggregate, so a hot series is reduced map-side.
+    With ``split_s=None`` (see :mod:`seqwindow`) points are marked by windows
+    over whole series instead, and no row is joined.
     """
     keys = list(keys)
     r = int(resolution)
     d = position(df, keys, "ts", "__pos", total_name="__n", split_s=split_s)
     per = F.floor(F.col("__n") / F.lit(r))
     bucket = F.floor((F.col("__pos") - 1) / per)
+    if split_s is None:
+        # a point counts if its bucket's first minimum or first maximum is at its position
+        v, t, us, p = F.col("value"), F.col("ts"), epoch_us("ts"), F.col("__pos")
+        used = (F.col("__n") >= 2 * r) & v.isNotNull() & (F.col("__b") < F.floor(F.col("__n") / per))
+        here = Window.partitionBy(*keys, "__b")
+        low = F.min(F.when(used, F.struct(v.alias("v"), t.alias("t"), p.alias("p")))).over(here)
+        high = F.max(F.when(used, F.struct(v.alias("v"), (-us).alias("nt"), (-p).alias("np")))).over(here)
+        b = F.when(F.col("__n") >= 2 * r, bucket)
+        marked = d.select(*keys, "ts", "value", "__n", "__pos", b.alias("__b")).select(
+            *keys, "ts", "value", "__n", F.coalesce(used & ((low["p"] == p) | (high["np"] == -p)), F.lit(False)).alias("__hit"))
+        m = F.count(F.when(F.col("__hit"), 1)).over(Window.partitionBy(*keys))
+        return marked.withColumn("__m", m).where((F.col("__n") < 2 * r) | (F.col("__m") < F.lit(r / 2.0)) | F.col("__hit")) \
+            .select(*keys, "ts", "value")
     # 1) sampled points of long series (complete buckets, non-null values): a
     #    partial+final aggregate per (series, bucket); at most 2 points per bucket
     big = d.where((F.col("__n") >= 2 * r) & F.col("value").isNotNull()).withColumn("__b", bucket) \

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.classic.column import Column as ClassicColumn
 
 from .aggregate import max_floor0
-from .seqwindow import prev_row, running_sums
+from .seqwindow import DEFAULT_SPLIT_S, prev_row, running_sums
 
 
 class Safe(ClassicColumn):
@@ -79,7 +79,8 @@ def pivot_metrics(long_df: DataFrame, metrics: Sequence[str], keys: Sequence[str
     return d.groupBy(*keys).agg(*[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in metrics])
 
 
-def derive(long_df: DataFrame, title: str, *fns, keys: Sequence[str] = ("entity", "tbl", "ts")) -> DataFrame:
+def derive(long_df: DataFrame, title: str, *fns, keys: Sequence[str] = ("entity", "tbl", "ts"),
+           split_s: int | None = DEFAULT_SPLIT_S) -> DataFrame:
     """Derived metric: the *last* callable given wins.  Arithmetic that fails gives null.
     Earlier rows (``m.prev...``) are those of the same keys without the time, in time order."""
     m = MetricRow()
@@ -87,11 +88,11 @@ def derive(long_df: DataFrame, title: str, *fns, keys: Sequence[str] = ("entity"
     wide = pivot_metrics(long_df, m.used, keys)
     series, ts = list(keys[:-1]), keys[-1]
     if m.last:
-        wide = prev_row(wide, series, ts, sorted(m.last)).drop(f"prev_{ts}")
+        wide = prev_row(wide, series, ts, sorted(m.last), split_s=split_s).drop(f"prev_{ts}")
     if m.running:
         values = {f"sum_{x}": F.col(f"`{x}`") for x in sorted(m.running)}
         values |= {f"n_{x}": F.when(F.col(f"`{x}`").isNotNull(), 1).otherwise(0) for x in sorted(m.running)}
-        wide = running_sums(wide, series, ts, values, include_current=False)
+        wide = running_sums(wide, series, ts, values, include_current=False, split_s=split_s)
     return wide.select(*keys, F.lit(title).alias("item_title"), col.cast("double").alias("value"))
 
 

@@ -37,7 +37,7 @@ def dedup_first(df: DataFrame, keys: Sequence[str] = SERIES_KEY, ts: str = "ts",
 
 
 def raw_delta(df: DataFrame, keys: Sequence[str] = SERIES_KEY, kind_col: str = "kind",
-              tiebreak: Sequence[str] | str = (), split_s: int = DEFAULT_SPLIT_S) -> DataFrame:
+              tiebreak: Sequence[str] | str = (), split_s: int | None = DEFAULT_SPLIT_S) -> DataFrame:
     """Non-gauges: ``v - prev`` (first sample 0, resets stay negative); gauges unchanged."""
     d = prev_row(df, keys, "ts", ["value"], tiebreak=tiebreak, split_s=split_s)
     delta = F.coalesce(F.col("value") - F.col("prev_value"), F.lit(0.0))
@@ -70,8 +70,14 @@ def counter_rate(df: DataFrame, keys: Sequence[str] = SERIES_KEY, heartbeat_col:
     return d.withColumn("rate", F.when(ok, raw)).drop("prev_ts", "prev_value")
 
 
+def previous_sample(df: DataFrame, entity: str = "entity", name: str = "smp_ts") -> DataFrame:
+    """Add the time of the client's sample before the row's own (null: none), of short series: one window a client."""
+    earlier = Window.partitionBy(entity).orderBy(epoch_us("ts")).rangeBetween(Window.unboundedPreceding, -1)
+    return df.withColumn(name, F.max("ts").over(earlier))
+
+
 def change_per_second(df: DataFrame, entity: str = "entity", item_keys: Sequence[str] = ("tbl", "metric"),
-                      split_s: int = DEFAULT_SPLIT_S, samples: DataFrame | None = None) -> DataFrame:
+                      split_s: int | None = DEFAULT_SPLIT_S, samples: DataFrame | None = None) -> DataFrame:
     """Current vs previous *sample* of each client: a sample is all rows of an
     entity at one ts.  For every (tbl, metric) present in both samples,
     ``(v - v_prev) / whole_seconds``; skipped when no previous sample or the
@@ -81,11 +87,17 @@ def change_per_second(df: DataFrame, entity: str = "entity", item_keys: Sequence
     previous row sits at the previous sample time, so this is a per-series
     lag plus one join with the per-client sample sequence.  ``samples``: the
     rows that tell the sample times, where ``df`` has only some of the metrics.
+    With ``split_s=None`` (see :mod:`seqwindow`) and without ``samples`` both
+    come from windows, and nothing is joined.
     """
+    whole = split_s is None and samples is None
     series = prev_row(df, [entity, *item_keys], "ts", ["value"], split_s=split_s)
-    samples = (df if samples is None else samples).select(entity, "ts").distinct()
-    seq = prev_row(samples, [entity], "ts", [], prefix="smp_", split_s=split_s)
-    j = series.join(seq, [entity, "ts"]).where(F.col("prev_ts") == F.col("smp_ts"))
+    if whole:
+        j = previous_sample(series, entity).where(F.col("prev_ts") == F.col("smp_ts"))
+    else:
+        samples = (df if samples is None else samples).select(entity, "ts").distinct()
+        seq = prev_row(samples, [entity], "ts", [], prefix="smp_", split_s=split_s)
+        j = series.join(seq, [entity, "ts"]).where(F.col("prev_ts") == F.col("smp_ts"))
     secs = whole_seconds_between("prev_ts", "ts")
     return (j.where(secs != 0)
             .select(entity, *item_keys, "ts", "prev_ts", secs.alias("diff_sec"),

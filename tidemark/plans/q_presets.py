@@ -22,13 +22,14 @@ from .registry import query
 
 def service_samples(spark: SparkSession, d: str, plugins: dict[str, list[str]]) -> DataFrame:
     """Samples of services that have these metrics, in one scan."""
-    li = T.keyed(T.table(spark, d, "lineitem"), "l_suppkey", "l_returnflag")
+    li = T.table(spark, d, "lineitem")
     nth = F.col("l_orderkey") * 5 + F.col("l_partkey") + F.col("l_linenumber")
     one = [F.struct(T.named(f"{plugin}_", "l_returnflag").alias("tbl"),
-                    F.element_at(F.array(*[F.lit(m) for m in metrics]), (F.pmod(nth, F.lit(len(metrics))) + 1).cast("int")).alias("metric"))
+                    F.element_at(F.array(*[F.lit(m) for m in metrics]), (F.pmod("nth", F.lit(len(metrics))) + 1).cast("int")).alias("metric"))
            for plugin, metrics in plugins.items()]
-    return li.select(T.named("server-", "l_suppkey").alias("entity"), F.inline(F.array(*one)), F.col("l_shipdate").alias("ts"),
-                     F.col("l_quantity").alias("value")) \
+    lines = T.keyed(li, "l_suppkey", "l_returnflag").select(T.named("server-", "l_suppkey").alias("entity"), "l_returnflag", nth.alias("nth"),
+                                                            F.col("l_shipdate").alias("ts"), F.col("l_quantity").alias("value"))
+    return T.by_entity(lines, li).select("entity", F.inline(F.array(*one)), "ts", "value") \
         .groupBy("entity", "tbl", "ts", "metric").agg(F.sum("value").alias("value"))
 
 
@@ -155,6 +156,6 @@ def declared_kinds(spark, d):
     samples = service_samples(spark, d, {plugin: _declared(plugin) for plugin in KINDS})
     catalog = spark.createDataFrame([(*r, HEARTBEAT_S, 0.0, None) for r in _kind_rows()],
                                     "plugin string, metric string, kind string, heartbeat_s int, min_v double, max_v double")
-    steps = Wn.raw_delta(Wn.with_kind(samples, catalog).where(F.col("kind").isNotNull()))
+    steps = Wn.raw_delta(Wn.with_kind(samples, catalog).where(F.col("kind").isNotNull()), split_s=None)  # a sample a day at most
     return steps.groupBy("entity", "tbl", "metric", "kind").agg(
         F.max(F.when(F.col("kind") == "GAUGE", F.col("delta")).otherwise(F.greatest("delta", F.lit(0.0)))).alias("most"))
