@@ -27,11 +27,13 @@ def threshold_alarms(changes: DataFrame, rules: DataFrame, tables: DataFrame | N
     ``rules``: :func:`rules.abs_rules_frame`; ``tables``: rows that tell all
     (entity, tbl), where they are had for less than the changes.
     """
-    c = changes.withColumn("key", key_of())
+    limits = rules.where(F.col("limit").isNotNull() & (F.col("limit") != 0))
+    # changes that are in no rule above a limit go before keys are joined
+    least = limits.groupBy("metric").agg(F.min("limit").alias("__least"))
+    c = changes.join(F.broadcast(least), "metric").where(F.col("change_per_sec") > F.col("__least")).drop("__least").withColumn("key", key_of())
     keys = (changes if tables is None else tables).select("entity", "tbl").distinct().select(key_of().alias("key")).distinct()
     chosen = match_first(keys, rule_heads(rules))
-    lim = rules.where(F.col("limit").isNotNull() & (F.col("limit") != 0)) \
-        .select("rule_ord", "metric", "level", "limit", "limit_text")
+    lim = limits.select("rule_ord", "metric", "level", "limit", "limit_text")
     j = c.join(chosen, "key").join(F.broadcast(lim), ["rule_ord", "metric"])
     hit = j.where(F.col("change_per_sec") > F.col("limit"))
     msg = F.format_string("%s: %s changed by %d a second, limit %s", F.col("key"), F.col("metric"),
@@ -56,17 +58,18 @@ def predicate_alarms(spark: SparkSession, current: DataFrame, rules: Sequence[La
         "rule_ord int, pattern string, regex string, ignore_regex string")
     c = current.withColumn("key", key_of())
     keys = (current if tables is None else tables).select("entity", "tbl").distinct().select(key_of().alias("key")).distinct()
-    j = c.join(match_first(keys, heads), "key")
     # one pass: every (rule, level) candidate as an array element, exploded and filtered
-    cands = []
+    cands, any_hit = [], F.lit(False)
     for i, r in enumerate(rules):
         for lvl, lim in enumerate(r.limits):
             if not lim:
                 continue
             pred, msg = r.fn(_Row(), float(lim))
+            any_hit = any_hit | F.coalesce(pred, F.lit(False))
             hit = (F.col("rule_ord") == i) & F.coalesce(pred, F.lit(False))
             cands.append(F.when(hit, F.struct(F.lit(f".{r.name}({lvl})").alias("suffix"), F.lit(lvl).alias("level"),
                                               msg.alias("msg"))))
+    j = c.where(any_hit).join(match_first(keys, heads), "key")  # samples that no rule would tell of go before keys are joined
     e = j.select("ts", "key", F.explode(F.array(*cands)).alias("a")).where(F.col("a").isNotNull())
     return e.select("ts", F.concat(F.col("key"), F.col("a.suffix")).alias("alarm_key"), F.col("a.level").alias("level"),
                     F.concat(F.col("key"), F.lit(": "), F.col("a.msg")).alias("message"))
@@ -92,18 +95,18 @@ def overlay_alarms(values: DataFrame, entries: DataFrame, key: str = "entity") -
 
 
 # ---------------------------------------------------------------- T6 ------
-def _runs(batches, names: Sequence[str] | None = None) -> Iterator[tuple]:
-    """Runs of equal first two columns of sorted batches: the two values, and arrays of the other columns."""
-    for b in batches:
-        if not b.num_rows:
-            continue
-        key, piece, *rest = (b.column(i if names is None else b.schema.get_field_index(i)) for i in names or range(b.num_columns))
-        keys = key.dictionary_encode()
-        code, piece = keys.indices.to_numpy(zero_copy_only=False), piece.to_numpy()
-        edge = np.flatnonzero((code[1:] != code[:-1]) | (piece[1:] != piece[:-1])) + 1
-        rest = [c.to_numpy(zero_copy_only=False) for c in rest]
-        for a, z in zip([0, *edge.tolist()], [*edge.tolist(), b.num_rows], strict=True):
-            yield keys.dictionary[int(code[a])].as_py(), int(piece[a]), *(c[a:z] for c in rest)
+def _coded(b: pa.RecordBatch, names: Sequence) -> tuple:
+    """The distinct keys of a batch's first column, and arrays: its codes and the other columns."""
+    key, *rest = (b.column(i if isinstance(i, int) else b.schema.get_field_index(i)) for i in names)
+    keys = key.dictionary_encode()
+    return keys.dictionary, keys.indices.to_numpy(zero_copy_only=False), *(c.to_numpy(zero_copy_only=False) for c in rest)
+
+
+def _cuts(code: np.ndarray, piece: np.ndarray, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal key and piece begin and end; ``more``: rows that begin a run, too."""
+    new = np.r_[True, (code[1:] != code[:-1]) | (piece[1:] != piece[:-1])]
+    at = np.flatnonzero(new if more is None else new | more)
+    return at, np.r_[at[1:], len(code)]
 
 
 def suppress(alarms: DataFrame, window_s: int = DEFAULT_SUPPRESS_S, key: str = "alarm_key") -> DataFrame:
@@ -139,56 +142,97 @@ def suppress(alarms: DataFrame, window_s: int = DEFAULT_SUPPRESS_S, key: str = "
             return pa.RecordBatch.from_arrays([pa.array([now[0]] * int(keep.sum()), pa.string()), pa.array(np.full(keep.sum(), now[1])),
                                                pa.array(us[:first][keep]), pa.array(us[end[:first][keep]])], ["key", "slice", "first", "last"])
 
-        for name, piece, us in _runs(batches, ("__key", "__slice", "__us")):
-            if (name, piece) != now:
-                if held:
-                    yield table()
-                now, held = (name, piece), []
-            held.append(us)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys, code, piece, us = _coded(b, ("__key", "__slice", "__us"))
+            at, to = _cuts(code, piece)
+            # slices of one moment, as most of a sparse key, at once; those at a batch's edges may go on in the next
+            one = us[at] == us[to - 1]
+            one[0] = one[-1] = False
+            if one.any():
+                alone = pa.array(us[at[one]])
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(code[at[one]])).cast(pa.string()), pa.array(piece[at[one]]), alone, alone],
+                                                 ["key", "slice", "first", "last"])
+            for a, z in zip(at[~one].tolist(), to[~one].tolist(), strict=True):
+                if (here := (keys[int(code[a])].as_py(), int(piece[a]))) != now:
+                    if held:
+                        yield table()
+                    now, held = here, []
+                held.append(us[a:z])
         if held:
             yield table()
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, name_now, last, known = None, None, None, False
+        now, last, known, most = (None, None), None, False, None
         for b in batches:
-            names, pieces, out = [], [], []
-            for name, piece, first, end in _runs([b]):
-                if name != name_now:
-                    name_now, last = name, None
-                if (name, piece) != now:
-                    now, known = (name, piece), False
-                    if last is not None:
-                        names.append(name)
-                        pieces.append(piece)
-                        out.append(last)
-                if not known:
-                    at = 0 if last is None else int(np.searchsorted(first, last + w_us))
-                    if at < len(first):
-                        last, known = int(end[at]), True
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(pieces, pa.int64()), pa.array(out, pa.int64())], ["key", "slice", "us"])
+            if not b.num_rows:
+                continue
+            keys, code, piece, first, end = _coded(b, range(4))
+            at, to = _cuts(code, piece)
+            start, same = (keys[int(code[0])].as_py(), int(piece[0])), np.r_[False, code[at[1:]] == code[at[:-1]]]
+            ends_at = np.maximum.reduceat(end, at)
+            if start == now:
+                ends_at[0] = max(ends_at[0], most)
+            # a slice whose first moment is a window after all that may have fired before goes on from its first row
+            sure = ~same
+            sure[1:] |= first[at[1:]] >= ends_at[:-1] + w_us
+            sure[0] = False
+            out, known_now = end[at].copy(), True
+            names, pieces, marks = [], [], []
+            for i in np.flatnonzero(~sure).tolist():
+                before, known_now = int(out[i - 1]), False
+                if i == 0:
+                    before = last if start[0] == now[0] else None
+                    known_now = known and start == now
+                    if start != now and before is not None:
+                        names, pieces, marks = [start[0]], [start[1]], [before]
+                if not known_now:
+                    k = 0 if before is None else int(np.searchsorted(first[at[i]:to[i]], before + w_us))
+                    if k < to[i] - at[i]:
+                        before, known_now = end[at[i] + k], True
+                out[i] = before
+            known_now = known_now or bool(sure[-1])
+            now, last, known, most = (keys[int(code[-1])].as_py(), int(piece[-1])), int(out[-1]), known_now, int(ends_at[-1])
+            on = np.flatnonzero(same)
+            if names:
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(pieces, pa.int64()), pa.array(marks, pa.int64())], ["key", "slice", "us"])
+            if len(on):
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(code[at[on]])).cast(pa.string()), pa.array(piece[at[on]]), pa.array(out[on - 1])],
+                                                 ["key", "slice", "us"])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, last = None, None
         for b in batches:
-            keep = np.zeros(b.num_rows, bool)
-            start = 0
-            for name, piece, us, real in _runs([b], ("__key", "__slice", "__us", "__real")):
-                if (name, piece) != now:
-                    now, last = (name, piece), None
-                at = 0
-                while at < len(us):
+            if not b.num_rows:
+                continue
+            keys, code, piece, us, real = _coded(b, ("__key", "__slice", "__us", "__real"))
+            # a moment that is a window after the one before fires whatever fired before: only what lies between is walked
+            free = np.r_[False, real[1:] & (us[1:] - us[:-1] >= w_us)]
+            cuts, to = _cuts(code, piece, free)
+            one = real[cuts] & (us[cuts] == us[to - 1])
+            one[0] = False
+            keep = np.repeat(one, to - cuts)
+            start = (keys[int(code[0])].as_py(), int(piece[0]))
+            for i in np.flatnonzero(~one).tolist():
+                if i or start != now:
+                    last = None
+                at, stop = int(cuts[i]), int(to[i])
+                while at < stop:
                     if not real[at]:  # the last fired moment before the slice
                         last = us[at]
                         at += 1
                         continue
                     if last is not None and us[at] != last and us[at] < last + w_us:
-                        at += int(np.searchsorted(us[at:], last + w_us))
+                        at += int(np.searchsorted(us[at:stop], last + w_us))
                         continue
                     last = us[at]
-                    same = at + int(np.searchsorted(us[at:], last, "right"))
-                    keep[start + at:start + same] = True
+                    same = at + int(np.searchsorted(us[at:stop], last, "right"))
+                    keep[at:same] = True
                     at = same
-                start += len(us)
+            now = (keys[int(code[-1])].as_py(), int(piece[-1]))
+            if one[-1]:
+                last = us[-1]
             yield b.filter(pa.array(keep)).drop_columns(["__key", "__slice", "__us", "__real"])
 
     timed = alarms.withColumn("__key", F.col(key).cast("string")).withColumn("__us", epoch_us("ts")) \
