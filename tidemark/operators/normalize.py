@@ -26,10 +26,11 @@ def parse_stat(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     without an ``END`` line did not terminate properly and is discarded."""
     d = df.select(*keys, lines().alias("l")).where(F.array_contains("l", "END"))
     e = d.select(*keys, F.explode("l").alias("line"))
-    pat = r"^STAT (\S+) (\S+)$"
-    return (e.where(F.col("line").rlike(pat))
-            .select(*keys, F.regexp_extract("line", pat, 1).alias("key"),
-                    F.regexp_extract("line", pat, 2).alias("raw")))
+    # a line that matches has two blanks, and at most a line end after the value: it is cut without another match
+    body = F.substr("line", F.lit(len("STAT ") + 1))
+    return (e.where(F.col("line").rlike(r"^STAT (\S+) (\S+)$"))
+            .select(*keys, F.substring_index(body, " ", 1).alias("key"),
+                    F.rtrim(F.substring_index(body, " ", -1), F.lit("\r\n")).alias("raw")))
 
 
 def parse_colon(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -58,9 +59,9 @@ def parse_positional(df: DataFrame, names: Sequence[str], header_first: str = "S
                      keys: Sequence[str] = KEYS) -> DataFrame:
     """Whitespace-separated rows; column i is metric ``names[i]``.  The header
     row (first field ``header_first``) and rows of the wrong arity are skipped."""
-    e = df.select(*keys, F.explode(lines()).alias("line"))
-    a = F.split(F.trim(F.col("line")), r"\s+")
-    e = e.select(*keys, a.alias("a")).where((F.size("a") == len(names)) & (F.col("a").getItem(0) != header_first))
+    # a line is split once: in a column, the filter would split it again
+    rows = F.filter(F.transform(lines(), lambda x: F.split(F.trim(x), r"\s+")), lambda a: (F.size(a) == len(names)) & (a.getItem(0) != header_first))
+    e = df.select(*keys, F.explode(rows).alias("a"))
     names_arr = F.array(*[F.lit(n) for n in names])
     z = e.select(*keys, F.posexplode("a").alias("pos", "raw"))
     return z.select(*keys, F.element_at(names_arr, F.col("pos") + 1).alias("key"), "raw")
