@@ -82,3 +82,22 @@ def test_pairs_counted_in_other_blocks(spark, monkeypatch):
     want = {("en", p): a for p, a in f["en"].items() if a >= 30} | {("en", ""): n["en"]}
     for period in (2, 5):
         assert {(r.lang, r.phrase): r.n for r in phrase_counts(df, 30, period=period).collect()} == want
+
+
+def test_blocks_report_a_message_a_part():
+    """Phrases travel packed: a block sends at most a message a part, whatever the number of its phrases; parts sum them up as text."""
+    import numpy as np
+    from tidemark.llm.blocks import packed_keys
+    text = [b" ".join(b"w%d" % (i * j % 50) for i in range(40)) for j in range(1, 30)]
+    payload = phrase_parsing.packed(*phrase_parsing.numbered(["en", "de"] * 14 + ["en"], text, [False] * 29, [2] * 29))
+    chunks = phrase_parsing.Chunks(payload)
+    keys = [np.unique(np.concatenate([h for lang in chunks.langs.values() for k, _, h, _ in phrase_parsing.grown(lang, chunks.counts()[0], 4) if which(k)]))
+            for which in (lambda k: k <= 2, lambda k: k > 2)]
+    n = 3
+    got = {0: packed_keys(keys[0]), n: packed_keys(keys[1])}
+    sent = list(phrase_parsing.phrases(n, 4)(5, payload, got))
+    assert sorted(b.column("part")[0].as_py() for b in sent) == [0, 1, 2] and all(b.num_rows == 1 for b in sent)
+    f, words = counted([(t.decode(), lang) for t, lang in zip(text, ["en", "de"] * 14 + ["en"], strict=True)])
+    want = {(lang, p): 4 * a for lang, own in f.items() for p, a in own.items() if 4 * a >= 12} | {(lang, ""): 4 * x for lang, x in words.items()}
+    found = [r for b in sent for out in phrase_parsing.counted(12)(0, [5, 6], [b.column("payload")[0].as_py()] * 2) for r in out.to_pylist()]
+    assert len(found) == len(want) and {(r["lang"], r["phrase"]): r["n"] for r in found} == want

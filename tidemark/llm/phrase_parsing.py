@@ -8,11 +8,13 @@ and is counted there alone.  Equal stretches of text are cut alike, so copies
 and repeated passages become one dictionary entry with a frequency; phrases are
 counted inside distinct chunks only, weighted by it.
 
-Counting has three rounds.  Blocks of the dictionary send the keyed hashes of
+Counting has three rounds.  Blocks of the dictionary, whose words are numbered
+once for all rounds, send the keyed hashes of
 their distinct words and word pairs with weighted counts to parts, which answer
 which of them are frequent; then the same for longer phrases of which all pairs
 are frequent, as no other can be.  Blocks then send the phrases that are left,
-as text, and Spark sums these up: the hashes prune, they never count.  The number of parts grows with the number of
+as text, a message a part, and the parts sum these up: the hashes prune and deal,
+they never count.  The number of parts grows with the number of
 blocks.
 
 A candidate's cut is found by joins of the count table with itself, arithmetic
@@ -32,12 +34,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import BLOCKS, answered, asked, blocks_of, dealt, each_part, packed_keys, summed, unpacked_keys
-from .byte_bpe import Numbers, message
-from .common import MULT, bounded_batches, mix, parts, saved
+from .blocks import BLOCKS, dealt, each_part, packed, packed_keys, part_of, summed, unpacked, unpacked_keys
+from .byte_bpe import Numbers, message, words_packed, words_unpacked
+from .common import MULT, bounded_batches, mix, parts, saved, sorted_groups
 
 BREAK = re.compile(rb"[.,;:!?\x0A-\x0D]+")
 WINDOW = 3
@@ -122,28 +125,52 @@ def parsed(period: int, gather: int):
     return run
 
 
+def numbered(langs: list, text: list, follows: list, freq: list) -> list[np.ndarray]:
+    """The chunks of a block as arrays, by language: its name, its words and their hashes, word numbers of its chunks, the
+    words from each place to the end of the chunk, and how often a phrase that begins there counts."""
+    rows: dict[str, list[int]] = {}
+    for i, lang in enumerate(langs):
+        rows.setdefault(lang, []).append(i)
+    out: list[np.ndarray] = []
+    for lang in sorted(rows):
+        number, own = Numbers(), [text[i] for i in rows[lang]]
+        n = np.array([c.count(b" ") + 1 for c in own], np.int32)
+        # words are numbered a few chunks at a time: as objects they take ten times their bytes
+        codes = np.concatenate([number.of(b" ".join(own[s:s + SOME]).split(b" ")) for s in range(0, len(own), SOME)])
+        follow = np.array([follows[i] for i in rows[lang]])
+        left = np.repeat(np.cumsum(n, dtype=np.int32), n)  # words from here to the end of the chunk
+        left -= np.arange(len(left), dtype=np.int32)
+        weight = np.repeat(np.array([freq[i] for i in rows[lang]], np.int64), n)
+        weight[left <= np.repeat(np.where(follow, np.int32(WINDOW), np.int32(0)), n)] = 0  # phrases that begin here are counted in the next chunk
+        out += [np.frombuffer(lang.encode(), np.uint8), *words_packed(list(number)), Hashes(lang).of(number), codes, left, weight]
+    return out
+
+
+def chunk_blocks(chunks: DataFrame, block_bytes: int) -> DataFrame:
+    """(block, part = -1, payload): chunks, numbered once for all rounds, in the shared folder."""
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, n, size = TaskContext.get().partitionId() << 32, 0, 0
+        held: list[list] = [[], [], [], []]
+        for b in it:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for h, x in zip(held, row, strict=True):
+                    h.append(x)
+                size += len(row[1])
+                if size >= block_bytes:
+                    yield message(first + n, -1, packed(*numbered(*held)))
+                    held, size, n = [[], [], [], []], 0, n + 1
+        if held[0]:
+            yield message(first + n, -1, packed(*numbered(*held)))
+
+    return saved(chunks.mapInArrow(run, BLOCKS), "phrase-blocks")
+
+
 class Chunks:
     """The chunks of a block, by language, as arrays of word numbers."""
 
-    def __init__(self, table: pa.Table):
-        langs, text = table.column("lang").to_pylist(), table.column("text").to_pylist()
-        follows, freq = table.column("follows").to_pylist(), table.column("freq").to_pylist()
-        rows: dict[str, list[int]] = {}
-        for i, lang in enumerate(langs):
-            rows.setdefault(lang, []).append(i)
-        self.langs = {}
-        for lang in sorted(rows):
-            number, own = Numbers(), [text[i] for i in rows[lang]]
-            n = np.array([c.count(b" ") + 1 for c in own], np.int32)
-            # words are numbered a few chunks at a time: as objects they take ten times their bytes
-            codes = np.concatenate([number.of(b" ".join(own[s:s + SOME]).split(b" ")) for s in range(0, len(own), SOME)])
-            follow = np.array([follows[i] for i in rows[lang]])
-            left = np.repeat(np.cumsum(n, dtype=np.int32), n)  # words from here to the end of the chunk
-            left -= np.arange(len(left), dtype=np.int32)
-            weight = np.repeat(np.array([freq[i] for i in rows[lang]], np.int64), n)
-            weight[left <= np.repeat(np.where(follow, np.int32(WINDOW), np.int32(0)), n)] = 0  # phrases that begin here are counted in the next chunk
-            name = list(number)
-            self.langs[lang] = (name, Hashes(lang).of(name), codes, left, weight)
+    def __init__(self, payload: bytes):
+        arrays = unpacked(payload)
+        self.langs = {arrays[i].tobytes().decode(): ((arrays[i + 1], arrays[i + 2]), *arrays[i + 3:i + 7]) for i in range(0, len(arrays), 7)}
 
     def counts(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct keys of words and word pairs of the block with weighted counts, sorted.  Pairs that begin
@@ -159,9 +186,12 @@ class Chunks:
 
 
 def ask(n: int):
-    def run(table: pa.Table):
-        key, weight = Chunks(table).counts()
-        yield from dealt(key, n, weight)
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for block, payload in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                key, weight = Chunks(payload).counts()
+                for p, own in dealt(key, n, weight):
+                    yield message(block, p, own)
 
     return run
 
@@ -219,9 +249,9 @@ def grown(lang: tuple, key: np.ndarray, longest: int, use=None) -> Iterator[tupl
 
 def ask_longer(n: int, longest: int):
     """The second question: phrases of three and more words whose pairs are frequent (parts n to 2n - 1)."""
-    def run(block, table, got):
+    def run(block, payload, got):
         key, keys, weights = gathered(got, 0, n), [], []
-        for lang in Chunks(table).langs.values():
+        for lang in Chunks(payload).langs.values():
             for k, _, h, w in grown(lang, key, longest):
                 if k > 2:
                     keys.append(h)
@@ -235,32 +265,78 @@ def ask_longer(n: int, longest: int):
 
 
 def phrases(n: int, longest: int):
-    """(lang, phrase, n): the block's words and phrases whose hashes are frequent, and as the empty
-    phrase the number of words."""
-    def rows(lang: str, text: list[bytes], n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(text), pa.string()), pa.array(text, pa.binary()).cast(pa.string()),
-                                           pa.array(n, pa.int64())], names=["lang", "phrase", "n"])
-
-    def run(block, table, got):
+    """The third message: the block's words and phrases whose hashes are frequent, as text with their counts, and as
+    the empty phrase the number of words; a message a part, dealt by the hash."""
+    def run(block, payload, got):
         key, longer = gathered(got, 0, n), gathered(got, n, 2 * n)
-        for lang, own in Chunks(table).langs.items():
-            name, _, codes, _, weight = own
-            yield rows(lang, [b""], np.array([weight.sum()]))
+        langs, texts, lang_of, totals, dealt_by = [], [], [], [], []
+        for lang, own in Chunks(payload).langs.items():
+            packed_name, _, codes, _, weight = own
+            name = words_unpacked(*packed_name)
+
+            def add(text: list[bytes], total: np.ndarray, h: np.ndarray, lang: str = lang) -> None:
+                texts.extend(text)
+                lang_of.append(np.full(len(text), len(langs) - 1, np.int32))
+                totals.append(total)
+                dealt_by.append(part_of(h, n).astype(np.int64))
+
+            langs.append(lang.encode())
+            add([b""], np.array([weight.sum()]), np.zeros(1, np.uint64))
             place, ids, text = np.zeros(0, np.int64), np.zeros(0, np.int64), name
-            for k, at, _, w in grown(own, key, longest, lambda h: member(longer, h)):
+            for k, at, h, w in grown(own, key, longest, lambda h: member(longer, h)):
                 if k == 1:
                     both = codes[at].astype(np.int64)
                 else:  # the phrase before, and the next word: told apart by number, not by hash
                     both = ids[np.searchsorted(place, at)] * len(name) + codes[at + k - 1]
-                distinct, ids = np.unique(both, return_inverse=True)
+                distinct, first, ids = np.unique(both, return_index=True, return_inverse=True)
                 text = [text[c // len(name)] + b" " + name[c % len(name)] for c in distinct.tolist()] if k > 1 else [name[c] for c in distinct.tolist()]
                 place, total = at, weighted(ids, w, len(distinct))
-                for s in range(0, len(text), 1 << 17):
-                    yield rows(lang, text[s:s + (1 << 17)], total[s:s + (1 << 17)])
+                add(text, total, h[first])
+        if not langs:
+            return
+        lang_of, totals, own = np.concatenate(lang_of), np.concatenate(totals), np.concatenate(dealt_by)
+        by = np.argsort(own, kind="stable")
+        edges = np.searchsorted(own[by], np.arange(n + 1))
+        for p in np.unique(own).tolist():
+            i = by[edges[p]:edges[p + 1]]
+            yield message(block, p, packed(*words_packed(langs), lang_of[i], totals[i], *words_packed([texts[x] for x in i.tolist()])))
 
     return run
 
 
+def counted(least: int):
+    """(lang, phrase, n): the phrases of a part that occur ``least`` times in all blocks together, told apart as text."""
+    schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
+
+    def run(part, blocks, payloads):
+        found: dict[bytes, dict[bytes, int]] = {}
+        for payload in payloads:
+            lang_sizes, lang_data, lang_of, total, sizes, data = unpacked(payload)
+            own = [found.setdefault(lang, {}) for lang in words_unpacked(lang_sizes, lang_data)]
+            for lang, text, n in zip(lang_of.tolist(), words_unpacked(sizes, data), total.tolist(), strict=True):
+                counts = own[lang]
+                counts[text] = counts.get(text, 0) + n
+        for lang, counts in found.items():
+            often = [(text, n) for text, n in counts.items() if n >= least or not text]
+            for s in range(0, len(often), 1 << 17):
+                text, n = zip(*often[s:s + (1 << 17)], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang.decode()] * len(text), pa.string()), pa.array(text, pa.binary()).cast(pa.string()),
+                                                  pa.array(n, pa.int64())], schema=schema)
+
+    return run
+
+
+def reported(blocks: DataFrame, answers: DataFrame, finish) -> DataFrame:
+    """``finish(block, payload, {part: payload})`` yields messages for each block with its answers."""
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (block,), t in sorted_groups(it, ["block"]):
+            part, payload = t.column("part").to_pylist(), t.column("payload").to_pylist()
+            yield from finish(int(block), payload[0], dict(zip(part[1:], payload[1:], strict=True)))
+
+    both = blocks.unionByName(answers.select("block", "part", "payload"))
+    return both.repartition(parts(blocks), "block").sortWithinPartitions("block", "part").mapInArrow(run, BLOCKS)
+
+
 def added(key: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, sorted, with sums of their weights."""
     by = np.argsort(key)
@@ -285,12 +361,12 @@ def phrase_counts(docs: DataFrame, least: int = MIN_COUNT, longest: int = LONGES
                        F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     chunks = rows.mapInArrow(parsed(period, gather), "lang string, text binary, follows boolean, freq long") \
         .groupBy("lang", "text", "follows").agg(F.sum("freq").alias("freq"))
-    blocks = blocks_of(chunks, "phrase-blocks", BLOCK_BYTES)
+    blocks = chunk_blocks(chunks, BLOCK_BYTES)
     n = max(parts(docs), blocks.count())
-    pairs = saved(each_part(asked(blocks, ask(n)), frequent(least), BLOCKS, n), "phrase-pairs")
-    longer = each_part(answered(blocks, pairs, ask_longer(n, longest), BLOCKS), frequent(least), BLOCKS, n)
-    found = answered(blocks, pairs.unionByName(longer), phrases(n, longest), "lang string, phrase string, n long")
-    return saved(found.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("phrase") == "")), "phrase-counts")
+    pairs = saved(each_part(blocks.mapInArrow(ask(n), BLOCKS), frequent(least), BLOCKS, n), "phrase-pairs")
+    longer = each_part(reported(blocks, pairs, ask_longer(n, longest)), frequent(least), BLOCKS, n)
+    found = reported(blocks, pairs.unionByName(longer), phrases(n, longest))
+    return saved(each_part(found, counted(least), "lang string, phrase string, n long", n), "phrase-counts")
 
 
 def collocations(docs: DataFrame, least: int = MIN_COUNT, first: int = FIRST, inside: int = 80) -> DataFrame:
